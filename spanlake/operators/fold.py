@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanlake.functions.cache import per_context
 from spanlake.functions.json import (
     fold_metadata,
     is_bool,
@@ -63,17 +64,22 @@ def _ts_value(v: Column) -> Column:
 
 def body_fields(raw: DataFrame) -> DataFrame:
     """Per-event values every relation folds (narrow: runs in the scan stage)."""
+    return raw.select(*_body_field_columns())
+
+
+@per_context
+def _body_field_columns() -> list[Column]:
     b = F.parse_json(F.col("body_json"))
     start_src = first_present(vget(b, "$.startTime"), vget(b, "$.createdAt"))
     start_time = F.when(is_defined(start_src), _ts_value(start_src)).otherwise(F.col("event_timestamp"))
-    return raw.select(
-        "event_id",
-        "project_id",
-        "event_type",
-        "event_timestamp",
-        "trace_id",
-        "observation_id",
-        "score_id",
+    return [
+        F.col("event_id"),
+        F.col("project_id"),
+        F.col("event_type"),
+        F.col("event_timestamp"),
+        F.col("trace_id"),
+        F.col("observation_id"),
+        F.col("score_id"),
         b.alias("_b"),
         js_string(vget(b, "$.name")).alias("f_name"),
         start_time.alias("f_start"),
@@ -81,7 +87,7 @@ def body_fields(raw: DataFrame) -> DataFrame:
         json_text(vget(b, "$.metadata")).alias("f_metadata"),
         json_text(vget(b, "$.input")).alias("f_input"),
         json_text(vget(b, "$.output")).alias("f_output"),
-    )
+    ]
 
 
 def _metadata_fold(md: Column, ord: Column) -> tuple[Column, ...]:
@@ -92,12 +98,16 @@ def _metadata_fold(md: Column, ord: Column) -> tuple[Column, ...]:
 
 
 def _finish_metadata(df: DataFrame) -> DataFrame:
+    return df.withColumn("metadata_json", _merged_metadata_column()).drop("_md_items")
+
+
+@per_context
+def _merged_metadata_column() -> Column:
     items = F.array_sort(F.col("_md_items"))
     texts = F.transform(items, lambda x: x["m"])
-    merged = F.when(F.size(texts) == 0, F.lit(None).cast("string")).when(F.size(texts) == 1, texts[0]).otherwise(
+    return F.when(F.size(texts) == 0, F.lit(None).cast("string")).when(F.size(texts) == 1, texts[0]).otherwise(
         fold_metadata(texts)
     )
-    return df.withColumn("metadata_json", merged).drop("_md_items")
 
 
 # --------------------------------------------------------------------- traces
@@ -108,15 +118,26 @@ def fold_traces(raw: DataFrame) -> DataFrame:
     ev = body_fields(
         raw.where((F.col("event_type") == TRACE_CREATE) & F.col("trace_id").isNotNull() & (F.col("trace_id") != ""))
     )
+    ev = ev.select("*", *_trace_extra_columns()).drop("_b")
+    out = ev.groupBy("project_id", "trace_id").agg(*_trace_aggs())
+    out = _finish_metadata(out).withColumnRenamed("trace_id", "id")
+    return out.select(*[F.lit(None).cast("double").alias(c) if c == "total_cost" else F.col(c) for c in TRACES.names])
+
+
+@per_context
+def _trace_extra_columns() -> list[Column]:
     b = F.col("_b")
-    ev = ev.select(
-        "*",
+    return [
         js_string(vget(b, "$.userId")).alias("f_user"),
         js_string(vget(b, "$.sessionId")).alias("f_session"),
         F.coalesce(_ts_value(vget(b, "$.timestamp")), F.col("f_start")).alias("f_trace_start"),
-    ).drop("_b")
+    ]
+
+
+@per_context
+def _trace_aggs() -> list[Column]:
     ord = order_key()
-    out = ev.groupBy("project_id", "trace_id").agg(
+    return [
         last_defined(F.col("f_name"), ord).alias("name"),
         last_defined(F.col("f_user"), ord).alias("user_id"),
         last_defined(F.col("f_session"), ord).alias("session_id"),
@@ -126,9 +147,7 @@ def fold_traces(raw: DataFrame) -> DataFrame:
         last_defined(F.col("f_input"), ord, guard_empty=False).alias("input_json"),
         last_defined(F.col("f_output"), ord, guard_empty=False).alias("output_json"),
         last_defined(F.col("event_timestamp"), ord, guard_empty=False).alias("updated_at"),
-    )
-    out = _finish_metadata(out).withColumnRenamed("trace_id", "id")
-    return out.select(*[F.lit(None).cast("double").alias(c) if c == "total_cost" else F.col(c) for c in TRACES.names])
+    ]
 
 
 # --------------------------------------------------------------- observations
@@ -149,23 +168,34 @@ def observation_fields(raw: DataFrame) -> DataFrame:
     """Per-event observation values."""
     is_obs = (F.col("event_type") != TRACE_CREATE) & (F.col("event_type") != SCORE_CREATE)
     ev = body_fields(raw.where(is_obs & F.col("observation_id").isNotNull() & (F.col("observation_id") != "")))
+    return ev.select("*", *_observation_extra_columns()).drop("_b")
+
+
+@per_context
+def _observation_extra_columns() -> list[Column]:
     b = F.col("_b")
     cost = vget(b, "$.costDetails")
-    return ev.select(
-        "*",
+    return [
         js_string(vget(b, "$.parentObservationId")).alias("f_parent"),
         json_text(vget(b, "$.usageDetails")).alias("f_usage"),
         object_text(cost).alias("f_cost_details"),
         F.coalesce(js_number(vget(b, "$.totalCost")), cost_details_total(cost)).alias("f_total_cost"),
-    ).drop("_b")
+    ]
 
 
 def fold_observations(raw: DataFrame) -> DataFrame:
     """Observation events → ``observations``. ``type`` and ``start_time`` come from
     the latest event, as in the event model (an update moves them)."""
     ev = observation_fields(raw)
+    out = ev.groupBy("project_id", "observation_id").agg(*_observation_aggs())
+    out = _finish_metadata(out).withColumnRenamed("observation_id", "id")
+    return out.select(*OBSERVATIONS.names)
+
+
+@per_context
+def _observation_aggs() -> list[Column]:
     ord = order_key()
-    out = ev.groupBy("project_id", "observation_id").agg(
+    return [
         last_defined(F.col("trace_id"), ord).alias("trace_id"),
         last_defined(F.col("f_parent"), ord).alias("parent_observation_id"),
         last_defined(F.col("event_type"), ord).alias("type"),
@@ -179,9 +209,7 @@ def fold_observations(raw: DataFrame) -> DataFrame:
         last_defined(F.col("f_cost_details"), ord).alias("cost_details_json"),
         last_defined(F.col("f_total_cost"), ord, guard_empty=False).alias("total_cost"),
         last_defined(F.col("event_timestamp"), ord, guard_empty=False).alias("updated_at"),
-    )
-    out = _finish_metadata(out).withColumnRenamed("observation_id", "id")
-    return out.select(*OBSERVATIONS.names)
+    ]
 
 
 # --------------------------------------------------------------------- scores
@@ -224,17 +252,22 @@ def score_source(b: Column) -> Column:
 
 def score_fields(raw: DataFrame) -> DataFrame:
     ev = raw.where((F.col("event_type") == SCORE_CREATE) & F.col("score_id").isNotNull() & (F.col("score_id") != ""))
+    return ev.select(*_score_field_columns())
+
+
+@per_context
+def _score_field_columns() -> list[Column]:
     b = F.parse_json(F.col("body_json"))
     value, string_value, data_type, value_defined = score_value(
         vget(b, "$.value"), js_string(vget(b, "$.dataType"))
     )
     created = first_present(vget(b, "$.createdAt"))
     ts = F.when(is_defined(created), _ts_value(created)).otherwise(F.col("event_timestamp"))
-    return ev.select(
-        "event_id",
-        "project_id",
-        "event_timestamp",
-        "score_id",
+    return [
+        F.col("event_id"),
+        F.col("project_id"),
+        F.col("event_timestamp"),
+        F.col("score_id"),
         js_string(vget(b, "$.traceId")).alias("f_trace"),
         js_string(vget(b, "$.observationId")).alias("f_observation"),
         js_string(vget(b, "$.sessionId")).alias("f_session"),
@@ -246,15 +279,28 @@ def score_fields(raw: DataFrame) -> DataFrame:
         js_string(vget(b, "$.comment")).alias("f_comment"),
         json_text(vget(b, "$.metadata")).alias("f_metadata"),
         ts.alias("f_timestamp"),
-    )
+    ]
 
 
 def fold_scores(raw: DataFrame) -> DataFrame:
     """score-create events → ``scores``: the first event fixes ``timestamp``;
     every other field is last-defined; source defaults to API."""
     ev = score_fields(raw)
+    out = ev.groupBy("project_id", "score_id").agg(*_score_aggs())
+    out = (
+        _finish_metadata(out)
+        .withColumn("value", F.col("_pair.value"))
+        .withColumn("string_value", F.col("_pair.string_value"))
+        .withColumn("source", F.coalesce(F.col("source"), F.lit(DEFAULT_SCORE_SOURCE)))
+        .withColumnRenamed("score_id", "id")
+    )
+    return out.select(*SCORES.names)
+
+
+@per_context
+def _score_aggs() -> list[Column]:
     ord = order_key()
-    out = ev.groupBy("project_id", "score_id").agg(
+    return [
         last_defined(F.col("f_trace"), ord).alias("trace_id"),
         last_defined(F.col("f_observation"), ord).alias("observation_id"),
         last_defined(F.col("f_session"), ord).alias("session_id"),
@@ -266,15 +312,7 @@ def fold_scores(raw: DataFrame) -> DataFrame:
         *_metadata_fold(F.col("f_metadata"), ord),
         F.min_by(F.col("f_timestamp"), ord).alias("timestamp"),
         last_defined(F.col("event_timestamp"), ord, guard_empty=False).alias("updated_at"),
-    )
-    out = (
-        _finish_metadata(out)
-        .withColumn("value", F.col("_pair.value"))
-        .withColumn("string_value", F.col("_pair.string_value"))
-        .withColumn("source", F.coalesce(F.col("source"), F.lit(DEFAULT_SCORE_SOURCE)))
-        .withColumnRenamed("score_id", "id")
-    )
-    return out.select(*SCORES.names)
+    ]
 
 
 # ------------------------------------------------------------ rollups & views

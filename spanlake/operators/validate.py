@@ -20,6 +20,7 @@ from spanlake.functions.json import (
     is_string,
     vget,
 )
+from spanlake.functions.cache import per_context
 from spanlake.functions.time import strict_iso_ok
 from spanlake.schema import EVENT_TYPES, SCORE_CREATE, TRACE_CREATE
 
@@ -112,22 +113,6 @@ class _Tags:
         return F.col(f"_oo_{k}")
 
 
-def _stage_tags(df: DataFrame, body: Column) -> DataFrame:
-    cols = []
-    for k in SCALAR_KEYS:
-        v = vget(body, f"$.{k}")
-        cols += [
-            F.schema_of_variant(v).alias(f"_t_{k}"),
-            F.try_variant_get(v, "$", "string").alias(f"_s_{k}"),
-        ]
-        if k in ("promptVersion",):
-            cols.append(F.try_variant_get(v, "$", "double").alias(f"_d_{k}"))
-    for k in OBJECT_KEYS:
-        v = vget(body, f"$.{k}")
-        cols += [is_defined(v).alias(f"_od_{k}"), v.try_cast("map<string,variant>").isNotNull().alias(f"_oo_{k}")]
-    return df.select("*", *cols)
-
-
 def id_check(g: _Tags, k: str, label: str) -> Column:
     t = g.text(k)
     return (
@@ -282,16 +267,16 @@ def body_problems(t: Column, b: Column, g: _Tags | None = None) -> Column:
         + _iso(g, "createdAt")
     )
 
-    def guarded(cond: Column, msgs: list[Column]) -> list[Column]:
-        return [F.when(cond, m) for m in msgs]
+    def guarded(flag: str, msgs: list[Column]) -> list[Column]:
+        return [F.when(F.col(flag), m) for m in msgs]
 
     all_msgs = (
-        guarded(t == TRACE_CREATE, trace)
-        + guarded(t.isin(*OBSERVATION_TYPES), observation)
-        + guarded(t.isin(*SPAN_LIKE), span)
-        + guarded(t.isin(*GENERATION_LIKE), generation)
-        + guarded(t.isin(*LEGACY_TYPES), legacy)
-        + guarded(t == SCORE_CREATE, score)
+        guarded("_g_trace", trace)
+        + guarded("_g_obs", observation)
+        + guarded("_g_span", span)
+        + guarded("_g_gen", generation)
+        + guarded("_g_legacy", legacy)
+        + guarded("_g_score", score)
     )
     return F.array(*all_msgs)
 
@@ -424,20 +409,12 @@ def clean_body(t: Column, b: Column) -> Column:
     return F.to_json(F.to_variant_object(F.map_concat(base, kept)))
 
 
-def validate(events: DataFrame, event_col: str = "event") -> DataFrame:
-    """Add ``errors`` and the envelope columns (id, timestamp, type, metadata,
-    body) to a frame holding one VARIANT ingestion event per row.
-
-    Three narrow projections: envelope parts, per-key type tags of the body,
-    then the checks. ``body`` is the cleaned JSON text for valid events and
-    NULL for rejects.
-    """
+@per_context
+def _stage1_columns(event_col: str) -> list[Column]:
     e = F.col(event_col)
-    keep = events.columns
     md = vget(e, "$.metadata")
     body = vget(e, "$.body")
-    staged = events.select(
-        "*",
+    return [
         e.try_cast("map<string,variant>").isNotNull().alias("_e_is_obj"),
         vget(e, "$.id").alias("_e_id"),
         vget(e, "$.timestamp").alias("_e_ts"),
@@ -448,24 +425,70 @@ def validate(events: DataFrame, event_col: str = "event") -> DataFrame:
         md.alias("_e_md"),
         body.alias("_e_body"),
         body.try_cast("map<string,variant>").isNotNull().alias("_e_body_obj"),
-    )
-    staged = _stage_tags(staged, F.col("_e_body"))
+    ]
+
+
+@per_context
+def _stage2_columns() -> list[Column]:
+    body = F.col("_e_body")
+    cols = []
+    for k in SCALAR_KEYS:
+        v = vget(body, f"$.{k}")
+        cols += [
+            F.schema_of_variant(v).alias(f"_t_{k}"),
+            F.try_variant_get(v, "$", "string").alias(f"_s_{k}"),
+        ]
+        if k in ("promptVersion",):
+            cols.append(F.try_variant_get(v, "$", "double").alias(f"_d_{k}"))
+    for k in OBJECT_KEYS:
+        v = vget(body, f"$.{k}")
+        cols += [is_defined(v).alias(f"_od_{k}"), v.try_cast("map<string,variant>").isNotNull().alias(f"_oo_{k}")]
+    t = F.coalesce(F.col("_e_type_text"), F.lit(""))
+    cols += [
+        (t == TRACE_CREATE).alias("_g_trace"),
+        t.isin(*OBSERVATION_TYPES).alias("_g_obs"),
+        t.isin(*SPAN_LIKE).alias("_g_span"),
+        t.isin(*GENERATION_LIKE).alias("_g_gen"),
+        t.isin(*LEGACY_TYPES).alias("_g_legacy"),
+        (t == SCORE_CREATE).alias("_g_score"),
+    ]
+    return cols
+
+
+@per_context
+def _stage3_columns() -> list[Column]:
     t = F.col("_e_type_text")
     b = F.col("_e_body")
     body_msgs = F.when(F.col("_e_body_obj"), body_problems(t, b)).otherwise(F.array().cast("array<string>"))
-    errors = F.filter(F.concat(_envelope_problems(), body_msgs), lambda m: m.isNotNull())
-    checked = staged.select(
-        *keep,
+    errors = F.array_compact(F.concat(_envelope_problems(), body_msgs))
+    return [
         F.when(is_string(F.col("_e_id")), _text(F.col("_e_id"))).alias("id"),
         _text(F.col("_e_ts")).alias("timestamp"),
         t.alias("type"),
         F.when(F.col("_e_md_obj"), F.to_json(F.col("_e_md"))).alias("metadata"),
         errors.alias("errors"),
         b.alias("_e_body"),
-    )
-    return checked.withColumn(
-        "body", F.when(F.size("errors") == 0, clean_body(F.col("type"), F.col("_e_body")))
-    ).drop("_e_body")
+    ]
+
+
+@per_context
+def _clean_column() -> Column:
+    return F.when(F.size("errors") == 0, clean_body(F.col("type"), F.col("_e_body")))
+
+
+def validate(events: DataFrame, event_col: str = "event") -> DataFrame:
+    """Add ``errors`` and the envelope columns (id, timestamp, type, metadata,
+    body) to a frame holding one VARIANT ingestion event per row.
+
+    Three narrow projections: envelope parts, per-key type tags of the body,
+    then the checks. ``body`` is the cleaned JSON text for valid events and
+    NULL for rejects.
+    """
+    keep = events.columns
+    staged = events.select("*", *_stage1_columns(event_col))
+    staged = staged.select("*", *_stage2_columns())
+    checked = staged.select(*keep, *_stage3_columns())
+    return checked.withColumn("body", _clean_column()).drop("_e_body")
 
 
 def accepted(validated: DataFrame) -> DataFrame:

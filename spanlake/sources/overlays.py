@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanlake.functions.cache import per_context
 from spanlake.functions.time import iso_ms
 from spanlake.sources.tables import spread, table
 
@@ -74,6 +75,11 @@ def f1_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     Columns: eid (source row), batch, copy (0 or 1), kind, event (VARIANT).
     """
     src = f1_source(spark, sf_dir)
+    return src.select(*_f1_columns()).select("eid", "batch", "ts", "x.kind", "x.copy", "x.event")
+
+
+@per_context
+def _f1_columns() -> list[Column]:
     eid = F.col("eid")
     is_err = F.col("event_type") == "error"
     iso = iso_ms(F.col("ts"))
@@ -150,6 +156,4 @@ def f1_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         lambda x: x.isNotNull(),
     )
-    return src.select(
-        "eid", (eid.cast("long") / F1_BATCH_DIV).cast("long").alias("batch"), "ts", F.explode(items).alias("x")
-    ).select("eid", "batch", "ts", "x.kind", "x.copy", "x.event")
+    return [eid, (eid.cast("long") / F1_BATCH_DIV).cast("long").alias("batch"), F.col("ts"), F.explode(items).alias("x")]
