@@ -277,3 +277,64 @@ def adhoc_sql(spark: SparkSession, sf: str) -> DataFrame:
         "SELECT type, count(*) AS n, round(sum(total_cost), 6) AS cost, count(DISTINCT trace_id) AS traces "
         "FROM observations GROUP BY type",
     )
+
+
+# ----------------------------------------------------------------- scores
+
+F3_TRACE = "d1"
+_SCORE_COLS = ["id", "trace_id", "observation_id", "name", "value", "string_value", "data_type", "source", "comment", "timestamp", "updated_at"]
+
+
+@query("merge_scores")
+def merge_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return st.f3_state(spark, sf).scores.select(*_SCORE_COLS)
+
+
+@query("score_typing")
+def score_typing(spark: SparkSession, sf: str) -> DataFrame:
+    ev = fold.score_fields(st.f3_raw(spark, sf))
+    return ev.select(
+        "event_id",
+        F.col("f_value_pair.value").alias("value"),
+        F.col("f_value_pair.string_value").alias("string_value"),
+        F.col("f_data_type").alias("data_type"),
+    )
+
+
+@query("score_source")
+def score_source(spark: SparkSession, sf: str) -> DataFrame:
+    ev = fold.score_fields(st.f3_raw(spark, sf))
+    return ev.select("event_id", F.col("f_source").alias("source"))
+
+
+@query("scores_list")
+def scores_list(spark: SparkSession, sf: str) -> DataFrame:
+    return reads.scores_list(st.f3_state(spark, sf).scores, trace_id=F3_TRACE).select(*_SCORE_COLS)
+
+
+@query("low_score_traces")
+def low_score_traces(spark: SparkSession, sf: str) -> DataFrame:
+    s = st.f3_state(spark, sf)
+    return reads.low_score_traces(s.traces, s.scores, 0.5, 50)
+
+
+@query("score_agreement")
+def score_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    s = st.f3_state(spark, sf)
+    return reads.score_agreement(s.traces, s.scores, "quality", "$.compliance_score")
+
+
+@query("direct_append")
+def direct_append(spark: SparkSession, sf: str) -> DataFrame:
+    """Direct append (K7): the trace events are stored first, then the whole F3
+    stream is appended; already stored ids are skipped."""
+    stored = raw.raw_rows(overlays.f3_trace_events(spark, sf), overlays.PROJECT)
+    incoming = st.f3_raw(spark, sf)
+    appended = raw.dedupe_skip(incoming, stored)
+    return appended.groupBy("event_type").agg(F.count(F.lit(1)).alias("processed")).join(
+        incoming.join(stored.select("event_id"), "event_id", "left_semi")
+        .groupBy("event_type")
+        .agg(F.count(F.lit(1)).alias("skipped")),
+        "event_type",
+        "full",
+    ).select("event_type", F.coalesce("processed", F.lit(0)).alias("processed"), F.coalesce("skipped", F.lit(0)).alias("skipped"))

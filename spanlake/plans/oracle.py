@@ -211,3 +211,84 @@ ORACLE: dict[str, str] = {
         "SELECT type, count(*) AS n, round(sum(total_cost), 6) AS cost, count(DISTINCT trace_id) AS traces FROM f1_obs GROUP BY type"
     ),
 }
+
+
+F3 = """
+f3_docs AS (
+  SELECT doc_id, lang, source, n_chars, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id) AS ts FROM documents
+),
+f3_tr AS (
+  SELECT 'd' || CAST(doc_id AS VARCHAR) AS id, 'demo' AS project_id, source AS name, lang AS session_id,
+    ts AS start_time, CAST((n_chars % 10) / 10.0 AS DOUBLE) AS model_score
+  FROM f3_docs
+),
+f3_lab AS (
+  SELECT doc_id, quality, toxic, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id) AS ts,
+    doc_id % 5 = 0 AS recheck, lpad(CAST(doc_id AS VARCHAR), 12, '0') AS pad
+  FROM labels
+),
+f3_scores AS (
+  SELECT 'q' || CAST(doc_id AS VARCHAR) AS id, 'd' || CAST(doc_id AS VARCHAR) AS trace_id,
+    CAST(NULL AS VARCHAR) AS observation_id, 'quality' AS name, CAST(quality AS DOUBLE) AS value,
+    CAST(NULL AS VARCHAR) AS string_value, 'NUMERIC' AS data_type, 'EVAL' AS source,
+    CASE WHEN recheck THEN 'rechecked' END AS comment, ts AS timestamp,
+    CASE WHEN recheck THEN ts + INTERVAL 1 HOUR ELSE ts END AS updated_at
+  FROM f3_lab
+  UNION ALL
+  SELECT 'x' || CAST(doc_id AS VARCHAR), 'd' || CAST(doc_id AS VARCHAR), NULL, 'toxic',
+    CASE WHEN toxic = 1 THEN 1.0 ELSE 0.0 END, CASE WHEN toxic = 1 THEN 'true' ELSE 'false' END, 'BOOLEAN',
+    CASE WHEN doc_id % 3 = 0 THEN 'ANNOTATION' ELSE 'API' END,
+    CASE WHEN recheck THEN 'rechecked' END, ts, CASE WHEN recheck THEN ts + INTERVAL 1 HOUR ELSE ts END
+  FROM f3_lab
+  UNION ALL
+  SELECT 'g' || CAST(doc_id AS VARCHAR), 'd' || CAST(doc_id AS VARCHAR), NULL, 'grade',
+    CASE WHEN doc_id % 7 = 0 THEN CAST(quality AS DOUBLE) END,
+    CASE WHEN doc_id % 7 = 0 THEN CAST(quality AS VARCHAR) WHEN quality = 1 THEN 'good' ELSE 'bad' END,
+    CASE WHEN doc_id % 7 = 0 THEN 'NUMERIC' ELSE 'CATEGORICAL' END, 'API', NULL, ts, ts
+  FROM f3_lab
+),
+f3_score_ev AS (
+  SELECT 'eq' || pad AS event_id, CAST(quality AS DOUBLE) AS value, CAST(NULL AS VARCHAR) AS string_value,
+    'NUMERIC' AS data_type, 'EVAL' AS source FROM f3_lab
+  UNION ALL
+  SELECT 'ex' || pad, CASE WHEN toxic = 1 THEN 1.0 ELSE 0.0 END, CASE WHEN toxic = 1 THEN 'true' ELSE 'false' END,
+    'BOOLEAN', CASE WHEN doc_id % 3 = 0 THEN 'ANNOTATION' END FROM f3_lab
+  UNION ALL
+  SELECT 'eg' || pad, CASE WHEN doc_id % 7 = 0 THEN CAST(quality AS DOUBLE) END,
+    CASE WHEN doc_id % 7 = 0 THEN CAST(quality AS VARCHAR) WHEN quality = 1 THEN 'good' ELSE 'bad' END,
+    CASE WHEN doc_id % 7 = 0 THEN 'NUMERIC' ELSE 'CATEGORICAL' END, NULL FROM f3_lab
+  UNION ALL
+  SELECT 'fq' || pad, NULL, NULL, NULL, NULL FROM f3_lab WHERE recheck
+  UNION ALL
+  SELECT 'fx' || pad, NULL, NULL, NULL, NULL FROM f3_lab WHERE recheck
+)
+"""
+
+SCORE_COLS = "id, trace_id, observation_id, name, value, string_value, data_type, source, comment, timestamp, updated_at"
+
+
+def with_f3(select: str) -> str:
+    return "WITH " + F3.strip() + "\n" + select
+
+
+ORACLE.update(
+    {
+        "merge_scores": with_f3(f"SELECT {SCORE_COLS} FROM f3_scores"),
+        "score_typing": with_f3("SELECT event_id, value, string_value, data_type FROM f3_score_ev"),
+        "score_source": with_f3("SELECT event_id, source FROM f3_score_ev"),
+        "scores_list": with_f3(f"SELECT {SCORE_COLS} FROM f3_scores WHERE trace_id = 'd1' ORDER BY timestamp DESC NULLS LAST, id LIMIT 100"),
+        "low_score_traces": with_f3(
+            """SELECT t.id, t.name, t.start_time, t.project_id, s.name AS score_name, s.value, s.id AS score_id
+            FROM f3_tr t JOIN f3_scores s ON s.trace_id = t.id WHERE s.value < 0.5
+            ORDER BY t.start_time DESC NULLS LAST, t.id, s.id LIMIT 50"""
+        ),
+        "score_agreement": with_f3(
+            """SELECT t.id, t.model_score, s.value AS expected_score, round(abs(t.model_score - s.value), 6) AS abs_diff
+            FROM f3_tr t JOIN f3_scores s ON s.trace_id = t.id WHERE s.name = 'quality'"""
+        ),
+        "direct_append": with_f3(
+            """SELECT 'score-create' AS event_type, (SELECT count(*) FROM f3_score_ev) AS processed, CAST(0 AS BIGINT) AS skipped
+            UNION ALL SELECT 'trace-create', CAST(0 AS BIGINT), (SELECT count(*) FROM documents)"""
+        ),
+    }
+)

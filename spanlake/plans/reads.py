@@ -99,6 +99,20 @@ def low_score_traces(traces: DataFrame, scores: DataFrame, threshold: float = 0.
     )
 
 
+def score_agreement(traces: DataFrame, scores: DataFrame, score_name: str, output_path: str) -> DataFrame:
+    """Model score inside the trace output vs the expected score attached to the
+    trace (Q15): one row per (trace, score) with the absolute difference."""
+    expected = scores.where(F.col("name") == score_name).select(
+        F.col("trace_id").alias("id"), F.col("value").alias("expected_score")
+    )
+    model = F.get_json_object(F.col("output_json"), output_path).cast("double")
+    return (
+        traces.select("id", model.alias("model_score"))
+        .join(expected, ["id"], "inner")
+        .select("id", "model_score", "expected_score", F.round(F.abs(F.col("model_score") - F.col("expected_score")), 6).alias("abs_diff"))
+    )
+
+
 def busy_sessions(sessions: DataFrame, limit: int = 20) -> DataFrame:
     """Sessions with the most traces (Q10)."""
     return sessions.orderBy(F.col("trace_count").desc(), F.col("id").asc()).limit(check_limit(limit))

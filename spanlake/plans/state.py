@@ -106,3 +106,21 @@ def stored_state(spark: SparkSession, name: str, key: str, events_raw) -> State:
 
 def f1_state(spark: SparkSession, sf_dir: str) -> State:
     return stored_state(spark, "f1", sf_dir, lambda: f1_raw(spark, sf_dir))
+
+
+# ----------------------------------------------------------------- overlay F3
+
+
+def f3_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F3 raw log (direct path: no validation, stored ids skipped)."""
+
+    def build() -> DataFrame:
+        events = overlays.f3_trace_events(spark, sf_dir).unionByName(overlays.f3_score_events(spark, sf_dir))
+        rows = raw.raw_rows(events.withColumn("object_key", F.lit(f"{overlays.PROJECT}/f3/direct")), overlays.PROJECT)
+        return raw.dedupe_skip(rows)
+
+    return materialize(spark, "f3_events_raw", sf_dir, build)
+
+
+def f3_state(spark: SparkSession, sf_dir: str) -> State:
+    return stored_state(spark, "f3", sf_dir, lambda: f3_raw(spark, sf_dir))

@@ -157,3 +157,87 @@ def _f1_columns() -> list[Column]:
         lambda x: x.isNotNull(),
     )
     return [eid, (eid.cast("long") / F1_BATCH_DIV).cast("long").alias("batch"), F.col("ts"), F.explode(items).alias("x")]
+
+
+# ---------------------------------------------------------------------- F3
+
+F3_BASE = "2024-01-01 00:00:00"
+F3_RECHECK_EVERY = 5
+F3_META_SOURCE_EVERY = 3
+F3_NUMERIC_GRADE_EVERY = 7
+
+
+def _seconds_after_base(n: Column, extra_seconds: int = 0) -> Column:
+    return F.timestamp_seconds(F.unix_timestamp(F.lit(F3_BASE)) + n + F.lit(extra_seconds))
+
+
+def f3_trace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F3 traces: one trace-create per document (direct writes, no validation)."""
+    docs = spread(table(spark, sf_dir, "documents", "doc_id", "lang", "source", "n_chars"))
+    return docs.select(*_f3_trace_columns())
+
+
+@per_context
+def _f3_trace_columns() -> list[Column]:
+    d = F.col("doc_id")
+    ts = iso_ms(_seconds_after_base(d))
+    body = F.to_json(
+        F.struct(
+            F.concat(F.lit("d"), d.cast("string")).alias("id"),
+            ts.alias("timestamp"),
+            F.col("source").alias("name"),
+            F.col("lang").alias("sessionId"),
+            F.struct(F.col("n_chars").alias("n_chars")).alias("input"),
+            F.struct(((F.col("n_chars") % 10) / 10.0).alias("compliance_score")).alias("output"),
+        )
+    )
+    return [
+        _pad("dt", d).alias("id"),
+        ts.alias("timestamp"),
+        F.lit("trace-create").alias("type"),
+        body.alias("body"),
+    ]
+
+
+def f3_score_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F3 scores from labels: quality (number, EVAL), toxic (boolean, source
+    missing or given in metadata), grade (text, or numeric text declared
+    NUMERIC); every fifth document gets a later comment-only update."""
+    labels = spread(table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+    return labels.select(F.explode(F.filter(F.array(*_f3_score_items()), lambda x: x.isNotNull())).alias("e")).select(
+        "e.*"
+    )
+
+
+@per_context
+def _f3_score_items() -> list[Column]:
+    d = F.col("doc_id")
+    trace = F.concat(F.lit("d"), d.cast("string"))
+    ts = iso_ms(_seconds_after_base(d))
+    later = iso_ms(_seconds_after_base(d, 3600))
+    recheck = d % F3_RECHECK_EVERY == 0
+
+    def ev(prefix: str, when_ts: Column, body: Column, cond: Column | None = None) -> Column:
+        s = F.struct(
+            _pad(prefix, d).alias("id"), when_ts.alias("timestamp"), F.lit("score-create").alias("type"), F.to_json(body).alias("body")
+        )
+        return s if cond is None else F.when(cond, s)
+
+    grade_numeric = d % F3_NUMERIC_GRADE_EVERY == 0
+    grade = F.when(grade_numeric, F.col("quality").cast("string")).otherwise(
+        F.when(F.col("quality") == 1, F.lit("good")).otherwise(F.lit("bad"))
+    )
+    toxic_md = F.when(
+        d % F3_META_SOURCE_EVERY == 0, F.to_variant_object(F.struct(F.lit("ANNOTATION").alias("source")))
+    ).otherwise(F.to_variant_object(F.struct(F.concat(F.lit("r"), (d % 4).cast("string")).alias("reviewer"))))
+    return [
+        ev("eq", ts, F.struct(F.concat(F.lit("q"), d.cast("string")).alias("id"), trace.alias("traceId"),
+                              F.lit("quality").alias("name"), F.col("quality").alias("value"), F.lit("EVAL").alias("source"))),
+        ev("ex", ts, F.struct(F.concat(F.lit("x"), d.cast("string")).alias("id"), trace.alias("traceId"),
+                              F.lit("toxic").alias("name"), (F.col("toxic") == 1).alias("value"), toxic_md.alias("metadata"))),
+        ev("eg", ts, F.struct(F.concat(F.lit("g"), d.cast("string")).alias("id"), trace.alias("traceId"),
+                              F.lit("grade").alias("name"), grade.alias("value"),
+                              F.when(grade_numeric, F.lit("NUMERIC")).alias("dataType"))),
+        ev("fq", later, F.struct(F.concat(F.lit("q"), d.cast("string")).alias("id"), F.lit("rechecked").alias("comment")), recheck),
+        ev("fx", later, F.struct(F.concat(F.lit("x"), d.cast("string")).alias("id"), F.lit("rechecked").alias("comment")), recheck),
+    ]
