@@ -35,7 +35,7 @@ def strict_iso_ok(text: Column) -> Column:
 
 def nanos_to_timestamp(nanos_text: Column) -> Column:
     """Integer epoch nanoseconds (as text) → millisecond timestamp; junk → NULL."""
-    n = F.when(nanos_text.rlike(r"^\s*-?\d+\s*$"), F.try_cast(F.trim(nanos_text), "decimal(38,0)"))
+    n = F.when(nanos_text.rlike(r"^\s*-?\d+\s*$"), F.trim(nanos_text).try_cast("decimal(38,0)"))
     millis = F.floor(n / F.lit(1_000_000))
     return F.timestamp_millis(millis.cast("long"))
 

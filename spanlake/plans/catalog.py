@@ -338,3 +338,138 @@ def direct_append(spark: SparkSession, sf: str) -> DataFrame:
         "event_type",
         "full",
     ).select("event_type", F.coalesce("processed", F.lit(0)).alias("processed"), F.coalesce("skipped", F.lit(0)).alias("skipped"))
+
+
+# --------------------------------------------------------------- OTLP
+
+
+def _vs(c: str) -> F.Column:
+    """VARIANT text field → string."""
+    return F.try_variant_get(F.col(c), "$", "string")
+
+
+@query("otlp_spans")
+def otlp_spans(spark: SparkSession, sf: str) -> DataFrame:
+    m = st.f4_mapped(spark, sf)
+    return m.select("object_key", "rs_pos", "ss_pos", "span_pos", "trace_id", "span_id", "parent_span_id")
+
+
+@query("otlp_timestamps")
+def otlp_timestamps(spark: SparkSession, sf: str) -> DataFrame:
+    return st.f4_mapped(spark, sf).select("span_id", "start_time", "end_time")
+
+
+@query("otlp_attributes")
+def otlp_attributes(spark: SparkSession, sf: str) -> DataFrame:
+    m = st.f4_mapped(spark, sf)
+    a = F.col("attributes")
+    return m.select(
+        "span_id",
+        F.size(a).cast("long").alias("n_attributes"),
+        F.try_variant_get(F.try_element_at(a, F.lit("dup.key")), "$", "string").alias("dup_key"),
+        F.schema_of_variant(F.try_element_at(a, F.lit("gen_ai.usage.input_tokens"))).alias("input_tokens_type"),
+    )
+
+
+@query("classify_spans")
+def classify_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return st.f4_mapped(spark, sf).select("span_id", "observation_type")
+
+
+@query("normalize_fields")
+def normalize_fields(spark: SparkSession, sf: str) -> DataFrame:
+    return st.f4_mapped(spark, sf).select(
+        "span_id", F.col("o_model_p").alias("model_present"), F.when(F.col("o_model_p"), _vs("o_model")).alias("model")
+    )
+
+
+@query("genai_usage")
+def genai_usage(spark: SparkSession, sf: str) -> DataFrame:
+    m = st.f4_mapped(spark, sf)
+    u = F.when(F.col("o_usageDetails_p"), F.col("o_usageDetails"))
+    return m.select(
+        "span_id",
+        F.try_variant_get(u, "$.input", "double").alias("usage_input"),
+        F.try_variant_get(u, "$.output", "double").alias("usage_output"),
+        F.try_variant_get(u, "$.total", "double").alias("usage_total"),
+        F.when(F.col("o_model_p"), _vs("o_model")).alias("model"),
+    )
+
+
+@query("identity_resolution")
+def identity_resolution(spark: SparkSession, sf: str) -> DataFrame:
+    return st.f4_mapped(spark, sf).select(
+        "span_id",
+        F.when(F.col("r_userId_p"), _vs("r_userId")).alias("user_id"),
+        F.when(F.col("r_sessionId_p"), _vs("r_sessionId")).alias("session_id"),
+    )
+
+
+@query("trace_tags")
+def trace_tags(spark: SparkSession, sf: str) -> DataFrame:
+    m = st.f4_mapped(spark, sf).where(F.col("r_tags_p"))
+    return m.select("span_id", F.array_join(F.col("r_tags").try_cast("array<string>"), ",").alias("tags"))
+
+
+@query("has_trace_update")
+def has_trace_update(spark: SparkSession, sf: str) -> DataFrame:
+    return st.f4_mapped(spark, sf).select("span_id", "has_update")
+
+
+@query("root_spans")
+def root_spans(spark: SparkSession, sf: str) -> DataFrame:
+    from spanlake.operators import otlp
+
+    m = st.f4_mapped(spark, sf)
+    return m.select("span_id", otlp.is_root_span(F.col("parent_span_id"), F.col("attributes")).alias("is_root"))
+
+
+@query("root_trace_fields")
+def root_trace_fields(spark: SparkSession, sf: str) -> DataFrame:
+    m = st.f4_mapped(spark, sf)
+    return m.select("span_id", F.coalesce(F.when(F.col("r_name_p"), _vs("r_name")), F.col("span_name")).alias("name"))
+
+
+@query("otlp_trace_events")
+def otlp_trace_events(spark: SparkSession, sf: str) -> DataFrame:
+    ev = st.f4_trace_events(spark, sf)
+    b = F.col("body")
+    return ev.select(
+        "object_key",
+        "span_id",
+        "trace_id",
+        F.col("trace_event_kind").alias("kind"),
+        F.get_json_object(b, "$.name").alias("name"),
+        F.get_json_object(b, "$.userId").alias("user_id"),
+        F.get_json_object(b, "$.sessionId").alias("session_id"),
+    )
+
+
+@query("otlp_observation_events")
+def otlp_observation_events(spark: SparkSession, sf: str) -> DataFrame:
+    from spanlake.operators import otlp
+
+    ev = otlp.observation_events(st.f4_mapped(spark, sf))
+    b = F.col("body")
+    return ev.select(
+        F.get_json_object(b, "$.id").alias("span_id"),
+        F.get_json_object(b, "$.traceId").alias("trace_id"),
+        F.get_json_object(b, "$.parentObservationId").alias("parent_span_id"),
+        "type",
+        F.get_json_object(b, "$.name").alias("name"),
+        F.get_json_object(b, "$.environment").alias("environment"),
+        "timestamp",
+    )
+
+
+@query("span_count")
+def span_count(spark: SparkSession, sf: str) -> DataFrame:
+    from spanlake.operators import otlp
+    from spanlake.sources import overlays as ov
+
+    return otlp.count_spans(ov.f4_objects(spark, sf))
+
+
+@query("otlp_traces")
+def otlp_traces(spark: SparkSession, sf: str) -> DataFrame:
+    return st.f4_state(spark, sf).traces.select("id", "name", "user_id", "session_id", "start_time")

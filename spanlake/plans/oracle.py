@@ -292,3 +292,128 @@ ORACLE.update(
         ),
     }
 )
+
+
+F4 = """
+f4_src AS (
+  SELECT event_id AS eid, date_trunc('millisecond', ts) AS ts, user_id, event_type,
+    CAST(json_extract(props, '$.k') AS BIGINT) AS k
+  FROM events
+),
+f4_sp AS (
+  SELECT *, eid % 6 AS conv,
+    'demo/otel/' || lpad(CAST(eid // 8 AS VARCHAR), 8, '0') || '.json' AS object_key,
+    CAST(eid % 8 AS INTEGER) AS span_pos,
+    lpad(lower(hex(eid // 12)), 32, '0') AS trace_id,
+    lpad(lower(hex(eid)), 16, '0') AS span_id,
+    CASE WHEN eid % 12 <> 0 THEN lpad(lower(hex(eid - eid % 12)), 16, '0') END AS parent_span_id,
+    CASE event_type WHEN 'click' THEN 'generation-create' WHEN 'view' THEN 'agent-create'
+      WHEN 'purchase' THEN 'tool-create' WHEN 'signup' THEN 'retriever-create' END AS lf,
+    CASE event_type WHEN 'click' THEN 'generation-create' WHEN 'view' THEN 'chain-create'
+      WHEN 'purchase' THEN 'tool-create' WHEN 'signup' THEN 'embedding-create' END AS oi,
+    CASE event_type WHEN 'click' THEN 'generation-create' WHEN 'view' THEN 'embedding-create'
+      WHEN 'purchase' THEN 'tool-create' WHEN 'signup' THEN 'agent-create' END AS ga,
+    CASE WHEN event_type = 'purchase' THEN 'tool-create'
+      WHEN user_id % 2 <> 0 THEN NULL
+      WHEN event_type IN ('click', 'signup') THEN 'generation-create'
+      WHEN event_type = 'view' THEN 'embedding-create' END AS vc,
+    eid % 12 = 0 AS is_root,
+    eid % 4 IN (0, 1, 2) OR eid % 3 = 0 OR eid % 9 = 1 AS has_update,
+    CASE WHEN eid % 4 IN (0, 1) THEN 'u' || CAST(user_id AS VARCHAR) END AS uid,
+    CASE WHEN eid % 4 = 2 THEN 's' || CAST(user_id AS VARCHAR) END AS sid
+  FROM f4_src
+),
+f4_m AS (
+  SELECT *,
+    CASE conv WHEN 0 THEN coalesce(lf, 'span-create') WHEN 1 THEN coalesce(oi, 'span-create')
+      WHEN 2 THEN coalesce(ga, 'span-create') WHEN 3 THEN coalesce(vc, 'span-create')
+      WHEN 4 THEN coalesce(lf, ga, 'span-create') ELSE 'span-create' END AS observation_type,
+    conv IN (2, 4) AND ga IS NOT NULL AS ga_applies,
+    CASE WHEN conv = 2 AND event_type = 'signup' THEN 'agent-' || CAST(user_id AS VARCHAR)
+      ELSE 'span-' || event_type END AS root_name
+  FROM f4_sp
+),
+f4_emit AS (
+  SELECT *, CASE WHEN is_root THEN 'root' WHEN has_update THEN 'update' ELSE 'first' END AS kind,
+    is_root OR has_update AS is_full
+  FROM (SELECT *, row_number() OVER (PARTITION BY object_key, trace_id ORDER BY eid) AS rn FROM f4_m)
+  WHERE is_root OR has_update OR rn = 1
+),
+f4_tev AS (
+  SELECT * FROM (SELECT *, max(CAST(is_full AS INTEGER)) OVER (PARTITION BY object_key, trace_id) AS any_full FROM f4_emit)
+  WHERE is_full OR any_full = 0
+),
+f4_tev_ord AS (
+  SELECT *, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') || sha256(object_key || ':0:0:' || CAST(span_pos AS VARCHAR) || ':trace') AS ord,
+    CASE WHEN kind = 'root' THEN root_name END AS ev_name
+  FROM f4_tev
+)
+"""
+
+
+def with_f4(select: str) -> str:
+    return "WITH " + F4.strip() + "\n" + select
+
+
+ORACLE.update(
+    {
+        "otlp_spans": with_f4(
+            "SELECT object_key, 0 AS rs_pos, 0 AS ss_pos, span_pos, trace_id, span_id, parent_span_id FROM f4_m"
+        ),
+        "otlp_timestamps": with_f4("SELECT span_id, ts AS start_time, ts + INTERVAL 1 SECOND AS end_time FROM f4_m"),
+        "otlp_attributes": with_f4(
+            """SELECT span_id,
+              CAST((CASE WHEN conv = 0 THEN 1 WHEN conv = 1 THEN 1 WHEN conv = 2 THEN 4 + CASE WHEN eid % 2 = 0 THEN 1 ELSE 0 END
+                     + CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END
+                   WHEN conv = 3 THEN 1 + CASE WHEN user_id % 2 = 0 THEN 1 ELSE 0 END WHEN conv = 4 THEN 5 ELSE 0 END)
+               + CASE WHEN eid % 4 IN (0, 1, 2) THEN 1 ELSE 0 END + CASE WHEN eid % 3 = 0 THEN 1 ELSE 0 END
+               + CASE WHEN eid % 9 = 1 THEN 1 ELSE 0 END + CASE WHEN eid % 10 = 3 THEN 1 ELSE 0 END AS BIGINT) AS n_attributes,
+              CASE WHEN eid % 10 = 3 THEN 'second' END AS dup_key,
+              CASE WHEN conv = 2 THEN 'STRING' END AS input_tokens_type
+            FROM f4_m"""
+        ),
+        "classify_spans": with_f4("SELECT span_id, observation_type FROM f4_m"),
+        "normalize_fields": with_f4(
+            """SELECT span_id, conv = 4 OR ga_applies AS model_present,
+              CASE WHEN conv = 4 THEN NULL WHEN ga_applies THEN
+                CASE WHEN eid % 2 = 0 THEN 'resp-' || CAST(eid % 5 AS VARCHAR) ELSE 'req-' || CAST(eid % 3 AS VARCHAR) END END AS model
+            FROM f4_m"""
+        ),
+        "genai_usage": with_f4(
+            """SELECT span_id,
+              CASE WHEN ga_applies AND conv = 2 THEN CAST(user_id AS DOUBLE) END AS usage_input,
+              CASE WHEN ga_applies THEN CAST(k AS DOUBLE) END AS usage_output,
+              CASE WHEN ga_applies AND conv = 2 THEN CAST(user_id + k AS DOUBLE) WHEN ga_applies THEN CAST(k AS DOUBLE) END AS usage_total,
+              CASE WHEN conv = 4 THEN NULL WHEN ga_applies THEN
+                CASE WHEN eid % 2 = 0 THEN 'resp-' || CAST(eid % 5 AS VARCHAR) ELSE 'req-' || CAST(eid % 3 AS VARCHAR) END END AS model
+            FROM f4_m"""
+        ),
+        "identity_resolution": with_f4("SELECT span_id, uid AS user_id, sid AS session_id FROM f4_m"),
+        "trace_tags": with_f4(
+            """SELECT span_id, CASE WHEN eid % 3 = 0 THEN 't' || CAST(user_id % 3 AS VARCHAR) || ',x' ELSE 'p,q' END AS tags
+            FROM f4_m WHERE eid % 3 = 0 OR eid % 9 = 1"""
+        ),
+        "has_trace_update": with_f4("SELECT span_id, has_update FROM f4_m"),
+        "root_spans": with_f4("SELECT span_id, is_root FROM f4_m"),
+        "root_trace_fields": with_f4("SELECT span_id, root_name AS name FROM f4_m"),
+        "otlp_trace_events": with_f4(
+            "SELECT object_key, span_id, trace_id, kind, ev_name AS name, uid AS user_id, sid AS session_id FROM f4_tev_ord"
+        ),
+        "otlp_observation_events": with_f4(
+            """SELECT span_id, trace_id, parent_span_id, observation_type AS type, 'span-' || event_type AS name,
+              'default' AS environment, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS timestamp FROM f4_m"""
+        ),
+        "span_count": with_f4(
+            """SELECT 'demo/otel/' || lpad(CAST(eid // 8 AS VARCHAR), 8, '0') || '.json' AS object_key,
+              CAST(CASE WHEN (eid // 8) % 3 = 0 THEN 0 ELSE count(*) END AS BIGINT) AS span_count
+            FROM f4_src GROUP BY eid // 8"""
+        ),
+        "otlp_traces": with_f4(
+            """SELECT trace_id AS id, arg_max(ev_name, ord) FILTER (WHERE ev_name IS NOT NULL) AS name,
+              arg_max(uid, ord) FILTER (WHERE uid IS NOT NULL) AS user_id,
+              arg_max(sid, ord) FILTER (WHERE sid IS NOT NULL) AS session_id,
+              min(ts) AS start_time
+            FROM f4_tev_ord GROUP BY trace_id"""
+        ),
+    }
+)

@@ -124,3 +124,41 @@ def f3_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def f3_state(spark: SparkSession, sf_dir: str) -> State:
     return stored_state(spark, "f3", sf_dir, lambda: f3_raw(spark, sf_dir))
+
+
+# ----------------------------------------------------------------- overlay F4
+
+
+def f4_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F4 spans flattened, decoded and mapped (written once)."""
+    from spanlake.operators import otlp
+
+    def build() -> DataFrame:
+        spans = otlp.map_spans(otlp.decode_spans(otlp.flatten_spans(overlays.f4_objects(spark, sf_dir))))
+        return spans.drop("span")
+
+    return materialize(spark, "f4_mapped", sf_dir, build)
+
+
+def f4_trace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanlake.operators import otlp
+
+    return materialize(spark, "f4_trace_events", sf_dir, lambda: otlp.trace_events(f4_mapped(spark, sf_dir)))
+
+
+def f4_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F4 raw log: observation and trace events derived from the spans."""
+    from spanlake.operators import otlp
+
+    def build() -> DataFrame:
+        cols = ["object_key", "id", "timestamp", "type", "metadata", "body"]
+        mapped = f4_mapped(spark, sf_dir)
+        events = otlp.observation_events(mapped).select(*cols).unionByName(f4_trace_events(spark, sf_dir).select(*cols))
+        entity = F.coalesce(F.get_json_object(F.col("body"), "$.id"), F.col("object_key"))
+        return raw.dedupe_skip(raw.raw_rows(events, overlays.PROJECT, entity_id=entity))
+
+    return materialize(spark, "f4_events_raw", sf_dir, build)
+
+
+def f4_state(spark: SparkSession, sf_dir: str) -> State:
+    return stored_state(spark, "f4", sf_dir, lambda: f4_raw(spark, sf_dir))

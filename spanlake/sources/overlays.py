@@ -241,3 +241,123 @@ def _f3_score_items() -> list[Column]:
         ev("fq", later, F.struct(F.concat(F.lit("q"), d.cast("string")).alias("id"), F.lit("rechecked").alias("comment")), recheck),
         ev("fx", later, F.struct(F.concat(F.lit("x"), d.cast("string")).alias("id"), F.lit("rechecked").alias("comment")), recheck),
     ]
+
+
+# ---------------------------------------------------------------------- F4
+
+F4_SPANS_PER_OBJECT = 8
+F4_SPANS_PER_TRACE = 12
+F4_BYTES_ID_EVERY = 5
+F4_LONG_TIME_EVERY = 7
+F4_LEGACY_SCOPE_EVERY = 3
+# Fixed values of the overlay: the attribute value each convention carries per
+# source event_type (some deliberately unmapped or in another letter case).
+F4_LANGFUSE = {"click": "GENERATION", "view": "agent", "purchase": "Tool", "signup": "retriever", "error": "unknown"}
+F4_OPENINFERENCE = {"click": "llm", "view": "CHAIN", "purchase": "Tool", "signup": "EMBEDDING", "error": "RERANKER"}
+F4_GENAI = {"click": "chat", "view": "embeddings", "purchase": "execute_tool", "signup": "invoke_agent", "error": "Chat"}
+F4_VERCEL = {
+    "click": "ai.generateText.doGenerate",
+    "view": "ai.embed.doEmbed",
+    "purchase": "ai.toolCall",
+    "signup": "ai.streamText.doStream",
+    "error": "ai.other",
+}
+
+
+def _hex_id(n: Column, width: int) -> Column:
+    return F.lpad(F.lower(F.hex(n.cast("long"))), width, "0")
+
+
+def _any(kind: str, v: Column) -> Column:
+    return F.to_variant_object(F.struct(v.alias(kind)))
+
+
+def _attr(key: str, value: Column, cond: Column | None = None) -> Column:
+    a = F.struct(F.lit(key).alias("key"), value.alias("value"))
+    return a if cond is None else F.when(cond, a)
+
+
+def f4_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OTLP/JSON export objects built from ``events``.
+
+    Eight consecutive rows form one stored object, twelve one trace (the first
+    of each twelve is the root). Columns: object_key, resource_spans (VARIANT).
+    """
+    src = f1_source(spark, sf_dir)
+    spans = src.select(*_f4_span_columns())
+    by_eid = lambda a, b: F.when(a["eid"] < b["eid"], -1).when(a["eid"] > b["eid"], 1).otherwise(0)
+    objects = spans.groupBy("obj").agg(F.array_sort(F.collect_list(F.struct("eid", "span")), by_eid).alias("spans"))
+    return objects.select(*_f4_object_columns())
+
+
+@per_context
+def _f4_object_columns() -> list[Column]:
+    span_list = F.transform(F.col("spans"), lambda s: s["span"])
+    scope = F.to_variant_object(F.struct(F.to_variant_object(F.struct(F.lit("overlay").alias("name"))).alias("scope"), span_list.alias("spans")))
+    legacy = F.col("obj") % F4_LEGACY_SCOPE_EVERY == 0
+    resource = F.to_variant_object(F.struct(F.lit("f4").alias("service")))
+    rs_new = F.to_variant_object(F.struct(resource.alias("resource"), F.array(scope).alias("scopeSpans")))
+    rs_old = F.to_variant_object(F.struct(resource.alias("resource"), F.array(scope).alias("instrumentationLibrarySpans")))
+    return [
+        F.concat(F.lit(f"{PROJECT}/otel/"), F.lpad(F.col("obj").cast("string"), 8, "0"), F.lit(".json")).alias("object_key"),
+        F.to_variant_object(F.array(F.when(legacy, rs_old).otherwise(rs_new))).alias("resource_spans"),
+    ]
+
+
+@per_context
+def _f4_span_columns() -> list[Column]:
+    eid = F.col("eid")
+    et = F.col("event_type")
+    uid = F.col("user_id")
+    conv = eid % 6
+    ns = F.unix_micros(F.col("ts")) * 1000
+    span_bytes = F.to_variant_object(F.array(*[F.shiftright(eid, 8 * (7 - i)).bitwiseAND(F.lit(255)) for i in range(8)]))
+    span_id = F.when(eid % F4_BYTES_ID_EVERY == 0, span_bytes).otherwise(_hex_id(eid, 16).cast("variant"))
+    root = eid % F4_SPANS_PER_TRACE == 0
+    parent = F.when(~root, _hex_id(eid - eid % F4_SPANS_PER_TRACE, 16))
+    long_time = F.to_variant_object(
+        F.struct(ns.bitwiseAND(F.lit(0xFFFFFFFF)).alias("low"), F.shiftright(ns, 32).alias("high"))
+    )
+    start = F.when(eid % F4_LONG_TIME_EVERY == 0, long_time).otherwise(ns.cast("string").cast("variant"))
+    s = lambda v: _any("stringValue", v)
+    lf = _map_lookup(F4_LANGFUSE, et)
+    ga = _map_lookup(F4_GENAI, et)
+    attrs = F.filter(
+        F.array(
+            _attr("langfuse.observation.type", s(lf), conv.isin(0, 4)),
+            _attr("openinference.span.kind", s(_map_lookup(F4_OPENINFERENCE, et)), conv == 1),
+            _attr("gen_ai.operation.name", s(ga), conv.isin(2, 4)),
+            _attr("gen_ai.usage.input_tokens", _any("intValue", uid.cast("string")), conv == 2),
+            _attr("gen_ai.usage.output_tokens", _any("intValue", F.get_json_object("props", "$.k").cast("long")), conv.isin(2, 4)),
+            _attr("gen_ai.request.model", s(F.concat(F.lit("req-"), (eid % 3).cast("string"))), conv.isin(2, 4)),
+            _attr("gen_ai.response.model", s(F.concat(F.lit("resp-"), (eid % 5).cast("string"))), (conv == 2) & (eid % 2 == 0)),
+            _attr("gen_ai.agent.name", s(F.concat(F.lit("agent-"), uid.cast("string"))), (conv == 2) & (et == "signup")),
+            _attr("operation.name", s(_map_lookup(F4_VERCEL, et)), conv == 3),
+            _attr("ai.model.id", s(F.concat(F.lit("m-"), uid.cast("string"))), (conv == 3) & (uid % 2 == 0)),
+            _attr(
+                "langfuse.observation.model.name",
+                F.to_variant_object(F.struct(F.to_variant_object(F.struct(F.array(s(F.lit("x"))).alias("values"))).alias("arrayValue"))),
+                conv == 4,
+            ),
+            _attr("user.id", s(F.concat(F.lit("u"), uid.cast("string"))), eid % 4 == 0),
+            _attr("ai.telemetry.metadata.userId", s(F.concat(F.lit("u"), uid.cast("string"))), eid % 4 == 1),
+            _attr("session.id", s(F.concat(F.lit("s"), uid.cast("string"))), eid % 4 == 2),
+            _attr("langfuse.trace.tags", s(F.concat(F.lit("t"), (uid % 3).cast("string"), F.lit(", x"))), eid % 3 == 0),
+            _attr("tag.tags", s(F.lit('["p","q"]')), eid % 9 == 1),
+            _attr("dup.key", s(F.lit("first")), eid % 10 == 3),
+            _attr("dup.key", s(F.lit("second")), eid % 10 == 3),
+        ),
+        lambda x: x.isNotNull(),
+    )
+    span = F.to_variant_object(
+        F.struct(
+            _hex_id((eid / F4_SPANS_PER_TRACE).cast("long"), 32).alias("traceId"),
+            span_id.alias("spanId"),
+            parent.alias("parentSpanId"),
+            F.concat(F.lit("span-"), et).alias("name"),
+            start.alias("startTimeUnixNano"),
+            (ns + 1_000_000_000).cast("string").alias("endTimeUnixNano"),
+            attrs.alias("attributes"),
+        )
+    )
+    return [eid, (eid / F4_SPANS_PER_OBJECT).cast("long").alias("obj"), span.alias("span")]
