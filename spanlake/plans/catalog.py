@@ -473,3 +473,101 @@ def span_count(spark: SparkSession, sf: str) -> DataFrame:
 @query("otlp_traces")
 def otlp_traces(spark: SparkSession, sf: str) -> DataFrame:
     return st.f4_state(spark, sf).traces.select("id", "name", "user_id", "session_id", "start_time")
+
+
+# ------------------------------------------------- cleaning, conversations (F2)
+
+F2_TRACE = "c1"
+
+
+def _f2_accepted(spark: SparkSession, sf: str) -> DataFrame:
+    return validate.accepted(st.f2_validated(spark, sf))
+
+
+def _j(path: str, cast: str | None = None) -> F.Column:
+    c = F.get_json_object(F.col("body"), path)
+    return c.cast(cast) if cast else c
+
+
+@query("normalize_environment")
+def normalize_environment(spark: SparkSession, sf: str) -> DataFrame:
+    return _f2_accepted(spark, sf).select("id", _j("$.environment").alias("environment"))
+
+
+@query("normalize_usage")
+def normalize_usage(spark: SparkSession, sf: str) -> DataFrame:
+    a = _f2_accepted(spark, sf).where(F.col("type") == "generation-create")
+    u = F.try_variant_get(F.parse_json(F.col("body")), "$.usage", "variant")
+    return a.select(
+        "id",
+        _j("$.usage.input", "long").alias("usage_input"),
+        _j("$.usage.output", "long").alias("usage_output"),
+        _j("$.usage.total", "long").alias("usage_total"),
+        _j("$.usage.unit").alias("usage_unit"),
+        F.coalesce(F.is_variant_null(u), F.lit(False)).alias("usage_null"),
+    )
+
+
+@query("clean_usage_details")
+def clean_usage_details(spark: SparkSession, sf: str) -> DataFrame:
+    a = _f2_accepted(spark, sf).where(F.col("type") == "generation-create")
+    return a.select(
+        "id",
+        _j("$.usageDetails.input", "long").alias("ud_input"),
+        _j("$.usageDetails.output", "long").alias("ud_output"),
+        _j("$.usageDetails.total", "long").alias("ud_total"),
+        F.size(F.json_object_keys(_j("$.usageDetails"))).cast("long").alias("ud_keys"),
+    )
+
+
+@query("clean_cost_details")
+def clean_cost_details(spark: SparkSession, sf: str) -> DataFrame:
+    a = _f2_accepted(spark, sf).where(F.col("type") == "generation-create")
+    return a.select(
+        "id",
+        F.round(_j("$.costDetails.total", "double"), 6).alias("cost_total"),
+        F.size(F.json_object_keys(_j("$.costDetails"))).cast("long").alias("cost_keys"),
+    )
+
+
+def _conv_obs(o: DataFrame) -> DataFrame:
+    return o.select(
+        "id", "trace_id", "parent_observation_id", "type", "name", "start_time", "end_time",
+        F.get_json_object("usage_details_json", "$.total").cast("long").alias("usage_total"),
+        F.round("total_cost", 6).alias("total_cost"),
+    )
+
+
+@query("conversation_observations")
+def conversation_observations(spark: SparkSession, sf: str) -> DataFrame:
+    return _conv_obs(st.f2_state(spark, sf).observations)
+
+
+@query("conversation_timeline")
+def conversation_timeline(spark: SparkSession, sf: str) -> DataFrame:
+    return _conv_obs(reads.observations_list(st.f2_state(spark, sf).observations, F2_TRACE, 100))
+
+
+@query("conversation_costs")
+def conversation_costs(spark: SparkSession, sf: str) -> DataFrame:
+    t = st.f2_state(spark, sf).traces
+    return t.select("id", "name", "user_id", "session_id", "start_time", F.round("total_cost", 6).alias("total_cost"))
+
+
+@query("usage_by_model")
+def usage_by_model(spark: SparkSession, sf: str) -> DataFrame:
+    return reads.usage_by_model(st.f2_raw(spark, sf))
+
+
+@query("accepted_scores")
+def accepted_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """F3 score events through validation: comment-only updates lack name and
+    value and are rejected; accepted ones get source API by default (V9)."""
+    ev = overlays.f3_score_events(spark, sf).select(F.to_variant_object(F.struct("id", "timestamp", "type", F.parse_json("body").alias("body"))).alias("event"))
+    v = validate.validate(ev)
+    return v.select(
+        "id",
+        (F.size("errors") == 0).alias("accepted"),
+        F.get_json_object(F.col("body"), "$.source").alias("source"),
+        F.array_join("errors", "; ").alias("error"),
+    )

@@ -417,3 +417,74 @@ ORACLE.update(
         ),
     }
 )
+
+
+F2 = """
+f2_src AS (
+  SELECT conv_id, turn, role, text, length(text) AS len,
+    TIMESTAMP '2024-01-01 00:00:00' + to_minutes(conv_id) + to_seconds(turn) AS ts,
+    'v' || lpad(CAST(conv_id AS VARCHAR), 8, '0') || lpad(CAST(turn AS VARCHAR), 4, '0') AS id
+  FROM conversations
+),
+f2_gen AS (SELECT * FROM f2_src WHERE role = 'assistant')
+"""
+
+
+def with_f2(select: str) -> str:
+    return "WITH " + F2.strip() + "\n" + select
+
+
+ORACLE.update(
+    {
+        "normalize_environment": with_f2(
+            """SELECT id, CASE turn % 4 WHEN 0 THEN 'prod' WHEN 1 THEN 'staging' ELSE 'default' END AS environment FROM f2_src
+            UNION ALL
+            SELECT 'w' || lpad(CAST(conv_id AS VARCHAR), 8, '0'), 'dev' FROM f2_src WHERE turn = 0"""
+        ),
+        "normalize_usage": with_f2(
+            """SELECT id,
+              CASE WHEN turn % 3 IN (0, 1) THEN CAST(len // 2 AS BIGINT) END AS usage_input,
+              CASE WHEN turn % 3 IN (0, 1) THEN CAST(len AS BIGINT) END AS usage_output,
+              CASE WHEN turn % 3 = 0 THEN CAST(len // 2 + len AS BIGINT) END AS usage_total,
+              CASE turn % 3 WHEN 0 THEN 'TOKENS' WHEN 1 THEN 'CHARACTERS' END AS usage_unit,
+              turn % 3 = 2 AS usage_null
+            FROM f2_gen"""
+        ),
+        "clean_usage_details": with_f2(
+            """SELECT id, CAST(conv_id % 50 AS BIGINT) AS ud_input, CAST(len AS BIGINT) AS ud_output,
+              CAST(len AS BIGINT) AS ud_total, CAST(3 AS BIGINT) AS ud_keys FROM f2_gen"""
+        ),
+        "clean_cost_details": with_f2(
+            "SELECT id, round(CAST(len * 0.001 AS DOUBLE), 6) AS cost_total, CAST(1 AS BIGINT) AS cost_keys FROM f2_gen"
+        ),
+        "conversation_observations": with_f2(
+            """SELECT 'c' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id, 'c' || CAST(conv_id AS VARCHAR) AS trace_id,
+              CASE WHEN turn > 0 THEN 'c' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn - 1 AS VARCHAR) END AS parent_observation_id,
+              CASE role WHEN 'assistant' THEN 'generation-create' WHEN 'user' THEN 'event-create' ELSE 'span-create' END AS type,
+              role AS name, ts AS start_time, CASE WHEN role = 'system' THEN ts + INTERVAL 1 SECOND END AS end_time,
+              CASE WHEN role = 'assistant' THEN CAST(len AS BIGINT) END AS usage_total,
+              CASE WHEN role = 'assistant' THEN round(CAST(len * 0.001 AS DOUBLE), 6) END AS total_cost
+            FROM f2_src"""
+        ),
+        "conversation_costs": with_f2(
+            """SELECT 'c' || CAST(conv_id AS VARCHAR) AS id, 'conversation' AS name, 'cu' || CAST(conv_id % 30 AS VARCHAR) AS user_id,
+              'cs' || CAST(conv_id % 20 AS VARCHAR) AS session_id, min(ts) FILTER (WHERE turn = 0) AS start_time,
+              round(sum(CASE WHEN role = 'assistant' THEN CAST(len * 0.001 AS DOUBLE) END), 6) AS total_cost
+            FROM f2_src GROUP BY conv_id HAVING count(*) FILTER (WHERE turn = 0) > 0"""
+        ),
+        "usage_by_model": with_f2(
+            """SELECT 'model-' || CAST(conv_id % 3 AS VARCHAR) AS model, count(*) AS events,
+              count(DISTINCT 'c' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR)) AS observations,
+              sum(CAST(len AS DOUBLE)) AS total_tokens
+            FROM f2_gen GROUP BY conv_id % 3"""
+        ),
+    }
+)
+ORACLE["conversation_timeline"] = ORACLE["conversation_observations"] + " WHERE conv_id = 1 ORDER BY start_time ASC NULLS LAST, id LIMIT 100"
+ORACLE["accepted_scores"] = with_f3(
+    """SELECT 'e' || t || pad AS id, true AS accepted, CASE WHEN t = 'q' THEN 'EVAL' ELSE 'API' END AS source, '' AS error
+    FROM f3_lab, (VALUES ('q'), ('x'), ('g')) v(t)
+    UNION ALL
+    SELECT 'f' || t || pad, false, NULL, 'body.name: expected string; body.value: expected number, string or boolean'
+    FROM f3_lab, (VALUES ('q'), ('x')) v(t) WHERE recheck"""
+)

@@ -162,3 +162,26 @@ def f4_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def f4_state(spark: SparkSession, sf_dir: str) -> State:
     return stored_state(spark, "f4", sf_dir, lambda: f4_raw(spark, sf_dir))
+
+
+# ----------------------------------------------------------------- overlay F2
+
+
+def f2_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(
+        spark, "f2_validated", sf_dir, lambda: validate.validate(overlays.f2_events(spark, sf_dir)).drop("event")
+    )
+
+
+def f2_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def build() -> DataFrame:
+        acc = validate.accepted(f2_validated(spark, sf_dir)).withColumn(
+            "object_key", F.concat(F.lit(f"{overlays.PROJECT}/f2/"), F.col("conv_id").cast("string"), F.lit(".json"))
+        )
+        return raw.dedupe_skip(raw.raw_rows(acc, overlays.PROJECT))
+
+    return materialize(spark, "f2_events_raw", sf_dir, build)
+
+
+def f2_state(spark: SparkSession, sf_dir: str) -> State:
+    return stored_state(spark, "f2", sf_dir, lambda: f2_raw(spark, sf_dir))

@@ -361,3 +361,102 @@ def _f4_span_columns() -> list[Column]:
         )
     )
     return [eid, (eid / F4_SPANS_PER_OBJECT).cast("long").alias("obj"), span.alias("span")]
+
+
+# ---------------------------------------------------------------------- F2
+
+F2_BASE = "2024-01-01 00:00:00"
+# Fixed overlay values: raw environment names by turn mod 4 (the last: absent).
+F2_ENVIRONMENTS = ["Langfuse-Prod", "staging", "Bad Env!"]
+F2_TRACE_ENVIRONMENT = "LANGFUSE_dev"
+F2_TYPE_BY_ROLE = {"assistant": "generation-create", "user": "event-create", "system": "span-create"}
+
+
+def f2_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversation turns as VARIANT ingestion events (validated path).
+
+    One observation per turn (parent = previous turn) and one trace per
+    conversation; assistant turns carry model, usage in the legacy or current
+    shape, and usage/cost details with entries the cleaning must drop.
+    """
+    conv = spread(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    return conv.select(F.explode(F.filter(F.array(*_f2_items()), lambda x: x.isNotNull())).alias("x")).select(
+        "x.conv_id", "x.turn", "x.event"
+    )
+
+
+@per_context
+def _f2_items() -> list[Column]:
+    c, t = F.col("conv_id"), F.col("turn")
+    n = F.length(F.col("text"))
+    ts = F.timestamp_seconds(F.unix_timestamp(F.lit(F2_BASE)) + c * 60 + t)
+    iso = iso_ms(ts)
+    trace = F.concat(F.lit("c"), c.cast("string"))
+    obs_id = F.concat(trace, F.lit("-"), t.cast("string"))
+    parent = F.when(t > 0, F.concat(trace, F.lit("-"), (t - 1).cast("string")))
+    env = F.try_element_at(F.array(*[F.lit(e) for e in F2_ENVIRONMENTS]), (t % 4 + 1).cast("int"))
+    assistant = F.col("role") == "assistant"
+    legacy_usage = F.to_variant_object(
+        F.struct(
+            (n / 2).cast("long").alias("promptTokens"),
+            n.cast("long").alias("completionTokens"),
+            ((n / 2).cast("long") + n).alias("totalTokens"),
+        )
+    )
+    usage = F.when(t % 3 == 0, legacy_usage).when(
+        t % 3 == 1,
+        F.to_variant_object(F.struct((n / 2).cast("long").alias("input"), n.cast("long").alias("output"), F.lit("CHARACTERS").alias("unit"))),
+    )
+    usage_details = F.to_variant_object(
+        F.struct(
+            (c % 50).alias("input"), n.cast("string").alias("output"), n.cast("long").alias("total"),
+            F.lit(-1).alias("bad"), F.lit("abc").alias("note"),
+        )
+    )
+    cost_details = F.to_variant_object(
+        F.struct((n * 0.001).alias("total"), F.lit(-0.5).alias("neg"), F.lit("5").alias("txt"))
+    )
+    body = F.to_variant_object(
+        F.struct(
+            obs_id.alias("id"),
+            trace.alias("traceId"),
+            parent.alias("parentObservationId"),
+            F.col("role").alias("name"),
+            iso.alias("startTime"),
+            F.when(F.col("role") == "system", iso_ms(ts + F.expr("INTERVAL 1 SECOND"))).alias("endTime"),
+            F.col("text").alias("output"),
+            env.alias("environment"),
+            F.when(assistant, F.concat(F.lit("model-"), (c % 3).cast("string"))).alias("model"),
+            F.when(assistant, usage).alias("usage"),
+            F.when(assistant, usage_details).alias("usageDetails"),
+            F.when(assistant, cost_details).alias("costDetails"),
+        )
+    )
+    # to_variant_object keeps NULL struct fields as JSON null; drop them so an
+    # absent field stays absent.
+    body = F.to_variant_object(F.map_filter(body.cast("map<string,variant>"), lambda k, v: ~F.is_variant_null(v)))
+    obs_event = F.to_variant_object(
+        F.struct(
+            F.concat(F.lit("v"), F.lpad(c.cast("string"), 8, "0"), F.lpad(t.cast("string"), 4, "0")).alias("id"),
+            iso.alias("timestamp"),
+            _map_lookup(F2_TYPE_BY_ROLE, F.col("role")).alias("type"),
+            body.alias("body"),
+        )
+    )
+    trace_event = F.to_variant_object(
+        F.struct(
+            F.concat(F.lit("w"), F.lpad(c.cast("string"), 8, "0")).alias("id"),
+            iso.alias("timestamp"),
+            F.lit("trace-create").alias("type"),
+            F.to_variant_object(
+                F.struct(
+                    trace.alias("id"), iso.alias("timestamp"), F.lit("conversation").alias("name"),
+                    F.concat(F.lit("cs"), (c % 20).cast("string")).alias("sessionId"),
+                    F.concat(F.lit("cu"), (c % 30).cast("string")).alias("userId"),
+                    F.lit(F2_TRACE_ENVIRONMENT).alias("environment"),
+                )
+            ).alias("body"),
+        )
+    )
+    item = lambda e: F.struct(c.alias("conv_id"), t.alias("turn"), e.alias("event"))
+    return [item(obs_event), F.when(t == 0, item(trace_event))]
