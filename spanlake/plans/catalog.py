@@ -571,3 +571,112 @@ def accepted_scores(spark: SparkSession, sf: str) -> DataFrame:
         F.get_json_object(F.col("body"), "$.source").alias("source"),
         F.array_join("errors", "; ").alias("error"),
     )
+
+
+# ------------------------------------------------------------------- sinks
+
+
+@query("otlp_sink_layout")
+def otlp_sink_layout(spark: SparkSession, sf: str) -> DataFrame:
+    """Key of each F4 export object under the UTC-minute layout; the write time
+    is the object's earliest span start (K1)."""
+    from spanlake.operators import store
+
+    m = st.f4_mapped(spark, sf)
+    first = m.groupBy("object_key").agg(F.min("start_time").alias("write_time"))
+    batch = F.regexp_extract(F.col("object_key"), r"([^/]+)\.json$", 1)
+    return first.select("object_key", store.otlp_object_key(overlays.PROJECT, F.col("write_time"), batch).alias("path"))
+
+
+def _f1_positioned(spark: SparkSession, sf: str) -> DataFrame:
+    acc = st.f1_accepted(spark, sf)
+    pos = F.col("eid") * 4 + F.when(F.col("kind") == "trace", 1).otherwise(0) + F.col("copy") * 2
+    return acc.withColumn("pos", pos)
+
+
+@query("entity_objects")
+def entity_objects(spark: SparkSession, sf: str) -> DataFrame:
+    from spanlake.operators import store
+
+    objs = store.entity_objects(_f1_positioned(spark, sf), overlays.PROJECT)
+    return objs.select(
+        "batch", "key", "entity_type", "entity_id", F.size("event_ids").cast("long").alias("n_events"),
+        "min_timestamp", "max_timestamp", F.col("event_ids")[0].alias("first_event_id"),
+    )
+
+
+@query("batch_manifest")
+def batch_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    from spanlake.operators import store
+
+    objs = store.entity_objects(_f1_positioned(spark, sf), overlays.PROJECT)
+    m = store.batch_manifests(objs, overlays.PROJECT, F.lit("2024-02-01T00:00:00.000Z"))
+    return m.select("batch", "projectId", "n_objects", "n_events")
+
+
+def _manual_trace_rows(spark: SparkSession, sf: str) -> DataFrame:
+    from spanlake.sources.tables import table
+
+    d = table(spark, sf, "documents", "doc_id", "lang", "source", "n_chars")
+    return d.select(
+        F.lpad(F.lower(F.hex(F.col("doc_id") + 1000)), 32, "0").alias("id"),
+        F.col("source").alias("name"),
+        F.concat(F.lit("mu"), (F.col("doc_id") % 10).cast("string")).alias("user_id"),
+        F.col("lang").alias("session_id"),
+        F.to_json(F.struct(F.col("n_chars").alias("n_chars"))).alias("input"),
+        F.lit(None).cast("string").alias("output"),
+        F.to_json(F.struct(F.col("lang").alias("lang"))).alias("metadata"),
+        F.timestamp_seconds(F.unix_timestamp(F.lit("2024-03-01 00:00:00")) + F.col("doc_id")).alias("timestamp"),
+    )
+
+
+@query("trace_rows_to_events")
+def trace_rows_to_events(spark: SparkSession, sf: str) -> DataFrame:
+    from spanlake.operators import otlp, store
+
+    objs = store.trace_rows_to_objects(_manual_trace_rows(spark, sf))
+    mapped = otlp.map_spans(otlp.decode_spans(otlp.flatten_spans(objs)))
+    ev = otlp.trace_events(mapped)
+    b = F.col("body")
+    return ev.select(
+        F.get_json_object(b, "$.id").alias("trace_id"),
+        F.get_json_object(b, "$.name").alias("name"),
+        F.get_json_object(b, "$.userId").alias("user_id"),
+        F.get_json_object(b, "$.sessionId").alias("session_id"),
+        F.get_json_object(b, "$.metadata.lang").alias("md_lang"),
+        F.get_json_object(b, "$.input.n_chars").cast("long").alias("input_n_chars"),
+        F.get_json_object(b, "$.environment").alias("environment"),
+    )
+
+
+@query("score_rows_to_events")
+def score_rows_to_events(spark: SparkSession, sf: str) -> DataFrame:
+    from spanlake.operators import store
+    from spanlake.sources.tables import table
+
+    lab = table(spark, sf, "labels", "doc_id", "quality", "toxic")
+    d = F.col("doc_id")
+    rows = lab.select(
+        F.concat(F.lit("a"), d.cast("string")).alias("id"),
+        F.concat(F.lit("d"), d.cast("string")).alias("trace_id"),
+        F.lit(None).cast("string").alias("observation_id"),
+        F.lit(None).cast("string").alias("session_id"),
+        F.lit("review").alias("name"),
+        F.when(d % 3 == 0, F.col("quality").cast("string"))
+        .when(d % 3 == 1, F.when(F.col("toxic") == 1, "true").otherwise("false"))
+        .otherwise(F.when(F.col("quality") == 1, "ok").otherwise("bad"))
+        .alias("value"),
+        F.lit(None).cast("string").alias("data_type"),
+        F.when(d % 4 == 0, "EVAL").when(d % 4 == 1, "ANNOTATION").alias("source"),
+        F.lit(None).cast("string").alias("comment"),
+        F.concat(F.lit("ae"), d.cast("string")).alias("event_id"),
+    )
+    ev = store.score_rows_to_events(rows, F.lit("2024-04-01 00:00:00").cast("timestamp"))
+    b = F.col("body")
+    return ev.select(
+        "id", "status",
+        F.get_json_object(b, "$.id").alias("score_id"),
+        F.get_json_object(b, "$.source").alias("source"),
+        F.to_json(F.try_variant_get(F.parse_json(b), "$.value", "variant")).alias("value_json"),
+        F.get_json_object(b, "$.createdAt").alias("created_at"),
+    )

@@ -488,3 +488,47 @@ ORACLE["accepted_scores"] = with_f3(
     SELECT 'f' || t || pad, false, NULL, 'body.name: expected string; body.value: expected number, string or boolean'
     FROM f3_lab, (VALUES ('q'), ('x')) v(t) WHERE recheck"""
 )
+
+
+ORACLE.update(
+    {
+        "otlp_sink_layout": with_f4(
+            """SELECT object_key, 'otel/demo/' || strftime(min(ts), '%Y/%m/%d/%H/%M') || '/'
+              || lpad(CAST(eid // 8 AS VARCHAR), 8, '0') || '.json' AS path
+            FROM f4_sp GROUP BY object_key, eid // 8"""
+        ),
+        "entity_objects": with_f1(
+            """, f1_pos AS (
+              SELECT *, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS ts_text,
+                eid * 4 + CASE WHEN kind = 'trace' THEN 1 ELSE 0 END + copy * 2 AS pos,
+                CASE WHEN kind = 'trace' THEN 'trace' ELSE 'observation' END AS entity_type,
+                CASE WHEN kind = 'trace' THEN 't' || CAST(eid // 12 AS VARCHAR) ELSE 'o' || CAST(eid // 3 AS VARCHAR) END AS entity_id
+              FROM f1_acc)
+            SELECT eid // 100 AS batch,
+              'demo/' || entity_type || '/' || entity_id || '/' || arg_min(base_id, ts_text || lpad(CAST(pos AS VARCHAR), 20, '0')) || '.json' AS key,
+              entity_type, entity_id, count(*) AS n_events, min(ts_text) AS min_timestamp, max(ts_text) AS max_timestamp,
+              arg_min(base_id, ts_text || lpad(CAST(pos AS VARCHAR), 20, '0')) AS first_event_id
+            FROM f1_pos GROUP BY eid // 100, entity_type, entity_id"""
+        ),
+        "batch_manifest": with_f1(
+            """SELECT eid // 100 AS batch, 'demo' AS projectId,
+              count(DISTINCT CASE WHEN kind = 'trace' THEN 'trace:t' || CAST(eid // 12 AS VARCHAR) ELSE 'obs:o' || CAST(eid // 3 AS VARCHAR) END) AS n_objects,
+              count(*) AS n_events
+            FROM f1_acc GROUP BY eid // 100"""
+        ),
+        "trace_rows_to_events": """SELECT lpad(lower(hex(doc_id + 1000)), 32, '0') AS trace_id, source AS name,
+              'mu' || CAST(doc_id % 10 AS VARCHAR) AS user_id, lang AS session_id, lang AS md_lang,
+              CAST(n_chars AS BIGINT) AS input_n_chars, 'default' AS environment
+            FROM documents""",
+        "score_rows_to_events": """SELECT 'ae' || CAST(doc_id AS VARCHAR) AS id,
+              CASE WHEN doc_id % 4 = 0 THEN 'refused' ELSE 'created' END AS status,
+              CASE WHEN doc_id % 4 <> 0 THEN 'a' || CAST(doc_id AS VARCHAR) END AS score_id,
+              CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'ANNOTATION' ELSE 'API' END AS source,
+              CASE WHEN doc_id % 4 = 0 THEN NULL
+                WHEN doc_id % 3 = 0 THEN CAST(quality AS VARCHAR)
+                WHEN doc_id % 3 = 1 THEN CASE WHEN toxic = 1 THEN 'true' ELSE 'false' END
+                ELSE CASE WHEN quality = 1 THEN '"ok"' ELSE '"bad"' END END AS value_json,
+              CASE WHEN doc_id % 4 <> 0 THEN '2024-04-01T00:00:00.000Z' END AS created_at
+            FROM labels""",
+    }
+)
