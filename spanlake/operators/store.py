@@ -209,3 +209,15 @@ def score_rows_to_events(rows: DataFrame, now: Column | None = None) -> DataFram
 
 def body_field_present(body_text: Column, key: str) -> Column:
     return is_defined(vget(F.parse_json(body_text), f"$.{key}"))
+
+
+def write_otlp_objects(objects: DataFrame, root: str, project: str, write_time: Column, prefix: str = "") -> None:
+    """Write export objects as JSON lines (one object per line) under the UTC
+    minute layout ``otel/<project>/year=/month=/day=/hour=/minute=`` (K1); the
+    time parts are partition columns, so a time window prunes whole directories."""
+    parts = {"year": "yyyy", "month": "MM", "day": "dd", "hour": "HH", "minute": "mm"}
+    out = objects.select(
+        F.to_json(F.col("resource_spans")).alias("value"),
+        *[F.date_format(write_time, fmt).alias(name) for name, fmt in parts.items()],
+    )
+    out.write.mode("append").partitionBy(*parts).text(f"{root.rstrip('/')}/{normalize_prefix(prefix)}otel/{project}")
