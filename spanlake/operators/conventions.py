@@ -183,29 +183,99 @@ def truthy(v: Column) -> Column:
     )
 
 
+def staged_name(k: str, kind: str = "a") -> str:
+    import hashlib
+
+    return f"_{kind}_" + hashlib.sha1(k.encode()).hexdigest()[:12]
+
+
 class _Attrs:
-    def __init__(self, a: Column):
+    """Attribute access. ``staged``: every key read becomes a column computed
+    once per span in a preceding projection (see ``stage_columns``), instead of
+    a map lookup repeated inside each conditional branch."""
+
+    def __init__(self, a: Column, staged: bool = False):
         self.a = a
+        self.staged = staged
+        self.keys: set[str] = set()
+        self.derived: dict[str, Column] = {}
+
+    def derive(self, name: str, expr: Column) -> Column:
+        """A value several expressions share: computed once in a second
+        projection when staged."""
+        if not self.staged:
+            return expr
+        self.derived[name] = expr
+        return F.col(name)
+
+    def kind(self, k: str) -> Column:
+        """'s', 'n', 'b', 'o', 'a', 'z' (JSON null) or NULL (missing)."""
+        if self.staged:
+            self.keys.add(k)
+            return F.col(staged_name(k, "k"))
+        return value_kind(self.get(k))
 
     def get(self, k: str) -> Column:
+        if self.staged:
+            self.keys.add(k)
+            return F.col(staged_name(k))
         return F.try_element_at(self.a, F.lit(k))
 
     def has(self, k: str) -> Column:
+        if self.staged:
+            self.keys.add(k)
+            return F.col(staged_name(k, "h"))
         return F.coalesce(F.map_contains_key(self.a, F.lit(k)), _false())
 
     def string(self, k: str) -> Column:
+        if self.staged:
+            self.keys.add(k)
+            return F.col(staged_name(k, "s"))
         return js_string(self.get(k))
 
     def first_string(self, keys: list[str]) -> Column:
         return F.coalesce(*[F.nullif(self.string(k), F.lit("")) for k in keys])
 
 
+_KIND_BY_TYPE = {
+    "STRING": "s", "BOOLEAN": "b", "TINYINT": "n", "SMALLINT": "n", "INT": "n", "BIGINT": "n",
+    "FLOAT": "n", "DOUBLE": "n", "DECIMAL": "n", "OBJECT": "o", "ARRAY": "a", "VOID": "z",
+}
+
+
+def value_kind(v: Column) -> Column:
+    """JSON kind of a VARIANT from one ``schema_of_variant`` call."""
+    t = F.substring_index(F.substring_index(F.schema_of_variant(v), "<", 1), "(", 1)
+    pairs = []
+    for k, c in _KIND_BY_TYPE.items():
+        pairs += [F.lit(k), F.lit(c)]
+    return F.try_element_at(F.create_map(*pairs), t)
+
+
+STAGE_KINDS = ("a", "h", "k", "s")
+
+
+def stage_columns(attributes: Column, keys: set[str]) -> list[Column]:
+    """Per attribute key the mappers read: its value, presence, JSON kind and
+    scalar text, looked up once per span."""
+    cols = []
+    for k in sorted(keys):
+        v = F.try_element_at(attributes, F.lit(k))
+        kind = value_kind(v)
+        cols.append(v.alias(staged_name(k)))
+        cols.append(F.coalesce(F.map_contains_key(attributes, F.lit(k)), F.lit(False)).alias(staged_name(k, "h")))
+        cols.append(kind.alias(staged_name(k, "k")))
+        cols.append(F.when(kind.isin("s", "n", "b"), F.try_variant_get(v, "$", "string")).alias(staged_name(k, "s")))
+    return cols
+
+
+
 def trace_tags(at: _Attrs) -> Column:
     """Tags from the first non-null tag attribute: arrays as strings, JSON array
     text, comma lists (trimmed) or one tag; empty → undefined (O18)."""
-    raw = F.coalesce(*[F.when(is_defined(at.get(k)), at.get(k)) for k in TAG_KEYS])
-    t = _text(raw)
-    parsed = F.try_parse_json(t)
+    raw = at.derive("_d_tags_raw", F.coalesce(*[F.when(at.kind(k) != "z", at.get(k)) for k in TAG_KEYS]))
+    t = at.derive("_d_tags_text", _text(raw))
+    parsed = at.derive("_d_tags_parsed", F.when(is_string(raw), F.try_parse_json(t)))
     as_text = lambda arr: F.transform(arr, lambda x: js_string(x))
     tags = (
         F.when(is_array(raw), as_text(raw.try_cast("array<variant>")))
@@ -236,7 +306,16 @@ def has_trace_updates(at: _Attrs) -> Column:
     """Any update key truthy, or any key starting with langfuse.trace.metadata."""
     any_truthy = _false()
     for k in TRACE_UPDATE_KEYS:
-        any_truthy = any_truthy | truthy(at.get(k))
+        kd, tx = at.kind(k), at.string(k)
+        v = at.get(k)
+        t = F.coalesce(
+            kd.isin("o", "a")
+            | ((kd == "s") & (tx != ""))
+            | ((kd == "b") & (tx == "true"))
+            | ((kd == "n") & (F.try_variant_get(v, "$", "double") != 0)),
+            _false(),
+        )
+        any_truthy = any_truthy | t
     prefixed = F.exists(F.map_keys(at.a), lambda k: k.startswith("langfuse.trace.metadata"))
     return any_truthy | F.coalesce(prefixed, _false())
 
@@ -358,19 +437,20 @@ def _genai(at: _Attrs) -> dict:
 
 def _vercel_type(at: _Attrs) -> Column:
     def meaningful(v: Column) -> Column:
-        return is_defined(v) & ~(is_string(v) & (_text(v) == "")) & F.coalesce(
-            F.when(is_array(v), F.size(v.try_cast("array<variant>")) > 0)
-            .when(is_object(v), F.size(v.try_cast("map<string,variant>")) > 0)
+        kv = value_kind(v)
+        return v.isNotNull() & (kv != "z") & ~((kv == "s") & (_text(v) == "")) & F.coalesce(
+            F.when(kv == "a", F.size(v.try_cast("array<variant>")) > 0)
+            .when(kv == "o", F.size(v.try_cast("map<string,variant>")) > 0)
             .otherwise(F.lit(True)),
             _false(),
         )
 
     def text(k: str) -> Column:
         v = at.get(k)
-        return F.when(meaningful(v), F.coalesce(js_string(v), F.to_json(v)))
+        return F.when(meaningful(v), F.coalesce(at.string(k), F.to_json(v)))
 
-    op_name = text("operation.name")
-    op_id = text("ai.operationId")
+    op_name = at.derive("_d_op_name", text("operation.name"))
+    op_id = at.derive("_d_op_id", text("ai.operationId"))
 
     def matches(prefixes: list[str]) -> Column:
         starts = _false()
@@ -381,6 +461,7 @@ def _vercel_type(at: _Attrs) -> Column:
     has_model = _false()
     for k in VERCEL_MODEL_KEYS:
         has_model = has_model | meaningful(at.get(k))
+    has_model = at.derive("_d_has_model", has_model)
     return (
         F.when(matches(VERCEL_TOOL_PREFIXES), F.lit("tool-create"))
         .when(~has_model, F.lit(None).cast("string"))
@@ -389,10 +470,11 @@ def _vercel_type(at: _Attrs) -> Column:
     )
 
 
-def map_attributes(attributes: Column) -> dict:
+def map_attributes(attributes: Column, staged: bool = False) -> dict:
     """Observation type, merged observation / root-trace / trace-update bundles
-    and the trace-update flag for one span's attributes (O7–O24)."""
-    at = _Attrs(attributes)
+    and the trace-update flag for one span's attributes (O7–O24). With
+    ``staged`` the result also carries ``keys``: the attribute keys to stage."""
+    at = _Attrs(attributes, staged)
     lf = _langfuse(at)
     ga = _genai(at)
     oi_type = _lookup(OPENINFERENCE_KINDS, F.upper(at.string("openinference.span.kind")))
@@ -412,4 +494,6 @@ def map_attributes(attributes: Column) -> dict:
         "root": first_present(lf["root"], ga["root"], TRACE_FIELDS),
         "update": lf["update"],
         "has_update": lf["has_update"],
+        "keys": at.keys,
+        "derived": at.derived,
     }

@@ -233,8 +233,16 @@ def _sv(c: Column) -> Column:
 
 
 @per_context
-def _mapped_columns() -> list[Column]:
-    m = conv.map_attributes(F.col("attributes"))
+def _mapping() -> tuple[list[Column], list[Column], list[str]]:
+    """(staging columns, mapped columns, staging column names)."""
+    m = conv.map_attributes(F.col("attributes"), staged=True)
+    stage = conv.stage_columns(F.col("attributes"), m["keys"])
+    names = [conv.staged_name(k, kind) for k in sorted(m["keys"]) for kind in conv.STAGE_KINDS]
+    derived = [expr.alias(name) for name, expr in m["derived"].items()]
+    return stage, derived, _mapped_columns(m), names + list(m["derived"])
+
+
+def _mapped_columns(m: dict) -> list[Column]:
     obs, root, upd = m["observation"], m["root"], m["update"]
     out = [
         m["type"].alias("observation_type"),
@@ -248,8 +256,12 @@ def _mapped_columns() -> list[Column]:
 
 
 def map_spans(decoded: DataFrame) -> DataFrame:
-    """Apply the attribute conventions (type + field bundles) to decoded spans."""
-    return decoded.select("*", *_mapped_columns())
+    """Apply the attribute conventions (type + field bundles) to decoded spans.
+
+    Two projections: every attribute the conventions read is looked up once,
+    then the bundles are computed from those columns."""
+    stage, derived, mapped, names = _mapping()
+    return decoded.select("*", *stage).select("*", *derived).select("*", *mapped).drop(*names)
 
 
 def _f(prefix: str, k: str) -> Column:
