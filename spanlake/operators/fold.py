@@ -90,24 +90,49 @@ def _body_field_columns() -> list[Column]:
     ]
 
 
-def _metadata_fold(md: Column, ord: Column) -> tuple[Column, ...]:
-    """Aggregates for the ordered metadata merge (see module docstring)."""
-    nonempty = md.isNotNull() & (md != "{}")
-    items = F.collect_list(F.when(nonempty, F.struct(ord.alias("o"), md.alias("m"))))
-    return (items.alias("_md_items"),)
+# Time buckets of the hierarchical metadata merge, finest first.
+METADATA_MERGE_LEVELS = ("hour",)
 
 
-def _finish_metadata(df: DataFrame) -> DataFrame:
-    return df.withColumn("metadata_json", _merged_metadata_column()).drop("_md_items")
+def _nonempty(md: Column) -> Column:
+    return md.isNotNull() & (md != "{}")
 
 
-@per_context
-def _merged_metadata_column() -> Column:
-    items = F.array_sort(F.col("_md_items"))
-    texts = F.transform(items, lambda x: x["m"])
-    return F.when(F.size(texts) == 0, F.lit(None).cast("string")).when(F.size(texts) == 1, texts[0]).otherwise(
-        fold_metadata(texts)
+def merged_metadata(ev: DataFrame, keys: list[str], md_col: str = "f_metadata", levels=METADATA_MERGE_LEVELS) -> DataFrame:
+    """Ordered deep merge of each key's metadata values, as a hierarchy of
+    bounded groups: (key, hour bucket) first, then key over the bucket results.
+
+    Buckets are contiguous ranges of the event order (timestamp first, missing
+    timestamps first), and the merge is associative, so merging bucket results
+    in bucket order equals merging all values in event order. No group holds
+    more than one bucket's values (level one) or one value per bucket (above),
+    so a key with an unbounded number of updates is never collected whole.
+    Only non-empty values take part; keys with one value skip the lambda fold.
+    """
+    cur = ev.where(_nonempty(F.col(md_col))).select(
+        *keys,
+        F.col("event_timestamp").alias("_ts"),
+        order_key().alias("_o"),
+        F.col(md_col).alias("_m"),
     )
+    for unit in levels:
+        grouped = cur.groupBy(*keys, F.date_trunc(unit, F.col("_ts")).alias("_b")).agg(
+            F.array_sort(F.collect_list(F.struct("_o", "_m"))).alias("_items")
+        )
+        cur = grouped.select(*keys, F.col("_b").alias("_ts"), F.col("_items")[0]["_o"].alias("_o"), _fold_items().alias("_m"))
+    final = cur.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_o", "_m"))).alias("_items"))
+    return final.select(*keys, _fold_items().alias("metadata_json"))
+
+
+@per_context
+def _fold_items() -> Column:
+    texts = F.transform(F.col("_items"), lambda x: x["_m"])
+    return F.when(F.size(texts) == 1, texts[0]).otherwise(fold_metadata(texts))
+
+
+def _with_metadata(agg: DataFrame, ev: DataFrame, keys: list[str]) -> DataFrame:
+    """Attach merged metadata; both sides are hash-partitioned on ``keys``."""
+    return agg.join(merged_metadata(ev, keys), keys, "left")
 
 
 # --------------------------------------------------------------------- traces
@@ -120,7 +145,7 @@ def fold_traces(raw: DataFrame) -> DataFrame:
     )
     ev = ev.select("*", *_trace_extra_columns()).drop("_b")
     out = ev.groupBy("project_id", "trace_id").agg(*_trace_aggs())
-    out = _finish_metadata(out).withColumnRenamed("trace_id", "id")
+    out = _with_metadata(out, ev, ["project_id", "trace_id"]).withColumnRenamed("trace_id", "id")
     return out.select(*[F.lit(None).cast("double").alias(c) if c == "total_cost" else F.col(c) for c in TRACES.names])
 
 
@@ -143,7 +168,6 @@ def _trace_aggs() -> list[Column]:
         last_defined(F.col("f_session"), ord).alias("session_id"),
         F.min("f_trace_start").alias("start_time"),
         last_defined(F.col("f_end"), ord, guard_empty=False).alias("end_time"),
-        *_metadata_fold(F.col("f_metadata"), ord),
         last_defined(F.col("f_input"), ord, guard_empty=False).alias("input_json"),
         last_defined(F.col("f_output"), ord, guard_empty=False).alias("output_json"),
         last_defined(F.col("event_timestamp"), ord, guard_empty=False).alias("updated_at"),
@@ -188,7 +212,7 @@ def fold_observations(raw: DataFrame) -> DataFrame:
     the latest event, as in the event model (an update moves them)."""
     ev = observation_fields(raw)
     out = ev.groupBy("project_id", "observation_id").agg(*_observation_aggs())
-    out = _finish_metadata(out).withColumnRenamed("observation_id", "id")
+    out = _with_metadata(out, ev, ["project_id", "observation_id"]).withColumnRenamed("observation_id", "id")
     return out.select(*OBSERVATIONS.names)
 
 
@@ -202,7 +226,6 @@ def _observation_aggs() -> list[Column]:
         last_defined(F.col("f_name"), ord).alias("name"),
         last_defined(F.col("f_start"), ord, guard_empty=False).alias("start_time"),
         last_defined(F.col("f_end"), ord, guard_empty=False).alias("end_time"),
-        *_metadata_fold(F.col("f_metadata"), ord),
         last_defined(F.col("f_input"), ord, guard_empty=False).alias("input_json"),
         last_defined(F.col("f_output"), ord, guard_empty=False).alias("output_json"),
         last_defined(F.col("f_usage"), ord).alias("usage_details_json"),
@@ -288,7 +311,7 @@ def fold_scores(raw: DataFrame) -> DataFrame:
     ev = score_fields(raw)
     out = ev.groupBy("project_id", "score_id").agg(*_score_aggs())
     out = (
-        _finish_metadata(out)
+        _with_metadata(out, ev, ["project_id", "score_id"])
         .withColumn("value", F.col("_pair.value"))
         .withColumn("string_value", F.col("_pair.string_value"))
         .withColumn("source", F.coalesce(F.col("source"), F.lit(DEFAULT_SCORE_SOURCE)))
@@ -309,7 +332,6 @@ def _score_aggs() -> list[Column]:
         last_defined(F.col("f_data_type"), ord).alias("data_type"),
         last_defined(F.col("f_source"), ord).alias("source"),
         last_defined(F.col("f_comment"), ord).alias("comment"),
-        *_metadata_fold(F.col("f_metadata"), ord),
         F.min_by(F.col("f_timestamp"), ord).alias("timestamp"),
         last_defined(F.col("event_timestamp"), ord, guard_empty=False).alias("updated_at"),
     ]

@@ -152,3 +152,17 @@ def test_arrival_order_invariance(spark):
     a = fold.fold_observations(r).select("id", "name", "type", "total_cost", "metadata_json")
     b = fold.fold_observations(r.repartition(7).orderBy(F.rand(3))).select("id", "name", "type", "total_cost", "metadata_json")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_metadata_merge_across_time_buckets(spark):
+    """Values spread over several hour buckets (and one without a timestamp)
+    merge in event order through the bucket hierarchy."""
+    ev = [
+        {"id": "e3", "timestamp": "2024-01-01T02:10:00.000Z", "type": "span-update", "body": {"id": "o1", "metadata": {"a": 3, "n": {"y": 3}}}},
+        {"id": "e1", "timestamp": "2024-01-01T00:30:00.000Z", "type": "span-create", "body": {"id": "o1", "metadata": {"a": 1, "n": {"x": 1}}}},
+        {"id": "e0", "timestamp": None, "type": "span-create", "body": {"id": "o1", "metadata": {"z": 0, "a": 0}}},
+        {"id": "e2b", "timestamp": "2024-01-01T01:20:00.000Z", "type": "span-update", "body": {"id": "o1", "metadata": {"n": 5}}},
+        {"id": "e2a", "timestamp": "2024-01-01T01:10:00.000Z", "type": "span-update", "body": {"id": "o1", "metadata": {"b": 2, "n": {"w": 1}}}},
+    ]
+    r = obs(spark, ev)
+    assert json.loads(r.metadata_json) == {"z": 0, "a": 3, "b": 2, "n": {"y": 3}}
