@@ -130,9 +130,24 @@ def _fold_items() -> Column:
     return F.when(F.size(texts) == 1, texts[0]).otherwise(fold_metadata(texts))
 
 
+def _metadata_aggs() -> list[Column]:
+    """Count of non-empty metadata values and the latest one: most keys have at
+    most one, and need no merge at all."""
+    md = F.col("f_metadata")
+    return [
+        F.count_if(_nonempty(md)).alias("_md_n"),
+        F.max_by(md, F.when(_nonempty(md), order_key())).alias("_md_last"),
+    ]
+
+
 def _with_metadata(agg: DataFrame, ev: DataFrame, keys: list[str]) -> DataFrame:
-    """Attach merged metadata; both sides are hash-partitioned on ``keys``."""
-    return agg.join(merged_metadata(ev, keys), keys, "left")
+    """Attach metadata: the single value as is, the ordered merge only for keys
+    with several values (semi join on the key, then the bounded hierarchy);
+    every side is hash-partitioned on ``keys``."""
+    multi = agg.where(F.col("_md_n") > 1).select(*keys)
+    merged = merged_metadata(ev.join(multi, keys, "left_semi"), keys)
+    out = agg.join(merged, keys, "left")
+    return out.withColumn("metadata_json", F.coalesce(F.col("metadata_json"), F.col("_md_last"))).drop("_md_n", "_md_last")
 
 
 # --------------------------------------------------------------------- traces
@@ -171,6 +186,7 @@ def _trace_aggs() -> list[Column]:
         last_defined(F.col("f_input"), ord, guard_empty=False).alias("input_json"),
         last_defined(F.col("f_output"), ord, guard_empty=False).alias("output_json"),
         last_defined(F.col("event_timestamp"), ord, guard_empty=False).alias("updated_at"),
+        *_metadata_aggs(),
     ]
 
 
@@ -228,6 +244,7 @@ def _observation_aggs() -> list[Column]:
         last_defined(F.col("f_end"), ord, guard_empty=False).alias("end_time"),
         last_defined(F.col("f_input"), ord, guard_empty=False).alias("input_json"),
         last_defined(F.col("f_output"), ord, guard_empty=False).alias("output_json"),
+        *_metadata_aggs(),
         last_defined(F.col("f_usage"), ord).alias("usage_details_json"),
         last_defined(F.col("f_cost_details"), ord).alias("cost_details_json"),
         last_defined(F.col("f_total_cost"), ord, guard_empty=False).alias("total_cost"),
@@ -332,6 +349,7 @@ def _score_aggs() -> list[Column]:
         last_defined(F.col("f_data_type"), ord).alias("data_type"),
         last_defined(F.col("f_source"), ord).alias("source"),
         last_defined(F.col("f_comment"), ord).alias("comment"),
+        *_metadata_aggs(),
         F.min_by(F.col("f_timestamp"), ord).alias("timestamp"),
         last_defined(F.col("event_timestamp"), ord, guard_empty=False).alias("updated_at"),
     ]
