@@ -227,6 +227,31 @@ class _Attrs:
             return F.col(staged_name(k, "h"))
         return F.coalesce(F.map_contains_key(self.a, F.lit(k)), _false())
 
+    def parse_string(self, k: str) -> Column:
+        """parse_json_string of one attribute, using its staged kind/text."""
+        t = self.string(k)
+        return F.when(self.kind(k) == "s", F.coalesce(F.try_parse_json(t), t.cast("variant")))
+
+    def parse_attr(self, k: str) -> Column:
+        return F.when(self.kind(k) == "s", self.parse_string(k)).otherwise(self.get(k))
+
+    def parse_record(self, k: str) -> Column:
+        p = self.parse_string(k)
+        return F.when(F.coalesce(F.schema_of_variant(p).startswith("OBJECT"), _false()), p)
+
+    def boolean(self, k: str) -> Column:
+        kd, t = self.kind(k), self.string(k)
+        return F.when(kd == "b", t == "true").when((kd == "s") & t.isin("true", "false"), t == "true")
+
+    def nonneg(self, k: str) -> Column:
+        from spanlake.functions.json import lenient_number
+
+        kd, t = self.kind(k), self.string(k)
+        n = F.when(kd == "n", F.try_variant_get(self.get(k), "$", "double")).when(
+            (kd == "s") & (F.trim(t) != ""), lenient_number(t)
+        )
+        return F.when(n >= 0, n)
+
     def string(self, k: str) -> Column:
         if self.staged:
             self.keys.add(k)
@@ -290,7 +315,7 @@ def trace_tags(at: _Attrs) -> Column:
 def trace_metadata(at: _Attrs) -> Column:
     """Parsed ``langfuse.trace.metadata`` object plus every
     ``langfuse.trace.metadata.<k>`` attribute; empty → undefined (O16)."""
-    base = F.coalesce(parse_json_record(at.get("langfuse.trace.metadata")).try_cast("map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    base = F.coalesce(at.parse_record("langfuse.trace.metadata").try_cast("map<string,variant>"), F.create_map().cast("map<string,variant>"))
     extra = F.transform_values(
         F.transform_keys(
             F.map_filter(at.a, lambda k, v: k.startswith(TRACE_METADATA_PREFIX)),
@@ -325,12 +350,12 @@ def _langfuse(at: _Attrs) -> dict:
     typ = _lookup(LANGFUSE_TYPES, F.lower(raw_type))
     level = at.string("langfuse.observation.level")
     obs = {
-        "input": (at.has("langfuse.observation.input"), parse_json_string(at.get("langfuse.observation.input"))),
-        "output": (at.has("langfuse.observation.output"), parse_json_string(at.get("langfuse.observation.output"))),
-        "usageDetails": (at.has("langfuse.observation.usage_details"), parse_json_record(at.get("langfuse.observation.usage_details"))),
-        "costDetails": (at.has("langfuse.observation.cost_details"), parse_json_record(at.get("langfuse.observation.cost_details"))),
+        "input": (at.has("langfuse.observation.input"), at.parse_string("langfuse.observation.input")),
+        "output": (at.has("langfuse.observation.output"), at.parse_string("langfuse.observation.output")),
+        "usageDetails": (at.has("langfuse.observation.usage_details"), at.parse_record("langfuse.observation.usage_details")),
+        "costDetails": (at.has("langfuse.observation.cost_details"), at.parse_record("langfuse.observation.cost_details")),
         "model": (at.has("langfuse.observation.model.name"), at.string("langfuse.observation.model.name").cast("variant")),
-        "modelParameters": (at.has("langfuse.observation.model.parameters"), parse_json_record(at.get("langfuse.observation.model.parameters"))),
+        "modelParameters": (at.has("langfuse.observation.model.parameters"), at.parse_record("langfuse.observation.model.parameters")),
         "level": (at.has("langfuse.observation.level"), F.when(level.isin(*LEVELS), level).cast("variant")),
         "statusMessage": (at.has("langfuse.observation.status_message"), at.string("langfuse.observation.status_message").cast("variant")),
         "version": (at.has("langfuse.version"), at.string("langfuse.version").cast("variant")),
@@ -341,7 +366,7 @@ def _langfuse(at: _Attrs) -> dict:
     session = at.first_string(SESSION_ID_KEYS)
     md = trace_metadata(at)
     tags = trace_tags(at)
-    public = bool_value(at.get("langfuse.trace.public"))
+    public = at.boolean("langfuse.trace.public")
     t_in = at.has("langfuse.trace.input")
     t_out = at.has("langfuse.trace.output")
     root = {
@@ -349,8 +374,8 @@ def _langfuse(at: _Attrs) -> dict:
         "userId": (user.isNotNull(), user.cast("variant")),
         "sessionId": (session.isNotNull(), session.cast("variant")),
         "metadata": (md.isNotNull(), md),
-        "input": (t_in | obs["input"][0], F.when(t_in, parse_json_string(at.get("langfuse.trace.input"))).otherwise(obs["input"][1])),
-        "output": (t_out | obs["output"][0], F.when(t_out, parse_json_string(at.get("langfuse.trace.output"))).otherwise(obs["output"][1])),
+        "input": (t_in | obs["input"][0], F.when(t_in, at.parse_string("langfuse.trace.input")).otherwise(obs["input"][1])),
+        "output": (t_out | obs["output"][0], F.when(t_out, at.parse_string("langfuse.trace.output")).otherwise(obs["output"][1])),
         "tags": (tags.isNotNull(), tags),
         "public": (public.isNotNull(), public.cast("variant")),
         "version": obs["version"],
@@ -362,8 +387,8 @@ def _langfuse(at: _Attrs) -> dict:
         "userId": root["userId"],
         "sessionId": root["sessionId"],
         "metadata": root["metadata"],
-        "input": (t_in, parse_json_string(at.get("langfuse.trace.input"))),
-        "output": (t_out, parse_json_string(at.get("langfuse.trace.output"))),
+        "input": (t_in, at.parse_string("langfuse.trace.input")),
+        "output": (t_out, at.parse_string("langfuse.trace.output")),
         "tags": root["tags"],
         "public": root["public"],
         "version": obs["version"],
@@ -389,19 +414,19 @@ def _genai(at: _Attrs) -> dict:
     in_p = has_in | (tool & at.has("gen_ai.tool.call.arguments")) | (emb & (at.has("ai.values") | at.has("ai.value")))
     in_v = (
         F.when(emb & at.has("ai.values"), plural(at.get("ai.values")))
-        .when(emb & at.has("ai.value"), parse_json_attribute(at.get("ai.value")))
-        .when(tool & at.has("gen_ai.tool.call.arguments"), parse_json_attribute(at.get("gen_ai.tool.call.arguments")))
-        .when(has_in, parse_json_attribute(at.get("gen_ai.input.messages")))
+        .when(emb & at.has("ai.value"), at.parse_attr("ai.value"))
+        .when(tool & at.has("gen_ai.tool.call.arguments"), at.parse_attr("gen_ai.tool.call.arguments"))
+        .when(has_in, at.parse_attr("gen_ai.input.messages"))
     )
     out_p = has_out | (tool & at.has("gen_ai.tool.call.result")) | (emb & (at.has("ai.embeddings") | at.has("ai.embedding")))
     out_v = (
         F.when(emb & at.has("ai.embeddings"), plural(at.get("ai.embeddings")))
-        .when(emb & at.has("ai.embedding"), parse_json_attribute(at.get("ai.embedding")))
-        .when(tool & at.has("gen_ai.tool.call.result"), parse_json_attribute(at.get("gen_ai.tool.call.result")))
-        .when(has_out, parse_json_attribute(at.get("gen_ai.output.messages")))
+        .when(emb & at.has("ai.embedding"), at.parse_attr("ai.embedding"))
+        .when(tool & at.has("gen_ai.tool.call.result"), at.parse_attr("gen_ai.tool.call.result"))
+        .when(has_out, at.parse_attr("gen_ai.output.messages"))
     )
-    ui = nonnegative_number(at.get("gen_ai.usage.input_tokens"))
-    uo = nonnegative_number(at.get("gen_ai.usage.output_tokens"))
+    ui = at.nonneg("gen_ai.usage.input_tokens")
+    uo = at.nonneg("gen_ai.usage.output_tokens")
     usage_p = at.has("gen_ai.usage.input_tokens") | at.has("gen_ai.usage.output_tokens")
     usage_v = F.when(
         ui.isNotNull() | uo.isNotNull(),
