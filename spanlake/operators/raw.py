@@ -118,13 +118,15 @@ def duplicate_event_ids(batch: DataFrame, stored: DataFrame | None = None) -> Da
     return ids.groupBy("event_id").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
 
 
-def assert_no_duplicates(batch: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """Strict (sync) policy as a lazy guard: the returned frame is ``batch`` but
-    fails at execution time when any event id repeats, like a key violation that
-    rolls back the whole batch. The anti join forces every duplicate id through
-    ``raise_error`` in the same job."""
-    dups = duplicate_event_ids(batch, stored)
-    raising = dups.select(
-        F.raise_error(F.concat(F.lit("duplicate event id: "), F.col("event_id"))).cast("string").alias("event_id")
-    )
-    return batch.join(raising, "event_id", "left_anti")
+class DuplicateEventError(ValueError):
+    """An event id occurs more than once (strict policy)."""
+
+
+def check_no_duplicates(batch: DataFrame, stored: DataFrame | None = None) -> None:
+    """Strict (sync) policy: fail the whole batch when any event id repeats,
+    within the batch or against the stored log, like a key violation that
+    rolls the batch back. One bounded probe (at most one row reaches the
+    driver) runs before anything is written."""
+    hit = duplicate_event_ids(batch, stored).limit(1).collect()
+    if hit:
+        raise DuplicateEventError(f"duplicate event id: {hit[0]['event_id']}")

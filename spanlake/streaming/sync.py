@@ -73,7 +73,7 @@ class StateStore:
         return f"{self.root}/_sync_log"
 
 
-def commit(store_: StateStore, batch_raw: DataFrame, source: str, epoch: int) -> dict:
+def commit(store_: StateStore, batch_raw: DataFrame, source: str, epoch: int, duplicates: str = "skip") -> dict:
     """Append new raw rows and refresh the state of the keys they touch.
 
     Every intermediate (new rows, touched keys, replayed history, rebuilt rows)
@@ -88,6 +88,10 @@ def commit(store_: StateStore, batch_raw: DataFrame, source: str, epoch: int) ->
         return spark.read.parquet(f"{work}/{name}")
 
     stored = store_.read_raw()
+    if duplicates == "strict":
+        # an event id seen twice (in the batch or already stored) fails the
+        # whole batch before anything is written, like a key violation
+        raw.check_no_duplicates(batch_raw, stored)
     fresh = put(raw.dedupe_skip(batch_raw, stored), "fresh")
     n_fresh = fresh.count()
     if n_fresh:
@@ -150,6 +154,7 @@ class SyncJob:
         max_files_per_trigger: int = 1000,
         max_file_age: str | None = None,
         lines: bool = False,
+        duplicates: str = "skip",
     ):
         self.spark = spark
         self.store_root = store_root.rstrip("/") + "/"
@@ -160,6 +165,7 @@ class SyncJob:
         self.max_files = max_files_per_trigger
         self.max_file_age = max_file_age
         self.lines = lines
+        self.duplicates = duplicates
         self.results: list[dict] = []
 
     def _stream(self, sub: str):
@@ -185,7 +191,7 @@ class SyncJob:
         events = _otlp_events(objects)
         entity = F.coalesce(F.get_json_object(F.col("body"), "$.id"), F.col("object_key"))
         rows = raw.raw_rows(events, self.project, entity_id=entity)
-        self.results.append(commit(self.state, rows, "otel", epoch))
+        self.results.append(commit(self.state, rows, "otel", epoch, self.duplicates))
 
     def _manifest_batch(self, batch: DataFrame, epoch: int) -> None:
         entries = files.manifests(batch)
@@ -196,7 +202,7 @@ class SyncJob:
         docs = files.read_documents(self.spark, self.store_root, [self.store_root + k for k in keys])
         ev = files.envelope(files.manifest_events(entries, docs))
         rows = raw.raw_rows(ev, self.project, object_key=F.col("object_key"), manifest_key=F.col("manifest_key"), entity_id=F.col("entity_id"))
-        self.results.append(commit(self.state, rows, "manifests", epoch))
+        self.results.append(commit(self.state, rows, "manifests", epoch, self.duplicates))
 
     def run(self, available_now: bool = True, timeout: float | None = None) -> list[dict]:
         """Run both sources (OTLP first, then manifests) until caught up."""

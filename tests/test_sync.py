@@ -164,3 +164,23 @@ def test_gzip_objects_are_read(spark, scratch):
         json.dump([{"scopeSpans": [{"spans": [{"traceId": "ab", "spanId": "cd"}]}]}], f)
     objs = files.otlp_objects(files.read_documents(spark, d))
     assert objs.count() == 1
+
+
+def test_strict_duplicates_fail_the_batch(spark, scratch):
+    """Strict policy: re-sending stored event ids fails the commit and writes
+    nothing; the skip policy just skips them (I6)."""
+    import pytest as _pytest
+    from spanlake.streaming.sync import StateStore, commit
+
+    objects = overlays.f4_objects(spark, SF_SMALL).limit(3)
+    ev = otlp.otlp_events(objects)
+    rows = raw.raw_rows(ev, "demo", entity_id=F.coalesce(F.get_json_object(F.col("body"), "$.id"), F.col("object_key")))
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    st = StateStore(spark, os.path.join(scratch, "state"))
+    first = commit(st, rows, "otel", 0, duplicates="strict")
+    n = st.read_raw().count()
+    assert first["events"] == n > 0
+    with _pytest.raises(Exception):
+        commit(st, rows, "otel", 1, duplicates="strict")
+    assert st.read_raw().count() == n
+    assert commit(st, rows, "otel", 2, duplicates="skip")["events"] == 0
