@@ -20,7 +20,6 @@ from spanlake.functions.json import (
     is_object,
     is_string,
     js_string,
-    nonnegative_number,
 )
 
 # Observation type names per convention.

@@ -13,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.functions.json import is_defined, vget
 from spanlake.functions.time import iso_ms, minute_path
 from spanlake.operators.validate import body_id, entity_type
 
@@ -207,9 +206,6 @@ def score_rows_to_events(rows: DataFrame, now: Column | None = None) -> DataFram
     )
 
 
-def body_field_present(body_text: Column, key: str) -> Column:
-    return is_defined(vget(F.parse_json(body_text), f"$.{key}"))
-
 
 def write_otlp_objects(objects: DataFrame, root: str, project: str, write_time: Column, prefix: str = "") -> None:
     """Write export objects as JSON lines (one object per line) under the UTC
