@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
 
 # Settings the semantics depend on (not tuning): timestamps are UTC, a map built
-# from an attribute list keeps the last duplicate key, and state tables are
-# rewritten one hash bucket at a time.
+# from an attribute list and a JSON object with a repeated key keep the last
+# value, and an overwrite replaces only the partitions it writes.
 REQUIRED_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -47,26 +47,27 @@ def build_session(
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime-settable required settings to an existing session."""
+    """Apply the required settings to an existing session; a refused one is an error."""
     for key, value in REQUIRED_CONF.items():
-        try:
-            spark.conf.set(key, value)
-        except Exception:  # static or locked conf on a managed cluster
-            pass
+        spark.conf.set(key, value)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for cutting lineage.
+    """Shared folder for intermediate tables, as the cluster names it in
+    ``spark.checkpoint.dir``.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when that is unset
-    (local tests) do we create one of our own.
+    Only a local session (one machine, as in tests) gets a folder of its own where
+    the setting is missing; on a cluster a machine-local folder would lose rows.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="spanlake-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        configured = tempfile.mkdtemp(prefix="spanlake-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     spark.sparkContext.setCheckpointDir(configured)
     return configured
