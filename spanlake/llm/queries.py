@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.llm import mixing, topk, warc
+from spanlake.llm import jaccard, mixing, topk, warc
 from spanlake.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,12 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle set size and near-duplicate component of every document."""
+    return jaccard.link_components(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five best inner products for every 50th vector."""
