@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.llm import jaccard, mixing, packing, topk, warc
+from spanlake.llm import jaccard, langid, mixing, packing, topk, warc
 from spanlake.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,11 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     rows = mixing.words_taken(mixing.mix(table(spark, sf_dir, "documents")))
     return rows.select("doc_id", "size", F.col("source_size"), "target", "taken")
+
+
+@query
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    rows = langid.identify(docs)
+    return rows.select("doc_id", "held_out", "lang_pred", "score")
