@@ -17,7 +17,8 @@ Work stays linear in groups of copies. Equal sets are one class. The documents o
 a key are compared with its smallest id (first within a map task, so one key
 never brings more rows to a reducer than there are map tasks); components of the
 verified links follow. Only keys whose documents then lie in several components
-get the other pairs, between different components.
+get the other pairs, between different components; a key of very many documents
+is cut into blocks that meet pair by pair.
 
 Rows: a null, empty or blank text has no shingle, size 0 and no link; fewer words
 than the shingle width make one shingle; rows sharing a ``doc_id`` are one node
@@ -31,10 +32,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.shared import components, mix, shingle_hashes, signed, slices, stored
+from spanlake.llm.shared import components, mix, shingle_hashes, signed, slices, stored, text_buffer
 
 #: Words of a shingle, and the least Jaccard similarity as a fraction (over one half).
 WIDTH = 5
@@ -45,8 +48,11 @@ CHUNK_KEYS = 1 << 20
 #: Blocks of a size band [2**i, 2**(i+1)): 2**i of them, twice as many in small bands.
 SMALL_BAND = 64
 LEAST_BLOCKS = 16
-#: Bits of the second sketch: a power of two, about twice the set's size, within these.
+#: Bits of the second sketch: the power of two that the set's size needs, within these.
 SKETCH_BITS = (64, 1 << 16)
+#: Documents of a key that are compared in one group; larger keys are cut into
+#: blocks, and each pair of blocks is a group of its own.
+BLOCK_DOCS = 2048
 
 _U = np.uint64
 
@@ -72,7 +78,7 @@ def _set_hashes(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _bit_sketch(s: np.ndarray) -> np.ndarray:
-    bits = min(max(SKETCH_BITS[0], 1 << (2 * len(s) - 1).bit_length()), SKETCH_BITS[1])
+    bits = min(max(SKETCH_BITS[0], 1 << (len(s) - 1).bit_length()), SKETCH_BITS[1])
     odd = np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
@@ -200,13 +206,66 @@ def _stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = batch.filter(whole)
         keys.append(own.column("at").to_numpy())
         docs.append(own.column("leader").to_numpy())
-        rest = batch.filter(pa.compute.invert(whole))
+        rest = batch.filter(pc.invert(whole))
         yield _batch(STARS, rest.column("key"), rest.column("member"), rest.column("leader"))
     key, doc, _, leader = _grouped(np.concatenate(keys), np.concatenate(docs))
     other = doc != leader
     yield _batch(STARS, key[other], doc[other], leader[other])
 
 
+CROSS = "key long, lo int, hi int, block int, a long, component long, n long, sketch array<long>"
+
+
+def _cross(batches: Iterable[pa.RecordBatch], threshold: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a group (key, lo, hi) that lie in different components and that sizes
+    and bit sketches allow. Rows at distance 1, 2, ... within their group are
+    compared together for all groups of the partition."""
+    rows = pa.Table.from_batches(list(batches))
+    if not len(rows):
+        return
+    num, den = threshold
+    column = lambda c: rows.column(c).to_numpy()
+    group = (column("key"), column("lo"), column("hi"))
+    order = np.lexsort(group)
+    key, lo, hi = (g[order] for g in group)
+    new = np.ones(len(order), bool)
+    new[1:] = (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+    run = np.cumsum(new)
+    block, doc, comp, n = (column(c)[order] for c in ("block", "a", "component", "n"))
+    words = rows.column("sketch").combine_chunks()
+    flat, at = words.flatten().to_numpy().view(_U), words.offsets.to_numpy().astype(np.int64)
+    at = at - at[0]
+    size, at = np.diff(at)[order], at[:-1][order]
+
+    def sketches(index: np.ndarray, width: int) -> np.ndarray:
+        """Sketches of ``width`` words; those twice as long are folded."""
+        out = flat[at[index][:, None] + np.arange(width)]
+        twice = size[index] > width
+        out[twice] ^= flat[at[index[twice]][:, None] + width + np.arange(width)]
+        return out
+
+    found, active, apart = [], np.arange(len(order)), 0
+    while len(active):
+        apart += 1
+        active = active[active + apart < len(order)]
+        active = active[run[active] == run[active + apart]]
+        i, j = active, active + apart
+        near = (comp[i] != comp[j]) & (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j]))
+        near &= (lo[i] == hi[i]) | (block[i] != block[j])  # pairs within a block belong to its own group
+        i, j = i[near], j[near]
+        width = np.minimum(size[i], size[j])
+        for w in np.unique(width):
+            # bounded work arrays
+            some = np.flatnonzero(width == w)
+            for part in np.array_split(some, 1 + len(some) * int(w) // (1 << 20)):
+                x, y = i[part], j[part]
+                distance = np.bitwise_count(sketches(x, int(w)) ^ sketches(y, int(w))).sum(axis=1, dtype=np.int64)
+                ok = distance * (den + num) <= (n[x] + n[y]) * (den - num)
+                found.append(np.column_stack([np.minimum(doc[x], doc[y])[ok], np.maximum(doc[x], doc[y])[ok]]))
+    pairs = np.unique(np.concatenate([*found, np.empty((0, 2), np.int64)]), axis=0)
+    yield _batch("a long, b long", pairs[:, 0].copy(), pairs[:, 1].copy())
+
+
 # ------------------------------------------------------------------ verification
 
 
@@ -215,13 +274,24 @@ def sets_linked(a: np.ndarray, b: np.ndarray, threshold: tuple[int, int] = THRES
     return common > 0 and threshold[1] * common >= threshold[0] * (len(a) + len(b) - common)
 
 
+def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed for the shuffle."""
+    squeeze = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        data, offsets = text_buffer(batch.column("text"))
+        texts = [squeeze.compress(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary())], ["doc_id", "text"])
+
+
 def _verify(batches: Iterable[pa.RecordBatch], width: int, threshold: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    expand = zstandard.ZstdDecompressor()
     for batch in batches:
-        for part in slices(batch, "text_a", SLICE_BYTES):
+        for part in slices(batch, "text_a", SLICE_BYTES // 4):
             sides = []
             for side in "ab":
                 text = part.column(f"text_{side}").dictionary_encode()
-                flat, offsets = unique_sets(text.dictionary, width)
+                plain = pa.array([expand.decompress(x) for x in text.dictionary.to_pylist()], pa.large_binary())
+                flat, offsets = unique_sets(plain, width)
                 sides.append([flat[offsets[i] : offsets[i + 1]] for i in text.indices.to_numpy()])
             ok = np.array([sets_linked(x, y, threshold) for x, y in zip(*sides)], bool)
             yield part.select(["a", "b"]).filter(pa.array(ok))
@@ -267,7 +337,8 @@ def link_components(documents: DataFrame, width: int = WIDTH, threshold: tuple[i
 
     def verified(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        texts = stored(known.join(ids, "doc_id", "left_semi"), "jaccard-texts")
+        packed = known.mapInArrow(_packed, "doc_id long, text binary")
+        texts = stored(packed.join(ids, "doc_id", "left_semi"), "jaccard-texts")
         rows = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         rows = rows.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
         return stored(rows.mapInArrow(lambda x: _verify(x, width, threshold), "a long, b long"), "jaccard-links")
@@ -293,15 +364,14 @@ def link_components(documents: DataFrame, width: int = WIDTH, threshold: tuple[i
     open_keys = stored(open_keys, "jaccard-open-keys")
     held = stars.join(open_keys, "key", "left_semi").select("key", F.explode(F.array("member", "leader")).alias("a")).distinct()
     held = with_component(to_reps(held, "a").distinct(), "a")
-    held = held.join(reps.withColumnsRenamed({"id": "a", "n": "na", "sketch": "sa"}), "a")
-    held = stored(held.select("key", "a", "a_in", "na", "sa"), "jaccard-held")
-    main = held.groupBy("key", "a_in").count().groupBy("key").agg(F.max_by("a_in", F.struct("count", "a_in")).alias("main"))
-    odd = stored(held.join(stored(main, "jaccard-main"), "key").filter("a_in != main"), "jaccard-odd")
-    b = held.withColumnsRenamed({"a": "b", "a_in": "b_in", "na": "nb", "sa": "sb"})
-    pairs = odd.join(b, "key").filter(
-        (F.col("a_in") != F.col("b_in")) & ((F.col("b_in") == F.col("main")) | (F.col("a") < F.col("b"))) & _near(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb"), threshold)
-    )
-    pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
+    held = stored(held.select("key", "a", F.col("a_in").alias("component")), "jaccard-held")
+    blocks = stored(held.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("blocks")).filter("blocks > 1"), "jaccard-large-keys")
+    held = held.join(reps.withColumnRenamed("id", "a"), "a").join(blocks, "key", "left")
+    held = held.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    held = held.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "a", "component", "n", "sketch")
+    pairs = held.repartition("key", "lo", "hi").mapInArrow(lambda x: _cross(x, threshold), "a long, b long")
+    pairs = stored(pairs.distinct(), "jaccard-pairs")
     more = verified(pairs.join(first, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         links = links.unionByName(more)
