@@ -23,6 +23,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+import itertools
+import os
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -33,14 +35,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from spanlake.llm.shared import slices, stored, text_buffer
+from spanlake.llm.shared import BLANK, LOWER, slices, stored, text_buffer
 
 CAPACITY = 4096
 END_ID = 2
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Distinct words whose ids a worker keeps before it starts anew.
 CACHED_WORDS = 1 << 18
 
+_MARK = np.isin(np.arange(256), [ord(c) for c in ".,!?;:"])
+_LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
+
+#: Byte-level signs: a printable Latin-1 byte is its own sign, the others follow from U+0100 on.
+_PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_SIGNS = {b: 0x100 + i for i, b in enumerate(x for x in range(256) if x not in _PLAIN)}
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, nth long"
 
 
@@ -50,54 +59,82 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class WordTokens:
     """Ids of whole texts by way of their distinct words.
 
-    The tokenizer drops white space and never merges across it, so a text's ids
-    are those of its words one after another, and each distinct word is encoded
-    once. Words are cut at ASCII blanks only; any other white space stays inside
-    a word and is left to the tokenizer.
+    The tokenizer lower-cases, drops white space and never merges across it or
+    between a letter and a punctuation mark, so a text's ids are those of its words
+    one after another, and each distinct word is encoded once. Words are cut at
+    ASCII blanks and after a letter before ``.,!?;:``; any other white space or
+    mark stays inside a word and is left to the tokenizer. A word of Latin-1 letters
+    alone goes to the tokenizer's model directly: what comes before the model only
+    lower-cases it and writes its bytes as signs.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.ids, self.starts, self.lengths = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, each text's followed by ``end_id``, and len+1 offsets."""
+        self.number: dict[str, int] = {"": 0}
+        self.ids, self.starts, self.lengths = np.zeros(1, np.uint32), np.zeros(1, np.int64), np.ones(1, np.int32)
+
+    def _learn(self, words: list[str]) -> None:
+        found, other = [], []
+        model = self.tokenizer.model
+        for w in words:
+            if w.isascii() and w.isalpha():
+                found.append([t.id for t in model.tokenize(w.lower())])
+            elif w.isalpha() and max(w) <= "\xff":
+                found.append([t.id for t in model.tokenize(w.lower().encode().decode("latin-1").translate(_BYTE_SIGNS))])
+            else:
+                found.append([])
+                other.append(len(found) - 1)
+        for i in range(0, len(other), 4096):
+            some = other[i : i + 4096]
+            for j, x in zip(some, self.tokenizer.encode_batch_fast([words[j] for j in some], add_special_tokens=False)):
+                found[j] = x.ids
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
+        lengths = np.fromiter(map(len, found), np.int32, len(found))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(lengths.sum()))])
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a string column, each text's followed by ``end_id``, and len+1 offsets."""
         if len(self.number) > CACHED_WORDS:
             self.clear()
-        split = [t.split() for t in texts]
-        number = self.number
-        fresh = list(set().union(*split).difference(number)) if split else []
-        if fresh:
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
-            ids = [x.ids for x in found]
-            number.update(zip(fresh, range(len(number), len(number) + len(fresh))))
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
-            self.lengths = np.concatenate([self.lengths, lengths])
-            self.ids = np.concatenate([self.ids, np.array([i for x in ids for i in x], np.uint32)])
-        n_words = np.fromiter(map(len, split), np.int64, len(split))
-        word = np.fromiter((number[w] for x in split for w in x), np.int64, int(n_words.sum()))
+        data, offsets = text_buffer(texts)
+        if b"<|" not in data.tobytes():  # else a special token might be spelt
+            data = LOWER[data]
+        solid = ~BLANK[data]
+        begins = solid.copy()
+        begins[1:] &= ~solid[:-1] | (_MARK[data[1:]] & _LETTER[data[:-1]])
+        edge = offsets[1:-1][offsets[1:-1] < len(data)]
+        begins[edge] = solid[edge]
+        at = np.concatenate([[0], np.cumsum(begins)])[offsets]
+        bounds = np.append(np.concatenate([[0], np.cumsum(solid)])[:-1][begins], solid.sum()).astype(np.int32)
+        coded = pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(data[solid])).dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        self._learn([w for w in words if w not in self.number])
+        number = np.fromiter(map(self.number.__getitem__, words), np.int32, len(words))
+        # number 0 stands for the end token
+        word = np.insert(number[coded.indices.to_numpy()], at[1:], 0)
         length = self.lengths[word]
-        before = np.concatenate([[0], np.cumsum(length)])
-        flat = self.ids[np.repeat(self.starts[word] - before[:-1], length) + np.arange(before[-1])]
-        ends = before[np.cumsum(n_words)]
-        out = np.insert(flat, ends, np.uint32(end_id)) if len(texts) else flat
-        return out, np.concatenate([[0], ends + np.arange(1, len(texts) + 1)])
+        before = np.concatenate([np.zeros(1, np.int64), np.cumsum(length, dtype=np.int64)])
+        flat = np.repeat((self.starts[word] - before[:-1]).astype(np.int32), length)
+        flat += np.arange(before[-1], dtype=np.int32)
+        out = self.ids[flat]
+        ends = before[at[1:] + np.arange(1, len(texts) + 1)]
+        out[ends - 1] = end_id
+        return out, np.concatenate([np.zeros(1, np.int64), ends])
 
 
 def _pieces(batches: Iterable[pa.RecordBatch], path: str, capacity: int, end_id: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
     tokens, part, used = WordTokens(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
     for batch in batches:
         for some in slices(batch, "text", SLICE_BYTES):
-            data, at = text_buffer(some.column("text"))
-            raw = data.tobytes()
-            ids, offsets = tokens.encode([raw[a:b] for a, b in zip(at[:-1], at[1:])], end_id)
+            ids, offsets = tokens.encode(some.column("text"), end_id)
             size = np.diff(offsets)
             n = -(-size // capacity)
             row = np.repeat(np.arange(len(size)), n)
