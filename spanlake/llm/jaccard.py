@@ -48,7 +48,8 @@ CHUNK_KEYS = 1 << 20
 #: Blocks of a size band [2**i, 2**(i+1)): 2**i of them, twice as many in small bands.
 SMALL_BAND = 64
 LEAST_BLOCKS = 16
-#: Bits of the second sketch: the power of two that the set's size needs, within these.
+#: Bits of the second sketch: the power of two for this many bits per hash, within these.
+BITS_PER_HASH = 4
 SKETCH_BITS = (64, 1 << 16)
 #: Documents of a key that are compared in one group; larger keys are cut into
 #: blocks, and each pair of blocks is a group of its own.
@@ -78,7 +79,7 @@ def _set_hashes(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _bit_sketch(s: np.ndarray) -> np.ndarray:
-    bits = min(max(SKETCH_BITS[0], 1 << (len(s) - 1).bit_length()), SKETCH_BITS[1])
+    bits = min(max(SKETCH_BITS[0], 1 << (BITS_PER_HASH * len(s) - 1).bit_length()), SKETCH_BITS[1])
     odd = np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
@@ -237,11 +238,30 @@ def _cross(batches: Iterable[pa.RecordBatch], threshold: tuple[int, int]) -> Ite
     at = at - at[0]
     size, at = np.diff(at)[order], at[:-1][order]
 
-    def sketches(index: np.ndarray, width: int) -> np.ndarray:
-        """Sketches of ``width`` words; those twice as long are folded."""
-        out = flat[at[index][:, None] + np.arange(width)]
-        twice = size[index] > width
-        out[twice] ^= flat[at[index[twice]][:, None] + width + np.arange(width)]
+    # for a first look, each sketch folded to a quarter
+    short_size = np.maximum(size // 4, 1)
+    short_at = np.cumsum(short_size) - short_size
+    short = np.zeros(int(short_size.sum()), _U)
+    for w in np.unique(size):
+        own = np.flatnonzero(size == w)
+        for part in np.array_split(own, 1 + len(own) * int(w) // (1 << 20)):
+            long = flat[at[part][:, None] + np.arange(w)].reshape(len(part), -1, max(w // 4, 1))
+            short[short_at[part][:, None] + np.arange(long.shape[2])] = np.bitwise_xor.reduce(long, axis=1)
+
+    def apart_by(i: np.ndarray, j: np.ndarray, words: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Bits in which two sketches differ; one that is twice as long is folded."""
+        out = np.empty(len(i), np.int64)
+        width = np.minimum(length[i], length[j])
+        for w in np.unique(width):
+            some = np.flatnonzero(width == w)
+            for part in np.array_split(some, 1 + len(some) * int(w) // (1 << 20)):
+                sides = []
+                for index in (i[part], j[part]):
+                    side = words[begin[index][:, None] + np.arange(w)]
+                    twice = length[index] > w
+                    side[twice] ^= words[begin[index[twice]][:, None] + w + np.arange(w)]
+                    sides.append(side)
+                out[part] = np.bitwise_count(sides[0] ^ sides[1]).sum(axis=1, dtype=np.int64)
         return out
 
     found, active, apart = [], np.arange(len(order)), 0
@@ -253,15 +273,10 @@ def _cross(batches: Iterable[pa.RecordBatch], threshold: tuple[int, int]) -> Ite
         near = (comp[i] != comp[j]) & (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j]))
         near &= (lo[i] == hi[i]) | (block[i] != block[j])  # pairs within a block belong to its own group
         i, j = i[near], j[near]
-        width = np.minimum(size[i], size[j])
-        for w in np.unique(width):
-            # bounded work arrays
-            some = np.flatnonzero(width == w)
-            for part in np.array_split(some, 1 + len(some) * int(w) // (1 << 20)):
-                x, y = i[part], j[part]
-                distance = np.bitwise_count(sketches(x, int(w)) ^ sketches(y, int(w))).sum(axis=1, dtype=np.int64)
-                ok = distance * (den + num) <= (n[x] + n[y]) * (den - num)
-                found.append(np.column_stack([np.minimum(doc[x], doc[y])[ok], np.maximum(doc[x], doc[y])[ok]]))
+        for words, begin, length in ((short, short_at, short_size), (flat, at, size)):
+            near = apart_by(i, j, words, begin, length) * (den + num) <= (n[i] + n[j]) * (den - num)
+            i, j = i[near], j[near]
+        found.append(np.column_stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])]))
     pairs = np.unique(np.concatenate([*found, np.empty((0, 2), np.int64)]), axis=0)
     yield _batch("a long, b long", pairs[:, 0].copy(), pairs[:, 1].copy())
 
@@ -297,11 +312,16 @@ def _verify(batches: Iterable[pa.RecordBatch], width: int, threshold: tuple[int,
             yield part.select(["a", "b"]).filter(pa.array(ok))
 
 
+def _half(sketch: Column) -> Column:
+    """A bit sketch folded onto half its length."""
+    n = (F.size(sketch) / 2).cast("int")
+    return F.zip_with(F.slice(sketch, F.lit(1), n), F.slice(sketch, n + 1, n), lambda x, y: x.bitwiseXOR(y))
+
+
 def _near(n: Column, m: Column, sketch_n: Column, sketch_m: Column, threshold: tuple[int, int]) -> Column:
-    """Sizes and bit sketches allow a link. A longer sketch is folded onto half its length."""
+    """Sizes and bit sketches allow a link."""
     num, den = threshold
-    half = lambda s: F.zip_with(F.slice(s, F.lit(1), (F.size(s) / 2).cast("int")), F.slice(s, (F.size(s) / 2).cast("int") + 1, (F.size(s) / 2).cast("int")), lambda x, y: x.bitwiseXOR(y))
-    fold = lambda s, t: F.when(F.size(s) > F.size(t), half(s)).otherwise(s)
+    fold = lambda s, t: F.when(F.size(s) > F.size(t), _half(s)).otherwise(s)
     apart = F.aggregate(F.zip_with(fold(sketch_n, sketch_m), fold(sketch_m, sketch_n), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     sizes = F.least(n, m) * den >= F.greatest(n, m) * num
     return F.when(sizes, apart * (den + num) <= (n + m) * (den - num)).otherwise(False)
@@ -317,12 +337,12 @@ def link_components(documents: DataFrame, width: int = WIDTH, threshold: tuple[i
     classes = features.filter("n > 0 and doc_id is not null").groupBy("h1", "h2", "n")
     classes = stored(classes.agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").drop("copies"), "jaccard-classes")
     member = features.join(classes, ["h1", "h2", "n"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    member = stored(member.select("doc_id", "n", "rep", F.when(F.col("rep") == F.col("doc_id"), F.col("sketch")).alias("sketch")), "jaccard-members")
+    member = stored(member.select("doc_id", "n", "rep"), "jaccard-members")
     named = member.select("doc_id", F.col("rep").alias("of"))
     copies = stored(named.join(named.filter("doc_id != of").select("doc_id").distinct(), "doc_id", "left_semi").distinct(), "jaccard-copies")
     # an id whose rows lie in several classes joins them
     one_id = copies.join(copies.groupBy("doc_id").agg(F.min("of").alias("b")), "doc_id").filter("of != b").select(F.col("of").alias("a"), "b")
-    reps = member.filter("sketch is not null and n > 0").select(F.col("rep").alias("id"), "n", "sketch")
+    long_reps = features.filter("doc_id is not null and n > 0").select(F.col("doc_id").alias("id"), "n", "sketch")
 
     def to_reps(rows: DataFrame, *columns: str) -> DataFrame:
         for c in columns:
@@ -330,6 +350,8 @@ def link_components(documents: DataFrame, width: int = WIDTH, threshold: tuple[i
         return rows
 
     def allowed(pairs: DataFrame) -> DataFrame:
+        quarter = F.when(F.size("sketch") >= 4, _half(_half(F.col("sketch")))).otherwise(F.col("sketch"))
+        reps = long_reps.withColumn("sketch", quarter)
         a = reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
         b = reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
         near = _near(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb"), threshold)
@@ -366,7 +388,7 @@ def link_components(documents: DataFrame, width: int = WIDTH, threshold: tuple[i
     held = with_component(to_reps(held, "a").distinct(), "a")
     held = stored(held.select("key", "a", F.col("a_in").alias("component")), "jaccard-held")
     blocks = stored(held.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("blocks")).filter("blocks > 1"), "jaccard-large-keys")
-    held = held.join(reps.withColumnRenamed("id", "a"), "a").join(blocks, "key", "left")
+    held = held.join(long_reps.withColumnRenamed("id", "a"), "a").join(blocks, "key", "left")
     held = held.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     held = held.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "a", "component", "n", "sketch")
