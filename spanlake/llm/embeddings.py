@@ -111,9 +111,10 @@ def _smallest(linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndar
 
 def _check(batches: Iterable[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
     """Links of each group (key, lo, hi): block ``lo`` against block ``hi``."""
-    rows = pa.Table.from_batches(list(batches))
-    if not len(rows):
+    held = list(batches)
+    if not sum(map(len, held)):
         return
+    rows = pa.Table.from_batches(held)
     key, lo, hi, block, rep, weight = (rows.column(c).to_numpy() for c in ("key", "lo", "hi", "block", "rep", "weight"))
     order = np.lexsort((rep, block, hi, lo, key))
     new = np.ones(len(order), bool)

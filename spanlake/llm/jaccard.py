@@ -221,9 +221,10 @@ def _cross(batches: Iterable[pa.RecordBatch], threshold: tuple[int, int]) -> Ite
     """Pairs of a group (key, lo, hi) that lie in different components and that sizes
     and bit sketches allow. Rows at distance 1, 2, ... within their group are
     compared together for all groups of the partition."""
-    rows = pa.Table.from_batches(list(batches))
-    if not len(rows):
+    held = list(batches)
+    if not sum(map(len, held)):
         return
+    rows = pa.Table.from_batches(held)
     num, den = threshold
     column = lambda c: rows.column(c).to_numpy()
     group = (column("key"), column("lo"), column("hi"))

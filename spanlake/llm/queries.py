@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.llm import embeddings, jaccard, langid, mixing, packing, topk, toxicity, urls, warc
+from spanlake.llm import embeddings, jaccard, langid, mixing, packing, substrings, topk, toxicity, urls, warc
 from spanlake.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing_tokenizer())
 
 
+@query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeat earlier passages."""
+    return substrings.digests(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five best inner products for every 50th vector."""
