@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.shared import components, mix, shingle_hashes, signed, slices, stored, text_buffer
+from spanlake.llm.shared import components, mix, release, shingle_hashes, signed, slices, stored, text_buffer
 
 #: Words of a shingle, and the least Jaccard similarity as a fraction (over one half).
 WIDTH = 5
@@ -369,6 +369,7 @@ def link_components(documents: DataFrame, width: int = WIDTH, threshold: tuple[i
     # each document of a key against the key's smallest
     mapped = known.mapInArrow(lambda b: _map_keys(b, width, threshold), MAPPED)
     stars = stored(mapped.repartition("at").mapInArrow(_stars, STARS), "jaccard-stars")
+    release(documents.sparkSession)
     spokes = stored(stars.select("member", "leader").distinct(), "jaccard-spokes")
     spoke_reps = to_reps(spokes.withColumns({"a": F.col("member"), "b": F.col("leader")}), "a", "b").filter("a != b")
     spoke_reps = stored(spoke_reps, "jaccard-spoke-reps")
@@ -381,6 +382,7 @@ def link_components(documents: DataFrame, width: int = WIDTH, threshold: tuple[i
         part = found.select(F.col("id").alias(c), F.col("component").alias("of"))
         return rows.join(part, c, "left").withColumn(f"{c}_in", F.coalesce("of", c)).drop("of")
 
+    release(documents.sparkSession)
     # keys whose documents lie in several components: the other pairs between components
     open_spokes = with_component(with_component(spoke_reps, "a"), "b").filter("a_in != b_in").select("member", "leader")
     open_keys = stars.join(open_spokes, ["member", "leader"], "left_semi").select("key").distinct()
@@ -395,6 +397,7 @@ def link_components(documents: DataFrame, width: int = WIDTH, threshold: tuple[i
     held = held.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "a", "component", "n", "sketch")
     pairs = held.repartition("key", "lo", "hi").mapInArrow(lambda x: _cross(x, threshold), "a long, b long")
     pairs = stored(pairs.distinct(), "jaccard-pairs")
+    release(documents.sparkSession)
     more = verified(pairs.join(first, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         links = links.unionByName(more)
@@ -405,7 +408,18 @@ def link_components(documents: DataFrame, width: int = WIDTH, threshold: tuple[i
 
 
 def representatives(documents: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """``documents`` without those that are near copies of a smaller ``doc_id``."""
+    """``documents`` without near copies: of each component the row of its smallest
+    ``doc_id`` stays (of rows that share it, the one with the smallest text); rows
+    without ``doc_id`` stay."""
+    spark = documents.sparkSession
     found = stored(link_components(documents, width, threshold), "jaccard-result")
+    release(spark)
     gone = found.filter("component_id != doc_id").select("doc_id").distinct()
-    return documents.join(gone, "doc_id", "left_anti")
+    twice = found.filter("component_id = doc_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    rows = documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
+    if twice.isEmpty():
+        return rows
+    twice = stored(twice, "jaccard-twice")
+    row = F.struct(*(F.col(f"`{c}`") for c in documents.columns))
+    one = rows.join(twice, "doc_id").groupBy("doc_id").agg(F.min_by(row, "text").alias("row"))
+    return rows.join(twice, "doc_id", "left_anti").select(*documents.columns).unionByName(one.select("row.*"))

@@ -25,8 +25,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanlake.llm.shared import slices, text_buffer
 
@@ -40,6 +42,7 @@ SAMPLE_PER_LANGUAGE = 500
 MOST_LANGUAGES = 256
 CALIBRATION_SHARE = 0.2
 REJECTED_SHARE = 0.001
+HIGHEST_BAR = 0.4
 SLICE_BYTES = 1 << 20
 UNKNOWN = "und"
 
@@ -165,8 +168,8 @@ def calibrate(model: Model, samples: list[tuple[np.ndarray, np.ndarray]], y: np.
     right = np.sort(p.max(axis=1)[p.argmax(axis=1) == y])
     if len(right):
         chance = 1 / len(model.languages)
-        # never above an even bet between two languages: short texts are clean, too
-        model.threshold = float(min(right[int(len(right) * REJECTED_SHARE)], 0.5) if len(model.languages) > 1 else chance)
+        # never above an even bet between two languages, less a margin: short texts are clean, too
+        model.threshold = float(min(right[int(len(right) * REJECTED_SHARE)], HIGHEST_BAR) if len(model.languages) > 1 else chance)
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -214,33 +217,53 @@ def fit(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model
     return train(samples, [lang for lang, _, _ in rows])
 
 
+def judged(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and rejection of each text."""
+    p = model.probabilities(model.logits(*text_buffer(texts)))
+    best = p.argmax(axis=1)
+    has = np.array([t is not None and any(map(str.isalpha, t)) for t in texts.to_pylist()], bool)
+    score = np.where(has, p[np.arange(len(best)), best], 0.0)
+    return [model.languages[b] if ok else UNKNOWN for b, ok in zip(best, has)], score, ~has | (score < model.threshold)
+
+
 def predict(documents: DataFrame, model: Model | None) -> DataFrame:
-    """All columns of ``documents`` (with ``text``), then lang_pred, score and rejected."""
-    names = documents.columns
-    letters = F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False))
+    """``documents`` (with ``text``), then lang_pred, score and rejected, which
+    replace columns of these names."""
+    added = ("lang_pred", "score", "rejected")
+    documents = documents.select(*(f"`{c}`" for c in documents.columns if c.lower() not in added))
     if model is None:
         return documents.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "rejected": F.lit(True)})
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    schema = documents.withColumn("_letters", letters)
-    out = documents.schema.simpleString()[7:-1]
+    names = documents.columns
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                data, offsets = text_buffer(part.column("text"))
-                p = m.probabilities(m.logits(data, offsets))
-                best = p.argmax(axis=1)
-                has = part.column("_letters").to_numpy(zero_copy_only=False).astype(bool)
-                lang = [m.languages[b] if ok else UNKNOWN for b, ok in zip(best, has)]
-                score = np.where(has, p[np.arange(len(best)), best], 0.0)
-                rejected = ~has | (score < m.threshold)
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in names), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)],
-                    [*names, "lang_pred", "score", "rejected"],
-                )
+                lang, score, rejected = judged(part.column("text"), shared.value)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], [*names, *added])
+
+    schema = T.StructType([*documents.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    return documents.mapInArrow(run, schema)
+
+
+def accepted(documents: DataFrame, folds: int = 4, held_out_fold: int = 2) -> DataFrame:
+    """The rows of ``documents`` whose text the model does not reject; a null ``lang``
+    becomes the predicted one. Learns as ``identify`` does."""
+    model = fit(documents.filter(fold(F.col("doc_id"), folds) != held_out_fold))
+    if model is None:
+        return documents.limit(0)
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    names = documents.columns
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", SLICE_BYTES):
+                lang, _, rejected = judged(part.column("text"), shared.value)
+                known = pc.coalesce(part.column("lang"), pa.array(lang, part.column("lang").type))
+                kept = [known if c == "lang" else part.column(c) for c in names]
+                yield pa.RecordBatch.from_arrays(kept, names).filter(pa.array(~rejected))
 
-    return schema.mapInArrow(run, f"{out}, lang_pred string, score double, rejected boolean")
+    return documents.mapInArrow(run, documents.schema)
 
 
 def identify(documents: DataFrame, folds: int = 4, held_out_fold: int = 2) -> DataFrame:

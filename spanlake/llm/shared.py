@@ -7,6 +7,7 @@ does not depend on how short it is.
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -33,10 +34,30 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose results are stored.
+
+    They go once the driver has collected the plans that refer to them, which a
+    driver with little to do would put off until the disks are full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def ordered(documents: DataFrame) -> DataFrame:
+    """``documents`` (doc_id, text) with ``oid``, unique and in the order of ``doc_id``:
+    the id itself, or a number where ids repeat or are missing."""
+    ids = documents.groupBy("doc_id").count().filter("count > 1 or doc_id is null")
+    if ids.isEmpty():
+        return documents.withColumn("oid", F.col("doc_id").cast("long"))
+    rows = documents.orderBy(F.col("doc_id").asc_nulls_last(), "text")
+    return stored(rows.withColumn("oid", F.monotonically_increasing_id()), "ordered")
+
+
 # ------------------------------------------------------------------ text as arrays
 
 _U64 = np.uint64

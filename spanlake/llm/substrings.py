@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.shared import Rolling, mix, signed, stored, text_buffer
+from spanlake.llm.shared import Rolling, mix, ordered, release, signed, stored, text_buffer
 
 WIDTH = 100
 #: Bytes of the q-grams that are initial buckets and bucket identifiers.
@@ -292,15 +292,6 @@ def _hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ------------------------------------------------------------------ Spark
 
 
-def ordered(documents: DataFrame) -> DataFrame:
-    """``documents`` with ``oid``, unique and in the order of ``doc_id``."""
-    ids = documents.groupBy("doc_id").count().filter("count > 1 or doc_id is null")
-    if ids.isEmpty():
-        return documents.withColumn("oid", F.col("doc_id").cast("long"))
-    rows = documents.orderBy(F.col("doc_id").asc_nulls_last(), "text")
-    return stored(rows.withColumn("oid", F.monotonically_increasing_id()), "substring-ordered")
-
-
 def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=3)
     for batch in batches:
@@ -323,10 +314,12 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     found = docs.mapInArrow(_sample, SAMPLED).repartition("at").mapInArrow(_classes, FOUND)
     found = stored(found, "substring-found").join(copies, "oid", "left_anti")
     found = stored(found, "substring-found")
+    release(docs.sparkSession)
     several = found.filter("g is not null").select("g", "oid", "start", "span")
     known = found.filter("g is null").select("oid", "start", "end")
     texts = docs.mapInArrow(_packed, "oid long, text binary")
     texts = stored(texts.join(found.select("oid").distinct(), "oid", "left_semi"), "substring-texts")
+    release(docs.sparkSession)
     runs = several.groupBy("oid").agg(F.collect_list(F.struct("g", "start", "span")).alias("runs"))
     contexts = runs.join(texts, "oid").select("oid", "runs", "text").mapInArrow(_contexts, CONTEXT)
     large = stored(several.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > LARGE_BUCKET).select("g"), "substring-large")
@@ -392,19 +385,21 @@ def digests(documents: DataFrame) -> DataFrame:
 def cut(documents: DataFrame) -> DataFrame:
     """``documents`` with repeated passages cut out of ``text``. A character of which
     any byte goes, goes whole. Null texts stay null."""
-    docs = ordered(documents)
+    row = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row")
+    docs = ordered(documents.select("doc_id", "text", row))
     spans, _, facts = repeated_spans(docs)
+    release(documents.sparkSession)
     whole = facts.filter("copy").select("oid", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"))).alias("spans"))
-    rows = docs.join(spans.unionByName(whole), "oid", "left")
+    rows = docs.select("oid", "row").join(spans.unionByName(whole), "oid", "left").select("row", "spans")
     names = documents.columns
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            row = batch.column("row")
             texts = [
                 t if not s else without(t.encode(), _union(s)).decode(errors="ignore")
-                for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())
+                for t, s in zip(row.field("text").to_pylist(), batch.column("spans").to_pylist())
             ]
-            columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else row.field(c) for c in names], names)
 
-    return rows.select(*names, "spans").mapInArrow(run, documents.schema)
+    return rows.mapInArrow(run, documents.schema)

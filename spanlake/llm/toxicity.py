@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanlake.llm.langid import fold
 from spanlake.llm.shared import slices, stored, text_buffer
@@ -417,7 +418,9 @@ def learn(documents: DataFrame, labels: DataFrame, n_toxic: int = SAMPLE_TOXIC,
 
 
 def score(documents: DataFrame, model: Model | None) -> DataFrame:
-    """All columns of ``documents`` (with ``text``), then score and predicted."""
+    """``documents`` (with ``text``), then score and predicted, which replace columns
+    of these names."""
+    documents = documents.select(*(f"`{c}`" for c in documents.columns if c.lower() not in ("score", "predicted")))
     if model is None:
         return documents.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)})
     shared = documents.sparkSession.sparkContext.broadcast(model)
@@ -429,7 +432,8 @@ def score(documents: DataFrame, model: Model | None) -> DataFrame:
                 s = shared.value.scores(shared.value.features(part.column("text")))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], [*names, "score", "predicted"])
 
-    return documents.mapInArrow(run, f"{documents.schema.simpleString()[7:-1]}, score double, predicted int")
+    schema = T.StructType([*documents.schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    return documents.mapInArrow(run, schema)
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, folds: int = 3, held_out_fold: int = 1) -> DataFrame:
