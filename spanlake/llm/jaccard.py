@@ -214,13 +214,15 @@ def _stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _batch(STARS, key[other], doc[other], leader[other])
 
 
-CROSS = "key long, lo int, hi int, block int, a long, component long, n long, sketch array<long>"
+#: Smallest keys that a document carries, to see where else a pair meets.
+LOW_KEYS = 6
 
 
 def _cross(batches: Iterable[pa.RecordBatch], threshold: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """Pairs of a group (key, lo, hi) that lie in different components and that sizes
     and bit sketches allow. Rows at distance 1, 2, ... within their group are
-    compared together for all groups of the partition."""
+    compared together for all groups of the partition. A pair that also meets at a
+    smaller key, as far as both rows' smallest keys tell, is left to that one."""
     held = list(batches)
     if not sum(map(len, held)):
         return
@@ -234,6 +236,11 @@ def _cross(batches: Iterable[pa.RecordBatch], threshold: tuple[int, int]) -> Ite
     new[1:] = (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
     run = np.cumsum(new)
     block, doc, comp, n = (column(c)[order] for c in ("block", "a", "component", "n"))
+    lowest = rows.column("low").combine_chunks()
+    low = np.full((len(order), LOW_KEYS), np.iinfo(np.int64).max)
+    many = np.diff(lowest.offsets.to_numpy())
+    low[np.arange(LOW_KEYS)[None, :] < many[:, None]] = lowest.flatten().to_numpy()
+    low = low[order]
     words = rows.column("sketch").combine_chunks()
     flat, at = words.flatten().to_numpy().view(_U), words.offsets.to_numpy().astype(np.int64)
     at = at - at[0]
@@ -274,9 +281,15 @@ def _cross(batches: Iterable[pa.RecordBatch], threshold: tuple[int, int]) -> Ite
         near = (comp[i] != comp[j]) & (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j]))
         near &= (lo[i] == hi[i]) | (block[i] != block[j])  # pairs within a block belong to its own group
         i, j = i[near], j[near]
-        for words, begin, length in ((short, short_at, short_size), (flat, at, size)):
-            near = apart_by(i, j, words, begin, length) * (den + num) <= (n[i] + n[j]) * (den - num)
-            i, j = i[near], j[near]
+        near = apart_by(i, j, short, short_at, short_size) * (den + num) <= (n[i] + n[j]) * (den - num)
+        i, j = i[near], j[near]
+        elsewhere = np.zeros(len(i), bool)
+        for x in range(LOW_KEYS):
+            mine = low[i, x]
+            elsewhere |= (mine < key[i]) & (low[j] == mine[:, None]).any(axis=1)
+        i, j = i[~elsewhere], j[~elsewhere]
+        near = apart_by(i, j, flat, at, size) * (den + num) <= (n[i] + n[j]) * (den - num)
+        i, j = i[near], j[near]
         found.append(np.column_stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])]))
     pairs = np.unique(np.concatenate([*found, np.empty((0, 2), np.int64)]), axis=0)
     yield _batch("a long, b long", pairs[:, 0].copy(), pairs[:, 1].copy())
@@ -391,18 +404,25 @@ def link_components(documents: DataFrame, width: int = WIDTH, threshold: tuple[i
     held = with_component(to_reps(held, "a").distinct(), "a")
     held = stored(held.select("key", "a", F.col("a_in").alias("component")), "jaccard-held")
     blocks = stored(held.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("blocks")).filter("blocks > 1"), "jaccard-large-keys")
-    held = held.join(long_reps.withColumnRenamed("id", "a"), "a").join(blocks, "key", "left")
+    low = held.groupBy("a").agg(F.slice(F.sort_array(F.collect_set("key")), 1, LOW_KEYS).alias("low"))
+    about = long_reps.withColumnRenamed("id", "a").join(low, "a")
+    held = held.join(about, "a").join(blocks, "key", "left")
     held = held.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    held = held.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "a", "component", "n", "sketch")
+    held = held.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "a", "component", "n", "low", "sketch")
     pairs = held.repartition("key", "lo", "hi").mapInArrow(lambda x: _cross(x, threshold), "a long, b long")
     pairs = stored(pairs.distinct(), "jaccard-pairs")
     release(documents.sparkSession)
     more = verified(pairs.join(first, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        links = links.unionByName(more)
-        nodes = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        found = stored(components(nodes, links, "jaccard"), "jaccard-components")
+        # components of components
+        between = with_component(with_component(more, "a"), "b").select(F.col("a_in").alias("a"), F.col("b_in").alias("b")).distinct()
+        between = stored(between, "jaccard-between")
+        nodes = found.select("component").union(between.select(F.explode(F.array("a", "b")))).distinct().select(F.col("component").alias("id"))
+        joined = stored(components(nodes, between, "jaccard"), "jaccard-joined")
+        single = nodes.select("id", F.col("id").alias("component")).join(found.select("id"), "id", "left_anti")
+        found = found.unionByName(single).withColumnRenamed("component", "part")
+        found = stored(found.join(joined.withColumnRenamed("id", "part"), "part").select("id", "component"), "jaccard-components")
     out = member.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
