@@ -17,6 +17,7 @@ further columns of ``documents`` are carried along.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,24 +26,40 @@ from pyspark.sql import functions as F
 from spanlake.llm import jaccard, langid, mixing, packing, substrings
 from spanlake.llm.queries import packing_tokenizer
 from spanlake.llm.shared import release, stored, table
+from spanlake.session import configure
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+
+def stage(fn: Stage) -> Stage:
+    @functools.wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return fn(configure(spark), docs, sf_dir)
+
+    return run_stage
+
+
+@stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.accepted(docs)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard.representatives(docs)
 
 
+@stage
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _counted(substrings.cut(docs))
 
 
+@stage
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _counted(mixing.mixed(docs))
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, packing_tokenizer())
 
@@ -54,7 +71,7 @@ def _counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("language_id", language_id),
     ("near_duplicates", near_duplicates),
     ("substring_dedup", substring_dedup),
@@ -69,7 +86,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for name, step in STAGES:
+        docs = stored(step(spark, docs, sf_dir), f"pipeline-{name}")
         release(spark)
     return docs

@@ -43,8 +43,8 @@ from spanlake.llm.shared import components, mix, release, shingle_hashes, signed
 WIDTH = 5
 THRESHOLD = (3, 4)
 #: Text bytes handled in one go, and keys that a map task sorts together.
-SLICE_BYTES = 4 << 20
-CHUNK_KEYS = 1 << 20
+SLICE_BYTES = 1 << 20
+CHUNK_KEYS = 1 << 19
 #: Blocks of a size band [2**i, 2**(i+1)): 2**i of them, twice as many in small bands.
 SMALL_BAND = 64
 LEAST_BLOCKS = 16
@@ -315,7 +315,7 @@ def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verify(batches: Iterable[pa.RecordBatch], width: int, threshold: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     expand = zstandard.ZstdDecompressor()
     for batch in batches:
-        for part in slices(batch, "text_a", SLICE_BYTES // 4):
+        for part in slices(batch, "text_a", SLICE_BYTES):
             sides = []
             for side in "ab":
                 text = part.column(f"text_{side}").dictionary_encode()
@@ -350,7 +350,7 @@ def link_components(documents: DataFrame, width: int = WIDTH, threshold: tuple[i
     # equal sets: one class, named by its smallest id
     classes = features.filter("n > 0 and doc_id is not null").groupBy("h1", "h2", "n")
     classes = stored(classes.agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").drop("copies"), "jaccard-classes")
-    member = features.join(classes, ["h1", "h2", "n"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    member = features.join(classes, ["h1", "h2", "n"], "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
     member = stored(member.select("doc_id", "n", "rep"), "jaccard-members")
     named = member.select("doc_id", F.col("rep").alias("of"))
     copies = stored(named.join(named.filter("doc_id != of").select("doc_id").distinct(), "doc_id", "left_semi").distinct(), "jaccard-copies")

@@ -2,4 +2,128 @@
 
 from __future__ import annotations
 
+from spanlake.llm import mixing
+
 ORACLE: dict[str, str] = {}
+
+ORACLE["op1_warc"] = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), k AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) END AS keeper FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id < keeper THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < keeper THEN keeper END AS refers_to
+FROM k
+"""
+
+ORACLE["op2_jaccard_join"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5
+    THEN [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle
+  FROM d
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2
+), link AS (
+  SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)
+), both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION
+  SELECT r.doc_id, l.b FROM reach r JOIN both_ways l ON l.a = r.other
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id
+FROM d LEFT JOIN n USING (doc_id)
+JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) r USING (doc_id)
+"""
+
+ORACLE["op4_embedding_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS e FROM embeddings
+), good AS (
+  SELECT * FROM v WHERE len(e) > 0 AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN e IF x <> 0]) > 0
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+), reach AS (
+  SELECT vec_id, vec_id AS other FROM embeddings
+  UNION
+  SELECT r.vec_id, l.b FROM reach r JOIN link l ON l.a = r.other
+), n AS (SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY a)
+SELECT v.vec_id, coalesce(n_links, 0) AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v LEFT JOIN n USING (vec_id) JOIN (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id) USING (vec_id)
+"""
+
+ORACLE["op6_substring_dedup"] = """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS h FROM documents
+), b AS (
+  SELECT doc_id, unnest(h) AS byte, unnest(range(0, len(h))) AS p,
+    unnest([CASE WHEN i + 99 <= len(h) THEN hash(h[i:i + 99]) END FOR i IN range(1, len(h) + 1)]) AS win FROM d
+), w AS (
+  SELECT * FROM b
+), f AS (
+  SELECT doc_id, p, byte, win IS NOT NULL AND row_number() OVER (PARTITION BY win ORDER BY doc_id, p) > 1 AS again FROM w
+), c AS (
+  SELECT doc_id, p, byte, max(CASE WHEN again THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM f
+), e AS (
+  SELECT *, coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), 0) AS before FROM c
+), g AS (
+  SELECT doc_id, sum(gone) AS n_removed, sum(CASE WHEN gone = 1 AND before = 0 THEN 1 ELSE 0 END) AS n_spans,
+    coalesce(string_agg(byte, '' ORDER BY p) FILTER (gone = 0), '') AS kept
+  FROM e GROUP BY doc_id
+)
+SELECT d.doc_id, len(h) AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+ORACLE["op7_topk_search"] = """
+WITH v AS (
+  SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e)::BIGINT AS score
+  FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+ORACLE["op9_source_mix"] = rf"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{mixing.WORD}'))::BIGINT AS size FROM documents
+), src AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+), ranked AS (
+  SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1] AS weight FROM src
+), water AS (
+  SELECT *, 3 * source_size AS cap,
+    (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (ORDER BY 3 * source_size / weight, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY 3 * source_size / weight, encode(source) NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM ranked
+), goal AS (
+  SELECT source, source_size, least(cap::DOUBLE, weight * max(level) OVER ()) AS target,
+    least(source_size, greatest(ceil(source_size / {mixing.BLOCK_WORDS}), {mixing.MIN_BLOCKS}))::BIGINT AS n_blocks
+  FROM water
+), quota AS (
+  SELECT *, coalesce(least(floor(target * n_blocks / nullif(source_size, 0) + 0.5), 3 * n_blocks), 0)::BIGINT AS quota FROM goal
+), placed AS (
+  SELECT d.*, source_size, target, n_blocks, quota,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(d.doc_id::VARCHAR), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM d JOIN quota ON d.source IS NOT DISTINCT FROM quota.source
+), last_pass AS (
+  SELECT *, CASE WHEN n_blocks > 0 THEN quota // n_blocks ELSE 0 END AS passes,
+    CASE WHEN n_blocks > 0 THEN ((quota % n_blocks)::HUGEINT * source_size // n_blocks)::BIGINT ELSE 0 END AS edge
+  FROM placed
+)
+SELECT doc_id, size, source_size, target, (size * passes + greatest(0, least(start + size, edge) - start))::BIGINT AS taken FROM last_pass
+"""
