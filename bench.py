@@ -16,8 +16,11 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import functions as F  # noqa: E402
 
+from spanlake.operators import store  # noqa: E402
 from spanlake.plans import catalog, state  # noqa: E402
 from spanlake.session import build_session  # noqa: E402
+from spanlake.sources import overlays  # noqa: E402
+from spanlake.streaming.sync import SyncJob  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
@@ -99,6 +102,22 @@ def main() -> None:
         fn(spark, SF_DIR).collect()
         times[name] = time.time() - t
 
+    # The sync itself: stored objects → ledger, raw log, state; nothing new; 1 % more objects.
+    objects = overlays.f4_objects(spark, SF_DIR)
+    more = F.pmod(F.xxhash64("object_key"), F.lit(100)) == 0
+    root, stamp = os.path.join(scratch, "objects"), F.lit("2024-01-01 00:00:00").cast("timestamp")
+    store.write_otlp_objects(objects.where(~more), root, overlays.PROJECT, stamp)
+
+    def sync() -> None:
+        SyncJob(spark, root, overlays.PROJECT, os.path.join(scratch, "state"), os.path.join(scratch, "sync"), lines=True).run()
+
+    for name in ("job_first", "job_nothing_new", "job_one_percent_more"):
+        if name == "job_one_percent_more":
+            store.write_otlp_objects(objects.where(more), root, overlays.PROJECT, stamp)
+        t = time.time()
+        sync()
+        times[name] = time.time() - t
+
     total = sum(times.values())
     print(
         json.dumps(

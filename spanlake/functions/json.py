@@ -75,10 +75,13 @@ def lenient_number(text: Column) -> Column:
     decimal = t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
     hexa = t.rlike(r"^0[xX][0-9a-fA-F]+$")
     as_double = (t).try_cast("double")
+    # digit by digit, so that any length is a number
+    digits = F.when(hexa, F.filter(F.split(F.substr(t, F.lit(3)), ""), lambda c: c != ""))
+    hex_value = F.aggregate(digits, F.lit(0.0), lambda acc, c: acc * 16 + F.conv(c, 16, 10).try_cast("double"))
     return (
         F.when(t == "", F.lit(0.0))
         .when(decimal & ~F.isnan(as_double) & (F.abs(as_double) != F.lit(float("inf"))), as_double)
-        .when(hexa, F.conv(F.substring(t, 3, 64), 16, 10).cast("double"))
+        .when(hexa & (F.abs(hex_value) != F.lit(float("inf"))), hex_value)
     )
 
 
@@ -101,56 +104,3 @@ def nonnegative_number(v: Column) -> Column:
 def parse_or_text(text: Column) -> Column:
     """JSON-parse text when it is valid JSON, else keep it as a JSON string."""
     return F.coalesce(F.try_parse_json(text), text.cast("variant"))
-
-
-# ---------------------------------------------------------------- deep merge
-
-DEFAULT_MERGE_DEPTH = 8
-
-
-def _merge_objects(left: Column, right: Column, depth: int) -> Column:
-    """Key-wise merge of two VARIANT objects; nested objects merge recursively,
-    everything else (scalars, arrays, JSON null) on the right replaces. Below
-    ``depth`` levels the right value replaces the left one whole."""
-    if depth <= 0:
-        return right
-    lm = left.cast("map<string,variant>")
-    rm = right.cast("map<string,variant>")
-
-    def pick(_k: Column, x: Column, y: Column) -> Column:
-        both = is_object(x) & is_object(y)
-        return (
-            F.when(y.isNull(), x)
-            .when(x.isNull(), y)
-            .when(both, _merge_objects(x, y, depth - 1))
-            .otherwise(y)
-        )
-
-    return F.to_variant_object(F.map_zip_with(lm, rm, pick))
-
-
-def merge_metadata_text(left: Column, right: Column, depth: int = DEFAULT_MERGE_DEPTH) -> Column:
-    """Merge two metadata JSON texts with the event model's rules.
-
-    right missing or ``{}`` keeps left; left missing or ``{}`` takes right; a
-    non-object left is replaced by right; a non-object right leaves left as is;
-    two objects merge deeply. The rule is associative, which the fold relies on.
-    """
-    lv = F.try_parse_json(left)
-    rv = F.try_parse_json(right)
-    return (
-        F.when(right.isNull() | (right == "{}"), left)
-        .when(left.isNull() | (left == "{}"), right)
-        .when(~is_object(lv), right)
-        .when(~is_object(rv), left)
-        .otherwise(F.to_json(_merge_objects(lv, rv, depth)))
-    )
-
-
-def fold_metadata(sorted_texts: Column, depth: int = DEFAULT_MERGE_DEPTH) -> Column:
-    """Left fold of ``merge_metadata_text`` over an ordered array of texts."""
-    return F.aggregate(
-        sorted_texts,
-        F.lit(None).cast("string"),
-        lambda acc, x: merge_metadata_text(acc, x, depth),
-    )

@@ -318,7 +318,7 @@ def trace_metadata(at: _Attrs) -> Column:
     extra = F.transform_values(
         F.transform_keys(
             F.map_filter(at.a, lambda k, v: k.startswith(TRACE_METADATA_PREFIX)),
-            lambda k, v: F.substring(k, len(TRACE_METADATA_PREFIX) + 1, 1 << 20),
+            lambda k, v: F.substr(k, F.lit(len(TRACE_METADATA_PREFIX) + 1)),
         ),
         lambda k, v: F.when(is_string(v), parse_json_string(v)).otherwise(v),
     )

@@ -5,8 +5,8 @@ Each relation is one ``groupBy`` on its entity key. Events are totally ordered b
 "last defined value wins", written as ``max_by(value, ord)`` where the order key
 is NULL for events that do not define the value (``max_by`` skips those). The
 aggregate has partial and final phases, so a hot key is pre-combined map-side.
-Only metadata needs the ordered deep merge; it is folded from a sorted list and
-only for keys that carry more than one non-empty metadata value.
+Only metadata needs a deep merge, and only for keys that carry more than one
+non-empty metadata value (``operators.metadata``).
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from spanlake.functions.cache import per_context
 from spanlake.functions.json import (
-    fold_metadata,
     is_bool,
     is_defined,
     is_number,
@@ -30,6 +29,7 @@ from spanlake.functions.json import (
     vget,
 )
 from spanlake.functions.time import lenient_timestamp
+from spanlake.operators.metadata import merge_metadata
 from spanlake.operators.raw import first_present
 from spanlake.schema import OBSERVATIONS, SCORE_CREATE, SCORES, SESSIONS, TRACE_CREATE, TRACES
 
@@ -55,6 +55,12 @@ def last_defined(value: Column, ord: Column, guard_empty: bool = True) -> Column
     return F.max_by(value, F.when(cond, ord))
 
 
+def last_defined_over_first(value: Column, ord: Column) -> Column:
+    """As ``last_defined``, but the first event's value stands, even ``{}``, until
+    another one is defined."""
+    return F.coalesce(last_defined(value, ord), F.min_by(value, ord))
+
+
 def _ts_value(v: Column) -> Column:
     return lenient_timestamp(js_string(v))
 
@@ -90,46 +96,10 @@ def _body_field_columns() -> list[Column]:
     ]
 
 
-# Time buckets of the hierarchical metadata merge, finest first.
-METADATA_MERGE_LEVELS = ("hour",)
-
-
 def _nonempty(md: Column) -> Column:
     return md.isNotNull() & (md != "{}")
 
 
-def merged_metadata(ev: DataFrame, keys: list[str], md_col: str = "f_metadata", levels=METADATA_MERGE_LEVELS) -> DataFrame:
-    """Ordered deep merge of each key's metadata values, as a hierarchy of
-    bounded groups: (key, hour bucket) first, then key over the bucket results.
-
-    Buckets are contiguous ranges of the event order (timestamp first, missing
-    timestamps first), and the merge is associative, so merging bucket results
-    in bucket order equals merging all values in event order. No group holds
-    more than one bucket's values (level one) or one value per bucket (above),
-    so a key with an unbounded number of updates is never collected whole.
-    Only non-empty values take part; keys with one value skip the lambda fold.
-    """
-    cur = ev.where(_nonempty(F.col(md_col))).select(
-        *keys,
-        F.col("event_timestamp").alias("_ts"),
-        order_key().alias("_o"),
-        F.col(md_col).alias("_m"),
-    )
-    for unit in levels:
-        grouped = cur.groupBy(*keys, F.date_trunc(unit, F.col("_ts")).alias("_b")).agg(
-            F.array_sort(F.collect_list(F.struct("_o", "_m"))).alias("_items")
-        )
-        cur = grouped.select(*keys, F.col("_b").alias("_ts"), F.col("_items")[0]["_o"].alias("_o"), _fold_items().alias("_m"))
-    final = cur.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_o", "_m"))).alias("_items"))
-    return final.select(*keys, _fold_items().alias("metadata_json"))
-
-
-@per_context
-def _fold_items() -> Column:
-    texts = F.transform(F.col("_items"), lambda x: x["_m"])
-    return F.when(F.size(texts) == 1, texts[0]).otherwise(fold_metadata(texts))
-
-
 def _metadata_aggs() -> list[Column]:
     """Count of non-empty metadata values and the latest one: most keys have at
     most one, and need no merge at all."""
@@ -141,11 +111,10 @@ def _metadata_aggs() -> list[Column]:
 
 
 def _with_metadata(agg: DataFrame, ev: DataFrame, keys: list[str]) -> DataFrame:
-    """Attach metadata: the single value as is, the ordered merge only for keys
-    with several values (semi join on the key, then the bounded hierarchy);
-    every side is hash-partitioned on ``keys``."""
+    """Attach metadata: the single value as is, the path-wise merge only for keys
+    with several values."""
     multi = agg.where(F.col("_md_n") > 1).select(*keys)
-    merged = merged_metadata(ev.join(multi, keys, "left_semi"), keys)
+    merged = merge_metadata(ev.join(multi, keys, "left_semi"), keys, "f_metadata", order_key())
     out = agg.join(merged, keys, "left")
     return out.withColumn("metadata_json", F.coalesce(F.col("metadata_json"), F.col("_md_last"))).drop("_md_n", "_md_last")
 
@@ -329,6 +298,7 @@ def fold_scores(raw: DataFrame) -> DataFrame:
     out = ev.groupBy("project_id", "score_id").agg(*_score_aggs())
     out = (
         _with_metadata(out, ev, ["project_id", "score_id"])
+        .withColumn("metadata_json", F.coalesce("metadata_json", "_md_first"))
         .withColumn("value", F.col("_pair.value"))
         .withColumn("string_value", F.col("_pair.string_value"))
         .withColumn("source", F.coalesce(F.col("source"), F.lit(DEFAULT_SCORE_SOURCE)))
@@ -341,15 +311,16 @@ def fold_scores(raw: DataFrame) -> DataFrame:
 def _score_aggs() -> list[Column]:
     ord = order_key()
     return [
-        last_defined(F.col("f_trace"), ord).alias("trace_id"),
-        last_defined(F.col("f_observation"), ord).alias("observation_id"),
-        last_defined(F.col("f_session"), ord).alias("session_id"),
-        last_defined(F.col("f_name"), ord).alias("name"),
+        last_defined_over_first(F.col("f_trace"), ord).alias("trace_id"),
+        last_defined_over_first(F.col("f_observation"), ord).alias("observation_id"),
+        last_defined_over_first(F.col("f_session"), ord).alias("session_id"),
+        last_defined_over_first(F.col("f_name"), ord).alias("name"),
         F.max_by(F.col("f_value_pair"), F.when(F.col("f_value_defined"), ord)).alias("_pair"),
-        last_defined(F.col("f_data_type"), ord).alias("data_type"),
-        last_defined(F.col("f_source"), ord).alias("source"),
-        last_defined(F.col("f_comment"), ord).alias("comment"),
+        last_defined_over_first(F.col("f_data_type"), ord).alias("data_type"),
+        last_defined_over_first(F.col("f_source"), ord).alias("source"),
+        last_defined_over_first(F.col("f_comment"), ord).alias("comment"),
         *_metadata_aggs(),
+        F.min_by(F.col("f_metadata"), ord).alias("_md_first"),
         F.min_by(F.col("f_timestamp"), ord).alias("timestamp"),
         last_defined(F.col("event_timestamp"), ord, guard_empty=False).alias("updated_at"),
     ]

@@ -83,11 +83,3 @@ def replay_history(stored: DataFrame, keys: DataFrame) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
-
-
-def incremental_rows(stored: DataFrame, batch: DataFrame, traces: DataFrame, observations: DataFrame, scores: DataFrame) -> DataFrame:
-    """Raw rows to fold for an incremental commit: history of touched existing
-    keys ∪ the batch itself (P6)."""
-    keys = existing_keys(affected_keys(batch), traces, observations, scores)
-    history = replay_history(stored, keys).drop("kind", "key")
-    return history.unionByName(batch).dropDuplicates(["event_id"])

@@ -105,7 +105,7 @@ def bytes_to_hex(v: Column) -> Column:
     numeric_keys = F.forall(entries, lambda e: e["key"].rlike(r"^(0|[1-9][0-9]*)$") & is_number(e["value"]))
     by_key = lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)
     ordered = F.transform(
-        F.array_sort(F.transform(entries, lambda e: F.struct(e["key"].cast("long").alias("k"), e["value"].alias("v"))), by_key),
+        F.array_sort(F.transform(entries, lambda e: F.struct(e["key"].try_cast("long").alias("k"), e["value"].alias("v"))), by_key),
         lambda e: e["v"],
     )
     buffer = js_string(vget(v, "$.type")) == "Buffer"
@@ -123,22 +123,24 @@ def id_field(span: Column, key: str) -> Column:
     return F.when(F.coalesce(s, F.lit("")) != "", s).otherwise(bytes_to_hex(v))
 
 
-def unwrap_any_value(v: Column, depth: int = 2) -> Column:
+#: Array levels that an AnyValue expression covers; deeper input is an error, never cut.
+MAX_ARRAY_LEVELS = 12
+
+
+def unwrap_any_value(v: Column, levels: int = MAX_ARRAY_LEVELS) -> Column:
     """OTLP AnyValue → plain JSON value (O6): the first present of string, int,
     double, bool and bytes values; arrays element-wise; other objects as they
     are; non-objects pass through. ``intValue`` text stays text (G23)."""
     first = F.coalesce(
         vget(v, "$.stringValue"), vget(v, "$.intValue"), vget(v, "$.doubleValue"), vget(v, "$.boolValue"), vget(v, "$.bytesValue")
     )
-    if depth > 0:
-        av = vget(v, "$.arrayValue")
-        inner = lambda x: unwrap_any_value(x, depth - 1)
-        arrays = (
-            F.when(is_array(av), F.to_variant_object(F.transform(_arr(av), inner)))
-            .when(is_object(av) & is_array(vget(av, "$.values")), F.to_variant_object(F.transform(_arr(vget(av, "$.values")), inner)))
-        )
+    av = vget(v, "$.arrayValue")
+    inner = vget(av, "$.values")
+    items = F.when(is_array(av), _arr(av)).when(is_object(av) & is_array(inner), _arr(inner))
+    if levels > 0:
+        arrays = F.when(items.isNotNull(), F.to_variant_object(F.transform(items, lambda x: unwrap_any_value(x, levels - 1))))
     else:
-        arrays = F.lit(None).cast("variant")
+        arrays = F.when(items.isNotNull(), F.raise_error(F.lit(f"attribute arrays nested more than {MAX_ARRAY_LEVELS} deep")).cast("string").cast("variant"))
     return F.when(is_object(v), F.coalesce(first, arrays, v)).otherwise(v)
 
 

@@ -11,6 +11,8 @@ from spanlake.functions.time import iso_ms, lenient_timestamp
 from spanlake.schema import EVENTS_RAW, SCORE_CREATE, TRACE_CREATE
 
 RAW_COLUMNS = [f.name for f in EVENTS_RAW.fields]
+#: What names an event: ids are only unique within a project.
+EVENT_KEY = ["project_id", "event_id"]
 
 
 def first_present(*values: Column) -> Column:
@@ -98,24 +100,21 @@ def events_raw_view(raw: DataFrame) -> DataFrame:
 
 
 def dedupe_skip(batch: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """Direct-append policy: keep one row per event id and skip ids already stored.
-
-    ``dropDuplicates`` shuffles on ``event_id`` with map-side dedupe; the anti
-    join reuses that partitioning when ``stored`` is hash-partitioned the same way.
-    """
-    out = batch.dropDuplicates(["event_id"])
+    """Direct-append policy: keep one row per project and event id and skip those
+    already stored."""
+    out = batch.dropDuplicates(EVENT_KEY)
     if stored is not None:
-        out = out.join(stored.select("event_id"), "event_id", "left_anti")
+        out = out.join(stored.select(*EVENT_KEY), EVENT_KEY, "left_anti")
     return out
 
 
 def duplicate_event_ids(batch: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """Strict (sync) policy helper: event ids that occur more than once, or that
-    are already stored. A non-empty result means the batch must not commit."""
-    ids = batch.select("event_id")
+    """Strict (sync) policy helper: event ids of a project that occur more than
+    once, or that are already stored. A non-empty result means the batch must not commit."""
+    ids = batch.select(*EVENT_KEY)
     if stored is not None:
-        ids = ids.unionByName(stored.select("event_id"))
-    return ids.groupBy("event_id").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+        ids = ids.unionByName(stored.select(*EVENT_KEY))
+    return ids.groupBy(*EVENT_KEY).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
 
 
 class DuplicateEventError(ValueError):

@@ -1,6 +1,5 @@
-"""Sinks: object layouts, entity-grouped objects and manifests, the raw-log
-append, bucketed state upserts, and row-to-event converters for manual traces
-and scores.
+"""Sinks: object layouts, entity-grouped objects and manifests, and row-to-event
+converters for manual traces and scores.
 
 Layout of stored objects (fixed format of the event model):
   <prefix>otel/<project>/yyyy/MM/dd/HH/mm/<batch>.json          raw OTLP batches
@@ -10,14 +9,19 @@ Layout of stored objects (fixed format of the event model):
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanlake.functions.json import is_array, is_bool, is_number, is_string, js_string, parse_or_text
 from spanlake.functions.time import iso_ms, minute_path
 from spanlake.operators.validate import body_id, entity_type
 
-STATE_BUCKETS = 64
-
 
 def normalize_prefix(prefix: str) -> str:
     """A non-empty prefix always ends with ``/``."""
@@ -30,6 +34,7 @@ def otlp_object_key(project: str, write_time: Column, batch_id: Column, prefix:
 
 
 def manifest_key(project: str, created: Column, batch_id: Column, prefix: str = "") -> Column:
+    """Key of a batch manifest under the UTC-minute layout (K3)."""
     return F.concat(F.lit(f"{normalize_prefix(prefix)}{project}/manifests/"), minute_path(created), F.lit("/"), batch_id, F.lit(".json"))
 
 
@@ -42,16 +47,16 @@ def entity_objects(accepted: DataFrame, project: str, batch_col: str = "batch",
     bounded by one request batch.
     """
     ev = accepted.select(
-        batch_col, pos_col, "id", "timestamp", "type", "body",
+        batch_col, pos_col, "id", "timestamp", "type", "body", (F.col("metadata") if "metadata" in accepted.columns else F.lit(None)).cast("string").alias("metadata"),
         entity_type(F.col("type")).alias("entity_type"), body_id(F.col("body")).alias("entity_id"),
     ).where(F.col("entity_id").isNotNull())
-    item = F.struct(F.col("timestamp").alias("ts"), F.col(pos_col).alias("pos"), F.col("id").alias("id"), F.col("type").alias("type"), F.col("body").alias("body"))
+    item = F.struct(F.col("timestamp").alias("ts"), F.col(pos_col).alias("pos"), F.col("id").alias("id"), F.col("type").alias("type"), F.col("body").alias("body"), F.col("metadata").alias("metadata"))
     grouped = ev.groupBy(batch_col, "entity_type", "entity_id").agg(F.array_sort(F.collect_list(item)).alias("events"))
     first = F.col("events")[0]
     key = F.concat(
         F.lit(f"{normalize_prefix(prefix)}{project}/"), F.col("entity_type"), F.lit("/"), F.col("entity_id"), F.lit("/"), first["id"], F.lit(".json")
     )
-    serialized = F.to_json(F.transform(F.col("events"), lambda e: F.struct(e["id"].alias("id"), e["ts"].alias("timestamp"), e["type"].alias("type"), F.parse_json(e["body"]).alias("body"))))
+    serialized = F.to_json(F.transform(F.col("events"), lambda e: F.struct(e["id"].alias("id"), e["ts"].alias("timestamp"), e["type"].alias("type"), F.parse_json(e["body"]).alias("body"), F.try_parse_json(e["metadata"]).alias("metadata"))))
     return grouped.select(
         batch_col,
         key.alias("key"),
@@ -77,28 +82,20 @@ def batch_manifests(objects: DataFrame, project: str, created: Column, batch_col
     ).select(batch_col, F.lit(project).alias("projectId"), created.alias("createdAt"), "objects", "n_objects", "n_events")
 
 
-# --------------------------------------------------------------- table writes
-
-
-def append_raw_log(batch: DataFrame, path: str) -> None:
-    """Append raw-log rows, partitioned by project (K4). Rows must already be
-    free of stored ids (``raw.dedupe_skip``), which makes a replay harmless."""
-    batch.write.mode("append").partitionBy("project_id").parquet(path)
-
-
-def upsert_state(existing: DataFrame | None, rebuilt: DataFrame, out_path: str, key: list[str] | None = None) -> None:
-    """Write a new snapshot of a state table: existing rows whose key was not
-    rebuilt, plus the rebuilt rows (K5). Hash-bucketed on the key so a later
-    join or rebuild on it finds co-located rows; the snapshot directory is new,
-    so readers of the previous one are never disturbed."""
-    key = key or ["project_id", "id"]
-    out = rebuilt
-    if existing is not None:
-        out = existing.join(rebuilt.select(*key), key, "left_anti").unionByName(rebuilt)
-    out.repartition(STATE_BUCKETS, *key).write.mode("errorifexists").parquet(out_path)
+# ------------------------------------------------------- row → event builders
 
 
-# ------------------------------------------------------- row → event builders
+def _any_value(v: Column) -> Column:
+    """OTLP AnyValue of a JSON value: booleans and numbers typed, arrays as lists of
+    texts, objects as JSON text, strings as they are."""
+    text = F.coalesce(F.when(is_string(v), F.try_variant_get(v, "$", "string")), F.to_json(v))
+    items = F.transform(v.try_cast("array<variant>"), lambda x: F.struct(F.coalesce(js_string(x), F.to_json(x)).alias("stringValue")))
+    return (
+        F.when(is_bool(v), F.to_variant_object(F.struct(F.try_variant_get(v, "$", "boolean").alias("boolValue"))))
+        .when(is_number(v), F.to_variant_object(F.struct(F.try_variant_get(v, "$", "double").alias("doubleValue"))))
+        .when(is_array(v), F.to_variant_object(F.struct(F.struct(items.alias("values")).alias("arrayValue"))))
+        .otherwise(F.to_variant_object(F.struct(text.alias("stringValue"))))
+    )
 
 
 def _attr(key: str, value: Column) -> Column:
@@ -106,6 +103,11 @@ def _attr(key: str, value: Column) -> Column:
     return F.when(value.isNotNull(), F.struct(F.lit(key).alias("key"), F.to_variant_object(F.struct(value.alias("stringValue"))).alias("value")))
 
 
+def _json_attr(key: str, text: Column) -> Column:
+    """OTLP attribute of JSON or plain text."""
+    return F.when(text.isNotNull(), F.struct(F.lit(key).alias("key"), _any_value(parse_or_text(text)).alias("value")))
+
+
 def trace_rows_to_objects(rows: DataFrame) -> DataFrame:
     """Manual trace rows → one OTLP export object each (K9).
 
@@ -116,10 +118,10 @@ def trace_rows_to_objects(rows: DataFrame) -> DataFrame:
     """
     name = F.coalesce(F.col("name"), F.lit("manual trace"))
     ns = (F.unix_micros(F.col("timestamp")) * 1000).cast("string")
-    md = F.coalesce(F.from_json(F.col("metadata"), "map<string,string>"), F.create_map().cast("map<string,string>"))
+    md = F.coalesce(F.try_parse_json("metadata").try_cast("map<string,variant>"), F.create_map().cast("map<string,variant>"))
     md_attrs = F.transform(
         F.map_entries(md),
-        lambda e: F.struct(F.concat(F.lit("langfuse.trace.metadata."), e["key"]).alias("key"), F.to_variant_object(F.struct(e["value"].alias("stringValue"))).alias("value")),
+        lambda e: F.struct(F.concat(F.lit("langfuse.trace.metadata."), e["key"]).alias("key"), _any_value(e["value"]).alias("value")),
     )
     base = F.filter(
         F.array(
@@ -128,10 +130,10 @@ def trace_rows_to_objects(rows: DataFrame) -> DataFrame:
             _attr("langfuse.environment", F.lit("default")),
             _attr("user.id", F.nullif(F.col("user_id"), F.lit(""))),
             _attr("session.id", F.nullif(F.col("session_id"), F.lit(""))),
-            _attr("langfuse.trace.input", F.col("input")),
-            _attr("langfuse.observation.input", F.col("input")),
-            _attr("langfuse.trace.output", F.col("output")),
-            _attr("langfuse.observation.output", F.col("output")),
+            _json_attr("langfuse.trace.input", F.col("input")),
+            _json_attr("langfuse.observation.input", F.col("input")),
+            _json_attr("langfuse.trace.output", F.col("output")),
+            _json_attr("langfuse.observation.output", F.col("output")),
         ),
         lambda x: x.isNotNull(),
     )
@@ -206,14 +208,39 @@ def score_rows_to_events(rows: DataFrame, now: Column | None = None) -> DataFram
     )
 
 
-
 def write_otlp_objects(objects: DataFrame, root: str, project: str, write_time: Column, prefix: str = "") -> None:
-    """Write export objects as JSON lines (one object per line) under the UTC
-    minute layout ``otel/<project>/year=/month=/day=/hour=/minute=`` (K1); the
-    time parts are partition columns, so a time window prunes whole directories."""
+    """Write export objects one per line, each with its key, under the UTC minute
+    layout ``otel/<project>/year=/month=/day=/hour=/minute=`` (K1); the time parts
+    are partition columns, so ``files.otlp_window`` reads only the folders it needs."""
     parts = {"year": "yyyy", "month": "MM", "day": "dd", "hour": "HH", "minute": "mm"}
     out = objects.select(
-        F.to_json(F.col("resource_spans")).alias("value"),
+        F.to_json(F.struct(F.col("object_key").alias("key"), F.col("resource_spans").alias("resourceSpans"))).alias("value"),
         *[F.date_format(write_time, fmt).alias(name) for name, fmt in parts.items()],
     )
     out.write.mode("append").partitionBy(*parts).text(f"{root.rstrip('/')}/{normalize_prefix(prefix)}otel/{project}")
+
+
+def write_objects(objects: DataFrame, root: str, key: str = "key", content: str = "content", sha256: str | None = None) -> DataFrame:
+    """Write one file per row below ``root`` (K2, K3); returns key, n_bytes and sha256 of what was
+    written. Keys are taken literally. With ``sha256``, a row whose content does not have that hash fails."""
+    base = root if "://" in root else "file://" + re.sub(r"^file:/+", "/", root)
+    rows = objects.select(F.col(key).alias("key"), F.col(content).alias("content"), (F.col(sha256) if sha256 else F.lit(None).cast("string")).alias("want"))
+
+    def put(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = pa.fs.FileSystem.from_uri(base.rstrip("/").replace("%", "%25").replace(" ", "%20"))
+        for batch in batches:
+            sizes, hashes = [], []
+            for name, text, want in zip(*(batch.column(c).to_pylist() for c in ("key", "content", "want"))):
+                data = text.encode()
+                digest = hashlib.sha256(data).hexdigest()
+                if want is not None and want != digest:
+                    raise ValueError(f"content of {name} does not have the stated hash")
+                path = f"{top}/{name}"
+                fs.create_dir(path.rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(path, compression=None) as f:
+                    f.write(data)
+                sizes.append(len(data))
+                hashes.append(digest)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sizes, pa.int64()), pa.array(hashes, pa.string())], ["key", "n_bytes", "sha256"])
+
+    return rows.mapInArrow(put, "key string, n_bytes long, sha256 string")

@@ -307,14 +307,6 @@ def _envelope_problems() -> Column:
     )
 
 
-def event_problems(event: Column) -> Column:
-    """array<string> of every problem with one ingestion event (empty = valid).
-
-    Unstaged form for ad-hoc use; ``validate`` stages the same checks.
-    """
-    raise NotImplementedError("use validate(), which stages the per-field tags")
-
-
 # ------------------------------------------------------------------ cleaning
 
 
@@ -364,9 +356,9 @@ def _clean_numeric_record(v: Column, allow_text: bool) -> Column:
     def keep(_k: Column, x: Column) -> Column:
         d = F.try_variant_get(x, "$", "double")
         lead = F.regexp_extract(_text(x), r"^\s*([+-]?\d+)", 1)
-        parsed = F.when(lead != "", lead.cast("long"))
+        parsed = F.when(lead != "", lead).try_cast("decimal(38,0)")
         if allow_text:
-            return F.when(_is_int(x) & (d >= 0), x).when(is_string(x) & (parsed >= 0), parsed.cast("variant"))
+            return F.when(_is_int(x) & (d >= 0), x).when(is_string(x) & (parsed >= 0), F.coalesce(parsed.try_cast("long").cast("variant"), parsed.try_cast("double").cast("variant")))
         return F.when(is_number(x) & (d >= 0), x)
 
     cleaned = F.map_filter(F.transform_values(_vmap(v), keep), lambda k, x: x.isNotNull())

@@ -7,6 +7,7 @@ are aliased to the names the DuckDB oracle uses.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -99,7 +100,7 @@ def project_scope(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("dedupe_strict")
 def dedupe_strict(spark: SparkSession, sf: str) -> DataFrame:
-    return raw.duplicate_event_ids(st.f1_raw_batch(spark, sf))
+    return raw.duplicate_event_ids(st.f1_raw_batch(spark, sf)).select("event_id", "copies")
 
 
 def _f1_split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -213,12 +214,12 @@ def traces_list(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("trace_get")
 def trace_get(spark: SparkSession, sf: str) -> DataFrame:
-    return _trace_out(reads.trace_get(st.f1_state(spark, sf).traces, F1_TRACE))
+    return _trace_out(reads.trace_get(st.f1_state(spark, sf).traces, overlays.PROJECT, F1_TRACE))
 
 
 @query("observations_list")
 def observations_list(spark: SparkSession, sf: str) -> DataFrame:
-    o = reads.observations_list(st.f1_state(spark, sf).observations, F1_TRACE, 100)
+    o = reads.observations_list(st.f1_state(spark, sf).observations, overlays.PROJECT, F1_TRACE, 100)
     return _obs_out(o)
 
 
@@ -229,7 +230,7 @@ def sessions_list(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("session_get")
 def session_get(spark: SparkSession, sf: str) -> DataFrame:
-    return reads.session_get(st.f1_state(spark, sf).sessions, F1_SESSION)
+    return reads.session_get(st.f1_state(spark, sf).sessions, overlays.PROJECT, F1_SESSION)
 
 
 @query("high_cost_traces")
@@ -249,7 +250,7 @@ def repeated_sessions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("entity_history")
 def entity_history(spark: SparkSession, sf: str) -> DataFrame:
-    return reads.entity_history(st.f1_raw(spark, sf), F1_ENTITY)
+    return reads.entity_history(st.f1_raw(spark, sf), overlays.PROJECT, F1_ENTITY)
 
 
 @query("trace_count")
@@ -309,7 +310,7 @@ def score_source(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("scores_list")
 def scores_list(spark: SparkSession, sf: str) -> DataFrame:
-    return reads.scores_list(st.f3_state(spark, sf).scores, trace_id=F3_TRACE).select(*_SCORE_COLS)
+    return reads.scores_list(st.f3_state(spark, sf).scores, overlays.PROJECT, trace_id=F3_TRACE).select(*_SCORE_COLS)
 
 
 @query("low_score_traces")
@@ -332,7 +333,7 @@ def direct_append(spark: SparkSession, sf: str) -> DataFrame:
     incoming = st.f3_raw(spark, sf)
     appended = raw.dedupe_skip(incoming, stored)
     return appended.groupBy("event_type").agg(F.count(F.lit(1)).alias("processed")).join(
-        incoming.join(stored.select("event_id"), "event_id", "left_semi")
+        incoming.join(stored.select(*raw.EVENT_KEY), raw.EVENT_KEY, "left_semi")
         .groupBy("event_type")
         .agg(F.count(F.lit(1)).alias("skipped")),
         "event_type",
@@ -545,7 +546,7 @@ def conversation_observations(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("conversation_timeline")
 def conversation_timeline(spark: SparkSession, sf: str) -> DataFrame:
-    return _conv_obs(reads.observations_list(st.f2_state(spark, sf).observations, F2_TRACE, 100))
+    return _conv_obs(reads.observations_list(st.f2_state(spark, sf).observations, overlays.PROJECT, F2_TRACE, 100))
 
 
 @query("conversation_costs")
@@ -680,3 +681,98 @@ def score_rows_to_events(spark: SparkSession, sf: str) -> DataFrame:
         F.to_json(F.try_variant_get(F.parse_json(b), "$.value", "variant")).alias("value_json"),
         F.get_json_object(b, "$.createdAt").alias("created_at"),
     )
+
+
+# ------------------------------------------------- merge, views, upserts
+
+
+@query("merge_metadata")
+def merge_metadata_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Nested values, scalars over objects and back, and twelve levels, per user of
+    the event stream (P16)."""
+    from spanlake.operators.metadata import merge_metadata
+    from spanlake.sources.tables import table
+
+    i = F.col("event_id").cast("string")
+    deep = "".join(f'{{"l{n}":' for n in range(11))
+    text = (
+        F.when(F.col("event_id") % 5 == 0, F.concat(F.lit('{"a":{"x":'), i, F.lit("}}")))
+        .when(F.col("event_id") % 5 == 1, F.concat(F.lit('{"a":{"y":'), i, F.lit("}}")))
+        .when(F.col("event_id") % 5 == 2, F.concat(F.lit('{"a":'), i, F.lit("}")))
+        .when(F.col("event_id") % 5 == 3, F.concat(F.lit('{"deep":' + deep), i, F.lit("}" * 12)))
+        .otherwise(F.concat(F.lit('{"a":{"x":{"z":'), i, F.lit('}},"k":'), i, F.lit("}")))
+    )
+    ev = table(spark, sf, "events", "event_id", "ts", "user_id").withColumn("text", text)
+    out = merge_metadata(ev, ["user_id"], "text", F.struct("ts", "event_id"))
+
+    def at(path: str) -> F.Column:
+        return F.get_json_object("metadata_json", path).try_cast("long")
+
+    levels = ".".join(f"l{n}" for n in range(11))
+    return out.select(
+        "user_id", at("$.a").alias("a"), at("$.a.x").alias("x"), at("$.a.x.z").alias("z"), at("$.a.y").alias("y"),
+        at(f"$.deep.{levels}").alias("deep"), at("$.k").alias("k"),
+    )
+
+
+@query("events_raw_view")
+def events_raw_view_q(spark: SparkSession, sf: str) -> DataFrame:
+    """The raw log with its computed ``event_json``."""
+    v = raw.events_raw_view(st.f1_raw(spark, sf))
+    j = F.col("event_json")
+    return v.select(
+        "event_id", F.get_json_object(j, "$.id").alias("json_id"), F.get_json_object(j, "$.type").alias("json_type"), F.get_json_object(j, "$.timestamp").alias("json_timestamp")
+    )
+
+
+_SYNCED: dict[tuple[str, str, str], object] = {}
+
+
+def _committed(spark: SparkSession, name: str, sf: str, first: DataFrame, second: DataFrame):
+    """State after two commits: a first part of a raw log, then the rest (with what
+    it repeats of the first)."""
+    from spanlake.session import checkpoint_dir
+    from spanlake.streaming.store import StateStore
+    from spanlake.streaming.sync import commit
+
+    memo = (spark.sparkContext.applicationId, name, sf)
+    if memo not in _SYNCED:
+        state = StateStore(spark, f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}", buckets=8)
+        commit(state, first)
+        commit(state, second)
+        _SYNCED[memo] = state
+    return _SYNCED[memo]
+
+
+def _f1_committed(spark: SparkSession, sf: str):
+    batch = st.f1_raw_batch(spark, sf)
+    second = F.col("event_timestamp") >= F.lit(overlays.F1_SECOND_BATCH_FROM).cast("timestamp")
+    return _committed(spark, "f1_committed", sf, batch.where(~second), batch)
+
+
+@query("upsert_observations")
+def upsert_observations(spark: SparkSession, sf: str) -> DataFrame:
+    """Observations after two commits equal one fold (K5)."""
+    return _obs_out(_f1_committed(spark, sf).read("observations"))
+
+
+@query("upsert_traces")
+def upsert_traces(spark: SparkSession, sf: str) -> DataFrame:
+    """Trace costs after two commits equal one fold and rollup (K5)."""
+    return _f1_committed(spark, sf).read("traces").select("id", _r6(F.col("total_cost")).alias("total_cost"))
+
+
+@query("upsert_scores")
+def upsert_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores after two commits equal one fold (K5)."""
+    log = st.f3_raw(spark, sf)
+    early = F.pmod(F.xxhash64("event_id"), F.lit(2)) == 0
+    return _committed(spark, "f3_committed", sf, log.where(early), log).read("scores").select(*_SCORE_COLS)
+
+
+@query("ledger")
+def ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """Events that the commits' records count, against those in the raw log (K6)."""
+    state = _f1_committed(spark, sf)
+    log = state.read_raw().agg(F.count(F.lit(1)).alias("stored"), F.countDistinct("event_id").alias("distinct_ids"))
+    return log.select(F.lit(state.record()["counters"]["events"]).cast("long").alias("counted"), "stored", "distinct_ids")

@@ -532,3 +532,33 @@ ORACLE.update(
             FROM labels""",
     }
 )
+
+ORACLE["merge_metadata"] = """
+WITH e AS (
+  SELECT user_id, event_id, event_id % 5 AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS o FROM events
+), c AS (
+  SELECT *, coalesce(max(o) FILTER (k = 2) OVER (PARTITION BY user_id), 0) AS cut FROM e
+), f AS (
+  SELECT user_id,
+    arg_max({'k': k, 'id': event_id}, o) FILTER (k IN (0, 1, 2, 4)) AS last_a,
+    arg_max({'k': k, 'id': event_id}, o) FILTER (k IN (0, 4) AND o > cut) AS last_x,
+    max(event_id) FILTER (k = 2) AS any_two,
+    arg_max(event_id, o) FILTER (k = 1 AND o > cut) AS y,
+    arg_max(event_id, o) FILTER (k = 3) AS deep,
+    arg_max(event_id, o) FILTER (k = 4) AS k
+  FROM c GROUP BY user_id
+)
+SELECT user_id, CASE WHEN last_a.k = 2 THEN last_a.id END AS a, CASE WHEN last_x.k = 0 THEN last_x.id END AS x,
+  CASE WHEN last_x.k = 4 THEN last_x.id END AS z, y, deep, k
+FROM f
+"""
+ORACLE["events_raw_view"] = f"""
+SELECT event_id, event_id AS json_id, event_type AS json_type, strftime(event_timestamp, '%Y-%m-%dT%H:%M:%S.%gZ') AS json_timestamp
+FROM ({ORACLE["raw_log"]})
+"""
+ORACLE["upsert_observations"] = ORACLE["merge_observations"]
+ORACLE["upsert_traces"] = ORACLE["trace_cost_rollup"]
+ORACLE["upsert_scores"] = ORACLE["merge_scores"]
+ORACLE["ledger"] = f"""
+SELECT count(*) AS counted, count(*) AS stored, count(DISTINCT event_id) AS distinct_ids FROM ({ORACLE["raw_log"]})
+"""

@@ -27,15 +27,15 @@ def traces_list(traces: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
     return traces.orderBy(F.col("start_time").desc_nulls_last(), F.col("id").asc()).limit(check_limit(limit))
 
 
-def trace_get(traces: DataFrame, trace_id: str) -> DataFrame:
-    """One trace by id (Q2)."""
-    return traces.where(F.col("id") == trace_id).limit(1)
+def trace_get(traces: DataFrame, project_id: str, trace_id: str) -> DataFrame:
+    """One trace of a project by id (Q2)."""
+    return traces.where((F.col("project_id") == project_id) & (F.col("id") == trace_id)).limit(1)
 
 
-def observations_list(observations: DataFrame, trace_id: str, limit: int = DEFAULT_LIMIT) -> DataFrame:
+def observations_list(observations: DataFrame, project_id: str, trace_id: str, limit: int = DEFAULT_LIMIT) -> DataFrame:
     """Observations of a trace in chronological order, id tie-break (Q3)."""
     return (
-        observations.where(F.col("trace_id") == trace_id)
+        observations.where((F.col("project_id") == project_id) & (F.col("trace_id") == trace_id))
         .orderBy(F.col("start_time").asc_nulls_last(), F.col("id").asc())
         .limit(check_limit(limit))
     )
@@ -46,13 +46,14 @@ def sessions_list(sessions: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
     return sessions.orderBy(F.col("last_seen_at").desc_nulls_last(), F.col("id").asc()).limit(check_limit(limit))
 
 
-def session_get(sessions: DataFrame, session_id: str) -> DataFrame:
-    """One session by id (Q5)."""
-    return sessions.where(F.col("id") == session_id).limit(1)
+def session_get(sessions: DataFrame, project_id: str, session_id: str) -> DataFrame:
+    """One session of a project by id (Q5)."""
+    return sessions.where((F.col("project_id") == project_id) & (F.col("id") == session_id)).limit(1)
 
 
 def scores_list(
     scores: DataFrame,
+    project_id: str,
     trace_id: str | None = None,
     observation_id: str | None = None,
     limit: int = DEFAULT_LIMIT,
@@ -61,7 +62,7 @@ def scores_list(
     filter is required; both combine with AND."""
     if trace_id is None and observation_id is None:
         raise ValueError("scores list requires trace_id or observation_id")
-    out = scores
+    out = scores.where(F.col("project_id") == project_id)
     if trace_id is not None:
         out = out.where(F.col("trace_id") == trace_id)
     if observation_id is not None:
@@ -89,11 +90,11 @@ def low_score_traces(traces: DataFrame, scores: DataFrame, threshold: float = 0.
     The score filter is applied below the join, so only low scores shuffle.
     """
     low = scores.where(F.col("value") < threshold).select(
-        F.col("trace_id").alias("id"), F.col("name").alias("score_name"), "value", F.col("id").alias("score_id")
+        "project_id", F.col("trace_id").alias("id"), F.col("name").alias("score_name"), "value", F.col("id").alias("score_id")
     )
     return (
         traces.select("id", "name", "start_time", "project_id")
-        .join(low, ["id"], "inner")
+        .join(low, ["project_id", "id"], "inner")
         .orderBy(F.col("start_time").desc_nulls_last(), F.col("id").asc(), F.col("score_id").asc())
         .limit(check_limit(limit))
     )
@@ -103,12 +104,12 @@ def score_agreement(traces: DataFrame, scores: DataFrame, score_name: str, outpu
     """Model score inside the trace output vs the expected score attached to the
     trace (Q15): one row per (trace, score) with the absolute difference."""
     expected = scores.where(F.col("name") == score_name).select(
-        F.col("trace_id").alias("id"), F.col("value").alias("expected_score")
+        "project_id", F.col("trace_id").alias("id"), F.col("value").alias("expected_score")
     )
-    model = F.get_json_object(F.col("output_json"), output_path).cast("double")
+    model = F.get_json_object(F.col("output_json"), output_path).try_cast("double")
     return (
-        traces.select("id", model.alias("model_score"))
-        .join(expected, ["id"], "inner")
+        traces.select("project_id", "id", model.alias("model_score"))
+        .join(expected, ["project_id", "id"], "inner")
         .select("id", "model_score", "expected_score", F.round(F.abs(F.col("model_score") - F.col("expected_score")), 6).alias("abs_diff"))
     )
 
@@ -123,10 +124,10 @@ def repeated_sessions(sessions: DataFrame) -> DataFrame:
     return sessions.where(F.col("trace_count") > 1)
 
 
-def entity_history(events_raw: DataFrame, entity_id: str) -> DataFrame:
-    """Raw events of one entity in time order (Q11)."""
+def entity_history(events_raw: DataFrame, project_id: str, entity_id: str) -> DataFrame:
+    """Raw events of one entity of a project in time order (Q11)."""
     return (
-        events_raw.where(F.col("entity_id") == entity_id)
+        events_raw.where((F.col("project_id") == project_id) & (F.col("entity_id") == entity_id))
         .select("event_id", "event_type", "event_timestamp", "entity_id", "trace_id", "observation_id")
         .orderBy(F.col("event_timestamp").asc_nulls_last(), F.col("event_id").asc())
     )
@@ -140,7 +141,7 @@ def usage_by_model(events_raw: DataFrame) -> DataFrame:
     """
     b = F.col("body_json")
     model = F.get_json_object(b, "$.model")
-    total = F.get_json_object(b, "$.usageDetails.total").cast("double")
+    total = F.get_json_object(b, "$.usageDetails.total").try_cast("double")
     return (
         events_raw.where(model.isNotNull())
         .groupBy(model.alias("model"))
@@ -162,18 +163,23 @@ def trace_bytes_stats(sizes: DataFrame) -> DataFrame:
 
     ``sizes``: (trace_id, bytes). Percentile p is the value at 0-based index
     floor((n-1)·p) of the ascending sizes. Rows are first counted per distinct
-    size (map-side combined), so the running count that locates the indexes
-    runs over distinct sizes, not over traces.
+    size (map-side combined). The running count that locates the indexes is taken
+    within ranges of sizes (one per bit length), and over the 64 ranges' totals.
     """
     from pyspark.sql import Window
 
     hist = sizes.groupBy("bytes").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.orderBy("bytes").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = hist.select("bytes", "c", F.sum("c").over(w).alias("cum"), F.sum("c").over(Window.partitionBy()).alias("n"))
+    hist = hist.withColumn("range", F.length(F.bin("bytes")))
+    upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = hist.groupBy("range").agg(F.sum("c").alias("r"))
+    totals = totals.select("range", F.coalesce(F.sum("r").over(upto), F.lit(0)).alias("before"), F.sum("r").over(Window.partitionBy()).alias("n"))
+    inside = Window.partitionBy("range").orderBy("bytes").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cum = hist.withColumn("inside", F.sum("c").over(inside)).join(totals, "range")
+    cum = cum.select("bytes", "c", "n", (F.col("before") + F.col("inside")).alias("cum"))
 
     def at(p: float) -> F.Column:
         rank = F.floor((F.col("n") - 1) * F.lit(p)) + 1
-        return F.min(F.when(F.col("cum") >= rank, F.col("bytes"))).alias(f"p{int(p * 100)}_bytes")
+        return F.min(F.when(F.col("cum") >= rank, F.col("bytes")))
 
     return cum.agg(
         F.max("n").alias("traces"),
@@ -183,3 +189,19 @@ def trace_bytes_stats(sizes: DataFrame) -> DataFrame:
         at(0.95).alias("p95_bytes"),
         at(1.0).alias("max_bytes"),
     )
+
+
+def storage_stats(objects: DataFrame, manifests: DataFrame) -> DataFrame:
+    """Storage statistics of stored OTLP objects (object_key, resource_spans) and
+    manifests (Q13): counts, stored bytes as JSON text, mean per trace, and the
+    spread of span bytes over traces."""
+    from spanlake.operators import otlp
+
+    stored = objects.agg(F.count(F.lit(1)).alias("object_count"), F.coalesce(F.sum(F.octet_length(F.to_json("resource_spans"))), F.lit(0)).alias("total_bytes"))
+    spans = otlp.flatten_spans(objects).select(F.try_variant_get("span", "$.traceId", "string").alias("trace_id"), F.octet_length(F.to_json("span")).alias("bytes"))
+    per_trace = spans.where(F.coalesce("trace_id", F.lit("")) != "").groupBy("trace_id").agg(F.sum("bytes").alias("bytes"))
+    named = manifests.agg(F.count(F.lit(1)).alias("manifest_count"))
+    # three one-row reports side by side
+    out = stored.join(named, F.lit(True)).join(trace_bytes_stats(per_trace), F.lit(True))
+    mean = F.coalesce(F.round(F.col("total_bytes") / F.nullif(F.col("traces"), F.lit(0))), F.lit(0)).cast("long")
+    return out.select("object_count", "manifest_count", "total_bytes", mean.alias("mean_bytes_per_trace"), "min_bytes", "p50_bytes", "p95_bytes", "max_bytes")

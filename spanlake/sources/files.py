@@ -9,51 +9,106 @@ decompressed by the reader. ``object_key`` is the path relative to the root.
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta, timezone
+import re
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from spanlake.functions.json import is_array, vget
+from spanlake.functions.json import is_array, is_string, vget
 from spanlake.operators.store import normalize_prefix
 from spanlake.schema import MANIFEST
 
 
-def _root_uri(root: str) -> str:
-    return root if "://" in root or root.startswith("file:") else "file://" + root
+def _plain(path: str) -> str:
+    """A path without the scheme of the local file system."""
+    return re.sub(r"^file:/+", "/", path)
 
 
 def relative_key(path_col: Column, root: str) -> Column:
-    """Object key of a file: its path below ``root``."""
-    r = normalize_prefix(root.replace("file://", "").replace("file:", ""))
-    return F.regexp_replace(F.regexp_replace(path_col, r"^file:(//)?", ""), "^" + r.replace(".", r"\."), "")
-
-
-def read_documents(spark: SparkSession, root: str, paths: list[str] | None = None, lines: bool = False) -> DataFrame:
-    """(object_key, content, modified) for every file below ``root`` (or ``paths``)."""
-    reader = spark.read.option("recursiveFileLookup", "true")
-    if not lines:
-        reader = reader.option("wholetext", "true")
-    df = reader.text(paths if paths is not None else root)
-    return df.select(
+    """Object key of a file: its path below ``root``, as it is spelt (file paths
+    come percent-encoded; ``+`` stands for itself)."""
+    below = _plain(normalize_prefix(root))
+    plain = F.url_decode(F.replace(F.regexp_replace(path_col, "^file:/+", "/"), F.lit("+"), F.lit("%2B")))
+    return F.when(plain.startswith(below), F.substr(plain, F.lit(len(below) + 1))).otherwise(plain)
+
+
+def documents(rows: DataFrame, root: str) -> DataFrame:
+    """(object_key, content, modified) of rows of the text source."""
+    return rows.select(
         relative_key(F.col("_metadata.file_path"), root).alias("object_key"),
         F.col("value").alias("content"),
         F.col("_metadata.file_modification_time").alias("modified"),
     )
 
 
+def read_documents(spark: SparkSession, folder: str, root: str | None = None, lines: bool = False) -> DataFrame:
+    """(object_key, content, modified) for every file below ``folder``; keys are
+    relative to ``root`` (default: the folder)."""
+    reader = spark.read.option("recursiveFileLookup", "true").option("wholetext", str(not lines).lower())
+    return documents(reader.text(folder), root or folder)
+
+
+def fetch(entries: DataFrame, root: str) -> DataFrame:
+    """``entries`` with the ``content`` of the object that ``object_key`` names below
+    ``root``. Keys are taken literally; an object that is missing is an error."""
+    names = entries.columns
+    base = root if "://" in root else "file://" + _plain(root)
+
+    def get(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = pa.fs.FileSystem.from_uri(base.rstrip("/").replace("%", "%25").replace(" ", "%20"))
+        for batch in batches:
+            texts = []
+            for key in batch.column("object_key").to_pylist():
+                with fs.open_input_stream(f"{top}/{key}", compression="detect") as f:
+                    texts.append(f.read().decode())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, "content"])
+
+    return entries.mapInArrow(get, T.StructType([*entries.schema, T.StructField("content", T.StringType())]))
+
+
+def unreadable(what: str) -> Column:
+    """Fails the job: an object that cannot be read must not count as processed."""
+    return F.raise_error(F.concat(F.lit(f"unreadable {what}: "), F.coalesce(F.col("object_key"), F.lit("?")))).cast("string").cast("variant")
+
+
+def parse_errors(docs: DataFrame) -> DataFrame:
+    """Keys of documents that are not JSON, for a look before a sync that fails on them."""
+    return docs.where(F.try_parse_json("content").isNull()).select("object_key", "modified", F.length("content").alias("n_chars"))
+
+
 def otlp_objects(docs: DataFrame) -> DataFrame:
     """Stored OTLP batches: each document is a JSON array of resourceSpans."""
     v = F.try_parse_json(F.col("content"))
-    return docs.select("object_key", "modified", F.when(is_array(v), v).alias("resource_spans")).where(
-        F.col("resource_spans").isNotNull()
-    )
+    return docs.select("object_key", "modified", F.when(is_array(v), v).otherwise(unreadable("OTLP object")).alias("resource_spans"))
+
+
+def otlp_lines(docs: DataFrame) -> DataFrame:
+    """Objects of a file with one ``{"key": ..., "resourceSpans": [...]}`` per line."""
+    v = F.try_parse_json(F.col("content"))
+    key, spans = F.try_variant_get(v, "$.key", "string"), vget(v, "$.resourceSpans")
+    good = key.isNotNull() & is_array(spans)
+    return docs.select(key.alias("object_key"), "modified", F.when(good, spans).otherwise(unreadable("OTLP line in")).alias("resource_spans"))
+
+
+def otlp_window(spark: SparkSession, root: str, project: str, since: str, until: str, prefix: str = "") -> DataFrame:
+    """OTLP objects that ``store.write_otlp_objects`` wrote in minutes [since, until)
+    (UTC ISO text). The time parts are partition columns: other folders are not read (S4)."""
+    docs = spark.read.text(f"{normalize_prefix(root)}{normalize_prefix(prefix)}otel/{project}")
+    minute = F.make_timestamp(*[F.col(c).cast("int") for c in ("year", "month", "day", "hour", "minute")], F.lit(0))
+    within = (minute >= F.lit(since).cast("timestamp")) & (minute < F.lit(until).cast("timestamp"))
+    docs = docs.where(within)
+    return otlp_lines(docs.select(F.col("_metadata.file_path").alias("object_key"), F.col("value").alias("content"), F.col("_metadata.file_modification_time").alias("modified")))
 
 
 def otlp_requests(docs: DataFrame) -> DataFrame:
     """OTLP/JSON export requests ``{resourceSpans: [...]}``; an empty or missing
     list yields no object (S6)."""
-    rs = vget(F.try_parse_json(F.col("content")), "$.resourceSpans")
+    v = F.try_parse_json(F.col("content"))
+    rs = vget(F.when(v.isNotNull(), v).otherwise(unreadable("OTLP request")), "$.resourceSpans")
     return docs.select("object_key", "modified", F.when(is_array(rs), rs).alias("resource_spans")).where(
         F.size(F.col("resource_spans").try_cast("array<variant>")) > 0
     )
@@ -70,7 +125,10 @@ def event_batches(docs: DataFrame) -> DataFrame:
 
 def manifests(docs: DataFrame) -> DataFrame:
     """Batch manifests exploded to one row per named entity object."""
-    m = F.from_json(F.col("content"), MANIFEST)
+    v = F.try_parse_json(F.col("content"))
+    good = is_array(vget(v, "$.objects")) & is_string(vget(v, "$.batchId"))
+    text = F.when(good, F.col("content")).otherwise(unreadable("manifest").cast("string"))
+    m = F.from_json(text, MANIFEST)
     return docs.select(F.col("object_key").alias("manifest_key"), "modified", m.alias("m")).select(
         "manifest_key", "modified", F.col("m.batchId").alias("batch_id"), F.col("m.projectId").alias("project_id"),
         F.explode("m.objects").alias("o"),
@@ -80,13 +138,13 @@ def manifests(docs: DataFrame) -> DataFrame:
     )
 
 
-def manifest_events(entries: DataFrame, objects: DataFrame) -> DataFrame:
+def manifest_events(objects: DataFrame) -> DataFrame:
     """Events of the entity objects named by manifests (S3): only named objects
     are used (the manifest is the commit marker); the entity id comes from the
-    manifest entry. ``objects``: (object_key, content) of entity-object files."""
-    named = entries.join(objects.select("object_key", "content"), "object_key", "inner")
-    ev = named.select("manifest_key", "object_key", "entity_id", F.posexplode(F.try_parse_json("content").try_cast("array<variant>")).alias("pos", "event"))
-    return ev
+    manifest entry. ``objects``: manifest entries with the object's content."""
+    v = F.try_parse_json("content")
+    events = F.when(is_array(v), v).otherwise(unreadable("entity object")).cast("array<variant>")
+    return objects.select("manifest_key", "object_key", "entity_id", F.posexplode(events).alias("pos", "event"))
 
 
 def envelope(events: DataFrame, event_col: str = "event") -> DataFrame:
@@ -100,39 +158,3 @@ def envelope(events: DataFrame, event_col: str = "event") -> DataFrame:
         F.try_variant_get(e, "$.type", "string").alias("type"),
         F.to_json(vget(e, "$.body")).alias("body"),
     ).drop(event_col)
-
-
-# ------------------------------------------------------------ bucket pruning
-
-
-def floor_minute(t: datetime) -> datetime:
-    return t.replace(second=0, microsecond=0)
-
-
-def scan_window(last_finalized: datetime | None, now: datetime, late_minutes: int = 30) -> tuple[datetime | None, datetime, datetime]:
-    """(start, end, finalized) of an incremental listing.
-
-    No watermark → full listing (start None). Otherwise start 30 minutes before
-    the last finalized minute; the new watermark is five minutes before now.
-    """
-    end = floor_minute(now)
-    finalized = end - timedelta(minutes=5)
-    start = None if last_finalized is None else last_finalized - timedelta(minutes=late_minutes)
-    return start, end, finalized
-
-
-def hour_bucket_paths(root: str, prefix: str, start: datetime, end: datetime) -> list[str]:
-    """UTC hour prefixes ``<prefix>yyyy/MM/dd/HH/`` from start's hour through
-    end, deduplicated and sorted (S4). The list has one entry per hour of the
-    window, so it stays small however much data the hours hold."""
-    cur = floor_minute(start).replace(minute=0)
-    last = floor_minute(end)
-    out = []
-    while cur <= last:
-        out.append(f"{normalize_prefix(root)}{normalize_prefix(prefix)}{cur:%Y/%m/%d/%H}/")
-        cur += timedelta(hours=1)
-    return sorted(set(out))
-
-
-def utc(ts: str) -> datetime:
-    return datetime.fromisoformat(ts.replace("Z", "+00:00")).astimezone(timezone.utc).replace(tzinfo=None)

@@ -1,137 +1,125 @@
 """Incremental, replay-safe sync: stored objects → raw log → current state.
 
-Two Structured Streaming file sources (OTLP batches first, then manifests)
-feed ``foreachBatch``. The file-source checkpoint is the processed-object
-ledger, so a second ``availableNow`` run reads nothing. Each micro-batch:
-
-1. maps objects to raw-log rows with deterministic event ids;
-2. skips ids already stored and appends the rest to the raw log;
-3. refolds only the keys the batch touched, from their full stored history
-   (equal to a full rebuild), and writes a new snapshot of each state table
-   (existing rows of untouched keys + rebuilt rows);
-4. recomputes the cost of every touched trace and appends an audit row.
-
-Every step is idempotent, so replaying a batch after a failure is harmless.
+Two Structured Streaming file sources (OTLP batches and manifests) feed
+``foreachBatch``. A micro-batch leaves out objects that the ledger has, maps the
+rest to raw-log rows with deterministic event ids, skips event ids already stored,
+refolds the keys that the new rows touch from their stored history, and publishes
+one commit record (``streaming.store``): raw rows, state, costs, ledger, counters
+and watermark become visible together. A batch that fails at any step leaves no
+trace, and one that is replayed after its commit finds its objects in the ledger.
+
+Reads and writes follow the batch: history, event ids, costs and state are read
+and rewritten in the hash buckets that the batch touches.
 """
 
 from __future__ import annotations
 
-import time
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.operators import fold, incremental, otlp, raw, store
+from spanlake.operators import fold, otlp, raw, store
+from spanlake.operators.fold import rollup_trace_costs
 from spanlake.sources import files
-
-TABLES = ("traces", "observations", "scores")
-
-
-class StateStore:
-    """Versioned snapshots under ``root``: ``<table>/v=<n>/`` plus the raw log."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark = spark
-        self.root = root.rstrip("/")
-
-    def _fs(self):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm
-
-    def versions(self, table: str) -> list[int]:
-        fs, jvm = self._fs()
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
-        if not fs.exists(p):
-            return []
-        out = []
-        for st in fs.listStatus(p):
-            name = st.getPath().getName()
-            if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-                out.append(int(name[2:]))
-        return sorted(out)
-
-    def read(self, table: str) -> DataFrame | None:
-        v = self.versions(table)
-        return self.spark.read.parquet(f"{self.root}/{table}/v={v[-1]}") if v else None
-
-    def next_path(self, table: str) -> str:
-        v = self.versions(table)
-        return f"{self.root}/{table}/v={(v[-1] + 1) if v else 0}"
-
-    def raw_path(self) -> str:
-        return f"{self.root}/events_raw"
-
-    def read_raw(self) -> DataFrame | None:
-        fs, jvm = self._fs()
-        if not fs.exists(jvm.org.apache.hadoop.fs.Path(self.raw_path())):
-            return None
-        return self.spark.read.parquet(self.raw_path())
-
-    def audit_path(self) -> str:
-        return f"{self.root}/_sync_log"
-
-
-def commit(store_: StateStore, batch_raw: DataFrame, source: str, epoch: int, duplicates: str = "skip") -> dict:
-    """Append new raw rows and refresh the state of the keys they touch.
-
-    Every intermediate (new rows, touched keys, replayed history, rebuilt rows)
-    is written under ``_work/`` first: plans stay small, and a retried batch
-    starts from files, not from a recomputation.
+from spanlake.streaming.store import COSTS, LEDGER, StateStore, fold_key, fold_kind, touched_buckets
+
+#: Minutes by which the watermark stays behind the newest object of a commit.
+FINAL_AFTER_MINUTES = 5
+COUNTERS = ("events", "objects", "objects_skipped", "manifests", "manifests_skipped")
+
+
+def commit(
+    state: StateStore,
+    batch_raw: DataFrame,
+    source: str = "direct",
+    duplicates: str = "skip",
+    processed: DataFrame | None = None,
+    counters: dict | None = None,
+    watermark: str | None = None,
+) -> dict:
+    """Fold new raw rows into the state and publish one record.
+
+    ``processed``: ledger rows (kind, key, manifest_key) of the batch; ``counters``
+    and ``watermark`` are recorded with it. Returns the batch's counters.
     """
-    spark = store_.spark
-    work = f"{store_.root}/_work/{source}-{epoch}-{uuid.uuid4().hex}"
+    spark, record = state.spark, state.record()
+    work = f"{state.root}/_work/{uuid.uuid4().hex}"
 
     def put(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{work}/{name}")
-        return spark.read.parquet(f"{work}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{work}/{name}")
 
-    stored = store_.read_raw()
+    batch = put(batch_raw, "batch")
+    by_id, by_key, by_trace = state.bucket("project_id", "event_id"), state.bucket("project_id", fold_kind(), fold_key()), state.bucket("project_id", "trace_id")
+    stored_ids = state.log("ids", touched_buckets(batch, by_id), record)
     if duplicates == "strict":
-        # an event id seen twice (in the batch or already stored) fails the
-        # whole batch before anything is written, like a key violation
-        raw.check_no_duplicates(batch_raw, stored)
-    fresh = put(raw.dedupe_skip(batch_raw, stored), "fresh")
+        # an event id seen twice (in the batch or already stored) fails the whole batch
+        raw.check_no_duplicates(batch, stored_ids)
+    fresh = put(raw.dedupe_skip(batch, stored_ids), "fresh")
     n_fresh = fresh.count()
+    new = {k: v for k, v in record.items()}
     if n_fresh:
-        store.append_raw_log(fresh, store_.raw_path())
-        all_raw = store_.read_raw()
-        current = {t: store_.read(t) for t in TABLES}
-        touched = incremental.affected_keys(fresh)
-        if current["observations"] is not None:
-            # a re-parented observation changes its old trace's cost too
-            old = incremental.existing_keys(touched, *(c if c is not None else _empty(spark, t) for t, c in current.items()))
-            touched = touched.unionByName(old)
-        keys = put(touched.distinct(), "keys")
-        hist = put(incremental.replay_history(all_raw, keys).drop("kind", "key"), "history")
-        obs_new = put(fold.fold_observations(hist), "observations")
-        scores_new = put(fold.fold_scores(hist), "scores")
-        traces_new = put(fold.fold_traces(hist), "traces")
-        store.upsert_state(current["observations"], obs_new, store_.next_path("observations"))
-        store.upsert_state(current["scores"], scores_new, store_.next_path("scores"))
-        observations = store_.read("observations")
-        cost_ids = keys.where(F.col("kind").isin("trace", "cost_trace")).select("project_id", F.col("key").alias("id")).distinct()
-        base = traces_new
-        if current["traces"] is not None:
-            carried = current["traces"].join(cost_ids, ["project_id", "id"], "left_semi").join(
-                traces_new.select("project_id", "id"), ["project_id", "id"], "left_anti"
-            )
-            base = traces_new.unionByName(carried)
-        touched_obs = observations.join(cost_ids.withColumnRenamed("id", "trace_id"), ["project_id", "trace_id"], "left_semi")
-        rebuilt = put(fold.rollup_trace_costs(base, touched_obs), "traces_costed")
-        store.upsert_state(current["traces"], rebuilt, store_.next_path("traces"))
-    stats = {"epoch": epoch, "source": source, "events": n_fresh, "committed_at": time.time()}
-    spark.createDataFrame([stats], "epoch long, source string, events long, committed_at double").write.mode("append").parquet(
-        store_.audit_path()
-    )
-    return stats
-
-
-def _empty(spark: SparkSession, table: str) -> DataFrame:
-    from spanlake import schema
-
-    return spark.createDataFrame([], getattr(schema, table.upper()))
+        new |= _fold_in(state, record, fresh, put, by_id, by_key, by_trace)
+    if processed is not None:
+        part = uuid.uuid4().hex
+        processed.write.parquet(f"{state.root}/ledger/{part}")
+        new["ledger"] = [*record["ledger"], part]
+    stats = {k: int((counters or {}).get(k, 0)) for k in COUNTERS} | {"events": n_fresh}
+    new["counters"] = {k: record["counters"].get(k, 0) + v for k, v in stats.items()}
+    if watermark:
+        new["watermark"] = record["watermark"] | {source: max(watermark, record["watermark"].get(source, watermark))}
+    state.publish(new, record["n"])
+    return stats | {"source": source}
+
+
+def _fold_in(state: StateStore, record: dict, fresh: DataFrame, put, by_id, by_key, by_trace) -> dict:
+    raw_part, raw_buckets = state.put("raw", fresh, by_key)
+    ids_part, ids_buckets = state.put("ids", fresh.select("project_id", "event_id"), by_id)
+    keys = put(fresh.select("project_id", fold_kind().alias("kind"), fold_key().alias("key")).distinct(), "keys")
+    history = state.log("raw", raw_buckets, record).withColumns({"kind": fold_kind(), "key": fold_key()})
+    history = history.join(keys, ["project_id", "kind", "key"], "left_semi").drop("kind", "key")
+    history = put(history.unionByName(fresh), "history")
+    own = state.bucket("project_id", "id")
+    tables = {k: dict(v) for k, v in record["tables"].items()}
+
+    def replace(name: str, rebuilt: DataFrame, bucket, gone: DataFrame, on: list[str], buckets: list[int]) -> None:
+        """Rewrite the touched buckets: rows not among ``gone``, and the rebuilt ones."""
+        current = state.table(name, buckets, record)
+        part, found = state.put(name, current.join(gone.select(*on), on, "left_anti").unionByName(rebuilt.select(*current.columns)), bucket)
+        mapping = {b: i for b, i in tables.get(name, {}).items() if int(b) not in buckets}
+        tables[name] = mapping | {str(b): part for b in found}
+
+    observations = put(fold.fold_observations(history), "observations")
+    scores = put(fold.fold_scores(history), "scores")
+    traces = put(fold.fold_traces(history), "traces")
+    for name, rows in (("observations", observations), ("scores", scores)):
+        replace(name, rows, own, rows, ["project_id", "id"], touched_buckets(rows, own))
+
+    # costs by trace: a rebuilt observation leaves its old trace and enters its new one
+    observed = observations.select("project_id", F.col("id").alias("observation_id"))
+    before = state.table("observations", touched_buckets(observations, own), record)
+    before = before.select("project_id", F.col("id").alias("observation_id"), "trace_id", "total_cost").join(observed, ["project_id", "observation_id"], "left_semi")
+    after = observations.select("project_id", F.col("id").alias("observation_id"), "trace_id", "total_cost")
+    costed = lambda rows: rows.where(F.col("trace_id").isNotNull() & F.col("total_cost").isNotNull()).select(*[x.split()[0] for x in COSTS.split(", ")])
+    before, after = put(costed(before), "costs_before"), put(costed(after), "costs_after")
+    moved = before.unionByName(after).select("project_id", "trace_id").distinct()
+    affected = put(moved.unionByName(traces.select("project_id", F.col("id").alias("trace_id"))).distinct(), "affected")
+    replace("costs", after, by_trace, before, ["project_id", "trace_id", "observation_id"], touched_buckets(affected, by_trace))
+    costs = state.table("costs", None, {**record, "tables": tables}).join(affected, ["project_id", "trace_id"], "left_semi")
+
+    # rebuilt traces, and stored ones whose cost may have changed
+    touched = touched_buckets(affected.withColumnRenamed("trace_id", "id"), own)
+    ids = affected.withColumnRenamed("trace_id", "id")
+    stored = state.table("traces", touched, record).join(ids, ["project_id", "id"], "left_semi").join(traces.select("project_id", "id"), ["project_id", "id"], "left_anti")
+    rebuilt = put(rollup_trace_costs(traces.unionByName(stored), costs.withColumnRenamed("observation_id", "id")), "traces_costed")
+    replace("traces", rebuilt, own, rebuilt, ["project_id", "id"], touched)
+    return {
+        "raw": [*record["raw"], {"id": raw_part, "buckets": raw_buckets}],
+        "ids": [*record["ids"], {"id": ids_part, "buckets": ids_buckets}],
+        "tables": tables,
+    }
 
 
 class SyncJob:
@@ -139,8 +127,8 @@ class SyncJob:
 
     ``store_root``: object store root (OTLP under ``<prefix>otel/<project>/``,
     manifests under ``<prefix><project>/manifests/``); ``state_root``: where the
-    raw log and the snapshots live; ``checkpoint_root``: streaming checkpoints
-    (the processed-object ledgers).
+    state lives; ``checkpoint_root``: streaming checkpoints. With ``lines``, OTLP
+    files hold one object per line with its key (``store.write_otlp_objects``).
     """
 
     def __init__(
@@ -167,66 +155,99 @@ class SyncJob:
         self.lines = lines
         self.duplicates = duplicates
         self.results: list[dict] = []
+        self._one_commit = threading.Lock()
 
-    def _stream(self, sub: str):
-        reader = (
-            self.spark.readStream.format("text")
-            .option("recursiveFileLookup", "true")
-            .option("maxFilesPerTrigger", str(self.max_files))
-        )
-        if not self.lines:
-            reader = reader.option("wholetext", "true")
+    def _folder(self, source: str) -> str:
+        return f"{self.store_root}{self.prefix}" + (f"otel/{self.project}/" if source == "otel" else f"{self.project}/manifests/")
+
+    def _stream(self, source: str) -> DataFrame:
+        lines = self.lines and source == "otel"
+        reader = self.spark.readStream.format("text").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", str(self.max_files))
+        reader = reader.option("wholetext", str(not lines).lower())
         if self.max_file_age:
             reader = reader.option("maxFileAge", self.max_file_age)
-        path = f"{self.store_root}{self.prefix}{sub}"
-        df = reader.load(path)
-        return df.select(
-            files.relative_key(F.col("_metadata.file_path"), self.store_root).alias("object_key"),
-            F.col("value").alias("content"),
-            F.col("_metadata.file_modification_time").alias("modified"),
-        )
-
-    def _otlp_batch(self, batch: DataFrame, epoch: int) -> None:
-        objects = files.otlp_objects(batch)
-        events = _otlp_events(objects)
-        entity = F.coalesce(F.get_json_object(F.col("body"), "$.id"), F.col("object_key"))
-        rows = raw.raw_rows(events, self.project, entity_id=entity)
-        self.results.append(commit(self.state, rows, "otel", epoch, self.duplicates))
-
-    def _manifest_batch(self, batch: DataFrame, epoch: int) -> None:
-        entries = files.manifests(batch)
-        keys = [r.object_key for r in entries.select("object_key").distinct().collect()]
-        if not keys:
-            self.results.append(commit(self.state, _empty_raw(self.spark), "manifests", epoch))
-            return
-        docs = files.read_documents(self.spark, self.store_root, [self.store_root + k for k in keys])
-        ev = files.envelope(files.manifest_events(entries, docs))
-        rows = raw.raw_rows(ev, self.project, object_key=F.col("object_key"), manifest_key=F.col("manifest_key"), entity_id=F.col("entity_id"))
-        self.results.append(commit(self.state, rows, "manifests", epoch, self.duplicates))
+        return files.documents(reader.load(self._folder(source)), self.store_root)
+
+    def _commit_otlp(self, docs: DataFrame) -> None:
+        """One micro-batch of OTLP objects."""
+        with self._one_commit:
+            objects = files.otlp_lines(docs) if self.lines else files.otlp_objects(docs)
+            seen = objects.join(self.state.ledger().where("kind = 'object'").select(F.col("key").alias("object_key")), "object_key", "left_anti")
+            events = otlp.otlp_events(seen, fallback_time=F.col("modified"))
+            entity = F.coalesce(F.get_json_object(F.col("body"), "$.id"), F.col("object_key"))
+            rows = raw.raw_rows(events, self.project, entity_id=entity)
+            ledger = seen.select(F.lit("object").alias("kind"), F.col("object_key").alias("key"), F.lit(None).cast("string").alias("manifest_key")).distinct()
+            self._finish(rows, "otel", ledger, docs, objects.select("object_key").distinct().count())
+
+    def _commit_manifests(self, docs: DataFrame) -> None:
+        """One micro-batch of manifests: the objects they name that are not processed yet."""
+        with self._one_commit:
+            done = self.state.ledger()
+            entries = files.manifests(docs)
+            new = docs.select(F.col("object_key").alias("manifest_key")).join(done.where("kind = 'manifest'").select(F.col("key").alias("manifest_key")), "manifest_key", "left_anti")
+            entries = entries.join(new, "manifest_key", "left_semi").dropDuplicates(["object_key"])
+            open_ = entries.join(done.where("kind = 'object'").select(F.col("key").alias("object_key")), "object_key", "left_anti")
+            events = files.envelope(files.manifest_events(files.fetch(open_, self.store_root)))
+            rows = raw.raw_rows(events, self.project, object_key=F.col("object_key"), manifest_key=F.col("manifest_key"), entity_id=F.col("entity_id"))
+            ledger = open_.select(F.lit("object").alias("kind"), F.col("object_key").alias("key"), "manifest_key").unionByName(
+                new.select(F.lit("manifest").alias("kind"), F.col("manifest_key").alias("key"), F.lit(None).cast("string").alias("manifest_key"))
+            )
+            self._finish(rows, "manifests", ledger, docs, entries.count())
+
+    def _finish(self, rows: DataFrame, source: str, ledger: DataFrame, docs: DataFrame, n_objects: int) -> None:
+        path = f"{self.state.root}/_work/{uuid.uuid4().hex}"
+        ledger.write.parquet(path)
+        processed = self.spark.read.schema(self.spark.createDataFrame([], LEDGER).schema).parquet(path)
+        n = {r["kind"]: r["count"] for r in processed.groupBy("kind").count().collect()}
+        n_docs = docs.count() if source == "manifests" else 0
+        counters = {
+            "objects": n.get("object", 0), "objects_skipped": n_objects - n.get("object", 0),
+            "manifests": n.get("manifest", 0), "manifests_skipped": n_docs - n.get("manifest", 0),
+        }
+        newest = docs.agg(F.date_format(F.date_trunc("minute", F.max("modified")) - F.expr(f"interval {FINAL_AFTER_MINUTES} minutes"), "yyyy-MM-dd'T'HH:mm:ss'Z'")).first()[0]
+        self.results.append(commit(self.state, rows, source, self.duplicates, processed, counters, newest))
 
     def run(self, available_now: bool = True, timeout: float | None = None) -> list[dict]:
-        """Run both sources (OTLP first, then manifests) until caught up."""
-        for sub, fn, name in (
-            (f"otel/{self.project}/", self._otlp_batch, "otel"),
-            (f"{self.project}/manifests/", self._manifest_batch, "manifests"),
-        ):
-            if not _exists(self.spark, f"{self.store_root}{self.prefix}{sub}"):
+        """Run both sources until caught up, or (``available_now`` false) until ``timeout``."""
+        queries = []
+        for source, handle in (("otel", self._commit_otlp), ("manifests", self._commit_manifests)):
+            if not _exists(self.spark, self._folder(source)):
                 continue
-            w = self._stream(sub).writeStream.foreachBatch(fn).option("checkpointLocation", f"{self.checkpoint_root}/{name}")
-            w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
-            q = w.start()
-            q.awaitTermination(timeout)
+            writer = self._stream(source).writeStream.foreachBatch(lambda batch, epoch, handle=handle: handle(batch))
+            writer = writer.option("checkpointLocation", f"{self.checkpoint_root}/{source}")
+            queries.append((writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")).start())
+            if available_now:
+                queries[-1].awaitTermination(timeout)
+        if not available_now:
+            for q in queries:
+                q.awaitTermination(timeout)
         return self.results
 
+    def rebuild(self) -> list[dict]:
+        """Fold all stored objects in one batch per source (into an empty state)."""
+        for source, handle in (("otel", self._commit_otlp), ("manifests", self._commit_manifests)):
+            if _exists(self.spark, self._folder(source)):
+                handle(files.read_documents(self.spark, self._folder(source), self.store_root, lines=self.lines and source == "otel"))
+        return self.results
 
-def _otlp_events(objects: DataFrame) -> DataFrame:
-    return otlp.otlp_events(objects, fallback_time=F.col("modified"))
 
+def append_events(state: StateStore, events: DataFrame, project: str) -> dict:
+    """Direct append (K7): accepted envelope rows into raw log and state; rows
+    processed and skipped (ids already stored, or repeated in the batch)."""
+    rows = raw.raw_rows(events, project)
+    n = rows.count()
+    stats = commit(state, rows, "direct")
+    return {"processed": stats["events"], "skipped": n - stats["events"]}
 
-def _empty_raw(spark: SparkSession) -> DataFrame:
-    from spanlake.schema import EVENTS_RAW
 
-    return spark.createDataFrame([], EVENTS_RAW)
+def append_otlp(state: StateStore, objects: DataFrame, project: str) -> dict:
+    """Direct append of OTLP objects (K8): (object_key, resource_spans)."""
+    events = otlp.otlp_events(objects)
+    entity = F.coalesce(F.get_json_object(F.col("body"), "$.id"), F.col("object_key"))
+    rows = raw.raw_rows(events, project, entity_id=entity)
+    n = rows.count()
+    stats = commit(state, rows, "otel-direct")
+    return {"processed": stats["events"], "skipped": n - stats["events"]}
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

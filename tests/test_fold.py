@@ -77,39 +77,68 @@ def test_observation_cost(spark):
     assert obs(spark, ev, "o3").total_cost == pytest.approx(1.5)
 
 
-METADATA_CASES = [
-    ({"a": 1}, {"b": 2}, {"a": 1, "b": 2}),
-    (None, {"b": 2}, {"b": 2}),
-    ({"a": 1}, None, {"a": 1}),
-    ({"a": 1}, {"a": 2}, {"a": 2}),
-    ({"n": {"x": 1, "y": 1}}, {"n": {"y": 2, "z": 3}}, {"n": {"x": 1, "y": 2, "z": 3}}),
-    ({"n": 1}, {"n": {"x": 1}}, {"n": {"x": 1}}),
-    ({"n": {"x": 1}}, {"n": [1, 2]}, {"n": [1, 2]}),
-    ({"a": 1}, {}, {"a": 1}),
-]
-
-
-@pytest.mark.parametrize("left,right,want", METADATA_CASES)
-def test_metadata_merge(spark, left, right, want):
-    ev = []
-    for i, md in enumerate([left, right]):
-        body = {"id": "o1"} if md is None else {"id": "o1", "metadata": md}
-        ev.append({"id": f"e{i}", "timestamp": f"2024-01-01T00:00:0{i}.000Z", "type": "span-create", "body": body})
-    r = obs(spark, ev)
-    assert json.loads(r.metadata_json) == want
-    t_ev = [{**e, "type": "trace-create", "body": {**e["body"], "id": "t1"}} for e in ev]
-    t = fold.fold_traces(_raw(spark, t_ev)).first()
-    assert json.loads(t.metadata_json) == want
-
-
-def test_metadata_merge_non_object_rules(spark):
-    from spanlake.functions.json import merge_metadata_text
-
-    rows = spark.createDataFrame(
-        [('"text"', '{"a":1}'), ('{"a":1}', '"text"'), ("[1]", "[2]"), ("{}", '{"b":1}')], "l string, r string"
-    )
-    out = [r.m for r in rows.select(merge_metadata_text(F.col("l"), F.col("r")).alias("m")).collect()]
-    assert out == ['{"a":1}', '{"a":1}', "[2]", '{"b":1}']
+def plain_merge(left, right):
+    """The merge rule, two values at a time."""
+    if right is None or right == {}:
+        return left
+    if left is None or left == {} or not isinstance(left, dict):
+        return right
+    if not isinstance(right, dict):
+        return left
+
+    def deep(a, b):
+        out = dict(a)
+        for k, v in b.items():
+            out[k] = deep(out[k], v) if isinstance(out.get(k), dict) and isinstance(v, dict) else v
+        return out
+
+    return deep(left, right)
+
+
+def _random_value(rnd, depth):
+    kind = rnd.random()
+    if depth and kind < 0.6:
+        return {rnd.choice("abc"): _random_value(rnd, depth - 1) for _ in range(rnd.randrange(3))}
+    return rnd.choice([1, "x", None, [1, {"a": 2}], True, {}, -0.5])
+
+
+def _deep(n, leaf):
+    return leaf if not n else {"l": _deep(n - 1, leaf)}
+
+
+def test_metadata_merge_equals_plain_merge(spark):
+    """Any nesting, scalars over objects and back, spread over hours, in any order of arrival."""
+    import functools
+    import random
+
+    rnd = random.Random(11)
+    ev, want = [], {}
+    for k in range(120):
+        values = [_random_value(rnd, rnd.choice([1, 2, 4])) for _ in range(rnd.randrange(2, 9))]
+        if k == 0:
+            values = [{"n": {"x": 1}}, {"n": 5}, {"n": {"y": 3}}]
+        if k == 1:
+            values = [_deep(14, {"p": 1}), _deep(14, {"q": 2}), {"top": 1}]
+        for i, v in enumerate(values):
+            stamp = f"2024-01-01T{i * 5 // 2:02d}:30:00.000Z"
+            ev.append({"id": f"e{k}-{i}", "timestamp": stamp, "type": "span-create", "body": {"id": f"o{k}", "metadata": v}})
+        want[f"o{k}"] = functools.reduce(plain_merge, values, None)
+    rnd.shuffle(ev)
+    got = {r.id: r.metadata_json for r in fold.fold_observations(_raw(spark, ev)).collect()}
+    for k, w in want.items():
+        g = None if got[k] is None else json.loads(got[k])
+        assert g == w or (w == {} and g is None), k
+
+
+def test_first_score_event_is_the_base(spark):
+    ev = [
+        {"id": "a", "timestamp": "2024-01-01T00:00:00Z", "type": "score-create", "body": {"id": "s1", "name": "n", "metadata": {}}},
+        {"id": "b", "timestamp": "2024-01-01T00:00:01Z", "type": "score-create", "body": {"id": "s1", "value": 1}},
+        {"id": "c", "timestamp": "2024-01-01T00:00:01Z", "type": "score-create", "body": {"id": "s2", "metadata": {}}},
+        {"id": "d", "timestamp": "2024-01-01T00:00:02Z", "type": "score-create", "body": {"id": "s2", "metadata": {"k": 2}}},
+    ]
+    got = {r.id: r.metadata_json for r in fold.fold_scores(_raw(spark, ev)).collect()}
+    assert got["s1"] == "{}" and json.loads(got["s2"]) == {"k": 2}
 
 
 def test_trace_start_is_minimum_in_any_arrival_order(spark):

@@ -24,4 +24,21 @@ def test_list_limit_bounds(bad):
 def test_scores_list_needs_a_filter(spark):
     df = spark.createDataFrame([], "id string, trace_id string, observation_id string, timestamp timestamp")
     with pytest.raises(ValueError):
-        reads.scores_list(df)
+        reads.scores_list(df, "p")
+
+
+def test_storage_stats(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    spans = [{"traceId": "a", "spanId": "1"}, {"traceId": "a", "spanId": "22"}, {"traceId": "b", "spanId": "3", "name": "n"}, {"spanId": "4"}]
+    objects = [[{"scopeSpans": [{"spans": spans[:3]}]}], [{"scopeSpans": [{"spans": spans[3:]}]}]]
+    df = spark.createDataFrame([(str(i), json.dumps(o)) for i, o in enumerate(objects)], "object_key string, j string")
+    df = df.select("object_key", F.parse_json("j").alias("resource_spans"))
+    r = reads.storage_stats(df, spark.range(3)).first()
+    size = lambda v: len(json.dumps(v, separators=(",", ":")))
+    per_trace = sorted([size(spans[0]) + size(spans[1]), size(spans[2])])
+    total = sum(map(size, objects))
+    assert (r.object_count, r.manifest_count, r.total_bytes) == (2, 3, total)
+    assert (r.mean_bytes_per_trace, r.min_bytes, r.p50_bytes, r.max_bytes) == (round(total / 2), per_trace[0], per_trace[0], per_trace[1])
