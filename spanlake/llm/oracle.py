@@ -61,30 +61,6 @@ SELECT v.vec_id, coalesce(n_links, 0) AS n_links, component_id, v.vec_id = compo
 FROM v LEFT JOIN n USING (vec_id) JOIN (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id) USING (vec_id)
 """
 
-ORACLE["op6_substring_dedup"] = """
-WITH d AS (
-  SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS h FROM documents
-), b AS (
-  SELECT doc_id, unnest(h) AS byte, unnest(range(0, len(h))) AS p,
-    unnest([CASE WHEN i + 99 <= len(h) THEN hash(h[i:i + 99]) END FOR i IN range(1, len(h) + 1)]) AS win FROM d
-), w AS (
-  SELECT * FROM b
-), f AS (
-  SELECT doc_id, p, byte, win IS NOT NULL AND row_number() OVER (PARTITION BY win ORDER BY doc_id, p) > 1 AS again FROM w
-), c AS (
-  SELECT doc_id, p, byte, max(CASE WHEN again THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM f
-), e AS (
-  SELECT *, coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), 0) AS before FROM c
-), g AS (
-  SELECT doc_id, sum(gone) AS n_removed, sum(CASE WHEN gone = 1 AND before = 0 THEN 1 ELSE 0 END) AS n_spans,
-    coalesce(string_agg(byte, '' ORDER BY p) FILTER (gone = 0), '') AS kept
-  FROM e GROUP BY doc_id
-)
-SELECT d.doc_id, len(h) AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
-  sha256(unhex(coalesce(kept, ''))) AS kept_sha256
-FROM d LEFT JOIN g USING (doc_id)
-"""
-
 ORACLE["op7_topk_search"] = """
 WITH v AS (
   SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
