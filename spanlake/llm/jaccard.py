@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.shared import components, mix, release, shingle_hashes, signed, slices, stored, text_buffer
+from spanlake.llm.shared import components, expanded, mix, release, shingle_hashes, signed, slices, squeezed, stored, text_buffer, trim
 
 #: Words of a shingle, and the least Jaccard similarity as a fraction (over one half).
 WIDTH = 5
@@ -98,6 +98,7 @@ def _features(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(np.diff(offsets)), signed(h1), signed(h2), words], ["doc_id", "n", "h1", "h2", "sketch"]
             )
+    trim()
 
 
 # ------------------------------------------------------------------ keys
@@ -198,6 +199,7 @@ def _map_keys(batches: Iterable[pa.RecordBatch], width: int, threshold: tuple[in
             if held >= CHUNK_KEYS:
                 yield from flush()
     yield from flush()
+    trim()
 
 
 def _stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,6 +214,8 @@ def _stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, doc, _, leader = _grouped(np.concatenate(keys), np.concatenate(docs))
     other = doc != leader
     yield _batch(STARS, key[other], doc[other], leader[other])
+    del key, doc, leader, other, keys, docs
+    trim()
 
 
 #: Smallest keys that a document carries, to see where else a pair meets.
@@ -293,6 +297,8 @@ def _cross(batches: Iterable[pa.RecordBatch], threshold: tuple[int, int]) -> Ite
         found.append(np.column_stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])]))
     pairs = np.unique(np.concatenate([*found, np.empty((0, 2), np.int64)]), axis=0)
     yield _batch("a long, b long", pairs[:, 0].copy(), pairs[:, 1].copy())
+    del rows, flat, words, short, low
+    trim()
 
 
 # ------------------------------------------------------------------ verification
@@ -374,7 +380,8 @@ def link_components(documents: DataFrame, width: int = WIDTH, threshold: tuple[i
     def verified(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         packed = known.mapInArrow(_packed, "doc_id long, text binary")
-        texts = stored(packed.join(ids, "doc_id", "left_semi"), "jaccard-texts")
+        # (the same plan at every size)
+        texts = stored(packed.join(ids.hint("merge"), "doc_id", "left_semi"), "jaccard-texts")
         rows = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         rows = rows.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
         return stored(rows.mapInArrow(lambda x: _verify(x, width, threshold), "a long, b long"), "jaccard-links")
@@ -436,7 +443,8 @@ def representatives(documents: DataFrame, width: int = WIDTH, threshold: tuple[i
     release(spark)
     gone = found.filter("component_id != doc_id").select("doc_id").distinct()
     twice = found.filter("component_id = doc_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    rows = documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
+    rows = squeezed(documents).join(gone.hint("merge"), "doc_id", "left_anti").select(*documents.columns)
+    rows = expanded(rows)
     if twice.isEmpty():
         return rows
     twice = stored(twice, "jaccard-twice")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from spanlake.llm.shared import ordered, stored
+from spanlake.llm.shared import expanded, ordered, squeezed, stored
 
 PHI = 0.6180339887498949
 WEIGHTS = (5, 2, 1)
@@ -167,15 +167,15 @@ def mixed(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes:
     """The mix as documents: a row for each time that a document is taken whole, and
     its first words where the last block of a source ends within it. Documents of
     which nothing is taken, and those without words, are left out."""
-    row = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row")
+    row = F.struct(*(F.col(f"`{c}`") for c in documents.columns if c != "text")).alias("row")
     docs = ordered(documents.select("doc_id", "text", "source", row))
     plan = mix(docs.select(F.col("oid").alias("doc_id"), "text", "source"), weights, max_passes)
     taken = stored(words_taken(plan).select(F.col("doc_id").alias("oid"), "size", "taken").filter("taken > 0"), "mix-taken")
-    rows = docs.select("oid", "row").join(taken, "oid")
+    rows = expanded(squeezed(docs.select("oid", "row", "text")).join(taken.hint("merge"), "oid"))
     # each pass takes whole documents, the last one the first words of one document per source
     times = F.array_repeat(F.col("size"), F.expr("cast(taken div size as int)"))
     rest = F.when(F.col("taken") % F.col("size") > 0, F.array(F.col("taken") % F.col("size"))).otherwise(F.array().cast("array<bigint>"))
     rows = rows.withColumn("words", F.explode(F.concat(times, rest)))
-    first = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
-    text = F.when(F.col("words") < F.col("size"), first).otherwise(F.col("row.text"))
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
+    text = F.when(F.col("words") < F.col("size"), first).otherwise(F.col("text"))
     return rows.select(*(text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in documents.columns))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from spanlake.llm.shared import BLANK, LOWER, slices, stored, text_buffer
+from spanlake.llm.shared import BLANK, LOWER, slices, stored, text_buffer, trim
 
 CAPACITY = 4096
 END_ID = 2
@@ -156,6 +156,8 @@ def _pieces(batches: Iterable[pa.RecordBatch], path: str, capacity: int, end_id:
                 columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(ids.astype(np.int32))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
+    tokens.clear()
+    trim()
 
 
 def tokenized_pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:

@@ -7,13 +7,17 @@ does not depend on how short it is.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanlake.session import checkpoint_dir
 
@@ -34,6 +38,47 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _recoded(df: DataFrame, column: str, kind: T.DataType, recode) -> DataFrame:
+    at = df.columns.index(column)
+    names = df.columns
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([recode(c) if i == at else c for i, c in enumerate(batch.columns)], names)
+
+    schema = T.StructType([T.StructField(f.name, kind if f.name == column else f.dataType) for f in df.schema])
+    return df.mapInArrow(run, schema)
+
+
+def _squeeze(texts: pa.Array) -> pa.Array:
+    zip_ = zstandard.ZstdCompressor(level=3).compress
+    return pa.array([None if t is None else zip_(t.encode()) for t in texts.to_pylist()], pa.binary())
+
+
+def _expand(texts: pa.Array) -> pa.Array:
+    unzip = zstandard.ZstdDecompressor().decompress
+    return pa.array([None if t is None else unzip(t).decode() for t in texts.to_pylist()], pa.string())
+
+
+def squeezed(df: DataFrame, column: str = "text") -> DataFrame:
+    """``df`` with the texts compressed, for a shuffle that carries them."""
+    return _recoded(df, column, T.BinaryType(), _squeeze)
+
+
+def expanded(df: DataFrame, column: str = "text") -> DataFrame:
+    """Undo ``squeezed``."""
+    return _recoded(df, column, T.StringType(), _expand)
+
+
+def trim() -> None:
+    """Give freed memory back to the system at the end of a task: Python workers
+    live on, and what they keep adds up beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back is not None:
+        give_back(0)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps whose results are stored.
 

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.shared import Rolling, mix, ordered, release, signed, stored, text_buffer
+from spanlake.llm.shared import Rolling, expanded, mix, ordered, release, signed, squeezed, stored, text_buffer, trim
 
 WIDTH = 100
 #: Bytes of the q-grams that are initial buckets and bucket identifiers.
@@ -170,6 +170,7 @@ def _sample(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if n_held >= CHUNK:
                 yield from flush()
     yield from flush()
+    trim()
 
 
 def _classes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,6 +196,8 @@ def _classes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rest = ~first
     o, s, e = merged(oid[rest], start[rest], start[rest] + (span[rest] >> 7) + WIDTH)
     yield _rows(FOUND, pa.nulls(len(o), pa.int64()), o, s, pa.nulls(len(o), pa.int32()), e)
+    del g, c, oid, start, span, order, held
+    trim()
 
 
 # ------------------------------------------------------------------ refinement
@@ -318,7 +321,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     several = found.filter("g is not null").select("g", "oid", "start", "span")
     known = found.filter("g is null").select("oid", "start", "end")
     texts = docs.mapInArrow(_packed, "oid long, text binary")
-    texts = stored(texts.join(found.select("oid").distinct(), "oid", "left_semi"), "substring-texts")
+    texts = stored(texts.join(found.select("oid").distinct().hint("merge"), "oid", "left_semi"), "substring-texts")
     release(docs.sparkSession)
     runs = several.groupBy("oid").agg(F.collect_list(F.struct("g", "start", "span")).alias("runs"))
     contexts = runs.join(texts, "oid").select("oid", "runs", "text").mapInArrow(_contexts, CONTEXT)
@@ -385,12 +388,13 @@ def digests(documents: DataFrame) -> DataFrame:
 def cut(documents: DataFrame) -> DataFrame:
     """``documents`` with repeated passages cut out of ``text``. A character of which
     any byte goes, goes whole. Null texts stay null."""
-    row = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row")
+    row = F.struct(*(F.col(f"`{c}`") for c in documents.columns if c != "text")).alias("row")
     docs = ordered(documents.select("doc_id", "text", row))
     spans, _, facts = repeated_spans(docs)
     release(documents.sparkSession)
     whole = facts.filter("copy").select("oid", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"))).alias("spans"))
-    rows = docs.select("oid", "row").join(spans.unionByName(whole), "oid", "left").select("row", "spans")
+    rows = squeezed(docs.select("oid", "row", "text")).join(spans.unionByName(whole).hint("merge"), "oid", "left")
+    rows = expanded(rows.select("row", "text", "spans"))
     names = documents.columns
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,7 +402,7 @@ def cut(documents: DataFrame) -> DataFrame:
             row = batch.column("row")
             texts = [
                 t if not s else without(t.encode(), _union(s)).decode(errors="ignore")
-                for t, s in zip(row.field("text").to_pylist(), batch.column("spans").to_pylist())
+                for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())
             ]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else row.field(c) for c in names], names)
 
