@@ -247,20 +247,47 @@ def signed(x: np.ndarray) -> pa.Array:
 # ------------------------------------------------------------------ components
 
 
+#: Links that one task contracts at a time.
+LINKS_PER_TASK = 1 << 20
+
+
+def _contract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each node of a task's links, linked to the smallest id that they reach."""
+    rows = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if len(b)]
+    if not rows:
+        return
+    nodes, index = np.unique(np.concatenate([np.concatenate(r) for r in zip(*rows)]), return_inverse=True)
+    a, b = np.split(index, 2)
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[a], label[b])
+        after = label.copy()
+        for side in (a, b):
+            np.minimum.at(after, side, least)
+            np.minimum.at(after, label[side], least)
+        after = after[after]
+        if (after == label).all():
+            break
+        label = after
+    other = label != np.arange(len(nodes))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[other]), pa.array(nodes[label[other]])], ["a", "b"])
+
+
 def components(nodes: DataFrame, links: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     """Smallest id reachable from each node: columns ``id``, ``component``.
 
-    ``links`` has columns ``a``, ``b``. Alternating large-star and small-star
-    steps; a long chain halves with each pair of steps and every node's links
-    to smaller ids shrink to one. Each step is one aggregation with map-side
-    partial results and a join, written to the shared folder.
+    ``links`` has columns ``a``, ``b``. Tasks first contract their own links, about
+    ``LINKS_PER_TASK`` each, to one link per node. Unless that was one task,
+    alternating large-star and small-star steps follow: a long chain halves with
+    each pair of steps and every node's links to smaller ids shrink to one. Each
+    step is one aggregation with map-side partial results and a join, written to
+    the shared folder.
     """
-    edges = stored(
-        links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(),
-        f"{name}-links",
-    )
+    links = stored(links.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a != b"), f"{name}-links")
+    tasks = max(1, -(-links.count() // LINKS_PER_TASK))
+    edges = stored(links.coalesce(tasks).mapInArrow(_contract, "a long, b long"), f"{name}-links")
     seen = None
-    for i in range(rounds):
+    for _ in range(rounds if tasks > 1 else 0):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: larger neighbours of a node, linked to its smallest neighbour
         # (stored, so that Spark can split the join rows of a hub's many links)
@@ -276,7 +303,8 @@ def components(nodes: DataFrame, links: DataFrame, name: str, rounds: int = 60)
             break
         seen = state
     else:
-        raise RuntimeError(f"components of {name} did not settle in {rounds} rounds")
+        if tasks > 1:
+            raise RuntimeError(f"components of {name} did not settle in {rounds} rounds")
     return nodes.join(edges.select(F.col("a").alias("id"), "b"), "id", "left").select(
         "id", F.coalesce("b", "id").alias("component")
     )

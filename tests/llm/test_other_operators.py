@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import corpus_pipeline
 from oracle_check import compare, duck
-from spanlake.llm import embeddings, langid, mixing, topk, urls, warc
+from spanlake.llm import embeddings, langid, mixing, shared, topk, urls, warc
 from spanlake.llm.oracle import ORACLE
 from spanlake.llm.queries import QUERIES
 from spanlake.llm.shared import components, table
@@ -233,10 +233,12 @@ def test_mix_meets_targets(spark):
 # ------------------------------------------------------------------ components
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("per_task", [1 << 20, 40])
+def test_components_of_chains_and_stars(spark, monkeypatch, per_task):
+    monkeypatch.setattr(shared, "LINKS_PER_TASK", per_task)
     links = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(139, 200), (300, 300)]
     nodes = spark.range(0, 320).select(F.col("id"))
-    got = dict(components(nodes, spark.createDataFrame(links, "a long, b long"), "t").collect())
+    got = dict(components(nodes, spark.createDataFrame(links, "a long, b long").repartition(4), "t").collect())
     assert all(got[i] == 0 for i in range(61)) and got[200] == got[139] == 100 and got[300] == 300 and got[310] == 310
 
 
