@@ -82,6 +82,11 @@ class StateStore:
             fs.delete(temporary, False)
             raise ConcurrentCommit(f"commit {name} was published by another writer")
 
+    def discard(self, name: str) -> None:
+        """Delete a folder of intermediate rows that no record names."""
+        fs, folder = self._path(name)
+        fs.delete(folder, True)
+
     # ------------------------------------------------------------ tables
 
     @property

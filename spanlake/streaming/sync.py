@@ -45,11 +45,11 @@ def commit(
     and ``watermark`` are recorded with it. Returns the batch's counters.
     """
     spark, record = state.spark, state.record()
-    work = f"{state.root}/_work/{uuid.uuid4().hex}"
+    work = f"_work/{uuid.uuid4().hex}"
 
     def put(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{work}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{work}/{name}")
+        df.write.parquet(f"{state.root}/{work}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{state.root}/{work}/{name}")
 
     batch = put(batch_raw, "batch")
     by_id, by_key, by_trace = state.bucket("project_id", "event_id"), state.bucket("project_id", fold_kind(), fold_key()), state.bucket("project_id", "trace_id")
@@ -71,6 +71,7 @@ def commit(
     if watermark:
         new["watermark"] = record["watermark"] | {source: max(watermark, record["watermark"].get(source, watermark))}
     state.publish(new, record["n"])
+    state.discard(work)
     return stats | {"source": source}
 
 
@@ -195,9 +196,9 @@ class SyncJob:
             self._finish(rows, "manifests", ledger, docs, entries.count())
 
     def _finish(self, rows: DataFrame, source: str, ledger: DataFrame, docs: DataFrame, n_objects: int) -> None:
-        path = f"{self.state.root}/_work/{uuid.uuid4().hex}"
-        ledger.write.parquet(path)
-        processed = self.spark.read.schema(self.spark.createDataFrame([], LEDGER).schema).parquet(path)
+        work = f"_work/{uuid.uuid4().hex}"
+        ledger.write.parquet(f"{self.state.root}/{work}")
+        processed = self.spark.read.schema(self.spark.createDataFrame([], LEDGER).schema).parquet(f"{self.state.root}/{work}")
         n = {r["kind"]: r["count"] for r in processed.groupBy("kind").count().collect()}
         n_docs = docs.count() if source == "manifests" else 0
         counters = {
@@ -206,6 +207,7 @@ class SyncJob:
         }
         newest = docs.agg(F.date_format(F.date_trunc("minute", F.max("modified")) - F.expr(f"interval {FINAL_AFTER_MINUTES} minutes"), "yyyy-MM-dd'T'HH:mm:ss'Z'")).first()[0]
         self.results.append(commit(self.state, rows, source, self.duplicates, processed, counters, newest))
+        self.state.discard(work)
 
     def run(self, available_now: bool = True, timeout: float | None = None) -> list[dict]:
         """Run both sources until caught up, or (``available_now`` false) until ``timeout``."""
