@@ -43,8 +43,8 @@ from spanlake.llm.shared import components, expanded, mix, release, shingle_hash
 WIDTH = 5
 THRESHOLD = (3, 4)
 #: Text bytes handled in one go, and keys that a map task sorts together.
-SLICE_BYTES = 1 << 20
-CHUNK_KEYS = 1 << 19
+SLICE_BYTES = 1 << 19
+CHUNK_KEYS = 1 << 18
 #: Blocks of a size band [2**i, 2**(i+1)): 2**i of them, twice as many in small bands.
 SMALL_BAND = 64
 LEAST_BLOCKS = 16

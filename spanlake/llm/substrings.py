@@ -38,7 +38,7 @@ WIDTH = 100
 #: Bytes of the q-grams that are initial buckets and bucket identifiers.
 GRAM = 32
 #: Bytes of text hashed in one go; longer texts are read in pieces that overlap.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 #: Sampled suffixes that a map task sorts together; contexts refined together.
 CHUNK = 1 << 19
 REFINED = 1 << 13
