@@ -20,7 +20,7 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # what a Python worker gets at once: long texts must not add up to its memory
-    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "1m",
 }
 
 
