@@ -9,18 +9,24 @@ matrix is folded into one score per bucket and language, and a text costs one
 table lookup per n-gram, whole texts included.
 
 A part of the sample is kept from training to calibrate: a temperature makes the
-probabilities honest, and the rejection threshold is the probability that all but
-``REJECTED_SHARE`` of the calibration texts reach.
+probabilities honest. Probabilities only compare the learned languages with each
+other, so rejection goes by another measure that can fail: how familiar a text's
+n-grams are in the language it is given, as the mean logarithm of their rate in that
+language's texts against a uniform one. Pieces of the sampled texts, each measured
+against the counts of all other texts, give by language and length the bar that all
+but ``REJECTED_SHARE`` of them reach.
 
 Rows: a null text, or one without a letter, is ``und`` with score 0 and rejected;
 null languages are never learned; a null ``doc_id`` counts as the empty text for
 the fold; with no labelled rows every text is ``und``; with one language every
-text with a letter is of it, with score 1; other columns are ignored.
+accepted text is of it, with score 1; a language of fewer than ``FEWEST_TEXTS``
+sampled texts has no bar; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,7 +48,11 @@ SAMPLE_PER_LANGUAGE = 500
 MOST_LANGUAGES = 256
 CALIBRATION_SHARE = 0.2
 REJECTED_SHARE = 0.001
-HIGHEST_BAR = 0.4
+#: Pieces of about 2**k bytes are measured, ``PIECES`` of a text at most for each k, in
+#: an excerpt of ``EXCERPT`` characters; longer texts are held to the last bar.
+BANDS, PIECES, EXCERPT = range(1, 11), 4, 1500
+#: Sampled texts that a language needs for bars of its own.
+FEWEST_TEXTS = 10
 SLICE_BYTES = 1 << 20
 UNKNOWN = "und"
 
@@ -73,6 +83,16 @@ def bucket_runs(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield n, (gram * _FACTORS[n]) >> np.uint32(32 - (BUCKETS.bit_length() - 1))
 
 
+#: The bucket of blanks alone, for each n-gram size.
+_BLANKS = {n: int(b[0]) for n, b in bucket_runs(np.full(max(SIZES), 32, np.uint8))}
+
+
+def band(grams: np.ndarray) -> np.ndarray:
+    """Place in ``BANDS`` of texts with so many n-grams that hold a letter."""
+    k = np.floor(np.log2(np.asarray(grams) / len(SIZES) + 2)).astype(int)
+    return np.clip(k, BANDS[0], BANDS[-1]) - BANDS[0]
+
+
 def _spans(offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Where each text's n-grams of size n begin and end in the buffer."""
     return offsets[:-1], np.maximum(offsets[:-1], offsets[1:] - n + 1)
@@ -84,7 +104,8 @@ class Model:
     table: np.ndarray  # bucket x language
     bias: np.ndarray
     temperature: float = 1.0
-    threshold: float = 0.0
+    familiar: np.ndarray | None = None  # bucket x language
+    bars: np.ndarray | None = None  # language x band
 
     def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         total = np.zeros((len(offsets) - 1, len(self.languages)))
@@ -102,6 +123,24 @@ class Model:
             count += hi - lo
         return total / np.maximum(count, 1)[:, None] + self.bias
 
+    def unfamiliar(self, data: np.ndarray, offsets: np.ndarray, language: np.ndarray) -> np.ndarray:
+        """Texts whose n-grams are less familiar in ``language`` than the bar."""
+        total, count = np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1)
+        column = np.repeat(language.astype(np.int32), np.diff(offsets))
+        for n, bucket in bucket_runs(data):
+            lo, hi = _spans(offsets, n)
+            some = np.flatnonzero(hi > lo)
+            if not len(some):
+                continue
+            letters = bucket != _BLANKS[n]
+            value = self.familiar[bucket, column[: len(bucket)]]
+            value[~letters] = 0
+            edges = np.minimum(np.column_stack([lo[some], hi[some]]).ravel(), len(bucket))
+            tail = edges[:-1] if edges[-1] == len(bucket) else edges
+            total[some] += np.add.reduceat(value, tail, dtype=np.float64)[::2]
+            count[some] += np.add.reduceat(letters, tail, dtype=np.int64)[::2]
+        return total / np.maximum(count, 1) < self.bars[language, band(count)]
+
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
         z = logits / self.temperature
         z = np.exp(z - z.max(axis=1, keepdims=True))
@@ -156,7 +195,7 @@ def train(samples: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed:
 
 
 def calibrate(model: Model, samples: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> None:
-    """Temperature with the least log loss; threshold that nearly all right answers reach."""
+    """Temperature with the least log loss."""
     z = np.array([share @ model.table[bucket] + model.bias for bucket, share in samples])
 
     def loss(t: float) -> float:
@@ -164,12 +203,69 @@ def calibrate(model: Model, samples: list[tuple[np.ndarray, np.ndarray]], y: np.
         return float(-np.log(np.maximum(model.probabilities(z)[np.arange(len(y)), y], 1e-12)).mean())
 
     model.temperature = min(np.geomspace(0.05, 20, 60), key=loss)
-    p = model.probabilities(z)
-    right = np.sort(p.max(axis=1)[p.argmax(axis=1) == y])
-    if len(right):
-        chance = 1 / len(model.languages)
-        # never above an even bet between two languages, less a margin: short texts are clean, too
-        model.threshold = float(min(right[int(len(right) * REJECTED_SHARE)], HIGHEST_BAR) if len(model.languages) > 1 else chance)
+
+
+def set_bars(model: Model, samples: list[tuple[np.ndarray, np.ndarray]], labels: list[str], excerpts: list[str]) -> None:
+    """Familiarity of every bucket in each language, and the bars that nearly all pieces reach.
+
+    A piece is measured with its own text left out of the counts.
+    """
+    blanks = list(_BLANKS.values())
+    model.familiar = np.empty((BUCKETS, len(model.languages)), np.float32)
+    model.bars = np.full((len(model.languages), len(BANDS)), -np.inf)
+    own = np.zeros(BUCKETS)
+    for k, language in enumerate(model.languages):
+        mine = [i for i, x in enumerate(labels) if x == language]
+        shares = []
+        seen = np.zeros(BUCKETS)
+        for i in mine:
+            bucket, share = samples[i]
+            share = np.where(np.isin(bucket, blanks), 0, share).astype(np.float64)
+            shares.append(share / max(share.sum(), 1e-9))
+            seen[bucket] += shares[-1]
+        model.familiar[:, k] = np.log((seen * BUCKETS + 1) / (len(mine) + 1))
+        if len(mine) < FEWEST_TEXTS:
+            continue
+        measured: list[list[np.ndarray]] = [[] for _ in BANDS]
+        for i, share in zip(mine, shares):
+            bucket = samples[i][0]
+            own[bucket] = share
+            total, count = _pieces(excerpts[i], lambda b: np.log((np.maximum(seen[b] - own[b], 0) * BUCKETS + 1) / len(mine)))
+            own[bucket] = 0
+            at = band(count)
+            for a in set(at[count > 0].tolist()):
+                measured[a].append((total / np.maximum(count, 1))[(at == a) & (count > 0)])
+        bar = -np.inf
+        for a, found in enumerate(measured):
+            if found:
+                value = np.sort(np.concatenate(found))
+                bar = value[int(len(value) * REJECTED_SHARE)]
+            model.bars[k, a] = bar - 1e-6  # without pieces of this length: the bar of shorter ones
+
+
+def _pieces(excerpt: str, measure: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of ``measure`` and number of n-grams with a letter, for pieces of all lengths."""
+    data = np.frombuffer(excerpt.encode(), np.uint8)
+    solid = folded(data) != 32
+    begins = np.flatnonzero(solid & ~np.concatenate([[False], solid[:-1]])) if len(data) else np.empty(0, int)
+    lo, hi = [], []
+    for k in BANDS:
+        size = (1 << k) + (1 << k) // 8 + 1
+        fit = begins[begins + size <= len(data)]
+        fit = fit[np.unique(np.linspace(0, len(fit) - 1, PIECES).astype(int))] if len(fit) else fit
+        lo += fit.tolist()
+        hi += (fit + size).tolist()
+    if len(begins):  # and the whole
+        lo, hi = [*lo, 0], [*hi, len(data)]
+    lo, hi = np.array(lo, int), np.array(hi, int)
+    total, count = np.zeros(len(lo)), np.zeros(len(lo))
+    for n, bucket in bucket_runs(data):
+        letters = bucket != _BLANKS[n]
+        end = np.maximum(lo, hi - n + 1)
+        for out, x in ((total, np.where(letters, measure(bucket), 0.0)), (count, letters)):
+            sums = np.concatenate([[0.0], np.cumsum(x)])
+            out += np.where(end > lo, sums[np.minimum(end, len(x))] - sums[np.minimum(lo, len(x))], 0)
+    return total, count
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -177,8 +273,14 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def labelled_sample(documents: DataFrame, per_language: int) -> list[tuple[str, bytes, bytes]]:
-    """At most about ``per_language`` labelled texts of each language, as bucket counts.
+def excerpt(text: str) -> str:
+    """At most ``EXCERPT`` characters from a place that depends on the text."""
+    at = zlib.crc32(text[: 2 * EXCERPT].encode()) % max(1, len(text) - EXCERPT + 1)
+    return text[at : at + EXCERPT]
+
+
+def labelled_sample(documents: DataFrame, per_language: int) -> list[tuple[str, bytes, bytes, str]]:
+    """At most about ``per_language`` labelled texts of each language, as bucket counts and an excerpt.
 
     Texts are picked by a hash of id and text, at a rate known from the counts per
     language; what reaches the driver is bounded by the sample.
@@ -195,35 +297,40 @@ def labelled_sample(documents: DataFrame, per_language: int) -> list[tuple[str,
             for part in slices(batch, "text", SLICE_BYTES):
                 found = text_counts(part.column("text"))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("lang"), pa.array([b.tobytes() for b, _ in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary())],
-                    ["lang", "bucket", "share"],
+                    [part.column("lang"), pa.array([b.tobytes() for b, _ in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary()), pa.array([excerpt(t) for t in part.column("text").to_pylist()], pa.string())],
+                    ["lang", "bucket", "share", "excerpt"],
                 )
 
-    rows = picked.select("lang", "text").mapInArrow(count, "lang string, bucket binary, share binary").collect()
+    rows = picked.select("lang", "text").mapInArrow(count, "lang string, bucket binary, share binary, excerpt string").collect()
     # a few more than asked for can pass the draw; the order makes training repeatable
     kept: dict[str, int] = {}
     out = []
-    for r in sorted(rows, key=lambda r: (r["lang"], bytes(r["bucket"]), bytes(r["share"]))):
+    for r in sorted(rows, key=lambda r: (r["lang"], bytes(r["bucket"]), bytes(r["share"]), r["excerpt"])):
         kept[r["lang"]] = kept.get(r["lang"], 0) + 1
         if kept[r["lang"]] <= 2 * per_language:
-            out.append((r["lang"], bytes(r["bucket"]), bytes(r["share"])))
+            out.append((r["lang"], bytes(r["bucket"]), bytes(r["share"]), r["excerpt"]))
     return out
 
 
 def fit(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model | None:
     """Model from labelled ``documents`` (doc_id, text, lang); null if none has a language."""
     rows = labelled_sample(documents.select("doc_id", F.col("text").cast("string"), "lang").filter("text is not null"), per_language)
-    samples = [(np.frombuffer(b, np.int32), np.frombuffer(s, np.float32)) for _, b, s in rows]
-    return train(samples, [lang for lang, _, _ in rows])
+    samples = [(np.frombuffer(b, np.int32), np.frombuffer(s, np.float32)) for _, b, s, _ in rows]
+    labels = [r[0] for r in rows]
+    model = train(samples, labels)
+    if model is not None:
+        set_bars(model, samples, labels, [r[3] for r in rows])
+    return model
 
 
 def judged(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, score and rejection of each text."""
-    p = model.probabilities(model.logits(*text_buffer(texts)))
+    buffer = text_buffer(texts)
+    p = model.probabilities(model.logits(*buffer))
     best = p.argmax(axis=1)
     has = np.array([t is not None and any(map(str.isalpha, t)) for t in texts.to_pylist()], bool)
     score = np.where(has, p[np.arange(len(best)), best], 0.0)
-    return [model.languages[b] if ok else UNKNOWN for b, ok in zip(best, has)], score, ~has | (score < model.threshold)
+    return [model.languages[b] if ok else UNKNOWN for b, ok in zip(best, has)], score, ~has | model.unfamiliar(*buffer, best)
 
 
 def predict(documents: DataFrame, model: Model | None) -> DataFrame:

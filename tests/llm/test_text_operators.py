@@ -211,6 +211,24 @@ def test_language_of_odd_texts(spark):
     assert langid.identify(spark.createDataFrame([], schema)).count() == 0
 
 
+@pytest.mark.parametrize("languages", [("en",), ("en", "de")])
+def test_language_rejects_letter_junk_and_unlearned_languages(spark, languages):
+    words = {
+        "en": "the and of to in that with house water people many other which their time write about these would make like into look more day could come number sound most".split(),
+        "de": "der die und das nicht mit haus wasser leute viele andere welche ihre zeit schreiben davon diese würden machen wie hinein sehen mehr tag konnte kommen zahl klang".split(),
+        "fi": "talo vesi ihmiset monta muita jotka heidän aika kirjoittaa tästä nämä tekisi kuin sisään katso enemmän päivä voisi tulla numero ääni eniten yksi kaksi kolme".split(),
+    }
+    rnd = random.Random(9)
+    text = lambda lang, n: " ".join(rnd.choice(words[lang]) for _ in range(n))
+    junk = lambda n: " ".join("".join(rnd.choice("bcdfgjkqxzvwp") for _ in range(rnd.randrange(3, 10))) for _ in range(n))
+    train = [(i, text(lang, rnd.choice([20, 60, 200])), lang) for lang in languages for i in range(1000 * languages.index(lang), 1000 * languages.index(lang) + 120)]
+    clean = [(5000 + i, text(languages[i % len(languages)], rnd.choice([3, 6, 40])), None) for i in range(60)]
+    bad = [(6000 + i, junk(rnd.choice([20, 80])), None) for i in range(30)] + [(7000 + i, text("fi", rnd.choice([20, 80])), None) for i in range(30)]
+    kept = {r.doc_id for r in langid.accepted(spark.createDataFrame(train + clean + bad, "doc_id long, text string, lang string")).collect()}
+    assert not kept & {i for i, _, _ in bad}
+    assert len(kept & {i for i, _, _ in clean}) >= 58 and len(kept) >= 0.98 * (len(train) + len(clean))
+
+
 # ------------------------------------------------------------------ op3
 
 
