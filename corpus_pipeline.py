@@ -9,7 +9,7 @@ columns of ``documents``; what a stage decides shows in its rows:
 * ``near_duplicates``: of documents linked by shingle overlap one stays.
 * ``substring_dedup``: passages that occur earlier are cut out of the texts.
 * ``source_mix``: documents come as often as their source's target says.
-* ``packing``: tokenised pieces and their places in windows.
+* ``packing``: tokenised pieces, their ids and their places in windows.
 
 Null texts are rejected by the first stage; an empty table stays empty throughout;
 further columns of ``documents`` are carried along.
@@ -61,7 +61,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, packing_tokenizer())
+    return packing.pack(docs, packing_tokenizer(), keep_ids=True)
 
 
 def _counted(docs: DataFrame) -> DataFrame:

@@ -278,6 +278,12 @@ def test_pipeline_stages_equal_brute_force(spark):
     assert len(full) == four.count()
 
 
+def test_pipeline_result_holds_the_token_ids(spark):
+    docs = table(spark, SF, "documents").limit(20)
+    rows = corpus_pipeline.pack(spark, docs, SF).collect()
+    assert rows and all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in rows)
+
+
 def test_pipeline_runs_on_an_empty_table(spark):
     docs = table(spark, SF, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
