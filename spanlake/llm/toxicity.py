@@ -4,16 +4,18 @@ The lexicon is learned from labelled texts: words, and stems that many words beg
 with, whose rate in toxic texts is a large multiple of that in clean ones. A trie of
 the lexicon is intersected with Levenshtein automata (longer terms allow more
 edits) into one deterministic automaton over bytes, which then reads all words of
-a batch side by side, one byte position at a time.
+a batch side by side, one byte position at a time. A large lexicon is dealt over
+several automata (``TERMS_PER_AUTOMATON``).
 
 Each hit is scored in a window of words around it: words that in the labelled texts
 stand near hits of clean texts lower it, quotation marks around it take most of
 its weight, and edits some. A text's score is a logistic function of the summed
 hit scores, fitted on the same texts.
 
-Learning uses a bounded sample of the labelled texts (``SAMPLE_TOXIC``,
-``SAMPLE_CLEAN``, by a hash of the id); lexicon and context table are bounded by
-``MOST_TERMS`` and ``MOST_CONTEXT``. Scoring reads every text whole.
+Terms and context words are counted over all labelled texts and chosen by evidence
+and rate; a term's evidence must outweigh the number of terms it is chosen among.
+Only the logistic fit uses a bounded sample (``SAMPLE_TOXIC``, ``SAMPLE_CLEAN``, by a
+hash of the id). Scoring reads every text whole.
 
 Rows: a null or empty text, or one without hits, has the base score of texts
 without hits; a null ``doc_id`` counts as the empty text for the fold; labels that
@@ -25,6 +27,7 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -36,13 +39,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanlake.llm.langid import fold
-from spanlake.llm.shared import slices, stored, text_buffer
+from spanlake.llm.shared import expanded, slices, squeezed, stored, text_buffer
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2500, 5000
-#: A term's least share of toxic texts, least number of them, least rate against clean
-#: texts, and least evidence (texts times log rate).
-MIN_SHARE, MIN_TEXTS, MIN_RATIO, MIN_EVIDENCE = 0.005, 3, 5.0, 14.0
-MOST_TERMS, MOST_CONTEXT = 300, 2000
+#: A term's least number of toxic texts, least rate against clean texts, and least
+#: evidence (texts times log rate).
+MIN_TEXTS, MIN_RATIO, MIN_EVIDENCE = 3, 5.0, 14.0
+#: Clean texts that a context word is near a hit in.
+MIN_CONTEXT = 3
+TERMS_PER_AUTOMATON = 300
+#: Distinct terms that a worker counts before it passes them on.
+COUNTED_TERMS = 1 << 18
 #: Letters of the shortest stem, and the share of a stem's texts that makes one way of going on the term.
 STEM, DOMINANT = 3, 0.85
 #: (letters, edits): words and stems of so many letters allow so many edits.
@@ -216,6 +223,32 @@ class Automaton:
         return words[order], terms[order], errors[order]
 
 
+class Lexicon:
+    """Terms in order of their spelling over automata of ``TERMS_PER_AUTOMATON`` each."""
+
+    def __init__(self, terms: list[Term]):
+        self.terms = sorted(terms, key=lambda t: (t.text, t.stem))
+        self.first = list(range(0, len(terms), TERMS_PER_AUTOMATON))
+        self.automata = [Automaton(self.terms[i : i + TERMS_PER_AUTOMATON]) for i in self.first]
+        self.weight = np.array([t.weight for t in self.terms])
+
+    def read(self, signs: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words that are terms: their indices, terms and edits; of several terms the
+        one with the fewest edits, then the greatest weight."""
+        found = [a.read(signs, start, end) for a in self.automata]
+        if len(found) == 1:
+            return found[0]
+        if not found:
+            return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)
+        words, errors = (np.concatenate([f[k] for f in found]) for k in (0, 2))
+        terms = np.concatenate([f[1] + i for f, i in zip(found, self.first)])
+        order = np.lexsort((terms, -self.weight[terms], errors, words))
+        words = words[order]
+        best = np.ones(len(words), bool)
+        best[1:] = words[1:] != words[:-1]
+        return words[best], terms[order][best], errors[order][best]
+
+
 # ------------------------------------------------------------------ hits in context
 
 
@@ -237,7 +270,7 @@ def quoted(left: str, right: str) -> bool:
     return opens
 
 
-def hits(column: pa.Array, automaton: Automaton) -> tuple[list[Hit], np.ndarray]:
+def hits(column: pa.Array, automaton: Automaton | Lexicon) -> tuple[list[Hit], np.ndarray]:
     """Hits of all texts, and each text's number of words."""
     data, offsets = text_buffer(column)
     signs = word_bytes(data)
@@ -259,7 +292,7 @@ def hits(column: pa.Array, automaton: Automaton) -> tuple[list[Hit], np.ndarray]
 
 @dataclass
 class Model:
-    automaton: Automaton
+    automaton: Automaton | Lexicon
     context: dict[str, float] = field(default_factory=dict)  # log-odds of toxic against clean
     weights: dict[tuple[int, int], float] = field(default_factory=dict)  # of a term with so many edits
     coefficients: np.ndarray = field(default_factory=lambda: np.array([1.0, 1.0, 0.0, -4.0]))
@@ -289,6 +322,17 @@ class Model:
 def _terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of each label that hold a word, or words with a stem."""
     counts: tuple[Counter, Counter] = (Counter(), Counter())
+
+    def counted() -> pa.RecordBatch:
+        names = list(set(counts[0]) | set(counts[1]))
+        out = pa.RecordBatch.from_arrays(
+            [pa.array(names, pa.string()), pa.array([counts[1][x] for x in names], pa.int64()), pa.array([counts[0][x] for x in names], pa.int64())],
+            ["term", "toxic", "clean"],
+        )
+        counts[0].clear()
+        counts[1].clear()
+        return out
+
     for batch in batches:
         for part in slices(batch, "text", SLICE_BYTES):
             data, offsets = text_buffer(part.column("text"))
@@ -297,11 +341,9 @@ def _terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, toxic in enumerate(part.column("toxic").to_pylist()):
                 words = set(raw[offsets[i] : offsets[i + 1]].decode(errors="ignore").split())
                 counts[toxic].update({w + "\n" for w in words} | {w[:k] for w in words for k in range(STEM, len(w) + 1)})
-    names = list(set(counts[0]) | set(counts[1]))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(names), pa.array([counts[1][x] for x in names], pa.int64()), pa.array([counts[0][x] for x in names], pa.int64())],
-        ["term", "toxic", "clean"],
-    )
+                if len(counts[0]) + len(counts[1]) > COUNTED_TERMS:
+                    yield counted()
+    yield counted()
 
 
 def choose_terms(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) -> list[Term]:
@@ -335,7 +377,7 @@ def choose_terms(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int)
             x = best
     out += [(counts[w][0], Term(w[:-1], False, weight(w))) for w in counts if w.endswith("\n") and len(w) <= STEM]
     out.sort(key=lambda y: (-y[0], y[1].text))
-    return [t for _, t in out[:MOST_TERMS]]
+    return [t for _, t in out]
 
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -352,35 +394,78 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
-    """Texts with their label (0 or 1): about ``n_toxic`` and ``n_clean`` of each, at most twice as many."""
+def labelled(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """All texts that have a label (0 or 1): doc_id, text, toxic."""
     own = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    own = stored(own, "toxic-labels")
-    counts = {int(r["toxic"]): r["count"] for r in own.groupBy("toxic").count().collect()}
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 20)) / (1 << 20)
-    picked = [
-        own.filter((F.col("toxic") == k) & (draw < n / max(1, counts.get(k, 0)))).limit(2 * n) for k, n in ((1, n_toxic), (0, n_clean))
-    ]
-    ids = stored(picked[0].unionByName(picked[1]), "toxic-sample-ids")
     docs = documents.select("doc_id", F.col("text").cast("string").alias("text")).filter("text is not null")
-    # at most 2 * (n_toxic + n_clean) small rows
-    return stored(docs.join(F.broadcast(ids), "doc_id").select("text", "toxic"), "toxic-sample")
+    return stored(expanded(squeezed(docs).join(stored(own, "toxic-labels"), "doc_id")), "toxic-texts")
+
+
+def surroundings(texts: DataFrame, terms: list[Term]) -> dict[int, int]:
+    """Of each term, the number of different surroundings in ``texts``: three words
+    before it or three after it, whichever are fewer. Copies of a text count once."""
+    shared = texts.sparkSession.sparkContext.broadcast(({t.text: i for i, t in enumerate(terms) if not t.stem}, {t.text: i for i, t in enumerate(terms) if t.stem}))
+
+    def around(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole, stems = shared.value
+        for batch in batches:
+            for part in slices(batch, "text", SLICE_BYTES):
+                data, offsets = text_buffer(part.column("text"))
+                signs = word_bytes(data)
+                raw = np.where(signs == 0, 32, signs).astype(np.uint8).tobytes()
+                seen = set()
+                for a, b in zip(offsets[:-1], offsets[1:]):
+                    words = raw[a:b].decode(errors="ignore").split()
+                    for j, w in enumerate(words):
+                        found = [whole[w]] if w in whole else []
+                        found += [stems[w[:k]] for k in range(STEM, len(w) + 1) if w[:k] in stems] if stems else []
+                        if found:
+                            before, after = words[max(0, j - 3) : j], words[j + 1 : j + 4]
+                            if min(len(before), len(after)) < 3:  # at an edge both sides count
+                                before = after = [*before, "", *after]
+                            seen |= {(t, side, zlib.crc32(" ".join(x).encode())) for t in found for side, x in ((0, before), (1, after))}
+                rows = sorted(seen)
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["term", "side", "words"])
+
+    rows = texts.mapInArrow(around, "term long, side long, words long").distinct().groupBy("term", "side").count()
+    return {r["term"]: r["n"] for r in rows.groupBy("term").agg(F.min("count").alias("n")).collect()}
+
+
+def strong(counted: DataFrame, toxic: int, clean: int) -> DataFrame:
+    """The counted terms (term, toxic, clean) whose rate and evidence pass.
+
+    The likelihood ratio of the term's share of toxic texts against that of all texts
+    bounds how likely chance gives such a share, so among so many terms less than one
+    is expected to pass by chance.
+    """
+    t, c = F.col("toxic"), F.col("clean")
+    ratio = (t + 0.5) * (clean + 1) / ((c + 0.5) * (toxic + 1))
+    base = (toxic + 0.5) / (toxic + clean + 1)
+    n = t + c
+    likelihood = t * F.log(t / (n * base)) + F.when(c > 0, c * F.log(c / (n * (1 - base)))).otherwise(0.0)
+    least = math.log(max(1, counted.count()))
+    passed = counted.filter((t >= MIN_TEXTS) & (ratio >= MIN_RATIO) & (t * F.log(ratio) >= MIN_EVIDENCE) & (likelihood >= least))
+    # evidence of one text: a term needs as much from texts that are no copies
+    per_text = F.least(likelihood / least, t * F.log(ratio) / MIN_EVIDENCE) / t
+    return passed.select("term", "toxic", "clean", F.greatest(F.lit(MIN_TEXTS), F.ceil(1 / per_text)).alias("least"))
 
 
 def learn(documents: DataFrame, labels: DataFrame, n_toxic: int = SAMPLE_TOXIC, n_clean: int = SAMPLE_CLEAN) -> Model | None:
     """Model from ``documents`` (doc_id, text) and ``labels`` (doc_id, toxic); null without toxic texts."""
-    sample = labelled_sample(documents, labels, n_toxic, n_clean)
-    size = {int(r["toxic"]): r["count"] for r in sample.groupBy("toxic").count().collect()}
+    texts = labelled(documents, labels)
+    size = {int(r["toxic"]): r["count"] for r in texts.groupBy("toxic").count().collect()}
     toxic, clean = size.get(1, 0), size.get(0, 0)
     if not toxic:
         return None
-    counted = sample.mapInArrow(_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    least = max(MIN_TEXTS, MIN_SHARE * toxic)
-    ratio = (F.col("toxic") + 0.5) * (clean + 1) / ((F.col("clean") + 0.5) * (toxic + 1))
-    # each text has a bounded share of the terms: at most 1 / MIN_SHARE texts' worth pass
-    strong = (F.col("toxic") >= least) & (ratio >= MIN_RATIO) & (F.col("toxic") * F.log(ratio) >= MIN_EVIDENCE)
-    kept = counted.filter(strong).orderBy(F.desc("toxic"), "term").limit(100 * MOST_TERMS).collect()
-    model = Model(Automaton(choose_terms({r["term"]: (r["toxic"], r["clean"]) for r in kept}, toxic, clean)))
+    counted = texts.mapInArrow(_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    # a term in fewer toxic texts is never chosen, but counts among those chosen from
+    counted = stored(counted.filter(F.col("toxic") > 0), "toxic-terms")
+    kept = strong(counted, toxic, clean).collect()
+    terms = choose_terms({r["term"]: (r["toxic"], r["clean"]) for r in kept}, toxic, clean)
+    least = {r["term"]: r["least"] for r in kept}
+    met = surroundings(texts.filter("toxic = 1"), terms)
+    terms = [t for i, t in enumerate(terms) if met.get(i, 0) >= least[t.text if t.stem else t.text + "\n"]]
+    model = Model(Lexicon(terms))
 
     def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Once per text: the terms hit (with their edits) and the words near hits."""
@@ -393,17 +478,17 @@ def learn(documents: DataFrame, labels: DataFrame, n_toxic: int = SAMPLE_TOXIC,
                 columns = [pa.array([r[k] for r in rows], t) for k, t in ((1, pa.string()), (2, pa.int32()), (3, pa.int32()))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([label[r[0]] for r in rows], pa.int32())], ["word", "term", "edits", "toxic"])
 
-    seen = sample.mapInArrow(near, "word string, term int, edits int, toxic int").groupBy("word", "term", "edits")
+    seen = texts.mapInArrow(near, "word string, term int, edits int, toxic int").groupBy("word", "term", "edits")
     seen = stored(seen.agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")), "toxic-context")
-    # at most MOST_TERMS terms with at most two edits
+    # each term with at most two edits
     for r in seen.filter("term >= 0").collect():
         guess = model.automaton.terms[r["term"]].weight * EDIT_FACTOR ** r["edits"]
         known = math.log((r["t"] + 0.5) / (toxic + 1) * (clean + 1) / (r["c"] + 0.5))
         n = r["t"] + r["c"]
         model.weights[r["term"], r["edits"]] = max(0.0, (n * known + GUESS_TEXTS * guess) / (n + GUESS_TEXTS))
     # words that clean texts have near hits; a word seen there by chance moves little
-    table = seen.filter("term < 0 and c >= 3").orderBy(F.desc("c"), "word").limit(MOST_CONTEXT).collect()
-    model.context = {r["word"]: min(0.0, math.log((r["t"] + 2) / (toxic + 2) * (clean + 2) / (r["c"] + 2))) for r in table}
+    table = seen.filter(f"term < 0 and c >= {MIN_CONTEXT} and (t + 2) * {clean + 2}D < (c + 2) * {toxic + 2}D").collect()
+    model.context = {r["word"]: math.log((r["t"] + 2) / (toxic + 2) * (clean + 2) / (r["c"] + 2)) for r in table}
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -412,6 +497,9 @@ def learn(documents: DataFrame, labels: DataFrame, n_toxic: int = SAMPLE_TOXIC,
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([lists, part.column("toxic")], ["x", "toxic"])
 
+    draw = F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 20)) / (1 << 20)
+    picked = [texts.filter((F.col("toxic") == k) & (draw < n / max(1, size.get(k, 0)))).limit(2 * n) for k, n in ((1, n_toxic), (0, n_clean))]
+    sample = picked[0].unionByName(picked[1]).select("text", "toxic")
     rows = sorted((tuple(r["x"]), r["toxic"]) for r in sample.mapInArrow(measure, "x array<double>, toxic int").collect())
     model.coefficients = _fit_logistic(np.array([x for x, _ in rows]), np.array([y for _, y in rows], float))
     return model

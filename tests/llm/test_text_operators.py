@@ -295,6 +295,40 @@ def test_toxicity_finds_misspelt_terms_and_lets_quotations_pass(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_toxicity_learns_many_rare_terms(spark):
+    rnd = random.Random(12)
+    words = ["".join(rnd.choice("aeioulmnrst") for _ in range(rnd.randrange(2, 8))) for _ in range(300)]
+    terms = sorted({"".join(rnd.choice("bcdfgjkpqvwxz") for _ in range(4)) for _ in range(720)})
+    plain = lambda n: [rnd.choice(words) for _ in range(n)]
+    held = [t for t in terms for _ in range(10)]
+    rnd.shuffle(held)
+    toxic = [plain(4) + held[i : i + 1] + plain(4) + held[i + 1 : i + 2] + plain(4) for i in range(0, len(held), 2)]
+    docs = [(i, " ".join(t)) for i, t in enumerate([*toxic, *(plain(14) for _ in range(11_000))])]
+    labels = [(i, int(i < len(toxic))) for i, _ in docs]
+    model = toxicity.learn(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    probes = [(i, " ".join([*plain(6), t, *plain(6)])) for i, t in enumerate(terms)] + [(-1, " ".join(plain(13)))]
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(probes, DOCS), model).collect()}
+    assert sum(got[i] > got[-1] for i in range(len(terms))) >= 0.99 * len(terms)
+    # copies of one text are not evidence
+    copies = [(50_000 + i, " ".join(plain(5)) * (i == 0) or "tal mor zzyzxa nel rum sol ") for i in range(40)]
+    more = labels + [(i, 1) for i, _ in copies]
+    again = toxicity.learn(spark.createDataFrame(docs + copies, DOCS), spark.createDataFrame(more, "doc_id long, toxic int"))
+    assert not any("zzy" in t.text for t in again.automaton.terms)
+
+
+def test_lexicon_over_several_automata_reads_like_one(monkeypatch):
+    terms = [toxicity.Term(t, False, w) for t, w in (("idiot", 1.0), ("idiom", 2.0), ("scum", 1.0), ("worthless", 3.0), ("worthness", 1.0))]
+    data = np.frombuffer(b"idiot idio scum worthles worthnes wrthless none", np.uint8)
+    signs = toxicity.word_bytes(data)
+    start, end, _ = toxicity.split_words(signs, np.array([0, len(data)]))
+    results = []
+    for n in (300, 2, 1):
+        monkeypatch.setattr(toxicity, "TERMS_PER_AUTOMATON", n)
+        lexicon = toxicity.Lexicon(terms)
+        results.append([(w, lexicon.terms[t].text, e) for w, t, e in zip(*(x.tolist() for x in lexicon.read(signs, start, end)))])
+    assert results[0] == results[1] == results[2] and len(results[0]) == 6
+
+
 def test_quotation_marks():
     assert toxicity.quoted('he said "you ', ' there" and left') and not toxicity.quoted("you ", " there")
     assert toxicity.quoted("er sagte „du ", "“ und ” ging") and toxicity.quoted("dit « ", " » et") and not toxicity.quoted('"so" you ', ' "and"  x')
