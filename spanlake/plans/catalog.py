@@ -615,6 +615,16 @@ def batch_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("batch", "projectId", "n_objects", "n_events")
 
 
+@query("storage_stats")
+def storage_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Footprint of all stored F4 objects and F1 manifests, whole spans by trace (Q13)."""
+    from spanlake.operators import store
+
+    objs = store.entity_objects(_f1_positioned(spark, sf), overlays.PROJECT)
+    manifests = store.batch_manifests(objs, overlays.PROJECT, F.lit("2024-02-01T00:00:00.000Z"))
+    return reads.storage_stats(overlays.f4_objects(spark, sf), manifests)
+
+
 def _manual_trace_rows(spark: SparkSession, sf: str) -> DataFrame:
     from spanlake.sources.tables import table
 

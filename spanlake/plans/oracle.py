@@ -562,3 +562,69 @@ ORACLE["upsert_scores"] = ORACLE["merge_scores"]
 ORACLE["ledger"] = f"""
 SELECT count(*) AS counted, count(*) AS stored, count(DISTINCT event_id) AS distinct_ids FROM ({ORACLE["raw_log"]})
 """
+
+
+def _text_attr(key: str, value: str, when: str) -> str:
+    return f"""CASE WHEN {when} THEN '{{"key":"{key}","value":{{"stringValue":' || {value} || '}}}}' END"""
+
+
+def _by_type(names: dict[str, str]) -> str:
+    return "coalesce(CASE event_type " + " ".join(f"WHEN '{k}' THEN '\"{v}\"'" for k, v in names.items()) + " END, 'null')"
+
+
+def _storage_sql() -> str:
+    """Every stored object written out as JSON text."""
+    quoted = lambda x: f"""'"' || {x} || '"'"""
+    langfuse = {"click": "GENERATION", "view": "agent", "purchase": "Tool", "signup": "retriever", "error": "unknown"}
+    openinference = {"click": "llm", "view": "CHAIN", "purchase": "Tool", "signup": "EMBEDDING", "error": "RERANKER"}
+    genai = {"click": "chat", "view": "embeddings", "purchase": "execute_tool", "signup": "invoke_agent", "error": "Chat"}
+    vercel = {"click": "ai.generateText.doGenerate", "view": "ai.embed.doEmbed", "purchase": "ai.toolCall", "signup": "ai.streamText.doStream", "error": "ai.other"}
+    attributes = [
+        _text_attr("langfuse.observation.type", _by_type(langfuse), "conv IN (0, 4)"),
+        _text_attr("openinference.span.kind", _by_type(openinference), "conv = 1"),
+        _text_attr("gen_ai.operation.name", _by_type(genai), "conv IN (2, 4)"),
+        """CASE WHEN conv = 2 THEN '{"key":"gen_ai.usage.input_tokens","value":{"intValue":"' || user_id || '"}}' END""",
+        """CASE WHEN conv IN (2, 4) THEN '{"key":"gen_ai.usage.output_tokens","value":{"intValue":' || coalesce(CAST(k AS VARCHAR), 'null') || '}}' END""",
+        _text_attr("gen_ai.request.model", quoted("'req-' || (eid % 3)"), "conv IN (2, 4)"),
+        _text_attr("gen_ai.response.model", quoted("'resp-' || (eid % 5)"), "conv = 2 AND eid % 2 = 0"),
+        _text_attr("gen_ai.agent.name", quoted("'agent-' || user_id"), "conv = 2 AND event_type = 'signup'"),
+        _text_attr("operation.name", _by_type(vercel), "conv = 3"),
+        _text_attr("ai.model.id", quoted("'m-' || user_id"), "conv = 3 AND user_id % 2 = 0"),
+        """CASE WHEN conv = 4 THEN '{"key":"langfuse.observation.model.name","value":{"arrayValue":{"values":[{"stringValue":"x"}]}}}' END""",
+        _text_attr("user.id", quoted("'u' || user_id"), "eid % 4 = 0"),
+        _text_attr("ai.telemetry.metadata.userId", quoted("'u' || user_id"), "eid % 4 = 1"),
+        _text_attr("session.id", quoted("'s' || user_id"), "eid % 4 = 2"),
+        _text_attr("langfuse.trace.tags", quoted("'t' || (user_id % 3) || ', x'"), "eid % 3 = 0"),
+        _text_attr("tag.tags", """'"[\\"p\\",\\"q\\"]"'""", "eid % 9 = 1"),
+        _text_attr("dup.key", """'"first"'""", "eid % 10 = 3"),
+        _text_attr("dup.key", """'"second"'""", "eid % 10 = 3"),
+    ]
+    span_id = "CASE WHEN eid % 5 = 0 THEN '[' || array_to_string([(eid >> (8 * (7 - i))) & 255 FOR i IN range(8)], ',') || ']' ELSE '\"' || span_id || '\"' END"
+    start = """CASE WHEN eid % 7 = 0 THEN '{"high":' || (ns >> 32) || ',"low":' || (ns & 4294967295) || '}' ELSE '"' || ns || '"' END"""
+    return with_f4(
+        f""", st_ns AS (SELECT *, epoch_us(ts) * 1000 AS ns FROM f4_sp),
+        st_span AS (
+          SELECT object_key, eid // 8 AS obj, trace_id,
+            '{{"attributes":[' || array_to_string([x FOR x IN [{", ".join(attributes)}] IF x IS NOT NULL], ',') ||
+            '],"endTimeUnixNano":"' || (ns + 1000000000) || '","name":"span-' || event_type || '","parentSpanId":' ||
+            coalesce('"' || parent_span_id || '"', 'null') || ',"spanId":' || {span_id} || ',"startTimeUnixNano":' || {start} ||
+            ',"traceId":"' || trace_id || '"}}' AS span
+          FROM st_ns
+        ), st_obj AS (
+          SELECT obj, strlen('[{{"resource":{{"service":"f4"}},"' || CASE WHEN obj % 3 = 0 THEN 'instrumentationLibrarySpans' ELSE 'scopeSpans' END ||
+            '":[{{"scope":{{"name":"overlay"}},"spans":[' || string_agg(span, ',') || ']}}]}}]') AS bytes
+          FROM st_span GROUP BY obj
+        ), st_all AS (SELECT count(*) AS object_count, CAST(sum(bytes) AS BIGINT) AS total_bytes FROM st_obj),
+        st_trace AS (SELECT trace_id, sum(strlen(span)) AS bytes FROM st_span GROUP BY trace_id),
+        st_spread AS (
+          SELECT count(*) AS n, list_sort(list(CAST(bytes AS BIGINT))) AS sizes FROM st_trace
+        )
+        SELECT object_count, (SELECT count(DISTINCT batch) FROM ({ORACLE["batch_manifest"]})) AS manifest_count, total_bytes,
+          CAST(round(total_bytes / n) AS BIGINT) AS mean_bytes_per_trace, sizes[1] AS min_bytes,
+          sizes[CAST(floor((n - 1) * 0.5) AS BIGINT) + 1] AS p50_bytes,
+          sizes[CAST(floor((n - 1) * 0.95) AS BIGINT) + 1] AS p95_bytes, sizes[n] AS max_bytes
+        FROM st_all, st_spread"""
+    )
+
+
+ORACLE["storage_stats"] = _storage_sql()

@@ -42,3 +42,13 @@ def test_storage_stats(spark):
     total = sum(map(size, objects))
     assert (r.object_count, r.manifest_count, r.total_bytes) == (2, 3, total)
     assert (r.mean_bytes_per_trace, r.min_bytes, r.p50_bytes, r.max_bytes) == (round(total / 2), per_trace[0], per_trace[0], per_trace[1])
+
+
+def test_storage_stats_is_registered_over_whole_objects(spark):
+    import __spark_entry__ as entry
+    from conftest import SF_SMALL
+
+    r = entry.queries()["storage_stats"](spark, SF_SMALL).first()
+    events = spark.read.parquet(f"{SF_SMALL}/events.parquet").count()
+    # 8 spans to an object, each of more than 200 bytes
+    assert r.object_count >= events // 8 and r.manifest_count > 0 and r.total_bytes > 200 * events
