@@ -43,9 +43,9 @@ SIZES = (2, 3, 4)
 DIMENSIONS = 16
 EPOCHS = 8
 RATE = 8.0
-#: Labelled texts per language in the training sample, and most languages learned.
-SAMPLE_PER_LANGUAGE = 500
-MOST_LANGUAGES = 256
+#: Labelled texts per language in the training sample, and in all; with so many
+#: languages that these are fewer for each, still ``LEAST_PER_LANGUAGE``.
+SAMPLE_PER_LANGUAGE, SAMPLE_TEXTS, LEAST_PER_LANGUAGE = 500, 128_000, 10
 CALIBRATION_SHARE = 0.2
 REJECTED_SHARE = 0.001
 #: Pieces of about 2**k bytes are measured, ``PIECES`` of a text at most for each k, in
@@ -285,12 +285,14 @@ def labelled_sample(documents: DataFrame, per_language: int) -> list[tuple[str,
     Texts are picked by a hash of id and text, at a rate known from the counts per
     language; what reaches the driver is bounded by the sample.
     """
-    counts = documents.filter("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = documents.filter("lang is not null").groupBy("lang").count().collect()
     if not counts:
         return []
-    rate = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["count"])))])
+    per_language = min(per_language, max(LEAST_PER_LANGUAGE, SAMPLE_TEXTS // len(counts)))
+    rates = documents.sparkSession.createDataFrame([(r["lang"], min(1.0, per_language / r["count"])) for r in counts], "lang string, rate double")
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / (1 << 20)
-    picked = documents.filter(F.col("lang").isNotNull() & (draw < F.element_at(rate, F.col("lang"))))
+    # one row per language
+    picked = documents.join(F.broadcast(rates), "lang").filter(draw < F.col("rate"))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

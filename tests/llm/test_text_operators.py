@@ -229,6 +229,15 @@ def test_language_rejects_letter_junk_and_unlearned_languages(spark, languages):
     assert len(kept & {i for i, _, _ in clean}) >= 58 and len(kept) >= 0.98 * (len(train) + len(clean))
 
 
+def test_every_language_is_learned(spark):
+    rnd = random.Random(14)
+    rows = []
+    for k in range(300):
+        words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(5)]
+        rows += [(1000 * k + i, " ".join(rnd.choices(words, k=12)), f"l{k}") for i in range(2 + (k < 290))]
+    assert langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages == sorted({r[2] for r in rows})
+
+
 # ------------------------------------------------------------------ op3
 
 
