@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanlake.llm.shared import slices, text_buffer
+from spanlake.llm.shared import slices, text_buffer, trim
 
 BUCKETS = 1 << 16
 SIZES = (2, 3, 4)
@@ -350,6 +350,7 @@ def predict(documents: DataFrame, model: Model | None) -> DataFrame:
             for part in slices(batch, "text", SLICE_BYTES):
                 lang, score, rejected = judged(part.column("text"), shared.value)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], [*names, *added])
+        trim()
 
     schema = T.StructType([*documents.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
     return documents.mapInArrow(run, schema)
@@ -371,6 +372,7 @@ def accepted(documents: DataFrame, folds: int = 4, held_out_fold: int = 2) -> Da
                 known = pc.coalesce(part.column("lang"), pa.array(lang, part.column("lang").type))
                 kept = [known if c == "lang" else part.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays(kept, names).filter(pa.array(~rejected))
+        trim()
 
     return documents.mapInArrow(run, documents.schema)
 

@@ -45,6 +45,7 @@ def _recoded(df: DataFrame, column: str, kind: T.DataType, recode) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([recode(c) if i == at else c for i, c in enumerate(batch.columns)], names)
+        trim()
 
     schema = T.StructType([T.StructField(f.name, kind if f.name == column else f.dataType) for f in df.schema])
     return df.mapInArrow(run, schema)
