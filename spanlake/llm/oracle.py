@@ -103,3 +103,86 @@ WITH d AS (
 )
 SELECT doc_id, size, source_size, target, (size * passes + greatest(0, least(start + size, edge) - start))::BIGINT AS taken FROM last_pass
 """
+
+ORACLE["op12_collocations"] = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d
+), x AS (
+  SELECT lang, 1 AS k, unnest(w) AS phrase FROM p
+  UNION ALL SELECT lang, 2, unnest([array_to_string(w[i:i + 1], ' ') FOR i IN range(1, len(w))]) FROM p
+  UNION ALL SELECT lang, 3, unnest([array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)]) FROM p
+  UNION ALL SELECT lang, 4, unnest([array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)]) FROM p
+), f AS (SELECT lang, phrase, k, count(*) AS f FROM x GROUP BY ALL
+), t AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS (SELECT lang, phrase, string_split(phrase, ' ') AS words, k, f AS a FROM f WHERE k >= 2 AND f >= 30
+), parts AS (
+  SELECT *, array_to_string(words[1:j], ' ') AS first_part, array_to_string(words[j + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c)
+), cut AS (
+  SELECT parts.*, l.f AS l, r.f AS r, ((2000000 * a::HUGEINT) // (l.f + r.f))::BIGINT AS score
+  FROM parts JOIN f l ON l.lang = parts.lang AND l.phrase = first_part JOIN f r ON r.lang = parts.lang AND r.phrase = rest
+), best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), inner_ AS (
+  SELECT lang, array_to_string(words[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c)) GROUP BY ALL
+), kept AS (
+  SELECT best.* FROM best LEFT JOIN inner_ i ON i.lang = best.lang AND i.phrase = best.phrase
+  WHERE longer IS NULL OR 100 * longer::HUGEINT < 80 * a::HUGEINT
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN t USING (lang) WHERE rank <= 2000
+"""
+
+# A feature's CRC-32: contributions of its bytes by their distance from the end, and
+# the CRC of as many zero bytes (both by the step for one more zero byte).
+ORACLE["op13_importance_resampling"] = r"""
+WITH RECURSIVE d AS (
+  SELECT 0 AS which, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT 1, NULL, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+), x AS (
+  SELECT which, doc_id, unnest(w) AS feature FROM d
+  UNION ALL
+  SELECT which, doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM d
+), y AS (SELECT which, doc_id, feature, count(*) AS n FROM x GROUP BY ALL
+), e AS (SELECT DISTINCT feature, hex(encode(feature)) AS h, octet_length(encode(feature)) AS size FROM y
+), step(k, b, c) AS (
+  SELECT 0, b, b::UINTEGER FROM range(256) t(b)
+  UNION ALL
+  SELECT k + 1, b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UINTEGER) ELSE c >> 1 END::UINTEGER FROM step WHERE k < 8
+), low AS (SELECT b, c FROM step WHERE k = 8
+), most AS (SELECT max(size) AS size FROM e
+), table_(d, b, c) AS (
+  SELECT 0, b, c FROM low
+  UNION ALL
+  SELECT t.d + 1, t.b, xor(t.c >> 8, low.c)::UINTEGER FROM table_ t JOIN low ON low.b = t.c & 255 WHERE t.d + 1 < (SELECT size FROM most)
+), zeros(size, c) AS (
+  SELECT 0, 4294967295::UINTEGER
+  UNION ALL
+  SELECT z.size + 1, xor(z.c >> 8, low.c)::UINTEGER FROM zeros z JOIN low ON low.b = z.c & 255 WHERE z.size < (SELECT size FROM most)
+), bytes AS (
+  SELECT feature, size, size - 1 - i AS d, ('0x' || h[2 * i + 1:2 * i + 2])::INTEGER AS b FROM (SELECT *, unnest(range(size)) AS i FROM e)
+), crc AS (
+  SELECT feature, xor(xor(bit_xor(t.c), any_value(z.c)), 4294967295::UINTEGER) % 10000 AS bucket
+  FROM bytes JOIN table_ t USING (d, b) JOIN zeros z USING (size) GROUP BY feature
+), z AS (SELECT which, doc_id, bucket, n FROM y JOIN crc USING (feature)
+), s AS (
+  SELECT bucket, coalesce(sum(n) FILTER (which = 0), 0)::BIGINT AS s, coalesce(sum(n) FILTER (which = 1), 0)::BIGINT AS t FROM z GROUP BY bucket
+), tot AS (SELECT sum(s)::DOUBLE AS ss, sum(t)::DOUBLE AS tt FROM s
+), gain AS (
+  SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (ss + 10000)) / ((s + 1)::DOUBLE * (tt + 10000))))::BIGINT AS gain FROM s, tot
+), sums AS (SELECT doc_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS total FROM z JOIN gain USING (bucket) WHERE which = 0 GROUP BY doc_id
+), w AS (
+  SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_features, 0) AS n_features,
+    CASE WHEN n_features IS NULL THEN 0 ELSE (total - ((total % n_features) + n_features) % n_features) // n_features END AS weight,
+    ('0x' || sha256('7:' || d.doc_id)[1:8])::UINTEGER AS h
+  FROM d LEFT JOIN sums USING (doc_id) WHERE which = 0
+), scored AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM w
+), drawn AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_words >= 20
+  QUALIFY rank <= 25 * count(*) OVER () // 100
+)
+SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score::BIGINT AS score, rank FROM scored LEFT JOIN drawn USING (doc_id)
+"""

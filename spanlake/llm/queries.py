@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.llm import embeddings, jaccard, langid, mixing, packing, substrings, topk, toxicity, urls, warc
+from spanlake.llm import codes, collocations, embeddings, jaccard, langid, mixing, packing, resampling, substrings, topk, toxicity, urls, warc
 from spanlake.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,22 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     rows = langid.identify(docs)
     return rows.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, length and checksum in the token files."""
+    return codes.round_trip(spark, table(spark, sf_dir, "documents"), packing_tokenizer())
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark, and the rank of those drawn."""
+    rows = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
