@@ -203,12 +203,17 @@ def _write(batches: Iterable[pa.RecordBatch], path: str, folder: str, end_id: in
     for batch in batches:
         for some in slices(batch, "text", SLICE_BYTES):
             flat, offsets = tokens.encode(some.column("text"), end_id)
-            ids.append(flat)
-            lengths.append(np.diff(offsets))
-            docs += some.column("doc_id").to_pylist()
-            held += len(flat)
-            if held >= file_ids:
-                close()
+            doc_ids, lo = some.column("doc_id").to_pylist(), 0
+            while lo < len(doc_ids):
+                # up to the document that fills the file
+                hi = min(int(np.searchsorted(offsets, offsets[lo] + file_ids - held)), len(doc_ids))
+                ids.append(flat[offsets[lo] : offsets[hi]])
+                lengths.append(np.diff(offsets[lo : hi + 1]))
+                docs += doc_ids[lo:hi]
+                held += len(ids[-1])
+                lo = hi
+                if held >= file_ids:
+                    close()
     if held:
         close()
     tokens.clear()
