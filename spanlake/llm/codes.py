@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from spanlake.llm.packing import WordTokens
-from spanlake.llm.shared import shared_path, slices, stored, trim
+from spanlake.llm.shared import gathered, shared_path, stored, trim
 
 END_ID = 1
 #: A file closes once it holds so many ids.
@@ -48,7 +48,7 @@ FILE_IDS = 1 << 22
 RANK_BITS = 512
 #: Ids that are packed or unpacked at a time.
 BLOCK = 1 << 18
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 4 << 20
 
 MAGIC = b"SPANDAC1"
 MANIFEST = "path string, part long, nth long, n_docs long, n_ids long, n_bytes long"
@@ -200,20 +200,19 @@ def _write(batches: Iterable[pa.RecordBatch], path: str, folder: str, end_id: in
         ids.clear(), lengths.clear(), docs.clear()
         held = 0
 
-    for batch in batches:
-        for some in slices(batch, "text", SLICE_BYTES):
-            flat, offsets = tokens.encode(some.column("text"), end_id)
-            doc_ids, lo = some.column("doc_id").to_pylist(), 0
-            while lo < len(doc_ids):
-                # up to the document that fills the file
-                hi = min(int(np.searchsorted(offsets, offsets[lo] + file_ids - held)), len(doc_ids))
-                ids.append(flat[offsets[lo] : offsets[hi]])
-                lengths.append(np.diff(offsets[lo : hi + 1]))
-                docs += doc_ids[lo:hi]
-                held += len(ids[-1])
-                lo = hi
-                if held >= file_ids:
-                    close()
+    for some in gathered(batches, "text", SLICE_BYTES):
+        flat, offsets = tokens.encode(some.column("text"), end_id)
+        doc_ids, lo = some.column("doc_id").to_pylist(), 0
+        while lo < len(doc_ids):
+            # up to the document that fills the file
+            hi = min(int(np.searchsorted(offsets, offsets[lo] + file_ids - held)), len(doc_ids))
+            ids.append(flat[offsets[lo] : offsets[hi]])
+            lengths.append(np.diff(offsets[lo : hi + 1]))
+            docs += doc_ids[lo:hi]
+            held += len(ids[-1])
+            lo = hi
+            if held >= file_ids:
+                close()
     if held:
         close()
     tokens.clear()

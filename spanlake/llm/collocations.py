@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from spanlake.llm.shared import LOWER, Rolling, mix, slices, stored, text_buffer, trim
+from spanlake.llm.shared import LOWER, Rolling, gathered, mix, stored, text_buffer, trim
 
 MOST_WORDS = 4
 MIN_COUNT = 30
@@ -245,24 +245,10 @@ def _emit(found: Iterable[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
 
 
 def _first(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
-
-    def counted() -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(held).combine_chunks()
-        texts, langs = (table.column(c).combine_chunks() for c in ("text", "lang"))
+    for some in gathered(batches, "text", SLICE_BYTES):
+        texts, langs = some.column("text"), some.column("lang")
         for data, offsets, number in _text_parts(texts, SLICE_BYTES):
             yield from _emit(count_windows(data, offsets, langs.take(pa.array(number))).blocks(MOST_WORDS - 1, n))
-
-    for batch in batches:
-        for some in slices(batch, "text", SLICE_BYTES):
-            more = int(text_buffer(some.column("text"))[1][-1])
-            if held and size + more > SLICE_BYTES:
-                yield from counted()
-                held, size = [], 0
-            held.append(some)
-            size += more
-    if held:
-        yield from counted()
     trim()
 
 
@@ -319,7 +305,7 @@ def frequent_windows(documents: DataFrame, least: int = MIN_COUNT) -> DataFrame:
     n = 1 + int(size) // (6 * BUCKET_WINDOWS)  # a word and its gap take about six bytes
     blocks = docs.mapInArrow(lambda b: _first(b, n), "bucket long, block binary")
     for shared in range(MOST_WORDS - 1, 0, -1):
-        met = blocks.repartition("bucket").sortWithinPartitions("bucket")
+        met = blocks.repartitionById(n, F.col("bucket").cast("int")).sortWithinPartitions("bucket")
         if shared == 1:
             columns = ", ".join(f"{c} string" for c in ["lang", *WORDS])
             return met.mapInArrow(lambda b: _last(b, least), f"{columns}, n long")

@@ -23,6 +23,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import os
 import zlib
@@ -30,6 +31,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +58,15 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 # ------------------------------------------------------------------ tokens
 
 
+@functools.lru_cache(maxsize=1)
+def _tokenizer(path: str):
+    """The tokenizer of a file, once per worker."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class WordTokens:
     """Ids of whole texts by way of their distinct words.
 
@@ -69,32 +80,32 @@ class WordTokens:
     """
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = _tokenizer(path)
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {"": 0}
+        # word 0 stands for the end token
+        self.known = pa.array([""], pa.string())
         self.ids, self.starts, self.lengths = np.zeros(1, np.uint32), np.zeros(1, np.int64), np.ones(1, np.int32)
 
     def _learn(self, words: list[str]) -> None:
-        found, other = [], []
-        model = self.tokenizer.model
-        for w in words:
-            if w.isascii() and w.isalpha():
-                found.append([t.id for t in model.tokenize(w.lower())])
-            elif w.isalpha() and max(w) <= "\xff":
-                found.append([t.id for t in model.tokenize(w.lower().encode().decode("latin-1").translate(_BYTE_SIGNS))])
-            else:
-                found.append([])
-                other.append(len(found) - 1)
-        for i in range(0, len(other), 4096):
-            some = other[i : i + 4096]
-            for j, x in zip(some, self.tokenizer.encode_batch_fast([words[j] for j in some], add_special_tokens=False)):
-                found[j] = x.ids
-        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
+        found: list = [None] * len(words)
+        tokenize = self.tokenizer.model.tokenize
+        plain = [i for i, w in enumerate(words) if w.isascii() and w.isalpha()]
+        for i, w in zip(plain, "\n".join([words[i] for i in plain]).lower().split("\n")):
+            found[i] = [t.id for t in tokenize(w)]
+        other = [i for i, x in enumerate(found) if x is None]
+        latin = [i for i in other if words[i].isalpha() and max(words[i]) <= "\xff"]
+        # (put together with a mark that is its own sign)
+        signs = "!".join([words[i] for i in latin]).lower().encode().decode("latin-1").translate(_BYTE_SIGNS)
+        for i, w in zip(latin, signs.split("!")):
+            found[i] = [t.id for t in tokenize(w)]
+        other = [i for i in other if found[i] is None]
+        for k in range(0, len(other), 4096):
+            some = other[k : k + 4096]
+            for i, x in zip(some, self.tokenizer.encode_batch_fast([words[i] for i in some], add_special_tokens=False)):
+                found[i] = x.ids
+        self.known = pa.concat_arrays([self.known, pa.array(words, pa.string())])
         lengths = np.fromiter(map(len, found), np.int32, len(found))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
@@ -102,7 +113,7 @@ class WordTokens:
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a string column, each text's followed by ``end_id``, and len+1 offsets."""
-        if len(self.number) > CACHED_WORDS:
+        if len(self.known) > CACHED_WORDS:
             self.clear()
         data, offsets = text_buffer(texts)
         if b"<|" not in data.tobytes():  # else a special token might be spelt
@@ -112,14 +123,18 @@ class WordTokens:
         begins[1:] &= ~solid[:-1] | (_MARK[data[1:]] & _LETTER[data[:-1]])
         edge = offsets[1:-1][offsets[1:-1] < len(data)]
         begins[edge] = solid[edge]
-        at = np.concatenate([[0], np.cumsum(begins)])[offsets]
-        bounds = np.append(np.concatenate([[0], np.cumsum(solid)])[:-1][begins], solid.sum()).astype(np.int32)
-        coded = pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(data[solid])).dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        self._learn([w for w in words if w not in self.number])
-        number = np.fromiter(map(self.number.__getitem__, words), np.int32, len(words))
-        # number 0 stands for the end token
-        word = np.insert(number[coded.indices.to_numpy()], at[1:], 0)
+        first = np.flatnonzero(begins)
+        at = np.searchsorted(first, offsets)
+        letters = data[solid]
+        bounds = np.append(np.cumsum(solid, dtype=np.int32)[first] - 1, len(letters)).astype(np.int32)
+        coded = pa.StringArray.from_buffers(len(first), pa.py_buffer(bounds), pa.py_buffer(letters)).dictionary_encode()
+        number = pc.index_in(coded.dictionary, value_set=self.known)
+        if number.null_count:
+            new = pc.is_null(number)
+            before = len(self.known)
+            self._learn(coded.dictionary.filter(new).to_pylist())
+            number = pc.if_else(new, pa.array(before - 1 + np.cumsum(new.to_numpy(zero_copy_only=False)), pa.int32()), number)
+        word = np.insert(number.to_numpy()[coded.indices.to_numpy()], at[1:], 0)
         length = self.lengths[word]
         before = np.concatenate([np.zeros(1, np.int64), np.cumsum(length, dtype=np.int64)])
         flat = np.repeat((self.starts[word] - before[:-1]).astype(np.int32), length)

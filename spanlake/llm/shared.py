@@ -194,6 +194,22 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int):
         yield batch.slice(start)
 
 
+def gathered(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut and put together so that ``column`` holds about ``most_bytes`` in each
+    (a longer single value makes a batch of its own)."""
+    held, size = [], 0
+    for batch in batches:
+        for some in slices(batch, column, most_bytes):
+            more = int(text_buffer(some.column(column))[1][-1])
+            if held and size + more > most_bytes:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+            held.append(some)
+            size += more
+    if held:
+        yield pa.concat_batches(held)
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word, and the index of its first word per text (len+1)."""
     blank = BLANK[data]
