@@ -122,12 +122,17 @@ def _with_metadata(agg: DataFrame, ev: DataFrame, keys: list[str]) -> DataFrame:
 # --------------------------------------------------------------------- traces
 
 
-def fold_traces(raw: DataFrame) -> DataFrame:
-    """trace-create events → ``traces`` (without cost; see ``rollup_trace_costs``)."""
+def trace_fields(raw: DataFrame) -> DataFrame:
+    """Per-event trace values."""
     ev = body_fields(
         raw.where((F.col("event_type") == TRACE_CREATE) & F.col("trace_id").isNotNull() & (F.col("trace_id") != ""))
     )
-    ev = ev.select("*", *_trace_extra_columns()).drop("_b")
+    return ev.select("*", *_trace_extra_columns()).drop("_b")
+
+
+def fold_traces(raw: DataFrame) -> DataFrame:
+    """trace-create events → ``traces`` (without cost; see ``rollup_trace_costs``)."""
+    ev = trace_fields(raw)
     out = ev.groupBy("project_id", "trace_id").agg(*_trace_aggs())
     out = _with_metadata(out, ev, ["project_id", "trace_id"]).withColumnRenamed("trace_id", "id")
     return out.select(*[F.lit(None).cast("double").alias(c) if c == "total_cost" else F.col(c) for c in TRACES.names])

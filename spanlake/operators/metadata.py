@@ -91,32 +91,57 @@ def _assemble(paths: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield series.map(lambda rows: assemble([(list(r["path"]), r["leaf"]) for r in rows]))
 
 
+def is_object_text(text: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), F.lit(False))
+
+
+def object_entries(values: DataFrame, keys: list[str], text: str, order: str) -> DataFrame:
+    """An entry per path of each non-empty object: ``keys``, its ``path``, the ``last``
+    order at which it was set and its ``leaf`` then, and the last orders at which it
+    was a leaf and an object."""
+    nonempty = values.where(is_object_text(F.col(text)) & (F.size(F.json_object_keys(text)) > 0))
+    cut_up = F.pandas_udf(_flatten, PATHS)
+    paths = nonempty.select(*keys, F.col(order).alias("last"), F.explode(cut_up(text)).alias("_p"))
+    is_leaf = F.col("_p.leaf").isNotNull()
+    return paths.select(
+        *keys, F.col("_p.path").alias("path"), "last", F.col("_p.leaf").alias("leaf"),
+        F.when(is_leaf, F.col("last")).alias("last_leaf"), F.when(~is_leaf, F.col("last")).alias("last_object"),
+    )
+
+
+def merge_entries(entries: DataFrame, keys: list[str]) -> DataFrame:
+    """One entry per (key, path), without the paths that an ancestor's leaf has cut
+    off. Entries merge in any grouping: a path that is cut off stays cut off, whatever
+    comes later, unless it is set again."""
+    last = entries.groupBy(*keys, "path").agg(
+        F.max("last").alias("last"),
+        F.max_by(F.struct("leaf"), "last")["leaf"].alias("leaf"),
+        F.max("last_leaf").alias("last_leaf"),
+        F.max("last_object").alias("last_object"),
+    )
+    barriers = last.where(F.col("last_leaf").isNotNull() & F.col("last_object").isNotNull()).select(*keys, F.col("path").alias("_above"), F.col("last_leaf").alias("_cut"))
+    above = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda n: F.slice(F.col("path"), F.lit(1), n))
+    deep = last.where(F.size("path") > 1).select(*keys, "path", "last", F.explode(above).alias("_above"))
+    dead = deep.join(barriers, [*keys, "_above"]).where(F.col("_cut") > F.col("last")).select(*keys, "path").distinct()
+    # a path whose parent ends as a leaf goes as well: its last entry is older than the leaf
+    return last.join(dead, [*keys, "path"], "left_anti")
+
+
+def assembled(paths: Column) -> Column:
+    """Object text from an array of entries."""
+    put_together = F.pandas_udf(_assemble, "string")
+    return put_together(F.transform(paths, lambda p: F.struct(p["path"].alias("path"), p["leaf"].alias("leaf"))))
+
+
 def merge_metadata(values: DataFrame, keys: list[str], text: str, order: Column) -> DataFrame:
     """``keys`` and ``metadata_json``, the merge of each key's ``text`` values in ``order``."""
     rows = values.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("_text"), order.alias("_ord"))
-    rows = rows.withColumn("_object", F.coalesce(F.schema_of_variant(F.try_parse_json("_text")).startswith("OBJECT"), F.lit(False)))
-    nonempty = rows.where(F.col("_object") & (F.size(F.json_object_keys("_text")) > 0))
-    cut_up, put_together = F.pandas_udf(_flatten, PATHS), F.pandas_udf(_assemble, "string")
-    paths = nonempty.select(*keys, "_ord", F.explode(cut_up("_text")).alias("_p"))
-    paths = paths.select(*keys, "_ord", F.col("_p.path").alias("_path"), F.col("_p.leaf").alias("_leaf"))
-    is_leaf = F.col("_leaf").isNotNull()
-    last = paths.groupBy(*keys, "_path").agg(
-        F.max("_ord").alias("_last"),
-        F.max_by(F.struct("_leaf"), "_ord")["_leaf"].alias("_leaf"),
-        F.max(F.when(is_leaf, F.col("_ord"))).alias("_last_leaf"),
-        F.max(F.when(~is_leaf, F.col("_ord"))).alias("_last_object"),
-    )
-    barriers = last.where(F.col("_last_leaf").isNotNull() & F.col("_last_object").isNotNull()).select(*keys, F.col("_path").alias("_above"), F.col("_last_leaf").alias("_cut"))
-    above = F.transform(F.sequence(F.lit(1), F.size("_path") - 1), lambda n: F.slice(F.col("_path"), F.lit(1), n))
-    deep = last.where(F.size("_path") > 1).select(*keys, "_path", "_last", F.explode(above).alias("_above"))
-    dead = deep.join(barriers, [*keys, "_above"]).where(F.col("_cut") > F.col("_last")).select(*keys, "_path").distinct()
-    # a path whose parent ends as a leaf goes as well: its last entry is older than the leaf
-    alive = last.join(dead, [*keys, "_path"], "left_anti")
-    merged = alive.groupBy(*keys).agg(F.collect_list(F.struct(F.col("_path").alias("path"), F.col("_leaf").alias("leaf"))).alias("_paths"))
-    merged = merged.select(*keys, put_together("_paths").alias("_merged"))
+    alive = merge_entries(object_entries(rows, keys, "_text", "_ord"), keys)
+    merged = alive.groupBy(*keys).agg(F.collect_list(F.struct("path", "leaf")).alias("_paths"))
+    merged = merged.select(*keys, assembled(F.col("_paths")).alias("_merged"))
     # without a non-empty object: the last value that is not an object, else the empty one
     plain = rows.groupBy(*keys).agg(
-        F.max_by(F.col("_text"), F.when(~F.col("_object"), F.col("_ord"))).alias("_scalar"), F.max_by("_text", "_ord").alias("_any")
+        F.max_by(F.col("_text"), F.when(~is_object_text(F.col("_text")), F.col("_ord"))).alias("_scalar"), F.max_by("_text", "_ord").alias("_any")
     )
     out = plain.join(merged, keys, "left")
     return out.select(*keys, F.coalesce("_merged", "_scalar", "_any").alias("metadata_json"))

@@ -3,33 +3,40 @@
 Two Structured Streaming file sources (OTLP batches and manifests) feed
 ``foreachBatch``. A micro-batch leaves out objects that the ledger has, maps the
 rest to raw-log rows with deterministic event ids, skips event ids already stored,
-refolds the keys that the new rows touch from their stored history, and publishes
-one commit record (``streaming.store``): raw rows, state, costs, ledger, counters
-and watermark become visible together. A batch that fails at any step leaves no
-trace, and one that is replayed after its commit finds its objects in the ledger.
+folds what is new into state rows of its own, and publishes one commit record
+(``streaming.store``): raw rows, state, ledger, counters and watermark become visible
+together. A batch that fails at any step leaves no trace, and one that is replayed
+after its commit finds its objects in the ledger.
 
-Reads and writes follow the batch: history, event ids, costs and state are read
-and rewritten in the hash buckets that the batch touches.
+A commit's cost follows its batch: no raw row, state row or cost of earlier commits is
+read, and of the stored ids only the filters' words and what passes them.
 """
 
 from __future__ import annotations
 
+import contextlib
 import threading
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.operators import fold, otlp, raw, store
-from spanlake.operators.fold import rollup_trace_costs
+from spanlake.operators import otlp, partial, raw, store
+from spanlake.schema import SCORE_CREATE, TRACE_CREATE
 from spanlake.sources import files
-from spanlake.streaming.store import COSTS, LEDGER, StateStore, fold_key, fold_kind, touched_buckets
+from spanlake.streaming.store import LEDGER, ConcurrentCommit, StateStore, at_once
 
 #: Minutes by which the watermark stays behind the newest object of a commit.
 FINAL_AFTER_MINUTES = 5
+RELATION_KINDS = {"traces": "trace", "observations": "observation", "scores": "score"}
 COUNTERS = ("events", "objects", "objects_skipped", "manifests", "manifests_skipped")
 
 
+def fold_kind() -> Column:
+    t = F.col("event_type")
+    return F.when(t == TRACE_CREATE, "trace").when(t == SCORE_CREATE, "score").otherwise("observation")
+
+
 def commit(
     state: StateStore,
     batch_raw: DataFrame,
@@ -47,82 +54,45 @@ def commit(
     spark, record = state.spark, state.record()
     work = f"_work/{uuid.uuid4().hex}"
 
-    def put(df: DataFrame, name: str) -> DataFrame:
+    def keep(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{state.root}/{work}/{name}")
         return spark.read.schema(df.schema).parquet(f"{state.root}/{work}/{name}")
 
-    batch = put(batch_raw, "batch")
-    by_id, by_key, by_trace = state.bucket("project_id", "event_id"), state.bucket("project_id", fold_kind(), fold_key()), state.bucket("project_id", "trace_id")
-    stored_ids = state.log("ids", touched_buckets(batch, by_id), record)
+    batch = keep(batch_raw, "batch")
+    n_bytes = state.written_bytes(f"{work}/batch")
+    stored = state.known("ids", batch, record, keep)
     if duplicates == "strict":
         # an event id seen twice (in the batch or already stored) fails the whole batch
-        raw.check_no_duplicates(batch, stored_ids)
-    fresh = put(raw.dedupe_skip(batch, stored_ids), "fresh")
-    n_fresh = fresh.count()
-    new = {k: v for k, v in record.items()}
+        raw.check_no_duplicates(batch, stored)
+    parts = {"raw": state.put("raw", raw.dedupe_skip(batch, stored), n_bytes)}
+    fresh = state.part("raw", parts["raw"])
+    kinds = {r["kind"]: r["n"] for r in fresh.groupBy(fold_kind().alias("kind")).agg(F.count("*").alias("n")).collect()}
+    n_fresh = sum(kinds.values())
+    tasks = {}
     if n_fresh:
-        new |= _fold_in(state, record, fresh, put, by_id, by_key, by_trace)
+        tasks["ids"] = lambda: state.put("ids", fresh.select(*raw.EVENT_KEY), 40 * n_fresh)
+    else:
+        parts = {}
+    for name, kind in RELATION_KINDS.items():
+        if kinds.get(kind):
+            tasks[name] = lambda name=name: state.put(name, partial.state_of(fresh, name), n_bytes)
     if processed is not None:
-        part = uuid.uuid4().hex
-        processed.write.parquet(f"{state.root}/ledger/{part}")
-        new["ledger"] = [*record["ledger"], part]
+        tasks["ledger"] = lambda: state.put("ledger", processed, n_bytes)
+    parts |= at_once(tasks)
     stats = {k: int((counters or {}).get(k, 0)) for k in COUNTERS} | {"events": n_fresh}
+    new = record | {"parts": {name: old + ([parts[name]] if name in parts else []) for name, old in record["parts"].items()}}
     new["counters"] = {k: record["counters"].get(k, 0) + v for k, v in stats.items()}
     if watermark:
         new["watermark"] = record["watermark"] | {source: max(watermark, record["watermark"].get(source, watermark))}
     state.publish(new, record["n"])
     state.discard(work)
+    # the batch is in; another writer that has come since will compact as well
+    with contextlib.suppress(ConcurrentCommit):
+        state.compact()
+    state.vacuum()
     return stats | {"source": source}
 
 
-def _fold_in(state: StateStore, record: dict, fresh: DataFrame, put, by_id, by_key, by_trace) -> dict:
-    raw_part, raw_buckets = state.put("raw", fresh, by_key)
-    ids_part, ids_buckets = state.put("ids", fresh.select("project_id", "event_id"), by_id)
-    keys = put(fresh.select("project_id", fold_kind().alias("kind"), fold_key().alias("key")).distinct(), "keys")
-    history = state.log("raw", raw_buckets, record).withColumns({"kind": fold_kind(), "key": fold_key()})
-    history = history.join(keys, ["project_id", "kind", "key"], "left_semi").drop("kind", "key")
-    history = put(history.unionByName(fresh), "history")
-    own = state.bucket("project_id", "id")
-    tables = {k: dict(v) for k, v in record["tables"].items()}
-
-    def replace(name: str, rebuilt: DataFrame, bucket, gone: DataFrame, on: list[str], buckets: list[int]) -> None:
-        """Rewrite the touched buckets: rows not among ``gone``, and the rebuilt ones."""
-        current = state.table(name, buckets, record)
-        part, found = state.put(name, current.join(gone.select(*on), on, "left_anti").unionByName(rebuilt.select(*current.columns)), bucket)
-        mapping = {b: i for b, i in tables.get(name, {}).items() if int(b) not in buckets}
-        tables[name] = mapping | {str(b): part for b in found}
-
-    observations = put(fold.fold_observations(history), "observations")
-    scores = put(fold.fold_scores(history), "scores")
-    traces = put(fold.fold_traces(history), "traces")
-    for name, rows in (("observations", observations), ("scores", scores)):
-        replace(name, rows, own, rows, ["project_id", "id"], touched_buckets(rows, own))
-
-    # costs by trace: a rebuilt observation leaves its old trace and enters its new one
-    observed = observations.select("project_id", F.col("id").alias("observation_id"))
-    before = state.table("observations", touched_buckets(observations, own), record)
-    before = before.select("project_id", F.col("id").alias("observation_id"), "trace_id", "total_cost").join(observed, ["project_id", "observation_id"], "left_semi")
-    after = observations.select("project_id", F.col("id").alias("observation_id"), "trace_id", "total_cost")
-    costed = lambda rows: rows.where(F.col("trace_id").isNotNull() & F.col("total_cost").isNotNull()).select(*[x.split()[0] for x in COSTS.split(", ")])
-    before, after = put(costed(before), "costs_before"), put(costed(after), "costs_after")
-    moved = before.unionByName(after).select("project_id", "trace_id").distinct()
-    affected = put(moved.unionByName(traces.select("project_id", F.col("id").alias("trace_id"))).distinct(), "affected")
-    replace("costs", after, by_trace, before, ["project_id", "trace_id", "observation_id"], touched_buckets(affected, by_trace))
-    costs = state.table("costs", None, {**record, "tables": tables}).join(affected, ["project_id", "trace_id"], "left_semi")
-
-    # rebuilt traces, and stored ones whose cost may have changed
-    touched = touched_buckets(affected.withColumnRenamed("trace_id", "id"), own)
-    ids = affected.withColumnRenamed("trace_id", "id")
-    stored = state.table("traces", touched, record).join(ids, ["project_id", "id"], "left_semi").join(traces.select("project_id", "id"), ["project_id", "id"], "left_anti")
-    rebuilt = put(rollup_trace_costs(traces.unionByName(stored), costs.withColumnRenamed("observation_id", "id")), "traces_costed")
-    replace("traces", rebuilt, own, rebuilt, ["project_id", "id"], touched)
-    return {
-        "raw": [*record["raw"], {"id": raw_part, "buckets": raw_buckets}],
-        "ids": [*record["ids"], {"id": ids_part, "buckets": ids_buckets}],
-        "tables": tables,
-    }
-
-
 class SyncJob:
     """Sync stored objects of one project into state tables.
 
