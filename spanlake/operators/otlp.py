@@ -4,12 +4,17 @@ Objects (one export batch each) are flattened resource → scope → span with
 positions kept, ids/times/attributes are decoded with column expressions, the
 attribute conventions classify and enrich each span (``conventions``), and one
 observation event per span plus the trace events are emitted. The first-seen
-and shallow-trace rules are scoped to one stored object and run as windows on
-(object_key, trace_id).
+and shallow-trace rules are scoped to one stored object: ``otlp_events`` settles them
+in one pass over the object's spans, ``trace_events`` by windows over mapped spans in
+any order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -362,9 +367,60 @@ def trace_events(mapped: DataFrame) -> DataFrame:
     return ev.select("*", any_full.alias("_any_full")).where(F.col("is_full") | ~F.col("_any_full")).drop("_any_full")
 
 
+SPAN_EVENTS = "object_key string, id string, timestamp string, type string, metadata string, body string"
+
+
+def _emit_events(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Events of spans that come object by object, in order.
+
+    A trace event goes out for root spans, spans with trace updates and the first span
+    of each trace in an object, but a shallow one only if the object has no full one
+    for the trace. An object's rows may go on in the next batch, so the last object of
+    a batch waits for it.
+    """
+    names = [x.split()[0] for x in SPAN_EVENTS.split(", ")]
+    trace = [f"t_{n}" if n != "object_key" else n for n in names]
+
+    def events(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        numbers = [rows.column(c).combine_chunks().dictionary_encode().indices.to_numpy() for c in ("object_key", "trace_id")]
+        _, of = np.unique(numbers[0].astype(np.int64) * (len(rows) + 1) + numbers[1], return_inverse=True)
+        first = np.zeros(len(rows), bool)
+        first[np.unique(of, return_index=True)[1]] = True
+        emitted = first | rows.column("_emit").to_numpy()
+        full = emitted & rows.column("is_full").to_numpy()
+        some_full = np.bincount(of, full) > 0
+        emitted &= full | ~some_full[of]
+        yield from rows.select(names).to_batches()
+        yield from rows.select(trace).filter(pa.array(emitted)).rename_columns(names).to_batches()
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = batch.column("object_key").to_pandas()
+        last = len(batch) - int((keys[::-1] == keys.iloc[-1]).cumprod().sum())
+        if last or (held and held[-1].column("object_key")[-1] != batch.column("object_key")[0]):
+            yield from events(pa.Table.from_batches([*held, batch.slice(0, last)]))
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield from events(pa.Table.from_batches(held))
+
+
 def otlp_events(objects: DataFrame, col: str = "resource_spans", fallback_time: Column | None = None) -> DataFrame:
     """Objects of resource spans → envelope rows (object_key, id, timestamp,
-    type, metadata, body) of observation and trace events."""
+    type, metadata, body) of observation and trace events.
+
+    Spans are decoded and mapped once, each row holds both of its events, and as an
+    object's spans stay together in order, one pass over them settles which trace
+    events go out: no window and no shuffle. An object that comes twice gives the same
+    events twice (same ids)."""
     mapped = map_spans(decode_spans(flatten_spans(objects, col), fallback_time))
-    cols = ["object_key", "id", "timestamp", "type", "metadata", "body"]
-    return observation_events(mapped).select(*cols).unionByName(trace_events(mapped).select(*cols))
+    mapped = mapped.select("*", is_root_span(F.col("parent_span_id"), F.col("attributes")).alias("is_root"), F.lit(False).alias("_first"))
+    both = mapped.select(
+        F.coalesce("object_key", F.lit("")).alias("object_key"), "trace_id", (F.col("is_root") | F.col("has_update")).alias("_emit"),
+        F.struct(*_observation_event_columns()).alias("o"), F.struct(*_trace_event_columns()).alias("t"),
+    )
+    fields = ["id", "timestamp", "type", "metadata", "body"]
+    rows = both.select("object_key", "trace_id", "_emit", "t.is_full", *(f"o.{f}" for f in fields), *(F.col(f"t.{f}").alias(f"t_{f}") for f in fields))
+    return rows.mapInArrow(_emit_events, SPAN_EVENTS)

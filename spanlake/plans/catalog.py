@@ -446,6 +446,16 @@ def otlp_trace_events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("otlp_events")
+def otlp_events(spark: SparkSession, sf: str) -> DataFrame:
+    """All events of the stored objects, in one pass over each object's spans."""
+    from spanlake.operators import otlp
+
+    ev = otlp.otlp_events(overlays.f4_objects(spark, sf))
+    b = F.col("body")
+    return ev.select("type", F.get_json_object(b, "$.id").alias("id"), F.get_json_object(b, "$.name").alias("name"), "timestamp")
+
+
 @query("otlp_observation_events")
 def otlp_observation_events(spark: SparkSession, sf: str) -> DataFrame:
     from spanlake.operators import otlp

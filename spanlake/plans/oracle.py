@@ -399,6 +399,11 @@ ORACLE.update(
         "otlp_trace_events": with_f4(
             "SELECT object_key, span_id, trace_id, kind, ev_name AS name, uid AS user_id, sid AS session_id FROM f4_tev_ord"
         ),
+        "otlp_events": with_f4(
+            """SELECT observation_type AS type, span_id AS id, 'span-' || event_type AS name, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS timestamp FROM f4_m
+            UNION ALL
+            SELECT 'trace-create', trace_id, ev_name, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') FROM f4_tev_ord"""
+        ),
         "otlp_observation_events": with_f4(
             """SELECT span_id, trace_id, parent_span_id, observation_type AS type, 'span-' || event_type AS name,
               'default' AS environment, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS timestamp FROM f4_m"""

@@ -116,11 +116,11 @@ def otlp_requests(docs: DataFrame) -> DataFrame:
 
 def event_batches(docs: DataFrame) -> DataFrame:
     """Ingestion batches ``{batch: [...], metadata?}``: one row per element with
-    its position; elements may be anything, validation decides (S5)."""
+    its position; elements may be anything, validation decides (S5). A document that
+    is not such a batch fails the job."""
     batch = vget(F.try_parse_json(F.col("content")), "$.batch")
-    return docs.select(
-        "object_key", "modified", F.posexplode(batch.try_cast("array<variant>")).alias("pos", "event")
-    )
+    events = F.when(is_array(batch), batch).otherwise(unreadable("event batch")).cast("array<variant>")
+    return docs.select("object_key", "modified", F.posexplode(events).alias("pos", "event"))
 
 
 def manifests(docs: DataFrame) -> DataFrame:

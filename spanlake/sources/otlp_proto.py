@@ -18,6 +18,7 @@ import base64
 import gzip
 import json
 import struct
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,7 +27,10 @@ from pyspark.sql import functions as F
 
 
 def _fields(buf: bytes):
-    """Yield (field number, wire type, value) of one message."""
+    """Yield (field number, wire type, value) of one message.
+
+    A value that reaches beyond the message's end is an error: the payload is cut off.
+    """
     i, n = 0, len(buf)
     while i < n:
         key, i = _varint(buf, i)
@@ -45,12 +49,16 @@ def _fields(buf: bytes):
             i += 4
         else:
             raise ValueError(f"unsupported wire type {wt}")
+        if i > n:
+            raise ValueError("a field is longer than the rest of the message")
         yield num, wt, v
 
 
 def _varint(buf: bytes, i: int) -> tuple[int, int]:
     out, shift = 0, 0
     while True:
+        if i >= len(buf):
+            raise ValueError("the message ends within a number")
         b = buf[i]
         i += 1
         out |= (b & 0x7F) << shift
@@ -128,16 +136,17 @@ def decode_request(payload: bytes) -> list:
 def _decode_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
-        for content in pdf["content"]:
+        for key, content in zip(pdf["object_key"], pdf["content"]):
             try:
                 out.append(json.dumps(decode_request(bytes(content))))
-            except Exception:  # malformed payload → no spans
-                out.append(None)
+            except (ValueError, TypeError, AttributeError, IndexError, struct.error, EOFError, OSError, zlib.error) as e:
+                raise ValueError(f"unreadable OTLP payload: {key}: {e}") from e
         yield pd.DataFrame({"object_key": pdf["object_key"], "modified": pdf["modified"], "json": out})
 
 
 def read_otlp_protobuf(spark: SparkSession, root: str) -> DataFrame:
-    """(object_key, modified, resource_spans VARIANT) for protobuf payload files."""
+    """(object_key, modified, resource_spans VARIANT) for protobuf payload files.
+    A payload that is malformed or cut off fails the job."""
     from spanlake.sources.files import relative_key
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)

@@ -1,6 +1,7 @@
 """Validation and cleaning rules at their edges, and OTLP decoding edge cases."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from spanlake.functions.json import lenient_number
 from spanlake.functions.time import lenient_timestamp, strict_iso_ok
 from spanlake.operators import otlp, raw, store, validate
+from spanlake.sources import files
 
 WHEN = "2025-03-04T05:06:07.008Z"
 
@@ -164,3 +166,43 @@ def test_events_of_two_projects_with_one_id_are_two_events(spark):
     both = raw.raw_rows(df, "p").unionByName(raw.raw_rows(df, "q"))
     assert raw.dedupe_skip(both).count() == 2 and raw.duplicate_event_ids(both).count() == 0
     assert raw.dedupe_skip(both, raw.raw_rows(df, "p")).first().project_id == "q"
+
+
+@pytest.mark.parametrize("content", ['{"batch": [{"id": "e1"}, {"id"', '{"batch": {"id": "e1"}}', '{"events": []}', "[]", ""])
+def test_unreadable_event_batch_is_an_error(spark, content):
+    docs = spark.createDataFrame([("good.json", '{"batch": [{"id": "e1"}]}', None), ("bad.json", content, None)], "object_key string, content string, modified timestamp")
+    with pytest.raises(Exception, match="unreadable event batch: bad.json"):
+        files.event_batches(docs).collect()
+    assert files.event_batches(docs.where("object_key = 'good.json'")).count() == 1
+
+
+def _object(rng, key):
+    spans = []
+    for i in range(rng.randrange(1, 12)):
+        attributes = rng.choice([[], [{"key": "user.id", "value": {"stringValue": "u"}}], [{"key": "langfuse.trace.name", "value": {"stringValue": "n"}}]])
+        span = {"traceId": rng.choice(["a1", "b2", "c3"]), "spanId": f"{i:02x}", "name": rng.choice(["s", ""]), "startTimeUnixNano": str(10**18 + i), "attributes": attributes}
+        if rng.random() < 0.8:
+            span["parentSpanId"] = "ff"
+        spans.append(span)
+    cut = rng.randrange(len(spans) + 1)
+    return key, json.dumps([{"scopeSpans": [{"spans": spans[:cut]}]}, {"scopeSpans": [{"spans": spans[cut:]}]}])
+
+
+def test_otlp_events_in_one_pass(spark):
+    """Each object's first-seen and shallow rules, wherever its rows are cut into
+    batches; the same events as by windows, without window and shuffle."""
+    rng = random.Random(4)
+    rows = [_object(rng, f"k{i:03d}") for i in range(120)] + [("empty", "[]")]
+    objects = spark.createDataFrame(rows, "object_key string, j string").select("object_key", F.parse_json("j").alias("resource_spans")).repartition(3)
+    when = F.lit("2024-01-01").cast("timestamp")
+    mapped = otlp.map_spans(otlp.decode_spans(otlp.flatten_spans(objects), when))
+    cols = ["object_key", "id", "timestamp", "type", "metadata", "body"]
+    want = sorted(map(str, otlp.observation_events(mapped).select(*cols).unionByName(otlp.trace_events(mapped).select(*cols)).collect()))
+    for most in ("10000", "1", "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+        try:
+            assert sorted(map(str, otlp.otlp_events(objects, fallback_time=when).collect())) == want
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = otlp.otlp_events(objects.coalesce(2), fallback_time=when)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("MapInArrow") == 1 and plan.lower().count("generate posexplode") == 3

@@ -3,6 +3,7 @@
 import os
 import struct
 
+import pytest
 from pyspark.sql import functions as F
 
 from spanlake.operators import otlp
@@ -59,3 +60,21 @@ def test_protobuf_request_maps_like_json(spark, scratch):
     assert mapped.observation_type == "generation-create" and str(mapped.start_time).startswith("2024-01-01 00:00:00.123")
     ev = otlp.otlp_events(objs)
     assert ev.where(F.col("type") == "trace-create").count() == 1 and ev.count() == 2
+
+
+@pytest.mark.parametrize("cut", [1, 3, 20, 60])
+def test_damaged_payload_is_an_error(spark, scratch, cut):
+    """A payload that is cut off, or is none, never counts as read."""
+    d = os.path.join(scratch, "pb")
+    os.makedirs(d)
+    with open(os.path.join(d, "req.pb"), "wb") as f:
+        f.write(_request()[:-cut])
+    with pytest.raises(Exception, match="unreadable OTLP payload: req.pb"):
+        otlp_proto.read_otlp_protobuf(spark, d).collect()
+
+
+def test_empty_payload_is_an_empty_request(spark, scratch):
+    d = os.path.join(scratch, "pb")
+    os.makedirs(d)
+    open(os.path.join(d, "req.pb"), "wb").close()
+    assert otlp.otlp_events(otlp_proto.read_otlp_protobuf(spark, d)).count() == 0
