@@ -37,13 +37,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.shared import components, expanded, mix, release, shingle_hashes, signed, slices, squeezed, stored, text_buffer, trim
+from spanlake.llm.shared import components, expanded, mix, ordered, release, shingle_hashes, signed, slices, squeezed, stored, text_buffer, trim
 
 #: Words of a shingle, and the least Jaccard similarity as a fraction (over one half).
 WIDTH = 5
 THRESHOLD = (3, 4)
 #: Text bytes handled in one go, and keys that a map task sorts together.
 SLICE_BYTES = 1 << 19
+#: Unpacked bytes of the texts that are verified together.
+PLAIN_BYTES = 1 << 20
 CHUNK_KEYS = 1 << 18
 #: Blocks of a size band [2**i, 2**(i+1)): 2**i of them, twice as many in small bands.
 SMALL_BAND = 64
@@ -318,10 +320,28 @@ def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary())], ["doc_id", "text"])
 
 
+def _plain_slices(batch: pa.RecordBatch, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts, each counted once, take at most ``most_bytes`` unpacked."""
+    sides = [batch.column(f"text_{s}").dictionary_encode() for s in "ab"]
+    sizes = [[zstandard.frame_content_size(x) for x in side.dictionary.to_pylist()] for side in sides]
+    start, size, seen = 0, 0, set()
+    for i, row in enumerate(zip(*(side.indices.to_pylist() for side in sides))):
+        new = [(s, t) for s, t in enumerate(row) if (s, t) not in seen]
+        more = sum(sizes[s][t] for s, t in new)
+        if i > start and size + more > most_bytes:
+            yield batch.slice(start, i - start)
+            start, size, seen = i, 0, set()
+            new = list(enumerate(row))
+            more = sum(sizes[s][t] for s, t in new)
+        size += more
+        seen.update(new)
+    yield batch.slice(start)
+
+
 def _verify(batches: Iterable[pa.RecordBatch], width: int, threshold: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     expand = zstandard.ZstdDecompressor()
     for batch in batches:
-        for part in slices(batch, "text_a", SLICE_BYTES):
+        for part in _plain_slices(batch, PLAIN_BYTES):
             sides = []
             for side in "ab":
                 text = part.column(f"text_{side}").dictionary_encode()
@@ -330,6 +350,7 @@ def _verify(batches: Iterable[pa.RecordBatch], width: int, threshold: tuple[int,
                 sides.append([flat[offsets[i] : offsets[i + 1]] for i in text.indices.to_numpy()])
             ok = np.array([sets_linked(x, y, threshold) for x, y in zip(*sides)], bool)
             yield part.select(["a", "b"]).filter(pa.array(ok))
+    trim()
 
 
 def _half(sketch: Column) -> Column:
@@ -451,3 +472,17 @@ def representatives(documents: DataFrame, width: int = WIDTH, threshold: tuple[i
     row = F.struct(*(F.col(f"`{c}`") for c in documents.columns))
     one = rows.join(twice, "doc_id").groupBy("doc_id").agg(F.min_by(row, "text").alias("row"))
     return rows.join(twice, "doc_id", "left_anti").select(*documents.columns).unionByName(one.select("row.*"))
+
+
+def one_of_each(documents: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """``documents`` without near copies, decided row by row: of rows linked by their
+    texts the one with the smallest ``doc_id`` stays (a missing id comes last, then the
+    smaller text decides). Rows that share an id but not their text are apart."""
+    spark = documents.sparkSession
+    row = F.struct(*(F.col(f"`{c}`") for c in documents.columns if c != "text")).alias("row")
+    docs = ordered(documents.select("doc_id", "text", row))
+    found = stored(link_components(docs.select(F.col("oid").alias("doc_id"), "text"), width, threshold), "jaccard-result")
+    release(spark)
+    gone = found.filter("component_id != doc_id").select(F.col("doc_id").alias("oid"))
+    kept = expanded(squeezed(docs.select("oid", "row", "text")).join(gone.hint("merge"), "oid", "left_anti").select("row", "text"))
+    return kept.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in documents.columns))

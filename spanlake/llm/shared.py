@@ -38,15 +38,32 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of text in a batch after it was unpacked.
+EXPANDED_BYTES = 4 << 20
+
+
 def _recoded(df: DataFrame, column: str, kind: T.DataType, recode) -> DataFrame:
     at = df.columns.index(column)
     names = df.columns
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([recode(c) if i == at else c for i, c in enumerate(batch.columns)], names)
+            for part in parts(batch):
+                yield pa.RecordBatch.from_arrays([recode(c) if i == at else c for i, c in enumerate(part.columns)], names)
         trim()
 
+    def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """What expands to more than ``EXPANDED_BYTES`` goes on in several batches."""
+        start, size = 0, 0
+        for i, x in enumerate(batch.column(at).to_pylist() if recode is _expand else []):
+            more = 0 if x is None else zstandard.frame_content_size(x)
+            if size and size + more > EXPANDED_BYTES:
+                yield batch.slice(start, i - start)
+                start, size = i, 0
+            size += more
+        if start < len(batch):
+            yield batch.slice(start)
+
     schema = T.StructType([T.StructField(f.name, kind if f.name == column else f.dataType) for f in df.schema])
     return df.mapInArrow(run, schema)
 

@@ -310,3 +310,36 @@ def test_new_queries_match_sql(spark, name):
 
     ok, message = compare(spark, duck(SF), name, QUERIES[name], ORACLE[name], SF)
     assert ok, message
+
+
+# ------------------------------------------------------------------ pipeline rows
+
+
+def test_near_copies_are_decided_by_row(spark):
+    """Unlike texts that share an id stay; missing ids, repeated rows, columns with odd
+    names and texts that pack to almost nothing."""
+    from spanlake.llm import jaccard
+
+    text = lambda *words: " ".join(f"{w}{i}" for i in range(12) for w in words)
+    long = "again and again " * 100_000
+    rows = [
+        (4, text("a", "b"), "en"), (4, text("x", "y"), "en"), (9, text("a", "b") + " more", "en"), (None, text("x", "y"), "en"), (None, text("q"), "en"),
+        (5, None, "en"), (5, None, "en"), (6, "", "en"), (7, long, "en"), (8, long.upper(), "en"), (4, text("a", "b"), "fr"),
+    ]
+    df = frame(spark, rows).withColumn("oid", F.lit("clash")).withColumn("row", F.lit("clash"))
+    got = jaccard.one_of_each(df)
+    assert got.columns == df.columns
+    kept = sorted(((r["doc_id"], (r["text"] or "")[:4], r["oid"], r["a.b"]) for r in got.collect()), key=str)
+    want = [(4, "a0 b", "clash", 1), (4, "x0 y", "clash", 1), (None, "q0 q", "clash", 1), (5, "", "clash", 1), (5, "", "clash", 1), (6, "", "clash", 1), (7, "agai", "clash", 1)]
+    assert kept == sorted(want, key=str)
+    assert jaccard.one_of_each(frame(spark, [])).collect() == []
+
+
+def test_unpacked_texts_come_in_bounded_batches():
+    from spanlake.llm import jaccard
+    from spanlake.llm.shared import _squeeze
+
+    texts = _squeeze(pa.array(["ab " * 200_000, "cd " * 200_000, "ab " * 200_000, "x"]))
+    batch = pa.RecordBatch.from_arrays([texts, texts.take(pa.array([1, 1, 0, 3]))], ["text_a", "text_b"])
+    parts = list(jaccard._plain_slices(batch, 1_000_000))
+    assert [len(p) for p in parts] == [1, 1, 2] and pa.Table.from_batches(parts).combine_chunks().to_batches()[0].equals(batch)
