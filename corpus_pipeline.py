@@ -6,7 +6,8 @@ columns of ``documents``; what a stage decides shows in its rows:
 
 * ``language_id``: documents whose language the model rejects go; a missing
   ``lang`` becomes the predicted one.
-* ``near_duplicates``: of documents linked by shingle overlap one stays.
+* ``near_duplicates``: of rows linked by shingle overlap one stays; unlike texts stay,
+  also under one id.
 * ``substring_dedup``: passages that occur earlier are cut out of the texts.
 * ``source_mix``: documents come as often as their source's target says.
 * ``packing``: tokenised pieces, their ids and their places in windows.
@@ -46,7 +47,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.representatives(docs)
+    return jaccard.one_of_each(docs)
 
 
 @stage
