@@ -46,6 +46,9 @@ THRESHOLD = (3, 4)
 SLICE_BYTES = 1 << 19
 #: Unpacked bytes of the texts that are verified together.
 PLAIN_BYTES = 1 << 20
+#: What a reduce task holds: the keys of so many shingles, about, and so many rows with sketches.
+SHINGLES_PER_TASK = 1 << 20
+ROWS_PER_TASK = 1 << 14
 CHUNK_KEYS = 1 << 18
 #: Blocks of a size band [2**i, 2**(i+1)): 2**i of them, twice as many in small bands.
 SMALL_BAND = 64
@@ -409,7 +412,8 @@ def link_components(documents: DataFrame, width: int = WIDTH, threshold: tuple[i
 
     # each document of a key against the key's smallest
     mapped = known.mapInArrow(lambda b: _map_keys(b, width, threshold), MAPPED)
-    stars = stored(mapped.repartition("at").mapInArrow(_stars, STARS), "jaccard-stars")
+    shingles = features.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    stars = stored(mapped.repartition(1 + shingles // SHINGLES_PER_TASK, "at").mapInArrow(_stars, STARS), "jaccard-stars")
     release(documents.sparkSession)
     spokes = stored(stars.select("member", "leader").distinct(), "jaccard-spokes")
     spoke_reps = to_reps(spokes.withColumns({"a": F.col("member"), "b": F.col("leader")}), "a", "b").filter("a != b")
@@ -432,13 +436,14 @@ def link_components(documents: DataFrame, width: int = WIDTH, threshold: tuple[i
     held = with_component(to_reps(held, "a").distinct(), "a")
     held = stored(held.select("key", "a", F.col("a_in").alias("component")), "jaccard-held")
     blocks = stored(held.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("blocks")).filter("blocks > 1"), "jaccard-large-keys")
+    tasks = 1 + held.count() // ROWS_PER_TASK
     low = held.groupBy("a").agg(F.slice(F.sort_array(F.collect_set("key")), 1, LOW_KEYS).alias("low"))
     about = long_reps.withColumnRenamed("id", "a").join(low, "a")
     held = held.join(about, "a").join(blocks, "key", "left")
     held = held.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     held = held.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "a", "component", "n", "low", "sketch")
-    pairs = held.repartition("key", "lo", "hi").mapInArrow(lambda x: _cross(x, threshold), "a long, b long")
+    pairs = held.repartition(tasks, "key", "lo", "hi").mapInArrow(lambda x: _cross(x, threshold), "a long, b long")
     pairs = stored(pairs.distinct(), "jaccard-pairs")
     release(documents.sparkSession)
     more = verified(pairs.join(first, ["a", "b"], "left_anti"))
