@@ -46,8 +46,7 @@ THRESHOLD = (3, 4)
 SLICE_BYTES = 1 << 19
 #: Unpacked bytes of the texts that are verified together.
 PLAIN_BYTES = 1 << 20
-#: What a reduce task holds: the keys of so many shingles, about, and so many rows with sketches.
-SHINGLES_PER_TASK = 1 << 20
+#: Rows with sketches that a task compares, about.
 ROWS_PER_TASK = 1 << 14
 CHUNK_KEYS = 1 << 18
 #: Blocks of a size band [2**i, 2**(i+1)): 2**i of them, twice as many in small bands.
@@ -412,8 +411,7 @@ def link_components(documents: DataFrame, width: int = WIDTH, threshold: tuple[i
 
     # each document of a key against the key's smallest
     mapped = known.mapInArrow(lambda b: _map_keys(b, width, threshold), MAPPED)
-    shingles = features.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    stars = stored(mapped.repartition(1 + shingles // SHINGLES_PER_TASK, "at").mapInArrow(_stars, STARS), "jaccard-stars")
+    stars = stored(mapped.repartition("at").mapInArrow(_stars, STARS), "jaccard-stars")
     release(documents.sparkSession)
     spokes = stored(stars.select("member", "leader").distinct(), "jaccard-spokes")
     spoke_reps = to_reps(spokes.withColumns({"a": F.col("member"), "b": F.col("leader")}), "a", "b").filter("a != b")
