@@ -47,7 +47,7 @@ SLICE_BYTES = 1 << 19
 #: Unpacked bytes of the texts that are verified together.
 PLAIN_BYTES = 1 << 20
 #: Rows with sketches that a task compares, about.
-ROWS_PER_TASK = 1 << 14
+ROWS_PER_TASK = 1 << 15
 CHUNK_KEYS = 1 << 18
 #: Blocks of a size band [2**i, 2**(i+1)): 2**i of them, twice as many in small bands.
 SMALL_BAND = 64
