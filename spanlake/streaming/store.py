@@ -19,7 +19,7 @@ Each part has as many hash buckets as its bytes ask for, a power of two, so a bu
 a part with n buckets splits into two of one with 2n; a key's bucket in any part is
 known from its hash.
 
-Whether an event id or object is already there is asked of the filters first: a filter
+Whether a key is already there (``known``) is asked of the filters first: a filter
 is a table of 64-bit words, a key sets ``FILTER_BITS`` bits of the word that its hash
 names. Only keys whose bits are all set are looked up in the part, in their buckets.
 

@@ -9,7 +9,8 @@ together. A batch that fails at any step leaves no trace, and one that is replay
 after its commit finds its objects in the ledger.
 
 A commit's cost follows its batch: no raw row, state row or cost of earlier commits is
-read, and of the stored ids only the filters' words and what passes them.
+read, and of the stored ids only the filters' words and what passes them; the ledger of
+objects is joined whole.
 """
 
 from __future__ import annotations
