@@ -1,7 +1,8 @@
 """Mixing sources to target weights with a low-discrepancy schedule.
 
-Slot ``i`` of the schedule is the golden-ratio point ``frac((i + 1) * phi)``,
-mapped through the cumulative block quotas of the sources. Slots are ranked per
+Slot ``i`` of the schedule is the golden-ratio point ``frac((i + 1) * phi)``, in
+integers of 61 bits so that points stay apart however many there are, mapped
+through the cumulative block quotas of the sources. Slots are ranked per
 source, and rank ``r`` takes block ``r mod n_blocks`` of the source, whose
 shuffled documents lie end to end and are cut into blocks of equal word counts.
 So the sources come interleaved as evenly as their targets allow, each pass over
@@ -18,6 +19,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -27,7 +29,11 @@ from pyspark.sql.window import Window as W
 
 from spanlake.llm.shared import expanded, ordered, squeezed, stored
 
-PHI = 0.6180339887498949
+#: The unit interval in integers, and the golden ratio's fraction in it (odd, so that
+#: no point comes twice).
+UNIT_BITS = 61
+UNIT = 1 << UNIT_BITS
+PHI = (math.isqrt(5 << 2 * UNIT_BITS) - UNIT) // 2 | 1
 WEIGHTS = (5, 2, 1)
 #: No source gives more than this many times its words.
 MAX_PASSES = 3
@@ -35,11 +41,12 @@ MAX_PASSES = 3
 #: (sources of fewer words have one-word blocks).
 BLOCK_WORDS = 2048
 MIN_BLOCKS = 1024
-#: Slots ranked together, and parts of the unit interval for finding a point's source.
+#: Slots ranked together, and bits of a point that find the sources it may fall to.
 SLOT_RANGE = 1 << 14
-BINS = 1024
-#: Hex digits of the shuffle key that make an offset range.
-KEY_DIGITS = 3
+BIN_BITS = 10
+#: Rows of an offset range, about; a range is a prefix of the shuffle key in hex digits.
+RANGE_ROWS = 1 << 16
+LEAST_KEY_DIGITS = 3
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -100,10 +107,11 @@ def _running(parts: DataFrame, by: list[str], order: str, value: str) -> DataFra
 def lay_out(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     """Documents with ``sid`` and ``start``, their first word's place in the shuffled source."""
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    digits = max(LEAST_KEY_DIGITS, math.ceil(math.log(1 + sizes.count() / RANGE_ROWS, 16)))
     place = (
         sizes.join(sources.select("sid", F.col("source").alias("name"), "source_size", "target", "n_blocks", "quota"), F.col("source").eqNullSafe(F.col("name")))
         .withColumn("key", key)
-        .withColumn("part", F.substring("key", 1, KEY_DIGITS))
+        .withColumn("part", F.substring("key", 1, digits))
         .drop("name")
     )
     sums = stored(place.groupBy("sid", "part").agg(F.sum("size").alias("words")), "mix-parts")
@@ -114,25 +122,42 @@ def lay_out(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     return place.withColumn("start", F.col("before") + F.col("inside")).drop("s", "p", "part", "key", "before", "inside")
 
 
+def point(slot: str) -> Column:
+    """The golden-ratio point of a slot, from 0 to ``UNIT``: exact for any slot."""
+    return F.expr(f"cast((cast({slot} + 1 as decimal(18, 0)) * {PHI}) % {UNIT} as long)")
+
+
+def _slots(sources: DataFrame, total: int, n: int) -> DataFrame:
+    """The first ``n`` slots with the source that each falls to: slot, sid, quota, n_blocks, part."""
+    upto = W.orderBy("sid").rowsBetween(W.unboundedPreceding, 0)
+    spans = sources.filter("quota > 0").withColumn("hi", F.sum("quota").over(upto)).withColumn("lo", F.col("hi") - F.col("quota"))
+    edge = lambda c: F.expr(f"cast((cast({c} as decimal(18, 0)) * {UNIT}) div {max(total, 1)} as long)")
+    spans = spans.select("sid", "quota", "n_blocks", edge("lo").alias("lo"), edge("hi").alias("hi"))
+    shift = UNIT_BITS - BIN_BITS
+    spans = spans.withColumn("bin", F.explode(F.sequence(F.shiftright("lo", shift), F.shiftright(F.col("hi") - 1, shift))))
+    slot = sources.sparkSession.range(n).select(F.col("id").alias("slot"), point("id").alias("u"))
+    slot = slot.withColumn("bin", F.shiftright("u", shift))
+    found = slot.join(spans, (slot.bin == spans.bin) & (slot.u >= spans.lo) & (slot.u < spans.hi))
+    return found.select("slot", "sid", "quota", "n_blocks", F.floor(F.col("slot") / SLOT_RANGE).alias("part"))
+
+
 def slot_sequence(sources: DataFrame) -> DataFrame:
     """The schedule: slot, sid, rank in the source, block and pass; ranks end at the source's quota.
 
-    The sequence runs on past the sum of quotas until the source that fills last
-    has its quota, since counts in a golden-ratio sequence stray by a few slots.
+    The sequence runs on past the sum of quotas until every source has its quota,
+    since counts in a golden-ratio sequence stray by a few slots.
     """
-    spark = sources.sparkSession
     head = sources.agg(F.coalesce(F.sum("quota"), F.lit(0)), F.coalesce(F.min(F.expr("nullif(quota, 0)")), F.lit(1))).first()
     total, least = int(head[0]), int(head[1])
     n = total + -(-total * 8 // least) + 16 if total else 0
-    upto = W.orderBy("sid").rowsBetween(W.unboundedPreceding, 0)
-    spans = sources.filter("quota > 0").withColumn("hi", F.sum("quota").over(upto))
-    spans = spans.select("sid", "quota", "n_blocks", ((F.col("hi") - F.col("quota")) / max(total, 1)).alias("lo"), (F.col("hi") / max(total, 1)).alias("hi"))
-    spans = spans.withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") * BINS), F.least(F.floor(F.col("hi") * BINS), F.lit(BINS - 1)))))
-    slot = spark.range(n).select(F.col("id").alias("slot"), ((F.col("id") + 1) * F.lit(PHI)).alias("x"))
-    slot = slot.select("slot", (F.col("x") - F.floor("x")).alias("u")).withColumn("bin", F.floor(F.col("u") * BINS))
-    found = slot.join(spans, (slot.bin == spans.bin) & (slot.u >= spans.lo) & (slot.u < spans.hi))
-    found = found.select("slot", "sid", "quota", "n_blocks", F.floor(F.col("slot") / SLOT_RANGE).alias("part"))
-    sums = stored(found.groupBy("sid", "part").agg(F.count("*").alias("slots")), "mix-slots")
+    while True:
+        found = _slots(sources, total, n)
+        sums = stored(found.groupBy("sid", "part").agg(F.count("*").alias("slots")), "mix-slots")
+        have = sums.groupBy(F.col("sid").alias("s")).agg(F.sum("slots").alias("slots"))
+        short = sources.filter("quota > 0").join(have, F.col("sid") == F.col("s"), "left").filter("coalesce(slots, 0) < quota")
+        if short.isEmpty():
+            break
+        n *= 2
     before = _running(sums, ["sid"], "part", "slots").withColumnsRenamed({"sid": "s", "part": "p"})
     inside = F.row_number().over(W.partitionBy("sid", "part").orderBy("slot")) - 1
     ranked = found.withColumn("inside", inside).join(before, (F.col("sid") == F.col("s")) & (F.col("part") == F.col("p")))

@@ -230,6 +230,32 @@ def test_mix_meets_targets(spark):
     assert mixing.mixed(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_mix_points_are_exact_at_any_slot(spark):
+    first = 10**13
+    got = spark.range(first, first + 2000).select("id", mixing.point("id").alias("u")).collect()
+    assert all(r.u == (r.id + 1) * mixing.PHI % mixing.UNIT for r in got) and len({r.u for r in got}) == 2000
+
+
+def test_mix_meets_quotas_of_very_unlike_sources(spark):
+    quotas = [1, 150_000, 2, 0, 40_000, 3]
+    rows = [(i, f"s{i}", q, 1, float(q), max(1, q // 2), q) for i, q in enumerate(quotas)]
+    sources = spark.createDataFrame(rows, "sid int, source string, source_size long, weight int, target double, n_blocks long, quota long")
+    got = mixing.slot_sequence(sources)
+    ranks = {r.sid: (r.n, r.lo, r.hi) for r in got.groupBy("sid").agg(F.count("*").alias("n"), F.min("rank").alias("lo"), F.max("rank").alias("hi")).collect()}
+    assert ranks == {i: (q, 0, q - 1) for i, q in enumerate(quotas) if q}
+    assert got.select("slot").distinct().count() == sum(quotas)
+
+
+@pytest.mark.parametrize("range_rows", [1, 1 << 16])
+def test_mix_places_documents_alike_whatever_the_ranges(spark, monkeypatch, range_rows):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", range_rows)
+    monkeypatch.setattr(mixing, "LEAST_KEY_DIGITS", 1)
+    df = spark.createDataFrame([(i, "w " * (i % 7), f"s{i % 2}") for i in range(600)], DOCS)
+    for sid in (1, 2):
+        at = sorted((r.start, r["size"]) for r in mixing.mix(df).documents.filter(F.col("sid") == sid).collect() if r["size"])
+        assert all(a + n == b for (a, n), (b, _) in zip(at, at[1:], strict=False)) and at[0][0] == 0
+
+
 # ------------------------------------------------------------------ components
 
 
