@@ -11,7 +11,8 @@ are named in the manifest, which Spark commits; a lost executor leaves files
 that nothing reads.
 
 Rows: a null or empty ``html`` is an empty payload; a null ``url`` gives no
-``WARC-Target-URI``; a null ``page_id`` is written as ``null`` and never referred
+``WARC-Target-URI``, and one of any length is kept (a header ends where its record
+ends at the latest); a null ``page_id`` is written as ``null`` and never referred
 to; rows that repeat the largest ``page_id`` of a payload are all responses; an
 empty table gives an empty manifest; other columns are ignored.
 """
@@ -40,8 +41,6 @@ ARCHIVE_BYTES = 1 << 30
 CHUNK = 1 << 16
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Longest accepted record or HTTP header.
-MAX_HEADER = 1 << 20
 
 MANIFEST = "path string, n_records long, n_bytes long"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -129,15 +128,15 @@ class Block:
         self.chunks, self.rest = chunks, b""
 
     def until(self, mark: bytes) -> bytes:
-        while mark not in self.rest:
-            if len(self.rest) > MAX_HEADER:
-                raise WarcError("header without end")
+        head, at = bytearray(self.rest), -1
+        while (at := head.find(mark, max(0, at))) < 0:
             more = next(self.chunks, None)
             if more is None:
                 raise WarcError("record ends within its header")
-            self.rest += more
-        head, _, self.rest = self.rest.partition(mark)
-        return head
+            at = len(head) - len(mark) + 1
+            head += more
+        self.rest = bytes(head[at + len(mark) :])
+        return bytes(head[:at])
 
     def exactly(self, n: int) -> Iterator[bytes]:
         while n:
@@ -181,19 +180,17 @@ def read_records(source: BinaryIO, payloads: bool = True) -> Iterator[tuple]:
         except (KeyError, ValueError) as e:
             raise WarcError("no Content-Length") from e
         kind, whole, body, size = field.get("warc-type"), hashlib.sha1(), hashlib.sha1(), 0
-        kept, head, http = [], b"", None
+        kept, head, http = [], bytearray(), None
         for part in block.exactly(length):
             whole.update(part)
             if kind not in ("response", "revisit"):
                 continue
             if http is None:
+                seen = max(0, len(head) - 3)
                 head += part
-                if b"\r\n\r\n" not in head:
-                    if len(head) > MAX_HEADER:
-                        raise WarcError("HTTP header without end")
+                if (at := head.find(b"\r\n\r\n", seen)) < 0:
                     continue
-                head, _, part = head.partition(b"\r\n\r\n")
-                http = _fields(head)[1]
+                http, part = _fields(bytes(head[:at]))[1], bytes(head[at + 4 :])
             body.update(part)
             size += len(part)
             if payloads:

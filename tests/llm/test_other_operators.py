@@ -74,6 +74,21 @@ def test_warc_reader_rejects_damage():
             list(warc.read_records(io.BytesIO(squeeze(plain.replace(a, b, 1)))))
 
 
+def test_warc_headers_of_any_length(spark):
+    urls_ = ["http://a/" + "x" * (3 << 20), "http://b/" + "y" * ((1 << 16) - 150), "c"]
+    records = [warc.page_record(i, u, b"p" * 10, None) for i, u in enumerate(urls_)]
+    assert [r[:2] for r in warc.read_records(io.BytesIO(b"".join(records)))] == list(enumerate(urls_))
+    # a header's end may lie across two chunks, wherever they are cut
+    for cut in range(1, 9):
+        block = warc.Block(iter([b"ab\r\n\r\ncd"[:cut], b"ab\r\n\r\ncd"[cut:]]))
+        assert block.until(b"\r\n\r\n") == b"ab" and b"".join(block.exactly(2)) == b"cd"
+    df = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls_)], PAGES)
+    got = warc.read_archives(warc.write_archives(df, warc.shared_path(spark, "long")))
+    assert {r.page_id: r.url for r in got.collect()} == dict(enumerate(urls_))
+    with pytest.raises(warc.WarcError):
+        list(warc.read_records(io.BytesIO(warc.encode_record([("WARC-Type", "response")], b"no end" * 10))))
+
+
 # ------------------------------------------------------------------ op4, op7
 
 VECTORS = "vec_id long, embedding array<float>"
