@@ -49,6 +49,8 @@ PLAIN_BYTES = 1 << 20
 #: Rows with sketches that a task compares, about.
 ROWS_PER_TASK = 1 << 15
 CHUNK_KEYS = 1 << 18
+#: Bytes of whole groups that are compared in one go.
+GROUP_BYTES = 4 << 20
 #: Blocks of a size band [2**i, 2**(i+1)): 2**i of them, twice as many in small bands.
 SMALL_BAND = 64
 LEAST_BLOCKS = 16
@@ -226,15 +228,40 @@ def _stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 LOW_KEYS = 6
 
 
+GROUP = ("key", "lo", "hi")
+
+
+def _whole_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by ``GROUP`` in tables of about ``GROUP_BYTES`` that end where a group does."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size < GROUP_BYTES:
+            continue
+        rows = pa.Table.from_batches(held)
+        last = np.logical_and.reduce([(x := rows.column(c).to_numpy()) == x[-1] for c in GROUP])
+        if (begin := len(last) - int(last.sum())) > 0:
+            yield rows.slice(0, begin)
+            held = rows.slice(begin).to_batches()
+            size = sum(x.nbytes for x in held)
+        del rows
+    if sum(map(len, held)):
+        yield pa.Table.from_batches(held)
+
+
 def _cross(batches: Iterable[pa.RecordBatch], threshold: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Pairs between components of a partition's groups; its rows come sorted by ``GROUP``."""
+    for rows in _whole_groups(batches):
+        yield _compared(rows, threshold)
+    trim()
+
+
+def _compared(rows: pa.Table, threshold: tuple[int, int]) -> pa.RecordBatch:
     """Pairs of a group (key, lo, hi) that lie in different components and that sizes
     and bit sketches allow. Rows at distance 1, 2, ... within their group are
-    compared together for all groups of the partition. A pair that also meets at a
+    compared together for all groups of the table. A pair that also meets at a
     smaller key, as far as both rows' smallest keys tell, is left to that one."""
-    held = list(batches)
-    if not sum(map(len, held)):
-        return
-    rows = pa.Table.from_batches(held)
     num, den = threshold
     column = lambda c: rows.column(c).to_numpy()
     group = (column("key"), column("lo"), column("hi"))
@@ -300,9 +327,7 @@ def _cross(batches: Iterable[pa.RecordBatch], threshold: tuple[int, int]) -> Ite
         i, j = i[near], j[near]
         found.append(np.column_stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])]))
     pairs = np.unique(np.concatenate([*found, np.empty((0, 2), np.int64)]), axis=0)
-    yield _batch("a long, b long", pairs[:, 0].copy(), pairs[:, 1].copy())
-    del rows, flat, words, short, low
-    trim()
+    return _batch("a long, b long", pairs[:, 0].copy(), pairs[:, 1].copy())
 
 
 # ------------------------------------------------------------------ verification
@@ -441,7 +466,7 @@ def link_components(documents: DataFrame, width: int = WIDTH, threshold: tuple[i
     held = held.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     held = held.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "a", "component", "n", "low", "sketch")
-    pairs = held.repartition(tasks, "key", "lo", "hi").mapInArrow(lambda x: _cross(x, threshold), "a long, b long")
+    pairs = held.repartition(tasks, *GROUP).sortWithinPartitions(*GROUP).mapInArrow(lambda x: _cross(x, threshold), "a long, b long")
     pairs = stored(pairs.distinct(), "jaccard-pairs")
     release(documents.sparkSession)
     more = verified(pairs.join(first, ["a", "b"], "left_anti"))

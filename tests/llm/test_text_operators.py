@@ -99,6 +99,33 @@ def test_jaccard_rows_that_share_an_id(spark):
     assert rows_of(jaccard.representatives(spark.createDataFrame(rows + rows, DOCS))) == [(3, long), (7, "alone in the world it is")]
 
 
+@pytest.mark.parametrize("most, batch_rows", [(1, 1), (1, 7), (2000, 5), (1 << 30, 1000)])
+def test_jaccard_groups_are_compared_whole(monkeypatch, most, batch_rows):
+    monkeypatch.setattr(jaccard, "GROUP_BYTES", most)
+    rng = np.random.default_rng(3)
+    sets = [set(rng.integers(0, 60, 40).tolist()) for _ in range(12)]
+    rows = []
+    for doc in range(150):
+        own = np.array(sorted(sets[doc % 12] - set(rng.integers(0, 60, 3).tolist())), np.uint64)
+        own = jaccard.mix(own)
+        for key in rng.choice(25, 3, replace=False).tolist():
+            rows.append((key, 0, 0, 0, doc, doc % 50, len(own), [key], jaccard._bit_sketch(own).tolist()))
+    rows.sort(key=lambda r: r[:3])
+    table = pa.Table.from_pylist([dict(zip(("key", "lo", "hi", "block", "a", "component", "n", "low", "sketch"), r)) for r in rows])
+    allowed = set()
+    for r in rows:
+        for q in rows:
+            if r[0] == q[0] and r[4] < q[4] and r[5] != q[5] and 4 * min(r[6], q[6]) >= 3 * max(r[6], q[6]):
+                x, y = (np.array(v[8], np.int64).view(np.uint64) for v in (r, q))
+                if len(x) == len(y) and int(np.bitwise_count(x ^ y).sum()) * 7 <= r[6] + q[6]:
+                    allowed.add((r[4], q[4]))
+    got = [p for b in jaccard._cross(iter(table.to_batches(batch_rows)), jaccard.THRESHOLD) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    assert allowed and allowed <= set(got)
+    whole = [p for b in [jaccard._compared(table, jaccard.THRESHOLD)] for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    assert set(got) == set(whole)
+    assert list(jaccard._cross(iter([]), jaccard.THRESHOLD)) == []
+
+
 def test_jaccard_empty_table(spark):
     assert jaccard.link_components(spark.createDataFrame([], DOCS)).count() == 0
 
