@@ -12,8 +12,9 @@ on the bucket identifiers (q-gram hashes) at later offsets, one offset after the
 other, and only windows that still share their bucket go on to the next.
 
 Map tasks combine equal runs first, so a bucket brings a reducer at most one row
-per class and map task; buckets with very many classes are refined by a grouped
-aggregation over window hashes instead of in one task.
+per class and map task. Reducers read their rows sorted by Spark, which spills, and hold
+one bucket of at most ``LARGE_BUCKET`` classes; buckets with more are refined by a
+grouped aggregation over window hashes instead of in one task.
 
 Rows: a null text is empty; texts under ``WIDTH`` bytes lose nothing; where ids
 repeat or are null, documents are ordered by id (nulls last) and text, and of equal
@@ -38,12 +39,14 @@ WIDTH = 100
 #: Bytes of the q-grams that are initial buckets and bucket identifiers.
 GRAM = 32
 #: Bytes of text hashed in one go; longer texts are read in pieces that overlap.
-PIECE_BYTES = 1 << 19
-#: Sampled suffixes that a map task sorts together; contexts refined together.
+PIECE_BYTES = 1 << 18
+#: Sampled suffixes that a map task sorts together.
 CHUNK = 1 << 19
-REFINED = 1 << 13
-#: Classes of a bucket beyond which its windows are grouped by Spark.
-LARGE_BUCKET = 50_000
+#: Contexts that a task refines together.
+REFINED = 1 << 11
+#: Classes of a bucket beyond which its windows are grouped by Spark: what a task
+#: would have to hold beyond ``REFINED``.
+LARGE_BUCKET = REFINED
 
 _U = np.uint64
 _GRAMS = WIDTH - GRAM + 1  # grams of a window
@@ -150,6 +153,7 @@ def _sample(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal held, n_held
         if held:
             oid, start, span, g, c = (np.concatenate(x) for x in zip(*held))
+            held = []
             order = np.lexsort((start, oid, c, g))
             oid, start, span, g, c = oid[order], start[order], span[order], g[order], c[order]
             first = np.ones(len(g), bool)
@@ -175,28 +179,46 @@ def _sample(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _classes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each bucket's classes the first occurrences, if there are several classes;
-    ranges of all other occurrences."""
-    held = [[np.empty(0, np.int64)] * 4 + [np.empty(0, np.int32)]]
+    ranges of all other occurrences. Rows come sorted by bucket, class and place; what is
+    held is the first class of the bucket that is being read, and ranges to merge."""
+    empty = np.empty(0, np.int64)
+    g0, c0, only = empty, empty, [empty] * 4  # bucket and class read last; its row, while the bucket has one class
+    ranges, n_ranges = [], 0
+
+    def joined():
+        o, s, e = merged(*(np.concatenate(x) for x in zip(*ranges)))
+        return _rows(FOUND, pa.nulls(len(o), pa.int64()), o, s, pa.nulls(len(o), pa.int32()), e)
+
     for batch in batches:
-        own = batch.filter(batch.column("span").is_valid())
-        held.append([own.column(c).to_numpy() for c in ("at", "c", "oid", "start", "span")])
         ready = batch.filter(batch.column("span").is_null())
-        n = len(ready)
-        yield _rows(FOUND, pa.nulls(n, pa.int64()), ready.column("oid"), ready.column("start"), pa.nulls(n, pa.int32()), ready.column("c"))
-    g, c, oid, start, span = (np.concatenate(x) for x in zip(*held))
-    order = np.lexsort((start, oid, c, g))
-    g, c, oid, start, span = g[order], c[order], oid[order], start[order], span[order]
-    bucket = np.ones(len(g), bool)
-    bucket[1:] = g[1:] != g[:-1]
-    first = bucket.copy()
-    first[1:] |= c[1:] != c[:-1]
-    number = np.cumsum(bucket) - 1
-    several = (np.bincount(number[first]) > 1)[number] & first if len(g) else first
-    yield _rows(FOUND, g[several], oid[several], start[several], span[several], pa.nulls(int(several.sum()), pa.int64()))
-    rest = ~first
-    o, s, e = merged(oid[rest], start[rest], start[rest] + (span[rest] >> 7) + WIDTH)
-    yield _rows(FOUND, pa.nulls(len(o), pa.int64()), o, s, pa.nulls(len(o), pa.int32()), e)
-    del g, c, oid, start, span, order, held
+        own = batch.filter(batch.column("span").is_valid())
+        ranges.append([ready.column(x).to_numpy() for x in ("oid", "start", "c")])
+        n_ranges += len(ready)
+        if len(own):
+            g, c, oid, start, span = (own.column(x).to_numpy() for x in ("at", "c", "oid", "start", "span"))
+            before_g, before_c = np.concatenate([g0, g])[-len(g) - 1 : -1], np.concatenate([c0, c])[-len(g) - 1 : -1]
+            bucket = np.ones(len(g), bool)
+            bucket[len(g) - len(before_g) :] = g[len(g) - len(before_g) :] != before_g
+            first = bucket.copy()
+            first[len(g) - len(before_c) :] |= c[len(g) - len(before_c) :] != before_c
+            g0, c0 = g[-1:], c[-1:]
+            # classes, after the one that still waits for another in its bucket
+            row = [np.concatenate([w, x[first]]) for w, x in zip(only, (g, oid, start, span))]
+            alone = np.concatenate([np.ones(len(only[0]), bool), bucket[first]])
+            several = ~alone
+            several[:-1] |= several[1:]
+            if len(alone):
+                only = [x[-1:] if alone[-1] else empty for x in row]
+            if several.any():
+                yield _rows(FOUND, *(x[several].astype(np.int64) for x in row[:3]), row[3][several].astype(np.int32), pa.nulls(int(several.sum()), pa.int64()))
+            rest = ~first
+            ranges.append([oid[rest], start[rest], start[rest] + (span[rest] >> 7) + WIDTH])
+            n_ranges += int(rest.sum())
+        if n_ranges >= CHUNK // 4:
+            yield joined()
+            ranges, n_ranges = [], 0
+    if ranges:
+        yield joined()
     trim()
 
 
@@ -211,16 +233,27 @@ def _contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         runs = batch.column("runs")
         at = runs.offsets.to_numpy()
+        at = at - at[0]
         flat = runs.flatten()
         g, start, span = (flat.field(i) for i in range(3))
         starts, spans = start.to_numpy(), span.to_numpy()
         ids = np.repeat(batch.column("oid").to_numpy(), np.diff(at))
         cut: list[bytes] = []
-        for i, text in enumerate(batch.column("text").to_pylist()):
-            raw = expand.decompress(text)
-            for k in range(at[i] - at[0], at[i + 1] - at[0]):
+        begin = 0
+
+        def out(end: int) -> pa.RecordBatch:
+            return _rows(CONTEXT, *(x[begin:end] for x in (g, ids, start, span)), pa.array(cut, pa.binary()))
+
+        for i, text in enumerate(batch.column("text")):
+            raw = expand.decompress(text.as_py())
+            for k in range(at[i], at[i + 1]):
                 cut.append(raw[starts[k] : starts[k] + (spans[k] >> 7) + WIDTH])
-        yield _rows(CONTEXT, g, ids, start, span, pa.array(cut, pa.binary()))
+                if len(cut) == REFINED:
+                    yield out(k + 1)
+                    begin, cut = k + 1, []
+        if cut:
+            yield out(begin + len(cut))
+    trim()
 
 
 def _windows(table: pa.Table) -> tuple[np.ndarray, ...]:
@@ -257,21 +290,30 @@ def refine(bucket: np.ndarray, place: np.ndarray, pointers: np.ndarray) -> tuple
     return left, bucket
 
 
+def _whole_buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by ``g`` in tables of whole buckets, about ``REFINED`` rows each."""
+    held, n = [], 0
+    for batch in batches:
+        for a in range(0, len(batch), REFINED):
+            held.append(batch.slice(a, REFINED))
+            n += len(held[-1])
+            if n < REFINED:
+                continue
+            rows = pa.Table.from_batches(held)
+            g = rows.column("g").to_numpy()
+            end = int(np.argmax(g == g[-1]))  # the last bucket may go on
+            if end:
+                yield rows.slice(0, end)
+            held = rows.slice(end).to_batches()
+            n -= end
+    if n:
+        yield pa.Table.from_batches(held)
+
+
 def _refine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = list(batches)
-    if not sum(map(len, held)):
-        return
-    table = pa.Table.from_batches(held)
-    table = table.take(pa.array(np.argsort(table.column("g").to_numpy(), kind="stable")))
-    g = table.column("g").to_numpy()
-    new = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-    a = 0
-    while a < len(g):
-        # whole buckets, about REFINED rows at a time
-        i = np.searchsorted(new, a + REFINED)
-        b = int(new[i]) if i < len(new) else len(g)
-        part = table.slice(a, b - a).combine_chunks()
-        bucket, place, oid, start, pointers = _windows(part)
+    """Ranges of repeated windows; rows come sorted by bucket."""
+    for rows in _whole_buckets(batches):
+        bucket, place, oid, start, pointers = _windows(rows.combine_chunks())
         left, bucket = refine(bucket, place, pointers)
         oid, start = oid[left], start[left]
         order = np.lexsort((start, oid, bucket))
@@ -279,7 +321,7 @@ def _refine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again = np.zeros(len(bucket), bool)
         again[1:] = bucket[1:] == bucket[:-1]
         yield _rows(SPAN, *merged(oid[again], start[again], start[again] + WIDTH))
-        a = b
+    trim()
 
 
 def _hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,6 +332,7 @@ def _hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for off in LATER:
                 bucket = mix(bucket + pointers[place + off])
             yield _rows("bucket long, oid long, start long", signed(bucket), oid, start)
+    trim()
 
 
 # ------------------------------------------------------------------ Spark
@@ -301,6 +344,7 @@ def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, at = text_buffer(batch.column("text"))
         texts = [squeeze.compress(data[a:b].tobytes()) for a, b in zip(at[:-1], at[1:])]
         yield pa.RecordBatch.from_arrays([batch.column("oid"), pa.array(texts, pa.binary())], ["oid", "text"])
+    trim()
 
 
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -314,7 +358,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     facts = stored(facts.select("oid", "n_bytes", "sha", F.coalesce(F.col("oid") > F.col("original"), F.lit(False)).alias("copy")), "substring-facts")
     copies = facts.filter("copy").select("oid")
 
-    found = docs.mapInArrow(_sample, SAMPLED).repartition("at").mapInArrow(_classes, FOUND)
+    found = docs.mapInArrow(_sample, SAMPLED).repartition("at").sortWithinPartitions("at", "c", "oid", "start").mapInArrow(_classes, FOUND)
     found = stored(found, "substring-found").join(copies, "oid", "left_anti")
     found = stored(found, "substring-found")
     release(docs.sparkSession)
@@ -327,10 +371,10 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     contexts = runs.join(texts, "oid").select("oid", "runs", "text").mapInArrow(_contexts, CONTEXT)
     large = stored(several.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > LARGE_BUCKET).select("g"), "substring-large")
     if large.isEmpty():
-        refined = contexts.repartition("g").mapInArrow(_refine, SPAN)
+        refined = contexts.repartition("g").sortWithinPartitions("g").mapInArrow(_refine, SPAN)
     else:
         contexts = stored(contexts, "substring-contexts")
-        refined = contexts.join(large, "g", "left_anti").select(*[x.split()[0] for x in CONTEXT.split(", ")]).repartition("g").mapInArrow(_refine, SPAN)
+        refined = contexts.join(large, "g", "left_anti").select(*[x.split()[0] for x in CONTEXT.split(", ")]).repartition("g").sortWithinPartitions("g").mapInArrow(_refine, SPAN)
         windows = contexts.join(large, "g", "left_semi").select(*[x.split()[0] for x in CONTEXT.split(", ")]).mapInArrow(_hashed, "bucket long, oid long, start long")
         windows = stored(windows, "substring-windows")
         first = windows.groupBy("bucket").agg(F.min(F.struct("oid", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")

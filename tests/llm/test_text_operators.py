@@ -198,6 +198,49 @@ def test_substrings_equal_brute_force(spark, monkeypatch, large, chunk):
     assert cut[900].text is None and cut[901].row == "clash" and cut[901].oid == "clash"
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_substring_reducers_hold_at_any_cut_of_their_rows(monkeypatch, seed):
+    monkeypatch.setattr(substrings, "CHUNK", 40)
+    monkeypatch.setattr(substrings, "REFINED", 5)
+    rnd = random.Random(seed)
+    wide = lambda ranges: {(o, x) for o, s, e in ranges for x in range(s, e)}
+
+    def batches(rows, schema, types):
+        at = 0
+        while at < len(rows):
+            n = rnd.randrange(1, 7)
+            columns = zip(*rows[at : at + n])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [x.split()[0] for x in schema.split(", ")])
+            at += n
+
+    # classes: bucket, class, document, start, one window each; null: a range that is ready
+    rows = sorted((rnd.randrange(8), rnd.randrange(3), rnd.randrange(5), 100 * k, 0) for k in range(rnd.randrange(60)))
+    ready = [(rnd.randrange(8), 500_000 + k, 9, 400_000 + k, None) for k in range(10)]
+    types = (pa.int64(),) * 4 + (pa.int32(),)
+    given = sorted(rows + ready, key=lambda r: r[:4])
+    found = [r for b in substrings._classes(batches(given, substrings.SAMPLED, types)) for r in b.to_pylist()]
+    firsts = {}
+    for g, c, oid, start, _ in rows:
+        firsts.setdefault(g, {}).setdefault(c, (oid, start))
+    several = sorted((g, *x) for g, classes in firsts.items() if len(classes) > 1 for x in classes.values())
+    assert sorted((r["g"], r["oid"], r["start"]) for r in found if r["g"] is not None) == several
+    first = {x for classes in firsts.values() for x in classes.values()}
+    expected = [(o, s, s + 100) for _, _, o, s, _ in rows if (o, s) not in first] + [(o, s, c) for _, c, o, s, _ in ready]
+    assert wide((r["oid"], r["start"], r["end"]) for r in found if r["g"] is None) == wide(expected)
+
+    # contexts of one window: within a bucket all but the first of equal bytes go
+    text = [bytes(rnd.randrange(256) for _ in range(100)) for _ in range(4)]
+    rows = sorted((rnd.randrange(6), rnd.randrange(5), 100 * k, 0, rnd.choice(text)) for k in range(rnd.randrange(1, 50)))
+    types = (pa.int64(),) * 3 + (pa.int32(), pa.binary())
+    got = [tuple(r.values()) for b in substrings._refine(batches(rows, substrings.CONTEXT, types)) for r in b.to_pylist()]
+    seen, expected = set(), []
+    for g, oid, start, _, raw in sorted(rows):
+        if (g, raw) in seen:
+            expected.append((oid, start, start + 100))
+        seen.add((g, raw))
+    assert wide(got) == wide(expected)
+
+
 def test_substrings_longer_than_a_piece(spark, monkeypatch):
     monkeypatch.setattr(substrings, "PIECE_BYTES", 300)
     rnd = random.Random(8)
