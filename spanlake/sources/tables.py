@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of a task that parses and maps JSON.
+ROWS_PER_TASK = 20_000
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a frame over all cores when its scan yields fewer splits.
+    """A table's rows dealt out evenly, a task for every ``ROWS_PER_TASK`` of them.
 
-    Parsing and mapping JSON is CPU-bound; a single-row-group file would run it
-    in one task. On a cluster the scan already has thousands of splits and this
-    is a no-op (it only inspects the planned partition count).
+    Parsing and mapping JSON is CPU-bound, and a Parquet row group is read by one task
+    whatever its number of splits, so the splits of a scan say nothing about how many
+    tasks have rows. The rows are counted from the files' footers.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, -(-df.count() // ROWS_PER_TASK)))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
