@@ -191,8 +191,9 @@ def _model_parameters(g: _Tags, b: Column) -> list[Column]:
     ]
 
 
-def body_problems(t: Column, b: Column, g: _Tags | None = None) -> Column:
-    """All messages for the body of an event of type ``t`` (needs staged tags)."""
+def body_problems(t: Column, b: Column, g: _Tags | None = None) -> list[Column]:
+    """All messages for the body of an event of type ``t`` (needs staged tags), each
+    NULL where there is no problem."""
     g = g or _Tags()
     tags = vget(b, "$.tags")
     trace = (
@@ -270,7 +271,7 @@ def body_problems(t: Column, b: Column, g: _Tags | None = None) -> Column:
     def guarded(flag: str, msgs: list[Column]) -> list[Column]:
         return [F.when(F.col(flag), m) for m in msgs]
 
-    all_msgs = (
+    return (
         guarded("_g_trace", trace)
         + guarded("_g_obs", observation)
         + guarded("_g_span", span)
@@ -278,7 +279,6 @@ def body_problems(t: Column, b: Column, g: _Tags | None = None) -> Column:
         + guarded("_g_legacy", legacy)
         + guarded("_g_score", score)
     )
-    return F.array(*all_msgs)
 
 
 def id_problem(v: Column, name: str, required: bool = False) -> Column:
@@ -294,17 +294,17 @@ def id_problem(v: Column, name: str, required: bool = False) -> Column:
     )
 
 
-def _envelope_problems() -> Column:
+def _envelope_problems() -> list[Column]:
     e_id, ts, typ = F.col("_e_id"), F.col("_e_ts"), F.col("_e_type")
     t = F.col("_e_type_text")
-    return F.array(
+    return [
         F.when(~F.col("_e_is_obj"), F.lit("expected object")),
         id_problem(e_id, "id", required=True),
         F.when(~(is_string(ts) & strict_iso_ok(_text(ts))), F.lit("timestamp: invalid ISO datetime")),
         F.when(~(is_string(typ) & t.isin(*EVENT_TYPES)), F.lit("type: invalid discriminator value")),
         F.when(F.col("_e_md_defined") & ~F.col("_e_md_obj"), F.lit("metadata: expected record")),
         F.when(is_string(typ) & t.isin(*EVENT_TYPES) & ~F.col("_e_body_obj"), F.lit("body: expected object")),
-    )
+    ]
 
 
 # ------------------------------------------------------------------ cleaning
@@ -375,57 +375,67 @@ def clean_cost_details(v: Column) -> Column:
     return _clean_numeric_record(v, allow_text=False)
 
 
-def clean_body(t: Column, b: Column) -> Column:
+def _cleaned_columns() -> list[Column]:
+    """What the cleaning puts in place of a body's keys (NULL: nothing)."""
+    part = lambda k: F.try_element_at("_e_body_map", F.lit(k))
+    gen, score = F.col("type").isin(*GENERATION_LIKE), F.col("type") == SCORE_CREATE
+    env = part("environment")
+    return [
+        normalize_environment(F.when(is_string(env), _text(env))).cast("variant").alias("_c_environment"),
+        F.when(gen, normalize_usage(part("usage"))).alias("_c_usage"),
+        F.when(gen, clean_usage_details(part("usageDetails"))).alias("_c_usageDetails"),
+        F.when(gen, clean_cost_details(part("costDetails"))).alias("_c_costDetails"),
+        F.when(score, F.coalesce(part("source"), F.lit("API").cast("variant"))).alias("_c_source"),
+        gen.alias("_c_gen"),
+        score.alias("_c_score"),
+    ]
+
+
+def _cleaned_body() -> Column:
     """Re-serialise a valid body with the cleaning transforms applied.
 
     Every body gets a normalised ``environment``; generation-like bodies get
     cleaned ``usage`` / ``usageDetails`` / ``costDetails``; scores get a
     ``source`` (default API). Other keys are kept as they came.
     """
-    env = normalize_environment(F.when(is_string(vget(b, "$.environment")), _text(vget(b, "$.environment"))))
-    gen = t.isin(*GENERATION_LIKE)
-    score = t == SCORE_CREATE
     gen_keys = ["usage", "usageDetails", "costDetails"]
     base = F.map_filter(
-        _vmap(b),
-        lambda k, v: (k != "environment") & ~(gen & k.isin(*gen_keys)) & ~(score & (k == "source")),
-    )
-    overrides = F.create_map(
-        F.lit("environment"), env.cast("variant"),
-        F.lit("usage"), F.when(gen, normalize_usage(vget(b, "$.usage"))),
-        F.lit("usageDetails"), F.when(gen, clean_usage_details(vget(b, "$.usageDetails"))),
-        F.lit("costDetails"), F.when(gen, clean_cost_details(vget(b, "$.costDetails"))),
-        F.lit("source"), F.when(score, F.coalesce(vget(b, "$.source"), F.lit("API").cast("variant"))),
+        "_e_body_map",
+        lambda k, v: (k != "environment") & ~(F.col("_c_gen") & k.isin(*gen_keys)) & ~(F.col("_c_score") & (k == "source")),
     )
-    kept = F.map_filter(overrides, lambda k, v: v.isNotNull())
-    return F.to_json(F.to_variant_object(F.map_concat(base, kept)))
+    none = F.create_map().cast("map<string,variant>")
+    put = [F.when(F.col(f"_c_{k}").isNotNull(), F.create_map(F.lit(k), F.col(f"_c_{k}"))).otherwise(none) for k in ("environment", *gen_keys, "source")]
+    return F.to_json(F.to_variant_object(F.map_concat(base, *put)))
 
 
 @per_context
-def _stage1_columns(event_col: str) -> list[Column]:
-    e = F.col(event_col)
-    md = vget(e, "$.metadata")
-    body = vget(e, "$.body")
+def _stage0_columns(event_col: str) -> list[Column]:
+    return [F.col(event_col).try_cast("map<string,variant>").alias("_e_map")]
+
+
+@per_context
+def _stage1_columns() -> list[Column]:
+    part = lambda k: F.try_element_at("_e_map", F.lit(k))
+    md = part("metadata")
     return [
-        e.try_cast("map<string,variant>").isNotNull().alias("_e_is_obj"),
-        vget(e, "$.id").alias("_e_id"),
-        vget(e, "$.timestamp").alias("_e_ts"),
-        vget(e, "$.type").alias("_e_type"),
-        F.try_variant_get(e, "$.type", "string").alias("_e_type_text"),
+        F.col("_e_map").isNotNull().alias("_e_is_obj"),
+        part("id").alias("_e_id"),
+        part("timestamp").alias("_e_ts"),
+        part("type").alias("_e_type"),
+        _text(part("type")).alias("_e_type_text"),
         is_defined(md).alias("_e_md_defined"),
         md.try_cast("map<string,variant>").isNotNull().alias("_e_md_obj"),
         md.alias("_e_md"),
-        body.alias("_e_body"),
-        body.try_cast("map<string,variant>").isNotNull().alias("_e_body_obj"),
+        part("body").alias("_e_body"),
+        part("body").try_cast("map<string,variant>").alias("_e_body_map"),
     ]
 
 
 @per_context
 def _stage2_columns() -> list[Column]:
-    body = F.col("_e_body")
-    cols = []
+    cols = [F.col("_e_body_map").isNotNull().alias("_e_body_obj")]
     for k in SCALAR_KEYS:
-        v = vget(body, f"$.{k}")
+        v = F.try_element_at("_e_body_map", F.lit(k))
         cols += [
             F.schema_of_variant(v).alias(f"_t_{k}"),
             F.try_variant_get(v, "$", "string").alias(f"_s_{k}"),
@@ -433,54 +443,65 @@ def _stage2_columns() -> list[Column]:
         if k in ("promptVersion",):
             cols.append(F.try_variant_get(v, "$", "double").alias(f"_d_{k}"))
     for k in OBJECT_KEYS:
-        v = vget(body, f"$.{k}")
+        v = F.try_element_at("_e_body_map", F.lit(k))
         cols += [is_defined(v).alias(f"_od_{k}"), v.try_cast("map<string,variant>").isNotNull().alias(f"_oo_{k}")]
-    t = F.coalesce(F.col("_e_type_text"), F.lit(""))
+    t, body = F.coalesce(F.col("_e_type_text"), F.lit("")), F.col("_e_body_map").isNotNull()
     cols += [
-        (t == TRACE_CREATE).alias("_g_trace"),
-        t.isin(*OBSERVATION_TYPES).alias("_g_obs"),
-        t.isin(*SPAN_LIKE).alias("_g_span"),
-        t.isin(*GENERATION_LIKE).alias("_g_gen"),
-        t.isin(*LEGACY_TYPES).alias("_g_legacy"),
-        (t == SCORE_CREATE).alias("_g_score"),
+        (body & (t == TRACE_CREATE)).alias("_g_trace"),
+        (body & t.isin(*OBSERVATION_TYPES)).alias("_g_obs"),
+        (body & t.isin(*SPAN_LIKE)).alias("_g_span"),
+        (body & t.isin(*GENERATION_LIKE)).alias("_g_gen"),
+        (body & t.isin(*LEGACY_TYPES)).alias("_g_legacy"),
+        (body & (t == SCORE_CREATE)).alias("_g_score"),
     ]
     return cols
 
 
+#: Between the messages of an event while they are one text; no message has it.
+_BETWEEN = "\x01"
+
+
 @per_context
 def _stage3_columns() -> list[Column]:
     t = F.col("_e_type_text")
-    b = F.col("_e_body")
-    body_msgs = F.when(F.col("_e_body_obj"), body_problems(t, b)).otherwise(F.array().cast("array<string>"))
-    errors = F.array_compact(F.concat(_envelope_problems(), body_msgs))
+    # (texts and not arrays: filtering an array would interpret all the checks)
+    problems = F.concat_ws(_BETWEEN, *_envelope_problems(), *body_problems(t, F.col("_e_body")))
     return [
         F.when(is_string(F.col("_e_id")), _text(F.col("_e_id"))).alias("id"),
         _text(F.col("_e_ts")).alias("timestamp"),
         t.alias("type"),
         F.when(F.col("_e_md_obj"), F.to_json(F.col("_e_md"))).alias("metadata"),
-        errors.alias("errors"),
-        b.alias("_e_body"),
+        problems.alias("_problems"),
     ]
 
 
 @per_context
-def _clean_column() -> Column:
-    return F.when(F.size("errors") == 0, clean_body(F.col("type"), F.col("_e_body")))
+def _errors_column() -> Column:
+    return F.when(F.col("_problems") == "", F.array().cast("array<string>")).otherwise(F.split("_problems", _BETWEEN)).alias("errors")
+
+
+@per_context
+def _clean_columns() -> tuple[list[Column], Column]:
+    return _cleaned_columns(), F.when(F.size("errors") == 0, _cleaned_body()).alias("body")
 
 
 def validate(events: DataFrame, event_col: str = "event") -> DataFrame:
     """Add ``errors`` and the envelope columns (id, timestamp, type, metadata,
     body) to a frame holding one VARIANT ingestion event per row.
 
-    Three narrow projections: envelope parts, per-key type tags of the body,
-    then the checks. ``body`` is the cleaned JSON text for valid events and
-    NULL for rejects.
+    Narrow projections: envelope parts, per-key type tags of the body, the checks, what
+    the cleaning puts in place, and the body put together. Event and body are cast to
+    maps once, keys are looked up there. ``body`` is the cleaned JSON text for valid
+    events and NULL for rejects.
     """
     keep = events.columns
-    staged = events.select("*", *_stage1_columns(event_col))
+    staged = events.select("*", *_stage0_columns(event_col)).select("*", *_stage1_columns())
     staged = staged.select("*", *_stage2_columns())
-    checked = staged.select(*keep, *_stage3_columns())
-    return checked.withColumn("body", _clean_column()).drop("_e_body")
+    checked = staged.select(*keep, "_e_body_map", *_stage3_columns())
+    envelope = ["id", "timestamp", "type", "metadata", "errors"]
+    checked = checked.select(*keep, "_e_body_map", *envelope[:-1], _errors_column())
+    parts, body = _clean_columns()
+    return checked.select("*", *parts).select(*keep, *envelope, body)
 
 
 def accepted(validated: DataFrame) -> DataFrame:

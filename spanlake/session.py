@@ -19,6 +19,8 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # longer methods are never compiled by the JVM: the projections over JSON are cut up instead
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # what a Python worker gets at once: long texts must not add up to its memory
     "spark.sql.execution.arrow.maxBytesPerBatch": "1m",
 }
