@@ -96,11 +96,12 @@ def stored_state(spark: SparkSession, name: str, key: str, events_raw) -> State:
     from the written tables. ``events_raw`` is a thunk."""
     memo = (spark.sparkContext.applicationId, key, name)
     if memo not in _STATES:
-        s = build_state(events_raw())
-        traces = materialize(spark, f"{name}_traces", key, lambda: s.traces)
-        observations = materialize(spark, f"{name}_observations", key, lambda: s.observations)
-        scores = materialize(spark, f"{name}_scores", key, lambda: s.scores)
-        _STATES[memo] = State(s.events_raw, traces, observations, scores, fold.sessions_view(traces))
+        log = events_raw()
+        observations = materialize(spark, f"{name}_observations", key, lambda: fold.fold_observations(log))
+        # costs are summed from the written observations, which are folded once
+        traces = materialize(spark, f"{name}_traces", key, lambda: fold.rollup_trace_costs(fold.fold_traces(log), observations))
+        scores = materialize(spark, f"{name}_scores", key, lambda: fold.fold_scores(log))
+        _STATES[memo] = State(log, traces, observations, scores, fold.sessions_view(traces))
     return _STATES[memo]
 
 
