@@ -29,7 +29,7 @@ from spanlake.functions.json import (
     vget,
 )
 from spanlake.functions.time import lenient_timestamp
-from spanlake.operators.metadata import merge_metadata
+from spanlake.operators.metadata import merged_objects
 from spanlake.operators.raw import first_present
 from spanlake.schema import OBSERVATIONS, SCORE_CREATE, SCORES, SESSIONS, TRACE_CREATE, TRACES
 
@@ -101,12 +101,14 @@ def _nonempty(md: Column) -> Column:
 
 
 def _metadata_aggs() -> list[Column]:
-    """Count of non-empty metadata values and the latest one: most keys have at
-    most one, and need no merge at all."""
+    """Count of non-empty metadata values, the latest one and the latest that is no
+    object (JSON text is one if it begins like one): most keys have at most one, and
+    need no merge at all."""
     md = F.col("f_metadata")
     return [
         F.count_if(_nonempty(md)).alias("_md_n"),
         F.max_by(md, F.when(_nonempty(md), order_key())).alias("_md_last"),
+        F.max_by(md, F.when(_nonempty(md) & ~md.startswith("{"), order_key())).alias("_md_scalar"),
     ]
 
 
@@ -114,9 +116,11 @@ def _with_metadata(agg: DataFrame, ev: DataFrame, keys: list[str]) -> DataFrame:
     """Attach metadata: the single value as is, the path-wise merge only for keys
     with several values."""
     multi = agg.where(F.col("_md_n") > 1).select(*keys)
-    merged = merge_metadata(ev.join(multi, keys, "left_semi"), keys, "f_metadata", order_key())
-    out = agg.join(merged, keys, "left")
-    return out.withColumn("metadata_json", F.coalesce(F.col("metadata_json"), F.col("_md_last"))).drop("_md_n", "_md_last")
+    values = ev.select(*keys, F.col("f_metadata").alias("_text"), order_key().alias("_ord")).where(_nonempty(F.col("_text")))
+    merged = merged_objects(values.join(multi, keys, "left_semi"), keys, "_text", "_ord")
+    # values that are no objects count only while no non-empty object has come
+    metadata = F.coalesce(F.col("_merged"), F.col("_md_scalar"), F.col("_md_last")).alias("metadata_json")
+    return agg.join(merged, keys, "left").select("*", metadata).drop("_merged", "_md_n", "_md_last", "_md_scalar")
 
 
 # --------------------------------------------------------------------- traces

@@ -9,8 +9,12 @@ null) or an object. Per (key, path) the latest entry wins, so one aggregation wi
 map-side partial results settles all of them: no key's values are ever gathered.
 What an object held before something else replaced it must not come back: a path
 is dropped when an ancestor was a leaf later than the path's own last entry. Only
-paths that have been both leaf and object can do that, so only they are joined.
+paths that have been both leaf and object can do that; they are looked up within the
+rows of their key, which come together once, for this and for the document.
 The surviving paths, which make up one document per key, are put together again.
+
+Objects of scalars whose text needs no escape are taken apart and put together by
+column expressions; only others go through Python.
 """
 
 from __future__ import annotations
@@ -19,11 +23,19 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PATHS = "array<struct<path: array<string>, leaf: string>>"
 
+_STRING = r'"[^"\\\x00-\x1f]*+"'
+_SCALAR = rf"(?:{_STRING}|-?(?:0|[1-9]\d*+)(?:\.\d++)?(?:[eE][+-]?\d++)?|true|false|null)"
+#: A compact object of scalars without escapes, and one of its pairs.
+FLAT = rf"^\{{{_STRING}:{_SCALAR}(?:,{_STRING}:{_SCALAR})*+\}}\z"
+PAIR = r'"([^"]*+)":("[^"]*+"|[^,}]++)'
+#: Longer texts go through Python (a pattern's repeats use the stack).
+FLAT_LENGTH = 2000
+
 
 class _Number(str):
     """A number as it was written."""
@@ -83,12 +95,12 @@ class _Leaf(str):
 
 def _flatten(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for series in texts:
-        yield series.map(lambda t: [{"path": p, "leaf": x} for p, x in flatten(t)])
+        yield series.map(lambda t: None if t is None else [{"path": p, "leaf": x} for p, x in flatten(t)])
 
 
 def _assemble(paths: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for series in paths:
-        yield series.map(lambda rows: assemble([(list(r["path"]), r["leaf"]) for r in rows]))
+        yield series.map(lambda rows: None if rows is None else assemble([(list(r["path"]), r["leaf"]) for r in rows]))
 
 
 def is_object_text(text: Column) -> Column:
@@ -99,9 +111,16 @@ def object_entries(values: DataFrame, keys: list[str], text: str, order: str) ->
     """An entry per path of each non-empty object: ``keys``, its ``path``, the ``last``
     order at which it was set and its ``leaf`` then, and the last orders at which it
     was a leaf and an object."""
-    nonempty = values.where(is_object_text(F.col(text)) & (F.size(F.json_object_keys(text)) > 0))
+    value = F.col(text)
+    flat = F.coalesce((F.length(value) <= FLAT_LENGTH) & value.rlike(FLAT), F.lit(False))
+    names, leaves = (F.regexp_extract_all(value, F.lit(PAIR), F.lit(i)) for i in (1, 2))
+    # (a name that comes twice keeps its last value)
+    pairs = F.map_entries(F.map_from_arrays(names, leaves))
+    cut = F.transform(pairs, lambda e: F.struct(F.array(e["key"]).alias("path"), e["value"].alias("leaf")))
+    nested = F.when(~flat & is_object_text(value) & (F.size(F.json_object_keys(text)) > 0), value)
     cut_up = F.pandas_udf(_flatten, PATHS)
-    paths = nonempty.select(*keys, F.col(order).alias("last"), F.explode(cut_up(text)).alias("_p"))
+    both = values.select(*keys, F.col(order).alias("last"), F.when(flat, cut).alias("_flat"), cut_up(nested).alias("_nested"))
+    paths = both.select(*keys, "last", F.explode(F.coalesce("_flat", "_nested")).alias("_p"))
     is_leaf = F.col("_p.leaf").isNotNull()
     return paths.select(
         *keys, F.col("_p.path").alias("path"), "last", F.col("_p.leaf").alias("leaf"),
@@ -119,26 +138,37 @@ def merge_entries(entries: DataFrame, keys: list[str]) -> DataFrame:
         F.max("last_leaf").alias("last_leaf"),
         F.max("last_object").alias("last_object"),
     )
-    barriers = last.where(F.col("last_leaf").isNotNull() & F.col("last_object").isNotNull()).select(*keys, F.col("path").alias("_above"), F.col("last_leaf").alias("_cut"))
-    above = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda n: F.slice(F.col("path"), F.lit(1), n))
-    deep = last.where(F.size("path") > 1).select(*keys, "path", "last", F.explode(above).alias("_above"))
-    dead = deep.join(barriers, [*keys, "_above"]).where(F.col("_cut") > F.col("last")).select(*keys, "path").distinct()
+    both = F.col("last_leaf").isNotNull() & F.col("last_object").isNotNull()
+    barrier = F.when(both, F.struct(F.col("path"), F.col("last_leaf").alias("cut")))
+    last = last.withColumn("_barriers", F.collect_list(barrier).over(Window.partitionBy(*keys)))
     # a path whose parent ends as a leaf goes as well: its last entry is older than the leaf
-    return last.join(dead, [*keys, "path"], "left_anti")
+    above = lambda b: (F.size(b["path"]) < F.size("path")) & (F.slice("path", F.lit(1), F.size(b["path"])) == b["path"])
+    dead = F.exists("_barriers", lambda b: above(b) & (b["cut"] > F.col("last")))
+    return last.where((F.size("path") == 1) | (F.size("_barriers") == 0) | ~dead).drop("_barriers")
 
 
 def assembled(paths: Column) -> Column:
     """Object text from an array of entries."""
     put_together = F.pandas_udf(_assemble, "string")
-    return put_together(F.transform(paths, lambda p: F.struct(p["path"].alias("path"), p["leaf"].alias("leaf"))))
+    rows = F.transform(paths, lambda p: F.struct(p["path"].alias("path"), p["leaf"].alias("leaf")))
+    plain = F.forall(rows, lambda p: (F.size(p["path"]) == 1) & p["leaf"].isNotNull() & p["path"][0].rlike(r'^[^"\\\x00-\x1f]*+\z'))
+    pairs = F.transform(F.sort_array(rows), lambda p: F.concat(F.lit('"'), p["path"][0], F.lit('":'), p["leaf"]))
+    text = F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+    return F.coalesce(F.when(plain, text), put_together(F.when(~plain, rows)))
+
+
+def merged_objects(values: DataFrame, keys: list[str], text: str, order: str) -> DataFrame:
+    """``keys`` and ``_merged``, the merge of each key's non-empty objects; other keys
+    are left out."""
+    alive = merge_entries(object_entries(values, keys, text, order), keys)
+    merged = alive.groupBy(*keys).agg(F.collect_list(F.struct("path", "leaf")).alias("_paths"))
+    return merged.select(*keys, assembled(F.col("_paths")).alias("_merged"))
 
 
 def merge_metadata(values: DataFrame, keys: list[str], text: str, order: Column) -> DataFrame:
     """``keys`` and ``metadata_json``, the merge of each key's ``text`` values in ``order``."""
     rows = values.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("_text"), order.alias("_ord"))
-    alive = merge_entries(object_entries(rows, keys, "_text", "_ord"), keys)
-    merged = alive.groupBy(*keys).agg(F.collect_list(F.struct("path", "leaf")).alias("_paths"))
-    merged = merged.select(*keys, assembled(F.col("_paths")).alias("_merged"))
+    merged = merged_objects(rows, keys, "_text", "_ord")
     # without a non-empty object: the last value that is not an object, else the empty one
     plain = rows.groupBy(*keys).agg(
         F.max_by(F.col("_text"), F.when(~is_object_text(F.col("_text")), F.col("_ord"))).alias("_scalar"), F.max_by("_text", "_ord").alias("_any")

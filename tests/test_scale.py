@@ -39,3 +39,45 @@ def test_costs_are_summed_from_the_written_observations(spark, scratch, monkeypa
     monkeypatch.setattr(fold, "fold_observations", lambda log: calls.append(log) or folded(log))
     s = state.stored_state(spark, "f1_counted", f"{scratch}/x", lambda: state.f1_raw(spark, SF_SMALL))
     assert len(calls) == 1 and s.traces.where("total_cost is not null").count() > 0
+
+
+def test_metadata_is_merged_in_one_reading(spark):
+    log = state.f1_raw(spark, SF_SMALL)
+    for folded in (fold.fold_observations(log), fold.fold_traces(log)):
+        # the fold, the keys with several values, and their values
+        assert _plan(folded).count("Relation [") <= 3
+
+
+def test_flat_and_nested_metadata_merge_alike(spark):
+    from pyspark.sql import functions as F
+
+    from spanlake.operators import metadata
+
+    texts = [
+        '{"a":1,"b":"x, y"}', '{"b":"}{:","é":null}', '{"a":{"x":1}}', '{"a":2.50,"c":-0}', '{"q\\"":true}', '{"a":1,"a":7}',
+        '{"a":{"y":[1,{"z":2,"b":3}]}}', '{"":false}', '{ "a" : 3 }', '"text"', "{}", "7", '{"a":"' + "l" * 3000 + '"}', '{"b":"u\\u00e9"}', '{"n":1e3,"m":12345678901234567890}',
+    ]
+    rows = [(k, i, texts[(k * 7 + i * (k % 4 + 1)) % len(texts)]) for k in range(60) for i in range(k % 5 + 1)]
+
+    def merged(values):
+        # objects merge, other values replace; what is no object counts until one has come
+        out, scalar, last = {}, None, values[-1]
+
+        def into(a, b):
+            for k, v in b.items():
+                both = isinstance(v, dict) and isinstance(a.get(k), dict)
+                a[k] = into(a[k], v) if both else into({}, v) if isinstance(v, dict) else v
+            return a
+
+        for t in values:
+            v = metadata.json.loads(t, parse_int=metadata._Number, parse_float=metadata._Number)
+            if isinstance(v, dict):
+                into(out, v)
+            else:
+                scalar = t
+        return metadata._dump(out) if out else scalar or last
+
+    want = {k: merged([t for key, _, t in sorted(rows) if key == k]) for k in range(60)}
+    df = spark.createDataFrame(rows, "k int, i int, text string").repartition(4)
+    got = {r.k: r.metadata_json for r in metadata.merge_metadata(df, ["k"], "text", F.col("i")).collect()}
+    assert got == want
