@@ -42,6 +42,10 @@ def _arr(v: Column) -> Column:
     return v.try_cast("array<variant>")
 
 
+_SCOPES = "array<struct<spans: array<variant>>>"
+_RESOURCE_SPANS = f"array<struct<scopeSpans: {_SCOPES}, instrumentationLibrarySpans: {_SCOPES}>>"
+
+
 def flatten_spans(objects: DataFrame, col: str = "resource_spans") -> DataFrame:
     """One row per span with (rs_pos, ss_pos, span_pos) (O1).
 
@@ -49,10 +53,11 @@ def flatten_spans(objects: DataFrame, col: str = "resource_spans") -> DataFrame:
     that is not an array is skipped. Other columns of ``objects`` pass through.
     """
     keep = [c for c in objects.columns if c != col]
-    rs = objects.select(*keep, F.posexplode(_arr(F.col(col))).alias("rs_pos", "_rs"))
-    scopes = F.coalesce(_arr(vget(F.col("_rs"), "$.scopeSpans")), _arr(vget(F.col("_rs"), "$.instrumentationLibrarySpans")))
+    # all levels in one cast: what does not fit is NULL where it stands, a span is copied once
+    rs = objects.select(*keep, F.posexplode(F.try_variant_get(F.col(col), "$", _RESOURCE_SPANS)).alias("rs_pos", "_rs"))
+    scopes = F.coalesce("_rs.scopeSpans", "_rs.instrumentationLibrarySpans")
     ss = rs.select(*keep, "rs_pos", F.posexplode(scopes).alias("ss_pos", "_ss"))
-    return ss.select(*keep, "rs_pos", "ss_pos", F.posexplode(_arr(vget(F.col("_ss"), "$.spans"))).alias("span_pos", "span"))
+    return ss.select(*keep, "rs_pos", "ss_pos", F.posexplode("_ss.spans").alias("span_pos", "span"))
 
 
 def count_spans(objects: DataFrame, col: str = "resource_spans") -> DataFrame:

@@ -1,9 +1,13 @@
 """Work is dealt out by rows, and what several steps read is written once."""
 
+import json
+
 from conftest import SF_SMALL
+from pyspark.sql import functions as F
 
-from spanlake.operators import fold
+from spanlake.operators import fold, otlp
 from spanlake.plans import catalog, state
+from spanlake.sources import overlays
 from spanlake.sources.tables import spread
 
 
@@ -81,3 +85,24 @@ def test_flat_and_nested_metadata_merge_alike(spark):
     df = spark.createDataFrame(rows, "k int, i int, text string").repartition(4)
     got = {r.k: r.metadata_json for r in metadata.merge_metadata(df, ["k"], "text", F.col("i")).collect()}
     assert got == want
+
+
+def _objects(spark, *resource_spans):
+    df = spark.createDataFrame([(f"k{i}", json.dumps(r)) for i, r in enumerate(resource_spans)], "object_key string, j string")
+    return df.select("object_key", F.parse_json("j").alias("resource_spans"))
+
+
+def test_objects_are_built_and_taken_apart_in_one_go(spark):
+    # every further step copies all spans of an object once more
+    built = overlays.f4_objects(spark, SF_SMALL)
+    assert _plan(built.select("resource_spans")).split("Aggregate")[0].count("to_variant_object(") <= 2
+    assert _plan(otlp.flatten_spans(_objects(spark, []))).count("variant_get(") == 1
+
+
+def test_levels_that_do_not_fit_are_passed_over(spark):
+    odd = [None, 1, "x", {}, [], {"scopeSpans": 5}, {"scopeSpans": [7, {"spans": {}}]}]
+    new = {"scopeSpans": [None, {"spans": [{"a": 1}, None, "s"]}], "instrumentationLibrarySpans": [{"spans": [2]}]}
+    old = {"scopeSpans": None, "instrumentationLibrarySpans": [{"spans": [3]}]}
+    rows = otlp.flatten_spans(_objects(spark, *odd, [*odd, new, old])).select("object_key", "rs_pos", "ss_pos", "span_pos", F.to_json("span")).collect()
+    n = len(odd)
+    assert sorted(tuple(r) for r in rows) == [(f"k{n}", n, 1, 0, '{"a":1}'), (f"k{n}", n, 1, 1, "null"), (f"k{n}", n, 1, 2, '"s"'), (f"k{n}", n + 1, 0, 0, "3")]
