@@ -361,9 +361,9 @@ def _langfuse(at: _Attrs) -> dict:
         "environment": (at.has("langfuse.environment"), at.string("langfuse.environment").cast("variant")),
     }
     name = at.string("langfuse.trace.name")
-    user = at.first_string(USER_ID_KEYS)
-    session = at.first_string(SESSION_ID_KEYS)
-    md = trace_metadata(at)
+    user = at.derive("_d_user", at.first_string(USER_ID_KEYS))
+    session = at.derive("_d_session", at.first_string(SESSION_ID_KEYS))
+    md = at.derive("_d_metadata", trace_metadata(at))
     tags = trace_tags(at)
     public = at.boolean("langfuse.trace.public")
     t_in = at.has("langfuse.trace.input")
@@ -380,7 +380,7 @@ def _langfuse(at: _Attrs) -> dict:
         "version": obs["version"],
         "environment": obs["environment"],
     }
-    upd_flag = has_trace_updates(at)
+    upd_flag = at.derive("_d_has_update", has_trace_updates(at))
     update = {
         "name": root["name"],
         "userId": root["userId"],
@@ -460,9 +460,9 @@ def _genai(at: _Attrs) -> dict:
 
 
 def _vercel_type(at: _Attrs) -> Column:
-    def meaningful(v: Column) -> Column:
-        kv = value_kind(v)
-        return v.isNotNull() & (kv != "z") & ~((kv == "s") & (_text(v) == "")) & F.coalesce(
+    def meaningful(k: str) -> Column:
+        v, kv = at.get(k), at.kind(k)
+        return v.isNotNull() & (kv != "z") & ~((kv == "s") & (at.string(k) == "")) & F.coalesce(
             F.when(kv == "a", F.size(v.try_cast("array<variant>")) > 0)
             .when(kv == "o", F.size(v.try_cast("map<string,variant>")) > 0)
             .otherwise(F.lit(True)),
@@ -470,8 +470,7 @@ def _vercel_type(at: _Attrs) -> Column:
         )
 
     def text(k: str) -> Column:
-        v = at.get(k)
-        return F.when(meaningful(v), F.coalesce(at.string(k), F.to_json(v)))
+        return F.when(meaningful(k), F.coalesce(at.string(k), F.to_json(at.get(k))))
 
     op_name = at.derive("_d_op_name", text("operation.name"))
     op_id = at.derive("_d_op_id", text("ai.operationId"))
@@ -484,7 +483,7 @@ def _vercel_type(at: _Attrs) -> Column:
 
     has_model = _false()
     for k in VERCEL_MODEL_KEYS:
-        has_model = has_model | meaningful(at.get(k))
+        has_model = has_model | meaningful(k)
     has_model = at.derive("_d_has_model", has_model)
     return (
         F.when(matches(VERCEL_TOOL_PREFIXES), F.lit("tool-create"))

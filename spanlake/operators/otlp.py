@@ -102,9 +102,13 @@ def string_field(v: Column) -> Column:
     )
 
 
+def _longs(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "array<bigint>")
+
+
 def _hex_bytes(values: Column) -> Column:
-    """array<variant> of byte numbers → lower-case hex; empty → NULL."""
-    hexed = F.transform(values, lambda b: F.lpad(F.lower(F.hex(F.try_variant_get(b, "$", "long").bitwiseAND(F.lit(255)))), 2, "0"))
+    """array<bigint> of byte numbers → lower-case hex; empty → NULL."""
+    hexed = F.transform(values, lambda b: F.lpad(F.lower(F.hex(b.bitwiseAND(F.lit(255)))), 2, "0"))
     return F.when(F.size(values) > 0, F.array_join(hexed, ""))
 
 
@@ -116,21 +120,20 @@ def bytes_to_hex(v: Column) -> Column:
     by_key = lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)
     ordered = F.transform(
         F.array_sort(F.transform(entries, lambda e: F.struct(e["key"].try_cast("long").alias("k"), e["value"].alias("v"))), by_key),
-        lambda e: e["v"],
+        lambda e: F.try_variant_get(e["v"], "$", "long"),
     )
     buffer = js_string(vget(v, "$.type")) == "Buffer"
     return (
-        F.when(is_array(v), _hex_bytes(_arr(v)))
-        .when(is_object(v) & buffer & is_array(vget(v, "$.data")), _hex_bytes(_arr(vget(v, "$.data"))))
+        F.when(is_array(v), _hex_bytes(_longs(v)))
+        .when(is_object(v) & buffer & is_array(vget(v, "$.data")), _hex_bytes(_longs(vget(v, "$.data"))))
         .when(is_object(v) & (F.size(entries) > 0) & numeric_keys, _hex_bytes(ordered))
     )
 
 
-def id_field(span: Column, key: str) -> Column:
-    """Span/trace id: non-empty text form, else hex of a byte encoding (O2)."""
-    v = vget(span, f"$.{key}")
-    s = string_field(v)
-    return F.when(F.coalesce(s, F.lit("")) != "", s).otherwise(bytes_to_hex(v))
+def id_field(v: Column, text: Column) -> Column:
+    """Span/trace id: non-empty text form, else hex of a byte encoding (O2).
+    ``text``: the ``string_field`` of the id."""
+    return F.when(text != "", text).otherwise(bytes_to_hex(v))
 
 
 #: Array levels that an AnyValue expression covers; deeper input is an error, never cut.
@@ -141,45 +144,76 @@ def unwrap_any_value(v: Column, levels: int = MAX_ARRAY_LEVELS) -> Column:
     """OTLP AnyValue → plain JSON value (O6): the first present of string, int,
     double, bool and bytes values; arrays element-wise; other objects as they
     are; non-objects pass through. ``intValue`` text stays text (G23)."""
-    first = F.coalesce(
-        vget(v, "$.stringValue"), vget(v, "$.intValue"), vget(v, "$.doubleValue"), vget(v, "$.boolValue"), vget(v, "$.bytesValue")
-    )
-    av = vget(v, "$.arrayValue")
-    inner = vget(av, "$.values")
-    items = F.when(is_array(av), _arr(av)).when(is_object(av) & is_array(inner), _arr(inner))
+    return _unwrapped(v, _parts(v), levels)
+
+
+_ANY_VALUE = ["stringValue", "intValue", "doubleValue", "boolValue", "bytesValue", "arrayValue"]
+
+
+def _parts(v: Column) -> Column:
+    """The members of an AnyValue, read in one go; NULL for what is no object."""
+    return F.try_variant_get(v, "$", f"struct<{', '.join(f'{k}: variant' for k in _ANY_VALUE)}>")
+
+
+def _unwrapped(v: Column, parts: Column, levels: int) -> Column:
+    first = F.coalesce(*[parts[k] for k in _ANY_VALUE[:-1]])
+    av = parts["arrayValue"]
+    items = F.coalesce(_arr(av), F.try_variant_get(av, "$.values", "array<variant>"))
     if levels > 0:
-        arrays = F.when(items.isNotNull(), F.to_variant_object(F.transform(items, lambda x: unwrap_any_value(x, levels - 1))))
+        read = F.transform(items, lambda x: F.struct(x.alias("v"), _parts(x).alias("p")))
+        unwrapped = F.transform(read, lambda x: _unwrapped(x["v"], x["p"], levels - 1))
+        arrays = F.when(items.isNotNull(), F.to_variant_object(unwrapped))
     else:
         arrays = F.when(items.isNotNull(), F.raise_error(F.lit(f"attribute arrays nested more than {MAX_ARRAY_LEVELS} deep")).cast("string").cast("variant"))
-    return F.when(is_object(v), F.coalesce(first, arrays, v)).otherwise(v)
+    # (what is no object has no parts)
+    return F.coalesce(first, arrays, v)
+
 
+#: An attribute list as the cast of a span reads it: NULL for what is no object.
+_ATTRIBUTES = "array<struct<key: variant, value: variant>>"
 
-def attributes_record(span: Column) -> Column:
-    """Attribute list → ``map<string,variant>``; non-string keys skipped, the
-    last duplicate key wins (session policy LAST_WIN) (O5)."""
-    attrs = F.coalesce(_arr(vget(span, "$.attributes")), F.array().cast("array<variant>"))
-    usable = F.filter(attrs, lambda a: is_object(a) & is_string(vget(a, "$.key")))
-    return F.map_from_entries(
-        F.transform(usable, lambda a: F.struct(F.try_variant_get(a, "$.key", "string").alias("k"), unwrap_any_value(vget(a, "$.value")).alias("v")))
+
+def attributes_record(attributes: Column) -> Column:
+    """Attribute list (read as ``_ATTRIBUTES``) → ``map<string,variant>``; non-string
+    keys skipped, the last duplicate key wins (session policy LAST_WIN) (O5)."""
+    attrs = F.coalesce(attributes, F.array().cast(_ATTRIBUTES))
+    usable = F.filter(attrs, lambda a: is_string(a["key"]))
+    read = F.transform(
+        usable, lambda a: F.struct(F.try_variant_get(a["key"], "$", "string").alias("k"), a["value"].alias("v"), _parts(a["value"]).alias("p"))
     )
+    return F.map_from_entries(F.transform(read, lambda a: F.struct(a["k"].alias("k"), _unwrapped(a["v"], a["p"], MAX_ARRAY_LEVELS).alias("v"))))
 
 
 # ------------------------------------------------------------- span → events
 
 
+SPAN_FIELDS = ["traceId", "spanId", "parentSpanId", "startTimeUnixNano", "endTimeUnixNano", "name"]
+
+
+@per_context
+def _span_parts() -> list[Column]:
+    """A span's members, read in one go."""
+    members = ", ".join(f"{k}: variant" for k in SPAN_FIELDS)
+    return [F.try_variant_get("span", "$", f"struct<{members}, attributes: {_ATTRIBUTES}>").alias("_s")]
+
+
+@per_context
+def _span_texts() -> list[Column]:
+    return [string_field(F.col(f"_s.{k}")).alias(f"_t_{k}") for k in SPAN_FIELDS]
+
+
 @per_context
 def _span_columns() -> list[Column]:
-    s = F.col("span")
-    start = nanos_to_timestamp(string_field(vget(s, "$.startTimeUnixNano")))
-    name = F.when(is_string(vget(s, "$.name")) | is_number(vget(s, "$.name")), string_field(vget(s, "$.name")))
+    part, text = lambda k: F.col(f"_s.{k}"), lambda k: F.col(f"_t_{k}")
     return [
-        id_field(s, "traceId").alias("trace_id_raw"),
-        id_field(s, "spanId").alias("span_id_raw"),
-        id_field(s, "parentSpanId").alias("parent_span_id"),
-        start.alias("start_raw"),
-        nanos_to_timestamp(string_field(vget(s, "$.endTimeUnixNano"))).alias("end_time"),
-        F.coalesce(name, F.lit(DEFAULT_SPAN_NAME)).alias("span_name"),
-        attributes_record(s).alias("attributes"),
+        id_field(part("traceId"), text("traceId")).alias("trace_id_raw"),
+        id_field(part("spanId"), text("spanId")).alias("span_id_raw"),
+        id_field(part("parentSpanId"), text("parentSpanId")).alias("parent_span_id"),
+        nanos_to_timestamp(text("startTimeUnixNano")).alias("start_raw"),
+        nanos_to_timestamp(text("endTimeUnixNano")).alias("end_time"),
+        # (a long-like object is no name)
+        F.coalesce(F.when(~is_object(part("name")), text("name")), F.lit(DEFAULT_SPAN_NAME)).alias("span_name"),
+        attributes_record(part("attributes")).alias("attributes"),
     ]
 
 
@@ -190,7 +224,8 @@ def decode_spans(spans: DataFrame, fallback_time: Column | None = None) -> DataF
     start time falls back to ``fallback_time`` (the object's modification time),
     so replaying an object yields identical events (G10).
     """
-    out = spans.select("*", *_span_columns())
+    keep = spans.columns
+    out = spans.select("*", *_span_parts()).select("*", *_span_texts()).select(*keep, *_span_columns())
     pos = F.concat_ws(":", F.col("object_key"), F.col("rs_pos"), F.col("ss_pos"), F.col("span_pos"))
     fb = fallback_time if fallback_time is not None else F.current_timestamp()
     return out.select(

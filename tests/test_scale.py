@@ -1,6 +1,7 @@
 """Work is dealt out by rows, and what several steps read is written once."""
 
 import json
+import re
 
 from conftest import SF_SMALL
 from pyspark.sql import functions as F
@@ -106,3 +107,31 @@ def test_levels_that_do_not_fit_are_passed_over(spark):
     rows = otlp.flatten_spans(_objects(spark, *odd, [*odd, new, old])).select("object_key", "rs_pos", "ss_pos", "span_pos", F.to_json("span")).collect()
     n = len(odd)
     assert sorted(tuple(r) for r in rows) == [(f"k{n}", n, 1, 0, '{"a":1}'), (f"k{n}", n, 1, 1, "null"), (f"k{n}", n, 1, 2, '"s"'), (f"k{n}", n + 1, 0, 0, "3")]
+
+
+def test_a_span_is_read_in_one_go(spark):
+    spans = otlp.flatten_spans(_objects(spark, []))
+    plan = _plan(otlp.decode_spans(spans).drop("span"))
+    assert len(re.findall(r"variant_get\(span#", plan)) == 1
+    # metadata, identity and the update flag are worked out once, not for each bundle that has them
+    assert _plan(otlp.map_spans(otlp.decode_spans(spans))).count("map_filter(") == 1
+
+
+def test_members_of_spans_and_attribute_values(spark):
+    values = [
+        {"stringValue": None, "intValue": 3}, {"doubleValue": 1.5}, {"bytesValue": [1]}, {}, None, "plain", {"kvlistValue": 1},
+        {"arrayValue": [{"boolValue": True}, 7]}, {"arrayValue": {"values": [{"arrayValue": {"values": [{"intValue": "1"}, {}]}}, None]}}, {"arrayValue": {"values": 1}},
+    ]
+    attributes = [{"key": f"a{i}", "value": v} for i, v in enumerate(values)] + [{"key": "none"}, {"key": 5, "value": 1}, 6, {"value": 2}, {"key": "a1", "value": 8}]
+    spans = [
+        {"traceId": "t", "spanId": [1, 255], "parentSpanId": "", "name": {"low": 1, "high": 0}, "attributes": attributes},
+        {"traceId": {"low": 5, "high": 0}, "spanId": {"type": "Buffer", "data": [16]}, "name": 7, "attributes": {}},
+        "no span",
+    ]
+    decoded = otlp.decode_spans(otlp.flatten_spans(_objects(spark, [{"scopeSpans": [{"spans": spans}]}])), F.lit("2024-01-01").cast("timestamp"))
+    a, b, c = decoded.select("trace_id", "span_id", "parent_span_id", "span_name", F.to_json(F.to_variant_object("attributes")).alias("attributes")).orderBy("span_pos").collect()
+    assert (a.trace_id, a.span_id, a.parent_span_id, a.span_name) == ("t", "01ff", None, "otel-span")
+    want = [None, 8, [1], {}, None, "plain", {"kvlistValue": 1}, [True, 7], [["1", {}], None], {"arrayValue": {"values": 1}}]
+    assert json.loads(a.attributes) == {f"a{i}": v for i, v in enumerate(want)} | {"none": None}
+    assert (b.trace_id, b.span_id, b.span_name, b.attributes) == ("5", "10", "7", "{}")
+    assert (len(c.trace_id), len(c.span_id), c.span_name, c.attributes) == (32, 16, "otel-span", "{}")
